@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, secrets, token_files
+from . import exact_dedup, mixing, secrets, sentence_pieces, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,9 +31,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokens_through_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.document_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op4_exact_dedup, op5_token_files, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op4_exact_dedup, op5_token_files, op9_sentence_pieces, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op4_exact_dedup": exact_dedup.SQL, "op10_secret_scan": secrets.SQL}
