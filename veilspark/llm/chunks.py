@@ -8,41 +8,73 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 Encode = Callable[[Sequence[str]], list[Sequence[int]]]
 
 
+class _Known(dict):
+    """Chunk -> bytes of its ids; a chunk that isn't known stands for itself and is noted in ``new``."""
+
+    def __init__(self, items: Iterable = ()):
+        super().__init__(items)
+        self.new: set[str] = set()
+        self.misses = 0
+
+    def __missing__(self, chunk: str) -> str:
+        self.new.add(chunk)
+        self.misses += 1
+        return chunk
+
+
 class ChunkEncoder:
-    """``encode``: chunks, in full, to ids. ``odd``: whether a text needs ``cut``; others are cut at every space. ``bound``
-    limits the chunks remembered, not the texts; beyond it the short ones, which are met most, stay."""
+    """``encode``: chunks, in full, to ids. ``odd``: whether a text needs ``cut``; others are cut at every space, and before every
+    line feed if ``lines``. ``bound`` limits the chunks remembered, not the texts; beyond it the short ones, which are met most, stay."""
 
-    def __init__(self, encode: Encode, wide: bool, odd: Callable[[str], bool], cut: re.Pattern, bound: int = 800_000):
-        self.encode, self.wide, self.odd, self.cut, self.bound = encode, wide, odd, cut, bound
-        self.after: dict[str, bytes] = {}  # by the chunk without its leading space
-        self.whole: dict[str, bytes] = {}
+    def __init__(self, encode: Encode, wide: bool, odd: Callable[[str], bool], cut: re.Pattern, lines: bool = False, bound: int = 800_000):
+        self.encode, self.wide, self.odd, self.cut, self.lines, self.bound = encode, wide, odd, cut, lines, bound
+        self.after = _Known()  # by the chunk without its leading space; a chunk that starts with a line feed has none
+        self.whole = _Known()
 
-    def _learn(self, known: dict[str, bytes], new: set[str], prefix: str) -> None:
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for chunk, ids in zip(part, self.encode([prefix + x for x in part]), strict=True):
-                known[chunk] = array("I" if self.wide else "H", ids).tobytes()
+    def as_bytes(self, ids: Sequence[int]) -> bytes:
+        return array("I" if self.wide else "H", ids).tobytes()
+
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of new chunks, in full."""
+        return [self.as_bytes(ids) for ids in self.encode(chunks)]
+
+    def _learn_new(self) -> None:
+        for known, prefix in ((self.after, " "), (self.whole, "")):
+            new, known.new = list(known.new), set()
+            for at in range(0, len(new), 20_000):
+                part = new[at : at + 20_000]
+                known.update(zip(part, self.learn([x if x[:1] == "\n" else prefix + x for x in part]), strict=True))
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text, four bytes each if ``wide``, else two."""
         if len(self.after) + len(self.whole) > self.bound:
-            self.after = {k: v for k, v in self.after.items() if len(k) <= 6}
-            self.whole.clear()
-        cuts: list[tuple[str | None, list[str]]] = []
+            self.after = _Known((k, v) for k, v in self.after.items() if len(k) <= 6)
+            self.whole = _Known()
+        found: list[list[bytes | str]] = []
+        after, whole = self.after.__getitem__, self.whole.__getitem__
+        odd: list[bool] = []
+        open_: list[bool] = []
         for t in texts:
-            if self.odd(t):
-                cuts.append((None, self.cut.split(t)))
+            odd.append(self.odd(t))
+            before = self.after.misses + self.whole.misses
+            if odd[-1]:
+                found.append(list(map(whole, self.cut.split(t))))
             else:
-                first, *rest = t.split(" ")
-                cuts.append((first, rest))
-        self._learn(self.after, set().union(*(rest for first, rest in cuts if first is not None)).difference(self.after), " ")
-        whole = {first for first, _ in cuts if first is not None}.union(*(rest for first, rest in cuts if first is None))
-        self._learn(self.whole, whole.difference(self.whole), "")
-        after, whole = self.after.__getitem__, self.whole.__getitem__
-        return [b"".join(map(whole, rest)) if first is None else whole(first) + b"".join(map(after, rest)) for first, rest in cuts]
+                first, *rest = (t.replace("\n", " \n") if self.lines else t).split(" ")
+                found.append([whole(first), *map(after, rest)])
+            open_.append(before < self.after.misses + self.whole.misses)
+        self._learn_new()
+        out = []
+        for parts, is_odd, is_open in zip(found, odd, open_, strict=True):
+            if not is_open:
+                out.append(b"".join(parts))
+                continue
+            known = self.whole if is_odd else self.after
+            head = parts[0] if type(parts[0]) is bytes else self.whole[parts[0]]
+            out.append(head + b"".join([x if type(x) is bytes else known[x] for x in parts[1:]]))
+        return out

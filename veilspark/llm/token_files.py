@@ -29,12 +29,49 @@ CHECKPOINT_IDS = 512
 BLOCK_IDS = 65_536
 #: A shard is what one task writes; its size in ids.
 SHARD_IDS = 8_000_000
+#: Marks that may follow a word and make tokens of their own with it (an apostrophe may not).
+MARKS = ".,;:!?#*%&$()|\""
 #: White space besides the space and the line feed.
 OTHER_SPACES_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 OTHER_SPACES = re.compile(r"[^\S\n ]")
 _encoders: dict[tuple, ChunkEncoder] = {}
 
 
+class _ByteBpe(ChunkEncoder):
+    """Runs the tokenizer's own pre-tokeniser and model on each new chunk, without the offsets that whole encodings carry. A word with
+    nothing but letters and marks is a token run of its letters and one of its marks, as byte-level pre-tokenisation has it."""
+
+    def __init__(self, tok, odd, cut, specials: list[str]):
+        super().__init__(lambda texts: [tok.encode(t, add_special_tokens=False).ids for t in texts], tok.get_vocab_size() > 65_536, odd, cut, lines=True)
+        self.tok, self.specials, self.pieces = tok, specials, {"": b""}
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from 256 on
+        hidden = [b for b in range(256) if b not in visible]
+        self.letters = dict(zip(hidden, map(chr, range(256, 256 + len(hidden))), strict=True))
+
+    def piece(self, mapped: str) -> bytes:
+        return self.as_bytes([t.id for t in self.tok.model.tokenize(mapped)])
+
+    def short(self, mapped: str) -> bytes:
+        """Marks and line feeds, which come again and again."""
+        if mapped not in self.pieces:
+            self.pieces[mapped] = self.piece(mapped)
+        return self.pieces[mapped]
+
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        out = []
+        for chunk in chunks:
+            stem = chunk.rstrip(MARKS)
+            if stem[1:].isalpha() and stem[0] in " \n":
+                mapped = stem.encode().decode("latin-1").translate(self.letters)
+                head = self.piece(mapped) if stem[0] == " " else self.short(mapped[0]) + self.piece(mapped[1:])
+                out.append(head + self.short(chunk[len(stem) :]))
+            elif any(x in chunk for x in self.specials):
+                out += super().learn([chunk])
+            else:
+                out.append(b"".join([self.piece(mapped) for mapped, _ in self.tok.pre_tokenizer.pre_tokenize_str(chunk)]))
+        return out
+
+
 def byte_bpe(path: str, specials_as_text: bool = False) -> ChunkEncoder:
     """An encoder for a tokenizers file with byte-level pre-tokenisation, kept by the Python worker."""
     if (path, specials_as_text) not in _encoders:
@@ -42,17 +79,16 @@ def byte_bpe(path: str, specials_as_text: bool = False) -> ChunkEncoder:
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = specials_as_text
-        encode = lambda texts: [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
         # no token holds a space after a non-space; a special token in the text could, so such texts stay whole
         specials = [t.content for t in tok.get_added_tokens_decoder().values() if not specials_as_text]
 
         def odd(text: str) -> bool:
-            if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or any(x in text for x in specials):
+            if "  " in text or "\n " in text or " \n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(x in text for x in specials):
                 return True
             return any(x in text for x in OTHER_SPACES_ASCII) if text.isascii() else bool(OTHER_SPACES.search(text))
 
         cut = re.compile(r"(?<=\S)(?= )" if not any(" " in x for x in specials) else r"(?!)")
-        _encoders[path, specials_as_text] = ChunkEncoder(encode, tok.get_vocab_size() > 65_536, odd, cut)
+        _encoders[path, specials_as_text] = _ByteBpe(tok, odd, cut, specials)
     return _encoders[path, specials_as_text]
 
 
