@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, secrets, sentence_pieces, token_files
+from . import exact_dedup, mixing, quality, secrets, sentence_pieces, token_files, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokens_through_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -39,5 +47,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.document_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op4_exact_dedup, op5_token_files, op9_sentence_pieces, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op4_exact_dedup, op5_token_files, op6_quality, op8_toxicity, op9_sentence_pieces, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op4_exact_dedup": exact_dedup.SQL, "op10_secret_scan": secrets.SQL}
