@@ -1,30 +1,23 @@
 """Token ids of whole texts from the ids of their chunks, each met once.
 
 A chunk starts at a space that follows a non-space; where the tokenizer never merges across such a place, the ids of a text are
-those of its chunks in order. New chunks of a batch go to the tokenizer together.
+those of its chunks in order. Texts are cut, and equal chunks of a batch are found, by Arrow; new chunks go to the tokenizer
+together; ids are put in place by numpy.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 
-Encode = Callable[[Sequence[str]], list[Sequence[int]]]
-
-
-class _Known(dict):
-    """Chunk -> bytes of its ids; a chunk that isn't known stands for itself and is noted in ``new``."""
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-    def __init__(self, items: Iterable = ()):
-        super().__init__(items)
-        self.new: set[str] = set()
-        self.misses = 0
-
-    def __missing__(self, chunk: str) -> str:
-        self.new.add(chunk)
-        self.misses += 1
-        return chunk
+Encode = Callable[[Sequence[str]], list[Sequence[int]]]
+#: Stands before the first chunk of a text, which has no space to start with.
+START = "\0"
 
 
 class ChunkEncoder:
@@ -33,8 +26,11 @@ class ChunkEncoder:
 
     def __init__(self, encode: Encode, wide: bool, odd: Callable[[str], bool], cut: re.Pattern, lines: bool = False, bound: int = 800_000):
         self.encode, self.wide, self.odd, self.cut, self.lines, self.bound = encode, wide, odd, cut, lines, bound
-        self.after = _Known()  # by the chunk without its leading space; a chunk that starts with a line feed has none
-        self.whole = _Known()
+        self.known: dict[str, bytes] = {}  # by the chunk without its leading space; a chunk that starts with a line feed has none
+
+    @property
+    def dtype(self):
+        return np.uint32 if self.wide else np.uint16
 
     def as_bytes(self, ids: Sequence[int]) -> bytes:
         return array("I" if self.wide else "H", ids).tobytes()
@@ -43,38 +39,45 @@ class ChunkEncoder:
         """The ids of new chunks, in full."""
         return [self.as_bytes(ids) for ids in self.encode(chunks)]
 
-    def _learn_new(self) -> None:
-        for known, prefix in ((self.after, " "), (self.whole, "")):
-            new, known.new = list(known.new), set()
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                known.update(zip(part, self.learn([x if x[:1] == "\n" else prefix + x for x in part]), strict=True))
+    def _bytes_of(self, keys: list[str]) -> list[bytes]:
+        if len(self.known) > self.bound:
+            self.known = {k: v for k, v in self.known.items() if len(k) <= 6}
+        found = list(map(self.known.get, keys))
+        new = [i for i, x in enumerate(found) if x is None]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            full = lambda k: k[1:] if k[:1] == START else k if self.lines and k[:1] == "\n" else f" {k}"
+            for i, data in zip(part, self.learn([full(keys[i]) for i in part]), strict=True):
+                found[i] = self.known[keys[i]] = data
+        return found
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        column = pa.array([START + t for t in texts], pa.large_string())
+        if self.lines:
+            column = pc.replace_substring(column, "\n", " \n")
+        lists = pc.split_pattern(column, " ")
+        chunks = lists.values.dictionary_encode()
+        parts = self._bytes_of(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = self.dtype().itemsize
+        n = np.fromiter(map(len, parts), np.int64, len(parts)) // size
+        flat, first = np.frombuffer(b"".join(parts), self.dtype), np.cumsum(n) - n
+        at = chunks.indices.to_numpy()
+        length = n[at]
+        end = np.cumsum(length)
+        shift = (end - length - first[at]).astype(np.int32)
+        ids = flat[np.arange(end[-1] if len(end) else 0, dtype=np.int32) - np.repeat(shift, length)].tobytes()
+        stops = np.r_[0, end][lists.offsets.to_numpy()] * size
+        return [ids[a:b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text, four bytes each if ``wide``, else two."""
-        if len(self.after) + len(self.whole) > self.bound:
-            self.after = _Known((k, v) for k, v in self.after.items() if len(k) <= 6)
-            self.whole = _Known()
-        found: list[list[bytes | str]] = []
-        after, whole = self.after.__getitem__, self.whole.__getitem__
-        odd: list[bool] = []
-        open_: list[bool] = []
-        for t in texts:
-            odd.append(self.odd(t))
-            before = self.after.misses + self.whole.misses
-            if odd[-1]:
-                found.append(list(map(whole, self.cut.split(t))))
-            else:
-                first, *rest = (t.replace("\n", " \n") if self.lines else t).split(" ")
-                found.append([whole(first), *map(after, rest)])
-            open_.append(before < self.after.misses + self.whole.misses)
-        self._learn_new()
+        odd = [START in t or self.odd(t) for t in texts]
+        plain = iter(self._plain([t for t, x in zip(texts, odd, strict=True) if not x]))
         out = []
-        for parts, is_odd, is_open in zip(found, odd, open_, strict=True):
-            if not is_open:
-                out.append(b"".join(parts))
-                continue
-            known = self.whole if is_odd else self.after
-            head = parts[0] if type(parts[0]) is bytes else self.whole[parts[0]]
-            out.append(head + b"".join([x if type(x) is bytes else known[x] for x in parts[1:]]))
+        for t, x in zip(texts, odd, strict=True):
+            if x:
+                chunks = self.cut.split(t)
+                out.append(b"".join(self.learn(chunks)) if START in t else b"".join(self._bytes_of([START + c for c in chunks])))
+            else:
+                out.append(next(plain))
         return out

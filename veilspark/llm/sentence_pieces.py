@@ -197,8 +197,8 @@ def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
             _codecs[key] = SentencePieceCodec(shared.value)
         codec = _codecs[key]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 4_000):
+                part = batch.slice(at, 4_000)
                 texts = part.column(1).to_pylist()
                 ids = codec.encode(texts)
                 back = [codec.decode(x) for x in ids]

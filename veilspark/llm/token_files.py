@@ -99,8 +99,8 @@ def tokenised(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         encoder = byte_bpe(path)
         end = np.array([end_id], np.uint32 if encoder.wide else np.uint16).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 4_000):
+                part = batch.slice(at, 4_000)
                 ids = [x + end for x in encoder(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encoder.wide] * len(ids)), pa.array(ids, pa.binary())], ["doc_id", "wide", "ids"])
 
@@ -117,8 +117,8 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for wide, data in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                n = np.bincount(ids_of(data, wide))
+            if batch.num_rows:  # the width is that of the vocabulary, the same in all rows
+                n = np.bincount(ids_of(b"".join(batch.column(1).to_pylist()), batch.column(0)[0].as_py()))
                 if len(n) > len(total):
                     total = np.r_[total, np.zeros(len(n) - len(total), np.int64)]
                 total[: len(n)] += n
