@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, quality, secrets, sentence_pieces, token_files, toxicity
+from . import exact_dedup, mixing, near_dedup, passages, quality, secrets, sentence_pieces, token_files, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,5 +55,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.document_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op4_exact_dedup, op5_token_files, op6_quality, op8_toxicity, op9_sentence_pieces, op10_secret_scan)}
-ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op2_near_dedup": near_dedup.SQL, "op4_exact_dedup": exact_dedup.SQL, "op10_secret_scan": secrets.SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op4_exact_dedup, op5_token_files, op6_quality, op7_repeated_passages, op8_toxicity, op9_sentence_pieces, op10_secret_scan)}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op2_near_dedup": near_dedup.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_repeated_passages": passages.SQL, "op10_secret_scan": secrets.SQL}
