@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, passages, quality, secrets, sentence_pieces, token_files, toxicity
+from . import exact_dedup, fingerprints, mixing, near_dedup, passages, quality, secrets, sentence_pieces, token_files, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -55,5 +59,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.document_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op4_exact_dedup, op5_token_files, op6_quality, op7_repeated_passages, op8_toxicity, op9_sentence_pieces, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_fingerprints, op4_exact_dedup, op5_token_files, op6_quality, op7_repeated_passages, op8_toxicity, op9_sentence_pieces, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op2_near_dedup": near_dedup.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_repeated_passages": passages.SQL, "op10_secret_scan": secrets.SQL}
