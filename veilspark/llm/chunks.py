@@ -24,7 +24,7 @@ class ChunkEncoder:
     """``encode``: chunks, in full, to ids. ``odd``: whether a text needs ``cut``; others are cut at every space, and before every
     line feed if ``lines``. ``bound`` limits the chunks remembered, not the texts; beyond it the short ones, which are met most, stay."""
 
-    def __init__(self, encode: Encode, wide: bool, odd: Callable[[str], bool], cut: re.Pattern, lines: bool = False, bound: int = 800_000):
+    def __init__(self, encode: Encode, wide: bool, odd: Callable[[str], bool], cut: re.Pattern, lines: bool = False, bound: int = 1_200_000):
         self.encode, self.wide, self.odd, self.cut, self.lines, self.bound = encode, wide, odd, cut, lines, bound
         self.known: dict[str, bytes] = {}  # by the chunk without its leading space; a chunk that starts with a line feed has none
 

@@ -33,6 +33,7 @@ SHARD_IDS = 8_000_000
 MARKS = ".,;:!?#*%&$()|\""
 #: White space besides the space and the line feed.
 OTHER_SPACES_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+WIDE_SPACES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
 OTHER_SPACES = re.compile(r"[^\S\n ]")
 _encoders: dict[tuple, ChunkEncoder] = {}
 
@@ -62,8 +63,11 @@ class _ByteBpe(ChunkEncoder):
         for chunk in chunks:
             stem = chunk.rstrip(MARKS)
             if stem[1:].isalpha() and stem[0] in " \n":
-                mapped = stem.encode().decode("latin-1").translate(self.letters)
-                head = self.piece(mapped) if stem[0] == " " else self.short(mapped[0]) + self.piece(mapped[1:])
+                key = stem[1:] if stem[0] == " " else stem
+                head = self.known.get(key)
+                if head is None:  # with and without marks a word is looked up once
+                    mapped = stem.encode().decode("latin-1").translate(self.letters)
+                    head = self.known[key] = self.piece(mapped) if stem[0] == " " else self.short(mapped[0]) + self.piece(mapped[1:])
                 out.append(head + self.short(chunk[len(stem) :]))
             elif any(x in chunk for x in self.specials):
                 out += super().learn([chunk])
@@ -85,7 +89,12 @@ def byte_bpe(path: str, specials_as_text: bool = False) -> ChunkEncoder:
         def odd(text: str) -> bool:
             if "  " in text or "\n " in text or " \n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(x in text for x in specials):
                 return True
-            return any(x in text for x in OTHER_SPACES_ASCII) if text.isascii() else bool(OTHER_SPACES.search(text))
+            if any(x in text for x in OTHER_SPACES_ASCII):
+                return True
+            if text.isascii():
+                return False
+            data = text.encode()  # all other white space has one of these beginnings
+            return any(x in data for x in WIDE_SPACES) and bool(OTHER_SPACES.search(text))
 
         cut = re.compile(r"(?<=\S)(?= )" if not any(" " in x for x in specials) else r"(?!)")
         _encoders[path, specials_as_text] = _ByteBpe(tok, odd, cut, specials)
