@@ -19,12 +19,14 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordIds, materialize, mix64, text_or_empty
+from .common import WordIds, batches_of, materialize, mix64, text_or_empty
 
 #: The circle of the second permutation, coordinates of a band, and bands.
 CIRCLE_BITS = 20
 BAND_ROWS, BANDS = 6, 26
 COORDINATES = BAND_ROWS * BANDS
+#: Outsiders of a bucket up to which pairs are listed, and the blocks in which others meet.
+FEW, OUTSIDE_BLOCK, MEMBER_BLOCK = 8, 32, 128
 _words = WordIds()
 _tables: dict[int, np.ndarray] = {}
 
@@ -143,6 +145,59 @@ def components(edges: DataFrame, tag: str = "near") -> DataFrame:
         rest = materialize(moved_edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-rest")
 
 
+def _blocks(nodes: DataFrame, sets: DataFrame, size: int, name: str) -> DataFrame:
+    """(group, name): the nodes of a group in blocks of about ``size``, each an array of (node, root, hashes)."""
+    count = nodes.groupBy("group").agg(F.count("*").alias("_m"))
+    dealt = nodes.join(count, "group").withColumn("_block", F.pmod(F.xxhash64("node"), F.ceil(F.col("_m") / size)))
+    full = dealt.join(sets, "node").select("group", "_block", F.struct("node", "root", "hashes").alias("one"))
+    return full.groupBy("group", "_block").agg(F.collect_list("one").alias(name)).drop("_block")
+
+
+def _linked_in_blocks(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join all components between which there is a link, for buckets with many members outside their largest component.
+
+    Such buckets of different bands hold much the same members, so those that overlap are one group. Every node outside the group's largest
+    component meets every node of the group, in blocks; a block's links that join nothing new aren't sent.
+    """
+    group = components(many.select(F.col("centre").alias("a"), F.col("node").alias("b")), "near-group").select("node", F.col("root").alias("group"))
+    nodes = materialize(many.select("node", "root").distinct().join(group, "node").select("group", "node", "root"), "near-group-nodes")
+    top = nodes.groupBy("group", "root").agg(F.count("*").alias("m")).groupBy("group").agg(F.max(F.struct("m", "root")).alias("top")).select("group", F.col("top.root").alias("top"))
+    outside = nodes.join(top, "group").where("root <> top").select("group", "node", "root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for some, rest in zip(batch.column(0), batch.column(1), strict=True):
+                rest, parent = rest.as_py(), {}
+
+                def top_of(x: int) -> int:
+                    while parent.setdefault(x, x) != x:
+                        parent[x] = x = parent[parent[x]]
+                    return x
+
+                own = [np.frombuffer(r["hashes"], np.uint64) for r in rest]
+                sizes = np.array([len(x) for x in own])
+                flat = np.concatenate(own)
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], np.repeat(np.arange(len(own)), sizes)[order]
+                for x in some.as_py():
+                    mine = np.frombuffer(x["hashes"], np.uint64)
+                    lo, hi = np.searchsorted(flat, mine), np.searchsorted(flat, mine, side="right")
+                    n = hi - lo
+                    at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
+                    both = np.bincount(owner[at], minlength=len(own))
+                    for i in np.flatnonzero(both * 100 >= percent * (len(mine) + sizes - both)):
+                        p, q = top_of(x["root"]), top_of(rest[i]["root"])
+                        if p != q and x["node"] != rest[i]["node"]:
+                            parent[p] = q
+                            a.append(min(x["node"], rest[i]["node"]))
+                            b.append(max(x["node"], rest[i]["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    met = _blocks(outside, sets, OUTSIDE_BLOCK, "some").join(_blocks(nodes, sets, MEMBER_BLOCK, "rest"), "group")
+    return met.select("some", "rest").repartition(F.xxhash64("some.node", "rest.node")).mapInArrow(run, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -160,16 +215,23 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     # a node for each distinct set, in buckets with others
     nodes = real.join(classes, of_class & (F.col("doc_id") == F.col("node")), "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"])
     placed = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    members = materialize(placed.join(shared, "bucket").select("bucket", "node", "n", "centre"), "near-members")
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    met = materialize(placed.join(shared, "bucket"), "near-met")
+    # the centre is the member that meets most others over all its buckets: the original of a group of edited copies rather than one of them
+    degree = met.groupBy("node").agg(F.sum("size").alias("degree"))
+    ranked = met.join(degree, "node")
+    centres = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("first"))).alias("top")).select("bucket", (-F.col("top.first")).alias("centre"))
+    members = materialize(ranked.join(centres, "bucket").select("bucket", "node", "n", "centre", "degree"), "near-members")
 
     link = F.col("both") * 100 >= F.col("either") * percent
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     sizes = members.groupBy("node").agg(F.min("n").alias("n"))
     sets = materialize(_sets(docs.withColumn("doc_id", F.col("doc_id").cast("long")), sizes.select("node"), words), "near-sets")
-    stars = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-    stars = stars.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").where(fits(F.col("na"), F.col("nb"))).select("a", "b")
-    measured = materialize(_verified(stars, sets), "near-stars")
+    stars = members.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    of = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"))
+    stars = stars.join(of("a"), "a").join(of("b"), "b").where(fits(F.col("na"), F.col("nb"))).select("a", "b")
+    with batches_of(docs.sparkSession, 256):
+        measured = materialize(_verified(stars, sets), "near-stars")
     edges = measured.where(link).select("a", "b")
 
     # nodes that their buckets' centres haven't joined
@@ -179,17 +241,25 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     largest = count.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     open_ = rooted.join(largest, "bucket")
     known = measured.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
-    open_ = open_.join(known.select(F.col("a").alias("centre"), F.col("b").alias("node"), "far"), ["centre", "node"], "left")
+    open_ = open_.withColumn("a", F.least("centre", "node")).withColumn("b", F.greatest("centre", "node")).join(known, ["a", "b"], "left")
     open_ = materialize(open_.select("bucket", "node", "n", "centre", "root", (F.col("root") == F.col("top.root")).alias("inside"), "far"), "near-open")
-    left = open_.where("not inside and node <> centre").select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("far").alias("fx"))
-    right = open_.where("node <> centre").select("bucket", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("inside").alias("iy"), F.col("far").alias("fy"))
+    # few outsiders: their pairs with the bucket, as far as a link is possible; many: blocks of outsiders against blocks of members
+    count = open_.groupBy("bucket").agg(F.count_if(~F.col("inside")).alias("outsiders"))
+    few = open_.join(count.where(F.col("outsiders") <= FEW), "bucket", "left_semi")
+    left = few.where("not inside and node <> centre").select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("far").alias("fx"))
+    right = few.where("node <> centre").select("bucket", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("inside").alias("iy"), F.col("far").alias("fy"))
     reach = 1 - percent / 100 + 1e-9
     possible: Column = (F.col("rx") != F.col("ry")) & fits(F.col("nx"), F.col("ny")) & (F.col("iy") | (F.col("x") < F.col("y")))
-    possible = possible & (F.abs(F.coalesce(F.col("fx"), F.lit(1.0)) - F.coalesce(F.col("fy"), F.lit(1.0))) <= F.when(F.col("fx").isNull() | F.col("fy").isNull(), F.lit(2.0)).otherwise(F.lit(reach)))
+    possible = possible & (F.col("fx").isNull() | F.col("fy").isNull() | (F.abs(F.col("fx") - F.col("fy")) <= reach))
     more = left.join(right, "bucket").where(possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = materialize(more.join(measured.select("a", "b"), ["a", "b"], "left_anti"), "near-more")
-    if not more.isEmpty():
-        found = materialize(_verified(more, sets), "near-found").where(link).select("a", "b")
+    found = _verified(more, sets).where(link).select("a", "b")
+    many = open_.join(count.where(F.col("outsiders") > FEW), "bucket", "left_semi")
+    if not many.isEmpty():
+        found = found.unionByName(_linked_in_blocks(materialize(many, "near-many"), sets, percent))
+    with batches_of(docs.sparkSession, 16):  # a row may hold two blocks of sets
+        found = materialize(found, "near-found")
+    if not found.isEmpty():
         root = components(edges.unionByName(found), "near-all")
 
     joined = sigs.join(classes, of_class & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left").join(root.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
