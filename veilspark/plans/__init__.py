@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection
+from . import detection, findings, protection
 
-_PARTS = (detection,)
+_PARTS = (detection, findings, protection)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
 flagship = detection.dt01

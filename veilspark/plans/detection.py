@@ -12,11 +12,11 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, queries: dict = QUERIES, oracles: dict = ORACLES):
     def add(f):
-        QUERIES[name] = f
+        queries[name] = f
         if sql:
-            ORACLES[name] = sql
+            oracles[name] = sql
         return f
 
     return add

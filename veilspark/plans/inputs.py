@@ -53,10 +53,10 @@ SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'SIM A ' WHEN 1 THEN 'no
   ELSE substr('ABCDMNPXZQ', CAST(s_suppkey % 10 AS INT) + 1, 1) || CASE WHEN s_suppkey % 9 = 0 THEN '1234567' ELSE lpad(CAST(s_suppkey * 37 % 10000000 AS STRING), 7, '6') END END || ' berlaku' AS text FROM supplier"""
 #: Findings made from lineitem: (segment_id, finding_id, entity_type, start_pos, end_pos, value, score, recognizer).
 FINDINGS = """
-SELECT l_orderkey AS segment_id, l_orderkey * 10 + l_linenumber AS finding_id,
+SELECT l_orderkey AS segment_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS finding_id,
   CASE l_partkey % 6 WHEN 0 THEN 'ID_NIK' WHEN 1 THEN 'EMAIL_ADDRESS' WHEN 2 THEN 'PERSON' WHEN 3 THEN 'CREDIT_CARD' WHEN 4 THEN 'PHONE_NUMBER' ELSE 'CUSTOM' END AS entity_type,
   CAST(l_linenumber * 4 + l_partkey % 3 AS BIGINT) AS start_pos, CAST(l_linenumber * 4 + l_partkey % 3 + 2 + l_suppkey % 9 AS BIGINT) AS end_pos,
-  'v' || CAST(l_partkey % 50 AS STRING) AS value, CAST(round(0.3 + l_discount * 5 + l_tax * 2.5, 2) AS DOUBLE) AS score, CASE l_suppkey % 2 WHEN 0 THEN 'regex' ELSE 'ner' END AS recognizer FROM lineitem"""
+  'v' || CAST(l_partkey % 50 AS STRING) AS value, CAST(30 + (l_partkey * 7 + l_suppkey * 3 + l_linenumber) % 71 AS DOUBLE) / 100 AS score, CASE l_suppkey % 2 WHEN 0 THEN 'regex' ELSE 'ner' END AS recognizer FROM lineitem"""
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
