@@ -101,7 +101,8 @@ def by_severity(df: DataFrame, key: str = "segment_id") -> DataFrame:
     """Invalid spans go, equal ones keep the best score; by start and length, the first conflict is decided by severity, score, length, start.
     ``df`` has a column severity (low, medium, high, critical)."""
     valid = df.where((F.col("start_pos") >= 0) & (F.col("start_pos") < F.col("end_pos")))
-    best = Window.partitionBy(key, "entity_type", "start_pos", "end_pos").orderBy(F.desc("score"))
+    rest = [c for c in df.columns if c not in (key, "entity_type", "start_pos", "end_pos", "score")]
+    best = Window.partitionBy(key, "entity_type", "start_pos", "end_pos").orderBy(F.desc("score"), *rest)
     ranked = valid.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n").withColumn("_s", lookup({"low": 0, "medium": 1, "high": 2, "critical": 3}, F.col("severity"), 1))
     rank = lambda x: F.struct(x["_s"], x["score"], _length(x), -x["start_pos"])
 
