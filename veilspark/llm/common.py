@@ -77,7 +77,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordIds(dict):
     """word bytes -> 64-bit hash, remembered for the words met so far; ``bound`` limits the memory, not the words."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 200_000):
         super().__init__()
         self.bound = bound
 

@@ -43,7 +43,7 @@ class _Terms(dict):
     """word -> its word bucket and its shape bucket, packed."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         w = zlib.crc32(word.lower().strip(".,;:!?").encode()) % WORDS
         s = WORDS + zlib.crc32(_shape(word).encode()) % (SHAPES - 1)

@@ -146,7 +146,7 @@ class SentencePieceCodec:
         whole = lambda t: True
         spaced = lambda t: "  " in t or t[:1] == " "
         cut = self.model.cuts_at_spaces
-        self.chunks = ChunkEncoder(self._encode, len(self.model.pieces) > 65_536, spaced if cut else whole, space if cut else never)
+        self.chunks = ChunkEncoder(self._encode, len(self.model.pieces) > 65_536, spaced if cut else whole, space if cut else never, bound=300_000)
 
     def _encode(self, chunks: list[str]) -> list[list[int]]:
         """Chunks behind a first one begin with a space, which stands for the mark that the normaliser prepends."""
@@ -197,8 +197,8 @@ def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
             _codecs[key] = SentencePieceCodec(shared.value)
         codec = _codecs[key]
         for batch in batches:
-            for at in range(0, batch.num_rows, 4_000):
-                part = batch.slice(at, 4_000)
+            for at in range(0, batch.num_rows, 1_500):
+                part = batch.slice(at, 1_500)
                 texts = part.column(1).to_pylist()
                 ids = codec.encode(texts)
                 back = [codec.decode(x) for x in ids]

@@ -108,8 +108,8 @@ def tokenised(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         encoder = byte_bpe(path)
         end = np.array([end_id], np.uint32 if encoder.wide else np.uint16).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 4_000):
-                part = batch.slice(at, 4_000)
+            for at in range(0, batch.num_rows, 2_500):
+                part = batch.slice(at, 2_500)
                 ids = [x + end for x in encoder(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encoder.wide] * len(ids)), pa.array(ids, pa.binary())], ["doc_id", "wide", "ids"])
 
