@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +47,11 @@ def passport(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def label_type(label: Column) -> Column:
-    """The entity type that a label asks for, or null: the first group with a keyword that is the label, begins it as words, or stands
-    behind a space in it."""
+    """The entity type that a label asks for, or null: the first group with a keyword at the label's start or behind a space in it."""
     norm = collapse(label)
     out = F.when(norm.isNull() | norm.isin(PLAIN_LABELS), None)
     for words, entity in LABEL_TYPES:
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | (norm == w) | norm.startswith(w + " ") | F.concat(F.lit(" "), norm).contains(" " + w)
+        hit = norm.rlike(r"(?:^| )(?:" + "|".join(re.escape(w) for w in words) + ")")
         out = out.when(hit, entity)
     return out
 
