@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import context, detection, findings, protection
+from . import context, detection, files, findings, protection, streams
 
-_PARTS = (detection, findings, protection, context)
+_PARTS = (detection, findings, protection, context, streams, files)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
-flagship = detection.dt01
+flagship = streams.flagship
