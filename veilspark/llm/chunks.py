@@ -21,10 +21,10 @@ START = "\0"
 
 
 class ChunkEncoder:
-    """``encode``: chunks, in full, to ids. ``odd``: whether a text needs ``cut``; others are cut at every space, and before every
-    line feed if ``lines``. ``bound`` limits the chunks remembered, not the texts; beyond it the short ones, which are met most, stay."""
+    """``encode``: chunks, in full, to ids. ``odd``: an RE2 pattern of texts that need ``cut``; others are cut at every space, and before
+    every line feed if ``lines``. ``bound`` limits the chunks remembered, not the texts; beyond it the short ones, which are met most, stay."""
 
-    def __init__(self, encode: Encode, wide: bool, odd: Callable[[str], bool], cut: re.Pattern, lines: bool = False, bound: int = 800_000):
+    def __init__(self, encode: Encode, wide: bool, odd: str, cut: re.Pattern, lines: bool = False, bound: int = 800_000):
         self.encode, self.wide, self.odd, self.cut, self.lines, self.bound = encode, wide, odd, cut, lines, bound
         self.known: dict[str, bytes] = {}  # by the chunk without its leading space; a chunk that starts with a line feed has none
 
@@ -51,8 +51,8 @@ class ChunkEncoder:
                 found[i] = self.known[keys[i]] = data
         return found
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        column = pa.array([START + t for t in texts], pa.large_string())
+    def _plain(self, column: pa.Array) -> list[bytes]:
+        column = pc.binary_join_element_wise(pa.scalar(START, pa.large_string()), column, pa.scalar("", pa.large_string()))
         if self.lines:
             column = pc.replace_substring(column, "\n", " \n")
         lists = pc.split_pattern(column, " ")
@@ -69,15 +69,14 @@ class ChunkEncoder:
         stops = np.r_[0, end][lists.offsets.to_numpy()] * size
         return [ids[a:b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
 
-    def __call__(self, texts: Sequence[str]) -> list[bytes]:
+    def __call__(self, texts: Sequence[str] | pa.Array) -> list[bytes]:
         """The ids of each text, four bytes each if ``wide``, else two."""
-        odd = [START in t or self.odd(t) for t in texts]
-        plain = iter(self._plain([t for t, x in zip(texts, odd, strict=True) if not x]))
-        out = []
-        for t, x in zip(texts, odd, strict=True):
-            if x:
-                chunks = self.cut.split(t)
-                out.append(b"".join(self.learn(chunks)) if START in t else b"".join(self._bytes_of([START + c for c in chunks])))
-            else:
-                out.append(next(plain))
-        return out
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string())
+        odd = pc.match_substring_regex(column, f"{self.odd}|\\x00")
+        plain = iter(self._plain(column.filter(pc.invert(odd))))
+        whole = iter(column.filter(odd).to_pylist())
+        return [self._odd(next(whole)) if x else next(plain) for x in odd.to_pylist()]
+
+    def _odd(self, text: str) -> bytes:
+        chunks = self.cut.split(text)
+        return b"".join(self.learn(chunks) if START in text else self._bytes_of([START + c for c in chunks]))

@@ -163,7 +163,7 @@ def learnable(labels: DataFrame, label: str, modulus: int, held_out: int, rows:
 def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, learn_rows: int = LEARN_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text); ``labels``: (doc_id, quality).
 
-    A null text counts as empty; an empty text is scored by the network like any other. Without labelled rows of both classes the score
+    A null text counts as empty; an empty text is scored by the network like any other. With fewer than ten labelled rows, or none of a class, the score
     is the share of label 1 among them (0.5 if there are none). Repeated rows score alike; an empty table gives an empty result; a
     null doc_id is not held out; other columns, among them lang and source, are not read.
     """
@@ -187,7 +187,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out
     order = np.lexsort((*x.T[:4], y)) if len(x) else np.zeros(0, int)  # rows come in any order
     net = Network(3 * DIMENSIONS)
     share = float(y.mean()) if len(y) else 0.5
-    both = 0 < share < 1
+    both = len(set(y)) == 2 and len(y) >= 10  # a network needs some rows
     if both:
         net.fit(x[order], y[order])
 

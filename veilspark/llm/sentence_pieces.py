@@ -143,10 +143,8 @@ class SentencePieceCodec:
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.odd_chunks: set[str] = set()
         never, space = re.compile(r"(?!)"), re.compile(r"(?<=[^ ])(?= )")
-        whole = lambda t: True
-        spaced = lambda t: "  " in t or t[:1] == " "
         cut = self.model.cuts_at_spaces
-        self.chunks = ChunkEncoder(self._encode, len(self.model.pieces) > 65_536, spaced if cut else whole, space if cut else never, bound=300_000)
+        self.chunks = ChunkEncoder(self._encode, len(self.model.pieces) > 65_536, "  |^ " if cut else "", space if cut else never, bound=300_000)
 
     def _encode(self, chunks: list[str]) -> list[list[int]]:
         """Chunks behind a first one begin with a space, which stands for the mark that the normaliser prepends."""

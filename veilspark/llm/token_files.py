@@ -31,10 +31,8 @@ BLOCK_IDS = 65_536
 SHARD_IDS = 8_000_000
 #: Marks that may follow a word and make tokens of their own with it (an apostrophe may not).
 MARKS = ".,;:!?#*%&$()|\""
-#: White space besides the space and the line feed.
-OTHER_SPACES_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-WIDE_SPACES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
-OTHER_SPACES = re.compile(r"[^\S\n ]")
+#: White space besides the space and the line feed, for RE2.
+OTHER_SPACES = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _encoders: dict[tuple, ChunkEncoder] = {}
 
 
@@ -66,7 +64,7 @@ class _ByteBpe(ChunkEncoder):
                 key = stem[1:] if stem[0] == " " else stem
                 head = self.known.get(key)
                 if head is None:  # with and without marks a word is looked up once
-                    mapped = stem.encode().decode("latin-1").translate(self.letters)
+                    mapped = "\u0120" + key if key is not stem and key.isascii() else stem.encode().decode("latin-1").translate(self.letters)
                     head = self.known[key] = self.piece(mapped) if stem[0] == " " else self.short(mapped[0]) + self.piece(mapped[1:])
                 out.append(head + self.short(chunk[len(stem) :]))
             elif any(x in chunk for x in self.specials):
@@ -86,16 +84,7 @@ def byte_bpe(path: str, specials_as_text: bool = False) -> ChunkEncoder:
         # no token holds a space after a non-space; a special token in the text could, so such texts stay whole
         specials = [t.content for t in tok.get_added_tokens_decoder().values() if not specials_as_text]
 
-        def odd(text: str) -> bool:
-            if "  " in text or "\n " in text or " \n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(x in text for x in specials):
-                return True
-            if any(x in text for x in OTHER_SPACES_ASCII):
-                return True
-            if text.isascii():
-                return False
-            data = text.encode()  # all other white space has one of these beginnings
-            return any(x in data for x in WIDE_SPACES) and bool(OTHER_SPACES.search(text))
-
+        odd = "|".join([r"  |\n | \n|^[ \n]|[ \n]$", OTHER_SPACES, *map(re.escape, specials)])
         cut = re.compile(r"(?<=\S)(?= )" if not any(" " in x for x in specials) else r"(?!)")
         _encoders[path, specials_as_text] = _ByteBpe(tok, odd, cut, specials)
     return _encoders[path, specials_as_text]
@@ -110,7 +99,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2_500):
                 part = batch.slice(at, 2_500)
-                ids = [x + end for x in encoder(part.column(1).to_pylist())]
+                ids = [x + end for x in encoder(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encoder.wide] * len(ids)), pa.array(ids, pa.binary())], ["doc_id", "wide", "ids"])
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(encode, f"doc_id {dict(docs.dtypes)['doc_id']}, wide boolean, ids binary")

@@ -5,7 +5,7 @@ many bytes the toxic dictionary saves tells how much of the window it knows. The
 probability by a logistic curve fitted on labelled rows that trained no dictionary.
 
 Toxic documents are ordinary text for the most part. The toxic dictionary therefore holds the word beginnings that set toxic training
-documents apart, and the words that go on from them, in front of the content that both dictionaries share; in the ordinary one
+documents apart, and the words that go on from them, beside the content that both dictionaries share; in the ordinary one
 ordinary words of the same length stand there.
 """
 
@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 from .quality import learnable
 
-WINDOW_WORDS = 12
+WINDOW_WORDS = 8
+#: Bytes of the shared content behind every window: a block that compresses at all shows every byte that a match saves.
+FILL = 96
+#: Bytes saved from which a window counts as toxic by itself.
+CLEAR = 3
 SHARED_BYTES = 16_384
 LEVEL = 12
 #: At most so many labelled rows are read, and so many of each class are learnt from.
@@ -87,8 +91,10 @@ class CompressionDistance:
         plain = [x.strip(STRIP) for w in ordinary for x in w]
         r = np.random.default_rng(1)
         neutral = "".join(f" {plain[i]} " for i in r.integers(0, len(plain), len(own) * 3)).encode() if plain else b""
-        self.dictionaries = (neutral[: len(content)].ljust(len(content)) + shared, content + shared)
-        self.weights = np.zeros(5)
+        # near the end a match is cheapest to write down
+        body, self.fill = shared[:-FILL], shared[-FILL:]
+        self.dictionaries = (body + neutral[: len(content)].ljust(len(content)) + self.fill, body + content + self.fill)
+        self.weights = np.zeros(6)
         self.weights[0] = -6.0
         self._own: tuple | None = None
 
@@ -108,9 +114,10 @@ class CompressionDistance:
 
     def features(self, text: str) -> np.ndarray:
         ordinary, toxic = self._compressors()
-        saved = np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows(words_of(text))])
-        clear = saved[saved >= 3]
-        return np.array([1.0, max(0, saved.max()), np.log1p(clear.sum()), len(clear) / len(saved) ** 0.5, np.log1p(len(saved))])
+        saved = np.array([len(ordinary.compress(w + self.fill)) - len(toxic.compress(w + self.fill)) for w in windows(words_of(text))])
+        clear = saved[saved >= CLEAR]
+        top = np.sort(np.r_[0, 0, saved])[::-1]
+        return np.array([1.0, top[0], top[1], np.log1p(clear.sum()), len(clear) / len(saved) ** 0.5, np.log1p(len(saved))])
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         """Logistic regression by Newton steps, with a light ridge."""
