@@ -39,9 +39,13 @@ class ChunkEncoder:
         """The ids of new chunks, in full."""
         return [self.as_bytes(ids) for ids in self.encode(chunks)]
 
+    def trim(self) -> None:
+        """Keep the short chunks only."""
+        self.known = {k: v for k, v in self.known.items() if len(k) <= 6}
+
     def _bytes_of(self, keys: list[str]) -> list[bytes]:
         if len(self.known) > self.bound:
-            self.known = {k: v for k, v in self.known.items() if len(k) <= 6}
+            self.trim()
         found = list(map(self.known.get, keys))
         new = [i for i, x in enumerate(found) if x is None]
         for at in range(0, len(new), 20_000):

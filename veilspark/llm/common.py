@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,5 +96,22 @@ class WordIds(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def arrow_out(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that few of its texts are Python strings at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def rows_of(batch: pa.RecordBatch, rows: int = 500) -> Iterator[tuple]:
+    """The rows of a batch as tuples, made part by part."""
+    for part in slices(batch, rows):
+        yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passes a task's batches on, and gives memory back to the system after the last: Python workers outlive their tasks."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)

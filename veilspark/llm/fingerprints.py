@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, materialize, mix64, text_or_empty
+from .common import WordIds, materialize, mix64, rows_of, text_or_empty, tidy
 
 #: A subset of level i holds one term in 4 ** (i + 1); each level has so many subsets, each hash so many hexadecimal digits.
 LEVELS, SUBSETS, DIGITS = 5, 32, 3
@@ -59,7 +59,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(times.astype(np.int64))], ["term", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for (text,) in rows_of(batch):
                 held.append(terms_of(text))
                 n += len(held[-1])
                 if n >= CHUNK_WORDS:
@@ -68,7 +68,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select(text_or_empty().alias("text")).mapInArrow(lambda b: tidy(count(b)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 class Lexicon:
@@ -165,7 +165,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         last: tuple | None = None
         for batch in batches:
             rows = []
-            for r, extra, d, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for r, extra, d, text in rows_of(batch):
                 own = lexicon.fingerprint(text)
                 if last is not None and last[0] == r:
                     _, d0, text0, own0 = last
@@ -177,5 +177,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    out = ordered.select("range", "extra", "d", "text").mapInArrow(run, "d long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = ordered.select("range", "extra", "d", "text").mapInArrow(lambda b: tidy(run(b)), "d long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.select(F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), *out.columns[1:])

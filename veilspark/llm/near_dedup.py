@@ -19,7 +19,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordIds, batches_of, materialize, mix64, text_or_empty
+from .common import WordIds, batches_of, materialize, mix64, text_or_empty, tidy
 
 #: The circle of the second permutation, coordinates of a band, and bands.
 CIRCLE_BITS = 20
@@ -85,7 +85,7 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lambda b: tidy(run(b)), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -98,7 +98,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, words).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
 
     texts = docs.select(F.col("doc_id").alias("node"), text_or_empty().alias("text")).join(nodes, "node", "left_semi")
-    return texts.mapInArrow(run, "node long, hashes binary")
+    return texts.mapInArrow(lambda b: tidy(run(b)), "node long, hashes binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     own = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"of_{name}"))
     met = pairs.join(own("b"), "b").join(own("a"), "a").select("a", "b", "of_a", "of_b")
-    return met.mapInArrow(run, "a long, b long, both long, either long")
+    return met.mapInArrow(lambda b: tidy(run(b)), "a long, b long, both long, either long")
 
 
 def components(edges: DataFrame, tag: str = "near") -> DataFrame:
@@ -195,7 +195,7 @@ def _linked_in_blocks(many: DataFrame, sets: DataFrame, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     met = _blocks(outside, sets, OUTSIDE_BLOCK, "some").join(_blocks(nodes, sets, MEMBER_BLOCK, "rest"), "group")
-    return met.select("some", "rest").repartition(F.xxhash64("some.node", "rest.node")).mapInArrow(run, "a long, b long").distinct()
+    return met.select("some", "rest").repartition(F.xxhash64("some.node", "rest.node")).mapInArrow(lambda b: tidy(run(b)), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, materialize, mix64, text_or_empty
+from .common import WordIds, materialize, mix64, rows_of, text_or_empty, tidy
 
 WINDOW, ANCHOR = 20, 8
 #: Words that a task holds at once, and the share of all words from which a word counts as frequent (so fewer than 1 / share do).
@@ -143,7 +143,7 @@ def _repeated_anchors(keyed: DataFrame, spans: int) -> DataFrame:
             yield _batch(len(found), span=found, kind=[3] * len(found), chunk=[chunk] * len(found), data=blocks)
 
         for batch in batches:
-            for d, th, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for d, th, text in rows_of(batch):
                 words = words_of(text)
                 ids = _word_ids.of(words)
                 if len(ids) >= WINDOW:
@@ -175,7 +175,7 @@ def _repeated_anchors(keyed: DataFrame, spans: int) -> DataFrame:
         hit = (times[back] > 1) & (place >= 0)
         return _replies(_by_document(chunk[hit], doc[hit], place[hit]))
 
-    return keyed.mapInArrow(send, SENT).groupBy("span").applyInArrow(answer, GOT)
+    return keyed.mapInArrow(lambda b: tidy(send(b)), SENT).groupBy("span").applyInArrow(answer, GOT)
 
 
 def _repeated_windows(candidates: DataFrame, frequent: np.ndarray, spans: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _repeated_windows(candidates: DataFrame, frequent: np.ndarray, spans: int) -
             yield _batch(len(found), span=found, kind=[3] * len(found), chunk=[chunk] * len(found), data=blocks)
 
         for batch in batches:
-            for d, th, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for d, th, text, places in rows_of(batch):
                 ids = _word_ids.of(words_of(text))
                 n = len(ids)
                 if n < WINDOW:
@@ -251,7 +251,7 @@ def _repeated_windows(candidates: DataFrame, frequent: np.ndarray, spans: int) -
         later = order[~np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]]
         return _replies(_by_document(chunk[later], doc[later], start[later]))
 
-    return candidates.mapInArrow(send, SENT).groupBy("span").applyInArrow(subtree, GOT)
+    return candidates.mapInArrow(lambda b: tidy(send(b)), SENT).groupBy("span").applyInArrow(subtree, GOT)
 
 
 def _places(got: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, n, removed, sha = [], [], [], []
-            for one, text, places in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True):
+            for one, text, places in rows_of(batch):
                 words = words_of(text)
                 edge = np.zeros(len(words) + 1, np.int64)
                 starts = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in places]))
@@ -302,7 +302,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["d", "n_words", "n_removed", "kept_sha256"])
 
     whole = stats.join(gone.select("d", "th"), ["d", "th"], "left_anti").select("d", F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    shortened = keyed.join(gone, ["d", "th"]).select("d", "text", "places").mapInArrow(cut, "d long, n_words long, n_removed long, kept_sha256 string")
+    shortened = keyed.join(gone, ["d", "th"]).select("d", "text", "places").mapInArrow(lambda b: tidy(cut(b)), "d long, n_words long, n_removed long, kept_sha256 string")
     out = whole.unionByName(shortened)
     return out.select(F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_or_empty
+from .common import mix64, rows_of, slices, text_or_empty, tidy
 
 #: Hash buckets of words and of shapes, dimensions and non-zero entries of an index vector. The tables have this size for any input.
 WORDS, SHAPES, DIMENSIONS, ENTRIES = 7168, 1024, 32, 2
@@ -82,7 +82,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
                         total[:] += np.bincount(a * DIMENSIONS + place[b, k], sign[b, k], len(total))
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for (text,) in rows_of(batch):
                 gap = np.full(2, TERMS)
                 w, s = terms_of(text)
                 held += [w, gap, s, gap]
@@ -95,7 +95,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
         met = np.flatnonzero(table.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(table[met, i]) for i in range(DIMENSIONS))], ["term", *(f"c{i}" for i in range(DIMENSIONS))])
 
-    parts = docs.select(text_or_empty().alias("text")).mapInArrow(add, "term long, " + ", ".join(f"c{i} long" for i in range(DIMENSIONS)))
+    parts = docs.select(text_or_empty().alias("text")).mapInArrow(lambda b: tidy(add(b)), "term long, " + ", ".join(f"c{i} long" for i in range(DIMENSIONS)))
     summed = parts.groupBy("term").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(DIMENSIONS)]).toPandas()
     vectors = np.zeros((TERMS, DIMENSIONS), np.float32)
     found = summed.drop(columns="term").to_numpy(float)
@@ -177,11 +177,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [pooled(t, *tables.value).astype(np.float32).tobytes() for t in batch.column(1).to_pylist()]
+            x = [pooled(t, *tables.value).astype(np.float32).tobytes() for _, t in rows_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["y", "x"])
 
     sample = learnable(labels, "quality", modulus, held_out, learn_rows)
-    learnt = docs.join(F.broadcast(sample), "doc_id").select("y", text_or_empty().alias("text")).mapInArrow(features, "y int, x binary").toPandas()
+    learnt = docs.join(F.broadcast(sample), "doc_id").select("y", text_or_empty().alias("text")).mapInArrow(lambda b: tidy(features(b)), "y int, x binary").toPandas()
     x = np.stack([np.frombuffer(b, np.float32) for b in learnt["x"]]).astype(float) if len(learnt) else np.zeros((0, 3 * DIMENSIONS))
     y = learnt["y"].to_numpy(float)
     order = np.lexsort((*x.T[:4], y)) if len(x) else np.zeros(0, int)  # rows come in any order
@@ -192,11 +192,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out
         net.fit(x[order], y[order])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1000)):
             texts = batch.column(2).to_pylist()
             got = net.score(np.stack([pooled(t, *tables.value) for t in texts]).astype(float)) if both and texts else np.full(len(texts), share)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held_out, F.lit(False))
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", out.alias("held_out"), text_or_empty().alias("text")).mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", out.alias("held_out"), text_or_empty().alias("text")).mapInArrow(lambda b: tidy(score(b)), f"doc_id {kind}, held_out boolean, score double, predicted int")

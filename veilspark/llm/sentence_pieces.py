@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .common import text_or_empty
+from .common import text_or_empty, tidy
 
 SPACE_MARK = "▁"
 #: Kinds of pieces and of models in the message.
@@ -206,6 +206,7 @@ def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
                 columns = [part.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array([zlib.crc32(x.tobytes()) for x in wide], pa.int64()), lists]
                 columns += [pa.array(list(map(len, back)), pa.int64()), pa.array([a == b for a, b in zip(texts, back, strict=True)]), pa.array([len(codec.odd_chunks)] * len(texts), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids_crc32", "ids", "decoded_chars", "round_trip", "own_chunks"])
+        codec.chunks.trim()
 
     schema = f"doc_id {kind}, n_ids long, ids_crc32 long, ids array<int>, decoded_chars long, round_trip boolean, own_chunks long"
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lambda b: tidy(run(b)), schema)

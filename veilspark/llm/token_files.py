@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .common import materialize, shared_dir, text_or_empty
+from .common import materialize, shared_dir, text_or_empty, tidy
 
 CHECKPOINT_IDS = 512
 BLOCK_IDS = 65_536
@@ -102,7 +102,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
                 ids = [x + end for x in encoder(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encoder.wide] * len(ids)), pa.array(ids, pa.binary())], ["doc_id", "wide", "ids"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(encode, f"doc_id {dict(docs.dtypes)['doc_id']}, wide boolean, ids binary")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lambda b: tidy(encode(b)), f"doc_id {dict(docs.dtypes)['doc_id']}, wide boolean, ids binary")
 
 
 def ids_of(data: bytes, wide: bool) -> np.ndarray:
@@ -299,7 +299,7 @@ def read_token_files(spark: SparkSession, path: str, per_document) -> DataFrame:
             yield flush(held)
 
     placed = blocks.join(starts, ["shard", "block"])
-    return placed.mapInArrow(decode, f"doc_id {kind}, start long, n_tokens long, value long")
+    return placed.mapInArrow(lambda b: tidy(decode(b)), f"doc_id {kind}, start long, n_tokens long, value long")
 
 
 def crc_of_ids(ids: np.ndarray) -> int:

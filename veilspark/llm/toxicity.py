@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, tidy
 from .quality import learnable
 
 WINDOW_WORDS = 8
@@ -169,4 +169,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_ou
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got), pa.array((got >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held_out, F.lit(False))
-    return docs.select("doc_id", out.alias("held_out"), text_or_empty().alias("text")).mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", out.alias("held_out"), text_or_empty().alias("text")).mapInArrow(lambda b: tidy(score(b)), f"doc_id {kind}, held_out boolean, score double, predicted int")
