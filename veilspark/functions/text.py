@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Pattern:
-    """A regular expression of one entity type. ``group``: the capture whose span counts (its text must end the match if it isn't 0)."""
+    """A regular expression of one entity type. ``group``: the capture whose span counts (its text must end the match if it isn't 0); what has
+    to follow it is a look-ahead at the end."""
 
     entity: str
     regex: str
@@ -19,6 +21,11 @@ class Pattern:
     recognizer: str = "regex"
     group: int = 0
 
+    @property
+    def of_match(self) -> str:
+        """The expression for a match by itself, with nothing behind it."""
+        return re.sub(r"\(\?=[^()]*\)$", "", self.regex)
+
 
 def _matches(text: str, regex: str, no: int) -> Column:
     gaps = F.split(text, regex, -1)
@@ -50,7 +57,7 @@ def find_spans(df: DataFrame, text: str, patterns: list[Pattern]) -> DataFrame:
     value = F.col("value")
     for no, p in enumerate(patterns):
         if p.group:
-            value = F.when(F.col("no") == no, F.regexp_extract("value", p.regex, p.group)).otherwise(value)
+            value = F.when(F.col("no") == no, F.regexp_extract("value", p.of_match, p.group)).otherwise(value)
     # a captured value ends its match
     return ended.withColumn("value", value).select(
         *rest, pick(lambda p: p.entity).alias("entity_type"), (F.col("end_pos") - F.length("value")).cast("long").alias("start_pos"), "end_pos", "value",

@@ -75,8 +75,13 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
         if delimiter is None:
             sample = bytes(head).decode(encoding, errors="ignore")
             delimiter = spark.range(1).select(delimiter_of(F.lit(sample))).first()[0]
-    plain = {"utf-8-sig": "UTF-8"}.get(encoding, encoding)
-    return spark.read.csv(path, sep=delimiter, encoding=plain, header=header, inferSchema=False, multiLine=True, quote='"', escape='"')
+    plain = {"utf-8-sig": "UTF-8", "cp1252": "ISO-8859-1"}.get(encoding, encoding.replace("-le", "LE").replace("-be", "BE"))
+    df = spark.read.csv(path, sep=delimiter, encoding=plain, header=header, inferSchema=False, multiLine=True, quote='"', escape='"')
+    if encoding != "cp1252":
+        return df
+    known = {chr(i): bytes([i]).decode("cp1252", errors="ignore") for i in range(0x80, 0xA0)}  # where it differs from ISO 8859-1
+    odd, even = "".join(k for k, v in known.items() if v), "".join(known.values())
+    return df.select(*[F.translate(f"`{c}`", odd, even).alias(c.translate(str.maketrans(odd, even))) for c in df.columns])
 
 
 def cells(df: DataFrame, columns: list[str] | None = None, row: str = "row") -> DataFrame:
