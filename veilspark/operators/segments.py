@@ -98,3 +98,28 @@ def value_below(shapes: DataFrame, labels: Column, slide: str, aside: int = 500_
     val = shapes.where(~labels).select(slide, F.col("shape").alias("value_shape"), F.col("x").alias("vx"), F.col("y").alias("vy"))
     met = lab.join(val, slide).where((F.col("vy") > F.col("ly")) & (F.abs(F.col("vx") - F.col("lx")) <= aside)).withColumn("d", F.abs(F.col("vx") - F.col("lx")) + F.col("vy") - F.col("ly"))
     return met.groupBy(slide, "label_shape").agg(F.min(F.struct("d", "value_shape")).alias("m")).select(slide, "label_shape", "m.value_shape", F.col("m.d").alias("distance"))
+
+
+def key_value_any(text: Column) -> Column:
+    """struct(key, value) by the first of four separators (colon, equals, tab, bar) whose key has 50 characters at most and is no number."""
+    bare = F.trim(text)
+    out = None
+    for shape in (r"^([^:]+):\s*(.+)$", r"^([^=]+)=\s*(.+)$", r"^([^\t]+)\t+(.+)$", r"^([^|]+)\|\s*(.+)$"):
+        key, value = F.trim(F.regexp_extract(bare, shape, 1)), F.trim(F.regexp_extract(bare, shape, 2))
+        good = bare.rlike(shape) & (F.length(key) <= 50) & ~key.rlike(r"^\d+$")
+        found = F.when(good, F.struct(key.alias("key"), value.alias("value")))
+        out = found if out is None else F.coalesce(out, found)
+    return out
+
+
+def table_delimiter(lines: Column) -> Column:
+    """The first of comma, tab, bar and semicolon that cuts every line into one number of parts above 1; null for less than two lines."""
+    out = F.when(F.size(lines) < 2, None)
+    for d in (",", "\t", "|", ";"):
+        counts = F.array_distinct(_parts(lines, d))
+        out = out.when((F.size(counts) == 1) & (F.get(counts, F.lit(0)) > 1), d)
+    return out
+
+
+def _parts(lines: Column, delimiter: str) -> Column:
+    return F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(delimiter), F.lit(""))) + 1)

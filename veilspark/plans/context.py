@@ -221,3 +221,51 @@ def str02(spark, d):
 
     c = spark.read.parquet(f"{d}/conversations.parquet")
     return c.select("conv_id", "turn", F.sha2(F.col("text").cast("binary"), 256).alias("fingerprint"), length_bucket(F.length("text")).alias("bucket"))
+
+
+TAGS = "SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS idx, CASE (l_partkey + l_linenumber) % 5 WHEN 0 THEN 'O' WHEN 1 THEN 'B-PER' WHEN 2 THEN 'I-PER' WHEN 3 THEN 'I-LOC' ELSE 'B-GPE' END AS tag, CAST(l_quantity / 100 AS DOUBLE) AS score, l_linenumber * 10 AS start_pos, l_linenumber * 10 + 8 AS end_pos FROM lineitem"
+
+
+@query("nr02_tagged_spans", f"""WITH t AS ({TAGS}), e AS (SELECT *, CASE tag WHEN 'O' THEN NULL WHEN 'B-PER' THEN 'PERSON' WHEN 'I-PER' THEN 'PERSON' ELSE 'LOC' END AS entity_type FROM t),
+ n AS (SELECT *, CASE WHEN starts_with(tag, 'I-') AND lag(entity_type) OVER (PARTITION BY id ORDER BY idx) = entity_type THEN 0 ELSE 1 END AS new FROM e), r AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run FROM n)
+SELECT id, first(entity_type) AS entity_type, min(start_pos) AS start_pos, max(end_pos) AS end_pos, min(score) AS score FROM r WHERE entity_type IS NOT NULL GROUP BY id, run""")
+def nr02(spark, d):
+    from ..operators import entities
+
+    return entities.tagged_spans(derived(spark, d, TAGS), "id")
+
+
+ANY = "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'Nama: ' || o_orderpriority WHEN 1 THEN '123=  x y' WHEN 2 THEN 'a' || chr(9) || 'b' WHEN 3 THEN 'kiri | kanan' ELSE 'tanpa' END AS text FROM orders"
+
+
+@query("sg04_key_value_any", f"SELECT id, CASE id % 5 WHEN 0 THEN 'Nama' WHEN 2 THEN 'a' ELSE 'kiri' END AS key, CASE id % 5 WHEN 0 THEN substr(text, 7) WHEN 2 THEN 'b' ELSE 'kanan' END AS value FROM ({ANY}) AS x WHERE id % 5 IN (0, 2, 3)")
+def sg04(spark, d):
+    return derived(spark, d, ANY).select("id", s.key_value_any(F.col("text")).alias("kv")).where("kv is not null").select("id", "kv.key", "kv.value")
+
+
+@query("sg09_table_delimiter", "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN ',' WHEN 1 THEN '|' WHEN 2 THEN NULL ELSE NULL END AS delimiter FROM customer")
+def sg09(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    k = F.col("c_custkey") % 4
+    lines = F.when(k == 0, F.array(F.lit("a,b"), F.lit("c,d"))).when(k == 1, F.array(F.lit("a|b,c"), F.lit("d|e"))).when(k == 2, F.array(F.lit("a;b"))).otherwise(F.array(F.lit("x"), F.lit("y,z")))
+    return c.select(F.col("c_custkey").alias("id"), s.table_delimiter(lines).alias("delimiter"))
+
+
+SETTINGS = {"o": [("PERSON", False, None, None), ("CUSTOM", None, "MASK", None)], "p": [("ID_NIK", True, "TOKEN", 0.7), ("EMAIL_ADDRESS", None, "MASK", 0.5), ("PERSON", True, "REDACT", 0.1)], "c": [("PHONE_NUMBER", False, "REDACT"), ("CREDIT_CARD", True, "CATEGORY")]}
+
+
+@query("fl09_policy", f"""WITH f AS ({i.FINDINGS}) SELECT finding_id, CASE entity_type WHEN 'ID_NIK' THEN 'TOKEN' WHEN 'EMAIL_ADDRESS' THEN 'MASK' WHEN 'CUSTOM' THEN 'MASK' WHEN 'CREDIT_CARD' THEN 'CATEGORY' ELSE 'TOKEN' END AS treatment
+ FROM f WHERE entity_type NOT IN ('PERSON', 'PHONE_NUMBER') AND score >= CASE entity_type WHEN 'ID_NIK' THEN 0.7 WHEN 'EMAIL_ADDRESS' THEN 0.5 ELSE 0 END""")
+def fl09(spark, d):
+    from ..operators import entities
+
+    settings = "entity_type string, enabled boolean, treatment string, least_score double"
+    o, p = (spark.createDataFrame(SETTINGS[k], settings) for k in ("o", "p"))
+    c = spark.createDataFrame(SETTINGS["c"], "entity_type string, category_enabled boolean, category_treatment string")
+    return entities.under_policy(derived(spark, d, i.FINDINGS), o, p, c).select("finding_id", "treatment")
+
+
+@query("st01_recent_customers", "SELECT c_custkey, max(o_orderdate) AS last_at, count(o_orderkey)::BIGINT AS files FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def st01(spark, d):
+    c, o = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "orders"))
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left").groupBy("c_custkey").agg(F.max("o_orderdate").alias("last_at"), F.count("o_orderkey").alias("files"))
