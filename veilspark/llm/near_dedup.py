@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,8 @@ BAND_ROWS, BANDS = 6, 26
 COORDINATES = BAND_ROWS * BANDS
 #: Outsiders of a bucket up to which pairs are listed, and the blocks in which others meet.
 FEW, OUTSIDE_BLOCK, MEMBER_BLOCK = 8, 32, 128
+#: Size of the map of wanted nodes, and the share from which it would let too many pass to be worth its while.
+MAP_BITS, MOST_OF_MAP = 20, 0.7
 _words = WordIds()
 _tables: dict[int, np.ndarray] = {}
 
@@ -97,7 +100,20 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, words).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
 
-    texts = docs.select(F.col("doc_id").alias("node"), text_or_empty().alias("text")).join(nodes, "node", "left_semi")
+    # most texts stay where they are: a map of hash buckets in use, of fixed size, drops them before the join
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS)).cast("int")
+    used = nodes.select(bucket("node").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)
+    bits = np.zeros(1 << MAP_BITS, bool)
+    bits[used] = True
+
+    @F.pandas_udf("boolean")
+    def may_be_wanted(b: pd.Series) -> pd.Series:
+        return pd.Series(bits[b.to_numpy(np.int64)])
+
+    texts = docs.select(F.col("doc_id").alias("node"), text_or_empty().alias("text")).where("node is not null")
+    if len(used) < MOST_OF_MAP * len(bits):
+        texts = texts.where(may_be_wanted(bucket("node")))
+    texts = texts.join(nodes, "node", "left_semi")
     return texts.mapInArrow(lambda b: tidy(run(b)), "node long, hashes binary")
 
 
