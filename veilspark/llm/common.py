@@ -37,6 +37,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch with whole texts.
+TEXT_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to TEXT_ROWS rows: both sides hold a batch of whole texts several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name, "10000"))
+    if not 0 < rows <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows for the jobs run inside, where a row is large."""

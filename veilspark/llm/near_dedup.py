@@ -20,7 +20,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordIds, batches_of, materialize, mix64, text_or_empty, tidy
+from .common import WordIds, batches_of, bounded_batches, materialize, mix64, text_or_empty, tidy
 
 #: The circle of the second permutation, coordinates of a band, and bands.
 CIRCLE_BITS = 20
@@ -222,6 +222,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     are one document with several sets: they share a component. A row with a null doc_id stays, with a null component_id, no links and
     kept true. An empty table gives an empty result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     sigs = materialize(_signatures(docs.withColumn("doc_id", F.col("doc_id").cast("long")), words), "near-signatures")
     real = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"))

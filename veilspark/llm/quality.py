@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, rows_of, slices, text_or_empty, tidy
+from .common import bounded_batches, mix64, rows_of, slices, text_or_empty, tidy
 
 #: Hash buckets of words and of shapes, dimensions and non-zero entries of an index vector. The tables have this size for any input.
 WORDS, SHAPES, DIMENSIONS, ENTRIES = 7168, 1024, 32, 2
@@ -168,6 +168,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out
     null doc_id is not held out; other columns, among them lang and source, are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     vectors = context_vectors(docs)
     place, sign = _index_vectors()
     index = np.zeros((TERMS, DIMENSIONS), np.float32)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .common import text_or_empty, tidy
+from .common import bounded_batches, text_or_empty, tidy
 
 SPACE_MARK = "▁"
 #: Kinds of pieces and of models in the message.
@@ -185,6 +185,7 @@ def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
     an empty one and has no ids. The mark itself (U+2581) in a text decodes as a space. Repeated rows stay; an empty
     table gives an empty result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     data = open(model_path, "rb").read()
     key = zlib.crc32(data)
     shared = docs.sparkSession.sparkContext.broadcast(data)  # the model file: its size is that of the vocabulary
@@ -195,8 +196,8 @@ def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
             _codecs[key] = SentencePieceCodec(shared.value)
         codec = _codecs[key]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_500):
-                part = batch.slice(at, 1_500)
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
                 texts = part.column(1).to_pylist()
                 ids = codec.encode(texts)
                 back = [codec.decode(x) for x in ids]

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, tidy
+from .common import bounded_batches, text_or_empty, tidy
 from .quality import learnable
 
 WINDOW_WORDS = 8
@@ -152,6 +152,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_ou
     classes every score is the share of label 1 among them (0 if there are none). Repeated rows score alike; an empty table gives an
     empty result; a null doc_id is not held out; other columns, among them lang and source, are not read.
     """
+    bounded_batches(docs.sparkSession)
     sample = learnable(labels, "toxic", modulus, held_out, learn_rows)
     # the bound on rows of each class holds before the texts travel
     few = sample.where("y = 1").orderBy(F.xxhash64("doc_id")).limit(TOXIC_ROWS).unionByName(sample.where("y = 0").orderBy(F.xxhash64("doc_id")).limit(ORDINARY_ROWS))
