@@ -41,7 +41,7 @@ class _ByteBpe(ChunkEncoder):
     nothing but letters and marks is a token run of its letters and one of its marks, as byte-level pre-tokenisation has it."""
 
     def __init__(self, tok, odd, cut, specials: list[str]):
-        super().__init__(lambda texts: [tok.encode(t, add_special_tokens=False).ids for t in texts], tok.get_vocab_size() > 65_536, odd, cut, lines=True)
+        super().__init__(lambda texts: [tok.encode(t, add_special_tokens=False).ids for t in texts], tok.get_vocab_size() > 65_536, odd, cut, lines=True, bound=1_300_000)
         self.tok, self.specials, self.pieces = tok, specials, {"": b""}
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from 256 on
         hidden = [b for b in range(256) if b not in visible]
