@@ -190,6 +190,16 @@ def test_token_files(spark, odd):
     assert token_files.byte_bpe(path)(texts) == want
 
 
+def test_runs_of_line_feeds():
+    """The tokenizer takes the white space before the last line feed of a run as one piece, which may be a token of its own."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    texts = [f"word{a}{'\n' * n}{b}tail more" for n in (1, 2, 3, 4, 5, 7) for a in ("", ".", " x") for b in ("", '"', "9")]
+    want = [np.array(e.ids, np.uint16).tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert token_files.byte_bpe(path)(texts) == want
+
+
 def test_huffman():
     r = np.random.default_rng(2)
     counts = np.r_[r.integers(1, 4, 900), [10**7, 10**6]]

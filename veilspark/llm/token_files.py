@@ -84,7 +84,8 @@ def byte_bpe(path: str, specials_as_text: bool = False) -> ChunkEncoder:
         # no token holds a space after a non-space; a special token in the text could, so such texts stay whole
         specials = [t.content for t in tok.get_added_tokens_decoder().values() if not specials_as_text]
 
-        odd = "|".join([r"  |\n | \n|^[ \n]|[ \n]$", OTHER_SPACES, *map(re.escape, specials)])
+        # of three line feeds or more, all but the last are one piece
+        odd = "|".join([r"  |\n | \n|\n\n\n|^[ \n]|[ \n]$", OTHER_SPACES, *map(re.escape, specials)])
         cut = re.compile(r"(?<=\S)(?= )" if not any(" " in x for x in specials) else r"(?!)")
         _encoders[path, specials_as_text] = _ByteBpe(tok, odd, cut, specials)
     return _encoders[path, specials_as_text]
