@@ -204,3 +204,12 @@ def test_queries_equal_their_sql(spark, name):
     rows = sorted(repr(tuple(plain(r[c]) for c in columns)) for r in df.collect())
     order = [want.columns.index(c) for c in columns]
     assert rows == sorted(repr(tuple(plain(r[i]) for i in order)) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["sp02_relations", "sp05_value_below"])
+def test_every_order_is_a_slide(spark, name):
+    from veilspark.plans.context import SHAPES
+    from veilspark.plans.inputs import derived
+
+    assert derived(spark, SF, SHAPES).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert len({r.slide % 10 for r in entry.queries()[name](spark, SF).select("slide").distinct().collect()}) == 10

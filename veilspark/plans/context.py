@@ -95,7 +95,7 @@ def src15(spark, d):
     return pages.select("page_id", F.length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("hash"))
 
 
-SHAPES = "SELECT l_orderkey AS slide, ((l_linenumber * 100000 + l_partkey) * 1000 + l_suppkey) AS shape, CAST(l_partkey % 7 AS BIGINT) * 200000 AS x, CAST(l_suppkey % 5 AS BIGINT) * 250000 AS y, CAST(300000 AS BIGINT) AS width, CAST(100000 AS BIGINT) AS height, l_partkey % 3 = 0 AS is_label FROM lineitem WHERE l_orderkey % 10 = 0"
+SHAPES = "SELECT l_orderkey AS slide, ((l_linenumber * 100000 + l_partkey) * 1000 + l_suppkey) AS shape, CAST(l_partkey % 7 AS BIGINT) * 200000 AS x, CAST(l_suppkey % 5 AS BIGINT) * 250000 AS y, CAST(300000 AS BIGINT) AS width, CAST(100000 AS BIGINT) AS height, l_partkey % 3 = 0 AS is_label FROM lineitem"
 DX, DY = "greatest(b.x - a.x - a.width, a.x - b.x - b.width, 0)", "greatest(b.y - a.y - a.height, a.y - b.y - b.height, 0)"
 
 
