@@ -190,6 +190,21 @@ def test_token_files(spark, odd):
     assert token_files.byte_bpe(path)(texts) == want
 
 
+def test_toxic_dictionary():
+    """It is trained on toxic texts; marks of few texts count, and all the words that go on from a mark."""
+    r = random.Random(5)
+    plain = lambda: ["".join(r.choices("abcdefghij", k=6)) for _ in range(40)]
+    phrase = "you are all worth nothing and nobody wants you here".split()
+    toxic = [plain() + phrase + plain() for _ in range(600)]
+    for k in range(11):  # one text in 54 holds the rare mark
+        toxic[k][3] = f"vilestuff{'abcdefghijk'[k]}"
+    ordinary = [plain() + plain() for _ in range(600)]
+    assert any("vile" in x for x in toxicity.telling(toxic, ordinary))
+    with_marks, trained = toxicity.CompressionDistance(toxic, ordinary).dictionaries[1:]
+    assert all(f" vilestuff{x} ".encode() in with_marks for x in "abcdefghijk")
+    assert " ".join(phrase).encode() in trained
+
+
 def test_runs_of_line_feeds():
     """The tokenizer takes the white space before the last line feed of a run as one piece, which may be a token of its own."""
     path = public_tokenizers.path("byte_bpe_50k.json")

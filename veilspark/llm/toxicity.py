@@ -4,9 +4,9 @@ Two zstandard dictionaries are trained, one on ordinary text and one on toxic te
 many bytes the toxic dictionary saves tells how much of the window it knows. The savings of a document's windows become a
 probability by a logistic curve fitted on labelled rows that trained no dictionary.
 
-Toxic documents are ordinary text for the most part. The toxic dictionary therefore holds the word beginnings that set toxic training
-documents apart, and the words that go on from them, beside the content that both dictionaries share; in the ordinary one
-ordinary words of the same length stand there.
+Toxic documents are ordinary text for the most part, so the trained pair alone tells them apart badly. A third dictionary therefore is
+the ordinary one with marks: the word beginnings that set toxic training documents apart, and the words that go on from them. In
+the other two, ordinary words of the same length stand there. What it saves enters the curve beside what the toxic one saves.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def telling(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
     t, o = _marks(toxic), _marks(ordinary)
     nt, no = max(1, len(toxic)), max(1, len(ordinary))
     rate = lambda n, of: n / of
-    score = {x: n * log(rate(n, nt) / rate(o[x] + 1, no)) for x, n in t.items() if n >= max(3, 0.02 * nt) and (n - 2 * n**0.5) / nt >= 4 * (o[x] + 1) / no}
+    score = {x: n * log(rate(n, nt) / rate(o[x] + 1, no)) for x, n in t.items() if (n - 2 * n**0.5) / nt >= 4 * (o[x] + 1) / no}
     out: list[str] = []
     for x in sorted(score, key=lambda x: (-score[x], x)):
         if not any(x.strip() in y or y.strip() in x for y in out):
@@ -73,19 +73,24 @@ def telling(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
     return out
 
 
+def trained(texts: list[list[str]]) -> bytes:
+    """A zstandard dictionary trained on the texts in pieces of 40 words; the text itself if there is too little of it."""
+    samples = [" ".join(w[i : i + 40]).encode() for w in texts for i in range(0, len(w), 40)]
+    try:
+        return zstandard.train_dictionary(SHARED_BYTES, samples[:60_000]).as_bytes()
+    except zstandard.ZstdError:
+        return b" ".join(samples)[:SHARED_BYTES]
+
+
 class CompressionDistance:
-    """Holds the two dictionaries and the curve; made on the driver, used in tasks."""
+    """Holds the dictionaries (ordinary, ordinary with marks, toxic) and the curve; made on the driver, used in tasks."""
 
     def __init__(self, toxic: list[list[str]], ordinary: list[list[str]]):
-        samples = [" ".join(w[i : i + 40]).encode() for w in ordinary for i in range(0, len(w), 40)]
-        try:
-            shared = zstandard.train_dictionary(SHARED_BYTES, samples[:60_000]).as_bytes()
-        except zstandard.ZstdError:  # too little text
-            shared = b" ".join(samples)[:SHARED_BYTES]
+        shared = trained(ordinary)
         known = Counter(x for w in toxic for x in {x.strip(STRIP) for x in w})
         own: list[str] = []
         for mark in reversed(telling(toxic, ordinary)):
-            longer = sorted(((n, x) for x, n in known.items() if x.startswith(mark.strip())))[-6:]
+            longer = sorted(((n, x) for x, n in known.items() if x.startswith(mark.strip())))
             own += [f" {x} " for _, x in longer]
         content = "".join(own).encode()
         plain = [x.strip(STRIP) for w in ordinary for x in w]
@@ -93,8 +98,9 @@ class CompressionDistance:
         neutral = "".join(f" {plain[i]} " for i in r.integers(0, len(plain), len(own) * 3)).encode() if plain else b""
         # near the end a match is cheapest to write down
         body, self.fill = shared[:-FILL], shared[-FILL:]
-        self.dictionaries = (body + neutral[: len(content)].ljust(len(content)) + self.fill, body + content + self.fill)
-        self.weights = np.zeros(6)
+        same = neutral[: len(content)].ljust(len(content))
+        self.dictionaries = (body + same + self.fill, body + content + self.fill, trained(toxic) + same + self.fill)
+        self.weights = np.zeros(9)
         self.weights[0] = -6.0
         self._own: tuple | None = None
 
@@ -113,11 +119,11 @@ class CompressionDistance:
         return self._own
 
     def features(self, text: str) -> np.ndarray:
-        ordinary, toxic = self._compressors()
-        saved = np.array([len(ordinary.compress(w + self.fill)) - len(toxic.compress(w + self.fill)) for w in windows(words_of(text))])
+        sizes = np.array([[len(c.compress(w + self.fill)) for c in self._compressors()] for w in windows(words_of(text))])
+        saved, by_toxic = sizes[:, 0] - sizes[:, 1], sizes[:, 0] - sizes[:, 2]
         clear = saved[saved >= CLEAR]
         top = np.sort(np.r_[0, 0, saved])[::-1]
-        return np.array([1.0, top[0], top[1], np.log1p(clear.sum()), len(clear) / len(saved) ** 0.5, np.log1p(len(saved))])
+        return np.array([1.0, top[0], top[1], np.log1p(clear.sum()), len(clear) / len(saved) ** 0.5, np.log1p(len(saved)), by_toxic.mean(), by_toxic.sum() / len(saved) ** 0.5, by_toxic.max()])
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         """Logistic regression by Newton steps, with a light ridge."""
