@@ -16,12 +16,12 @@ import public_tokenizers  # noqa: E402
 from veilspark.llm import exact_dedup, fingerprints, mixing, near_dedup, passages, quality, secrets, sentence_pieces, token_files, toxicity  # noqa: E402
 
 WORDS = [f"w{i}" for i in range(60)]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, node long, d long, fp long, row long, key string, text_sha256 string, keep_id long, kept boolean, bands long, span long, held_out boolean"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, node long, d long, fp long, row long, key string, text_sha256 string, keep_id long, kept boolean, bands long, span long, held_out boolean, _id long, _n long, mix_row long, exact_id long, near_id long, y int"
 
 
 def frame(spark, rows):
     """Documents (doc_id, text, source), with further columns whose names clash with those that operators use."""
-    full = [(i, t, "en", s, 0, 9, 9, 9, 9, 9, "k", "s", 9, True, 9, 9, True) for i, t, s in rows]
+    full = [(i, t, "en", s, 0, 9, 9, 9, 9, 9, "k", "s", 9, True, 9, 9, True, 5, 6, 7, 8, 9, 0) for i, t, s in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(3)
 
 
@@ -73,6 +73,30 @@ def test_mix(spark, odd):
     assert mixing.mixed_documents(frame(spark, odd)).select(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] == sum(taken.values())
 
 
+def test_mixed_rows(spark):
+    """Rows that repeat one id get the copies that the mix dealt to them, no more, also where the cut lies among them; so do rows without id."""
+    rows = [(1, "a b c d e", "s")] * 101 + [(None, "x y", "t")] * 31 + [(None, None, "t")] * 5
+    docs = frame(spark, rows)
+    plan = mixing.mix_sources(docs).collect()
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and {r._n for r in mixed.collect()} == {6}
+    words = sum(size(r.text) for r in mixed.collect())
+    assert words == sum(r.taken for r in plan) <= 1.5 * (505 + 62)
+
+
+def test_cut_in_thin_slices(spark, odd, monkeypatch):
+    """Slices within slices find the cut that one slice finds."""
+    want = sorted(map(str, mixing.mix_sources(frame(spark, odd)).collect()))
+    monkeypatch.setattr(mixing, "CUT_ROWS", 0)
+    assert sorted(map(str, mixing.mix_sources(frame(spark, odd)).collect())) == want
+
+
+def test_bands():
+    for percent in (50, 80, 85, 95, 100):
+        rows, bands = near_dedup.bands_of(percent)
+        assert rows * bands <= near_dedup.COORDINATES and (1 - min(0.999, percent / 100) ** rows) ** bands <= near_dedup.MISSED
+
+
 def test_exact(spark, odd):
     norm = lambda t: b"".join((t or "").encode().split()).decode()
     for bits in (64, 3):
@@ -239,10 +263,11 @@ def test_sentence_pieces(spark, odd):
     for i, t, _ in odd:
         texts[i].append(t or "")
     for r in got:
-        assert r.round_trip and r.own_chunks == 0 and r.ids in [judge.encode(t) for t in texts[r.doc_id]]
+        assert r.round_trip and r.parity and r.ids in [judge.encode(t) for t in texts[r.doc_id]]
     codec = sentence_pieces.SentencePieceCodec(open(path, "rb").read())
     hard = ["", " ", "  a  b", "a\n b", "▁a ▁", "<s> x </s>", "   ", "a   ", "漢字 😀"]
-    assert [list(x) for x in codec.encode(hard)] == judge.encode(hard)
+    ids, parity = codec.encode(hard)
+    assert [list(x) for x in ids] == judge.encode(hard) and all(parity)
     assert [codec.decode(x) for x in judge.encode(hard)] == [judge.decode(x) for x in judge.encode(hard)]
     assert [e.ids for e in codec.tok.encode_batch(hard[2:], add_special_tokens=False)] == judge.encode(hard[2:])
     assert sentence_pieces.encode_and_decode(frame(spark, []), path).count() == 0

@@ -40,16 +40,18 @@ class ChunkEncoder:
         return [self.as_bytes(ids) for ids in self.encode(chunks)]
 
     def trim(self) -> None:
-        """Keep the short chunks only."""
+        """Keep the short chunks only, and none where even these are many."""
         self.known = {k: v for k, v in self.known.items() if len(k) <= 6}
+        if len(self.known) > self.bound // 2:
+            self.known = {}
 
     def _bytes_of(self, keys: list[str]) -> list[bytes]:
         if len(self.known) > self.bound:
             self.trim()
         found = list(map(self.known.get, keys))
         new = [i for i, x in enumerate(found) if x is None]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), 8_000):
+            part = new[at : at + 8_000]
             full = lambda k: k[1:] if k[:1] == START else k if self.lines and k[:1] == "\n" else f" {k}"
             for i, data in zip(part, self.learn([full(keys[i]) for i in part]), strict=True):
                 found[i] = self.known[keys[i]] = data

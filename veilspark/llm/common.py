@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -21,44 +22,86 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where none is set (local runs)."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set a local session gets a temporary one; on a
+    cluster that is an error, since each machine would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs a re-read only."""
+#: Rows and bytes of an Arrow batch with whole texts: both sides hold a batch several times over.
+TEXT_ROWS, TEXT_BYTES = 1_000, 16 << 20
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int = TEXT_ROWS):
+    """Arrow batches of at most ``rows`` rows and TEXT_BYTES bytes (a longer row alone is one) for the jobs run inside; the session's own
+    settings come back behind it."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": TEXT_BYTES}
+    before = {name: spark.conf.get(name, None) for name in limits}
+    for name, most in limits.items():
+        spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        for name, own in before.items():
+            spark.conf.unset(name) if own is None else spark.conf.set(name, own)
+
+
+def materialize(df: DataFrame, tag: str, rows: int = TEXT_ROWS) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs a re-read only. The table goes when the
+    session's JVM ends. ``rows`` bounds the Arrow batches of its Python stages."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with batches_of(spark, rows):
+        df.write.option("compression", "zstd").parquet(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch with whole texts.
-TEXT_ROWS = 1_000
+def fetch(df: DataFrame):
+    """``toPandas`` with bounded Arrow batches; for results whose size doesn't grow with the data."""
+    with batches_of(df.sparkSession):
+        return df.toPandas()
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to TEXT_ROWS rows: both sides hold a batch of whole texts several times over."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(spark.conf.get(name, "10000"))
-    if not 0 < rows <= TEXT_ROWS:
-        spark.conf.set(name, str(TEXT_ROWS))
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that clash with no column of ``docs``, whatever the letters' case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
-@contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of at most ``rows`` rows for the jobs run inside, where a row is large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+#: A key that holds at least one HOT-th of the rows is joined by broadcast: there are at most HOT such keys, whatever the data.
+HOT = 1_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner", to: str | None = None) -> DataFrame:
+    """``left`` joined with ``right`` (inner or left) on ``key`` (``to`` in ``right``, another name), where ``right`` has few rows a key and says in
+    ``weight`` how many of ``left``'s ``total`` rows have it.
+
+    Rows of hot keys stay where they are and meet at most HOT broadcast keys; so do those without a key; all others are shuffled. Both sides should be
+    tables, as they are read more than once.
+    """
+    to = to or key
+    on = F.col(key) == F.col(to) if to != key else key
+    is_hot = F.col(weight) * HOT >= F.lit(total)
+    hot, rest = right.where(is_hot), right.where(~is_hot)
+    keyed = left.where(F.col(key).isNotNull())
+    cold = keyed.join(F.broadcast(hot.select(to).distinct()), on, "left_anti").join(rest, on, how)
+    met = keyed.join(F.broadcast(hot), on).unionByName(cold)
+    return met.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else met
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,12 +132,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordIds(dict):
-    """word bytes -> 64-bit hash, remembered for the words met so far; ``bound`` limits the memory, not the words."""
+class Memo(dict):
+    """What a Python worker remembers within a task; ``tidy`` empties it behind the task, since workers outlive their tasks."""
+
+    every: ClassVar[list[Memo]] = []
 
-    def __init__(self, bound: int = 200_000):
+    def __init__(self, bound: int = 100_000):
         super().__init__()
         self.bound = bound
+        Memo.every.append(self)
+
+
+class WordIds(Memo):
+    """word bytes -> 64-bit hash, remembered for the words met so far; ``bound`` limits the memory, not the words."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -108,13 +158,13 @@ class WordIds(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int = 250) -> Iterator[pa.RecordBatch]:
     """A batch in parts, so that few of its texts are Python strings at a time."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 
 
-def rows_of(batch: pa.RecordBatch, rows: int = 500) -> Iterator[tuple]:
+def rows_of(batch: pa.RecordBatch, rows: int = 250) -> Iterator[tuple]:
     """The rows of a batch as tuples, made part by part."""
     for part in slices(batch, rows):
         yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
@@ -123,6 +173,8 @@ def rows_of(batch: pa.RecordBatch, rows: int = 500) -> Iterator[tuple]:
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passes a task's batches on, and gives memory back to the system after the last: Python workers outlive their tasks."""
     yield from batches
+    for memo in Memo.every:
+        memo.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, text_or_empty
+from .common import SPACE, fresh, join_hot, materialize, text_or_empty
 
 #: Fingerprints that a task holds before it writes its filters out, and those aimed at in a merged range.
 TASK_FINGERPRINTS = 1_000_000
@@ -122,7 +122,8 @@ def exact_groups(docs: DataFrame, fingerprint_bits: int = 64) -> DataFrame:
         docs.select("doc_id", F.length(text_or_empty()).alias("n_chars"), F.sha2(norm.cast("binary"), 256).alias("text_sha256"), fp.alias("fp"), F.monotonically_increasing_id().alias("row")),
         "exact-base",
     )
-    repeated = materialize(repeated_fingerprints(base.select("fp"), base.count()), "exact-repeated").select("fp")
+    rows = base.count()
+    repeated = materialize(repeated_fingerprints(base.select("fp"), rows), "exact-repeated").select("fp")
 
     texts = docs.select(norm.alias("norm")).select("norm", F.shiftleft(F.shiftrightunsigned(F.xxhash64("norm"), 64 - fingerprint_bits), 64 - fingerprint_bits).alias("fp"))
     same_bytes = texts.join(repeated, "fp", "left_semi").groupBy("fp", "norm").agg(F.count("*").alias("rows")).where("rows > 1")
@@ -137,7 +138,8 @@ def exact_groups(docs: DataFrame, fingerprint_bits: int = 64) -> DataFrame:
         .select(F.col("text_sha256").alias("sha"), "n", (-F.col("best.first")).alias("best_id"), (-F.col("best.row")).alias("best_row"))
     )
     grouped = F.col("n").isNotNull()
-    return base.join(best, F.col("text_sha256") == F.col("sha"), "left").select(
+    best = materialize(best, "exact-best")
+    return join_hot(base, best, "text_sha256", "n", rows, "left", to="sha").select(
         "doc_id",
         F.when(grouped, F.col("best_id")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
@@ -147,21 +149,26 @@ def exact_groups(docs: DataFrame, fingerprint_bits: int = 64) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` drops; all columns stay."""
+    """``docs`` without the rows that ``exact_groups`` drops; all columns stay.
+
+    Of equal texts one row stays, by the rule of ``exact_groups``; of rows that repeat its doc_id and text, whatever their other columns,
+    any one. Null and empty texts are equal; an empty table gives an empty result.
+    """
     groups = materialize(exact_groups(docs), "exact-groups")
-    by_text = Window.partitionBy("doc_id", "text_sha256")
-    dropped = groups.where("not kept").groupBy("doc_id", "text_sha256").agg(F.lit(True).alias("dropped"))
-    both = dropped.join(groups.where("kept").select("doc_id", "text_sha256"), ["doc_id", "text_sha256"], "left_semi")
-    gone = dropped.join(both, ["doc_id", "text_sha256"], "left_anti").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    # rows without an id can't be told apart by it, so the text tells
-    sha = F.sha2(normalised(text_or_empty()).cast("binary"), 256)
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
-    if both.isEmpty():
-        return left
-    twice = both.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    again = F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
-    one = left.join(twice, again, "left_semi").withColumn("text_sha256", sha).withColumn("_n", F.row_number().over(by_text.orderBy(F.length(text_or_empty()).desc())))
-    return left.join(twice, again, "left_anti").unionByName(one.where("_n = 1").select(*docs.columns))
+    ident, sha, times, turn = fresh(docs, "exact_id", "exact_sha", "exact_times", "exact_turn")
+    keys = groups.groupBy(F.col("doc_id").alias(ident), F.col("text_sha256").alias(sha)).agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay"))
+    keys = materialize(keys.where("stay = 0 or rows > 1").select(ident, sha, F.when(F.col("stay") > 0, F.col("rows")).otherwise(0).alias(times)), "exact-keys")
+    digest = F.sha2(normalised(text_or_empty()).cast("binary"), 256)
+    of_key = F.col("doc_id").eqNullSafe(F.col(ident)) & (digest == F.col(sha))
+    stay = docs.join(keys, of_key, "left_anti")
+    twice = keys.where(F.col(times) > 1)
+    if twice.isEmpty():
+        return stay
+    # rows of one id and text: the longest original of each task, then of all
+    again = docs.join(twice, of_key).withColumn(turn, F.monotonically_increasing_id())
+    best = F.max_by(F.struct(*docs.columns), F.struct(F.length(text_or_empty()), F.col(turn)))
+    one = again.groupBy(ident, sha).agg(best.alias(turn)).select(f"{turn}.*")
+    return stay.unionByName(one)
 
 
 SQL = r"""

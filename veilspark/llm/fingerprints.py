@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, bounded_batches, materialize, mix64, rows_of, text_or_empty, tidy
+from .common import WordIds, materialize, mix64, rows_of, text_or_empty, tidy
 
 #: A subset of level i holds one term in 4 ** (i + 1); each level has so many subsets, each hash so many hexadecimal digits.
 LEVELS, SUBSETS, DIGITS = 5, 32, 3
@@ -131,7 +131,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     order of a hash of their texts. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), text_or_empty().alias("text"))
     n = keyed.count()
     df = document_frequencies(docs).where(F.col("n") <= max(1, COMMONEST * n))
@@ -179,4 +178,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     out = ordered.select("range", "extra", "d", "text").mapInArrow(lambda b: tidy(run(b)), "d long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.select(F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), *out.columns[1:])
+    return materialize(out, "fingerprints").select(F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), *out.columns[1:])

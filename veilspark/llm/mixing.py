@@ -11,15 +11,18 @@ two levels, ranges are summed before the shuffle, and prefix sums run over range
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import fresh, materialize, word_count
 
 #: Rows aimed at in a hash range, and slices of virtual time in which the cut is searched.
 RANGE_ROWS = 256
 SLICES = 4096
+#: Copies that one task may order at the cut.
+CUT_ROWS = 50_000
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -41,21 +44,24 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
     return tried.select("source", "source_size", F.least(F.coalesce(water * F.col("w"), F.col("most")), F.col("most")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", row: str | None = None) -> DataFrame:
     """One row a row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken.
 
     ``taken`` is size times the number of epochs in which the cut left the document in, at most ``ceil(cap)``. Null
     texts have size 0 and are never taken; a null source is a source of its own, last in order; a null doc_id is shuffled
-    as the empty string; repeated rows are dealt one by one. An empty table gives an empty result. Other columns of
-    ``docs`` are ignored. Reruns agree: the order is a digest of the id.
+    by its text's digest; repeated rows are dealt one by one. An empty table gives an empty result. Other columns of
+    ``docs`` are ignored, but for ``row``, which names a column that tells rows apart and comes out as ``row``. Reruns agree: the
+    order is a digest of the id.
     """
     spark = docs.sparkSession
+    shuffled = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit(""))
     base = materialize(
         docs.select(
             F.col("doc_id"),
             F.col("source"),
             word_count(F.col("text")).alias("size"),
-            F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")).cast("binary")).alias("key"),
+            F.md5(F.concat(shuffled, F.lit(f"|{seed}")).cast("binary")).alias("key"),
+            (F.col(row) if row else F.lit(None).cast("long")).alias("row"),
         ),
         "mix-base",
     )
@@ -83,53 +89,68 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: flo
 
     starts = joined(fine, coarse, "source", "coarse").select("source", "coarse", "fine", (F.col("before_coarse") + F.col("before_fine")).alias("before"))
     running = Window.partitionBy("source", "coarse", "fine").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    inside = ranged.withColumn("upto", F.sum("size").over(running))
+    # rows without words move no sum and aren't taken: they stay out of the windows
+    inside = ranged.where("size > 0").withColumn("upto", F.sum("size").over(running)).unionByName(ranged.where("size = 0").withColumn("upto", F.lit(0).cast("long")))
     placed = joined(joined(inside, starts, "source", "coarse", "fine"), targets, "source")
     epochs = math.ceil(cap)
     finish = [(F.col("before") + F.col("upto") + F.lit(e) * F.col("source_size")) / F.col("target") for e in range(epochs)]
     placed = materialize(
-        placed.select("doc_id", "source", "size", "source_size", "target", *[F.when(F.col("size") > 0, f).alias(f"finish{e}") for e, f in enumerate(finish)]),
+        placed.select("doc_id", "row", "size", "source_size", "target", *[F.when(F.col("size") > 0, f).alias(f"finish{e}") for e, f in enumerate(finish)]),
         "mix-placed",
     )
-
-    copies = placed.select("size", F.explode(F.array(*[f"finish{e}" for e in range(epochs)])).alias("finish")).where("finish is not null")
-    sliced = copies.withColumn("slice", F.least(F.floor(F.col("finish") * SLICES), F.lit(4 * SLICES)))
     total = base.agg(F.sum("size")).first()[0] or 0
-    upto = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (
-        sliced.groupBy("slice").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(upto))
-        .where(F.col("upto") > F.lit(share * total)).orderBy("slice").select("slice", (F.col("upto") - F.col("n")).alias("before")).first()
-    )
-    if cut is None:
-        taken_by = lambda f: F.col(f).isNotNull()
-    else:
-        by_finish = Window.orderBy("finish").rangeBetween(Window.unboundedPreceding, 0)
-        last = (
-            sliced.where(F.col("slice") == cut["slice"]).withColumn("upto", F.sum("size").over(by_finish) + F.lit(cut["before"]))
-            .where(F.col("upto") <= F.lit(share * total)).agg(F.max("finish")).first()[0]
+    copies = placed.select("size", F.explode(F.array(*[f"finish{e}" for e in range(epochs)])).alias("finish")).where("finish is not null")
+    before_cut = _before_cut(copies, share * total)
+    taken = sum((F.when(before_cut(F.col(f"finish{e}")), F.col("size")).otherwise(0) for e in range(epochs)), F.lit(0)).cast("long")
+    kept = ["row"] if row else []
+    return placed.select("doc_id", *kept, "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"))
+
+
+def _before_cut(copies: DataFrame, budget: float) -> Callable[[Column], Column]:
+    """The condition under which a finish time lies before the cut: copies (size, finish), ordered by finish, that fit the budget.
+
+    The cut is searched in slices of virtual time, each round in slices SLICES times as thin within the one that holds it, until few enough
+    copies are left to order them in one task. Scaling by a power of two is exact, so slices nest.
+    """
+    thin, spent, rest = 1, 0, copies
+    while True:
+        thin *= SLICES
+        slice_of = lambda f, thin=thin: F.least(F.floor(f * thin), F.lit(4 * thin))
+        upto = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)  # at most 4 * SLICES + 1 rows
+        cut = (
+            rest.groupBy(slice_of(F.col("finish")).alias("slice")).agg(F.sum("size").alias("n"), F.count("*").alias("rows")).withColumn("upto", F.sum("n").over(upto) + F.lit(spent))
+            .where(F.col("upto") > F.lit(budget)).orderBy("slice").select("slice", "rows", (F.col("upto") - F.col("n")).alias("before")).first()
         )
-        slice_of = lambda f: F.least(F.floor(F.col(f) * SLICES), F.lit(4 * SLICES))
-        taken_by = lambda f: (slice_of(f) < F.lit(cut["slice"])) | (F.col(f) <= F.lit(last).cast("double"))
-    taken = sum((F.when(taken_by(f"finish{e}"), F.col("size")).otherwise(0) for e in range(epochs)), F.lit(0)).cast("long")
-    return placed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"))
+        if cut is None:
+            return lambda f: f.isNotNull()
+        rest, spent = rest.where(slice_of(F.col("finish")) == cut["slice"]), cut["before"]
+        if cut["rows"] <= CUT_ROWS or thin >= SLICES**4 or cut["slice"] == 4 * thin:
+            break
+    by_finish = Window.orderBy("finish").rangeBetween(Window.unboundedPreceding, 0)
+    fits = rest.groupBy("finish").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(by_finish) + F.lit(spent)).where(F.col("upto") <= F.lit(budget))
+    last = fits.agg(F.max("finish")).first()[0]
+    return lambda f: (slice_of(f) < F.lit(cut["slice"])) | (f <= F.lit(last).cast("double"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, once for each epoch in which it takes them."""
-    plan = mix_sources(docs, **how)
-    times = plan.where("taken > 0").groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-    copies = times.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), (F.col("taken") / F.col("size") / F.col("rows")).alias("_times"))
-    # repeated rows of one id and size share their copies evenly; the first rows take the odd one
-    sized = docs.withColumn("_n", word_count(F.col("text")))
-    met = sized.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil("_times").cast("int")))).select(*docs.columns)
+    """The rows of ``docs`` that the mix takes, each once for each epoch in which it takes that row; all columns stay.
+
+    Rows are told apart by a number of their own, so rows that repeat an id, or have none, each get the copies that the mix dealt to
+    them. A null or empty text has no words and is never taken. An empty table gives an empty result.
+    """
+    (row,) = fresh(docs, "mix_row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    plan = mix_sources(numbered, row=row, **how)
+    copies, size = fresh(numbered, "mix_copies", "mix_size")
+    times = plan.where("taken > 0").select(F.col("row").alias(row), (F.col("taken") / F.col("size")).cast("int").alias(copies))
+    return numbered.join(times, row).withColumn(size, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 #: For DuckDB: the same mix with whole windows.
 SQL = r"""
 WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '') || '|mix') AS key FROM documents),
+         md5(coalesce(doc_id::VARCHAR, md5(text), '') || '|mix') AS key FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
 ranked AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM src),
 lev AS (SELECT *, source_size * 2.0::DOUBLE AS most, source_size * 2.0::DOUBLE / w AS lvl FROM ranked),

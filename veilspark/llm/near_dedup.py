@@ -11,6 +11,7 @@ set sizes and the distances to the common centre, which the triangle inequality
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,20 +21,29 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordIds, batches_of, bounded_batches, materialize, mix64, text_or_empty, tidy
+from .common import WordIds, fetch, fresh, join_hot, materialize, mix64, slices, text_or_empty, tidy
 
-#: The circle of the second permutation, coordinates of a band, and bands.
-CIRCLE_BITS = 20
-BAND_ROWS, BANDS = 6, 26
-COORDINATES = BAND_ROWS * BANDS
-#: Outsiders of a bucket up to which pairs are listed, and the blocks in which others meet.
-FEW, OUTSIDE_BLOCK, MEMBER_BLOCK = 8, 32, 128
-#: Size of the map of wanted nodes, and the share from which it would let too many pass to be worth its while.
-MAP_BITS, MOST_OF_MAP = 20, 0.7
+#: The circle of the second permutation, most coordinates of a signature, and the share of pairs at the threshold that the bands may miss.
+CIRCLE_BITS, COORDINATES, MISSED = 20, 160, 5e-6
+#: Outsiders of a bucket up to which pairs are listed, and the shingles of a block in which others meet.
+FEW, BLOCK_SHINGLES = 8, 1_000_000
+#: Bits of the map of wanted nodes for each of them, and the most that it may have (64 MB); beyond, all texts go to the join.
+NODE_BITS, MOST_BITS = 16, 29
 _words = WordIds()
 _tables: dict[int, np.ndarray] = {}
 
 
+def bands_of(percent: int) -> tuple[int, int]:
+    """(rows, bands): the most rows a band for which few enough pairs of that similarity are missed, within COORDINATES. 85: 6 x 26, 4.5e-6
+    missed; 80: 5 x 31, 4.5e-6."""
+    best = (1, COORDINATES)
+    for rows in range(1, 33):
+        bands = math.ceil(math.log(MISSED) / math.log1p(-min(0.999, percent / 100) ** rows))
+        if rows * bands <= COORDINATES:
+            best = (rows, bands)
+    return best
+
+
 def _second_permutation() -> np.ndarray:
     """The shifted runs of a random permutation of the circle: row i holds its values from place i on."""
     if 0 not in _tables:
@@ -63,28 +73,28 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _band_keys(sig: np.ndarray) -> np.ndarray:
-    parts = sig.reshape(BANDS, BAND_ROWS).astype(np.uint64)
-    h = np.arange(BANDS, dtype=np.uint64)
-    for k in range(BAND_ROWS):
+def _band_keys(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    parts = sig[: rows * bands].reshape(bands, rows).astype(np.uint64)
+    h = np.arange(bands, dtype=np.uint64)
+    for k in range(rows):
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + parts[:, k])
     return h.view(np.int64)
 
 
-def _signatures(docs: DataFrame, words: int) -> DataFrame:
+def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands): two digests of the set, and the keys of its bands."""
+    shape = bands_of(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch):
                 n, a, b, keys = [], [], [], []
                 for text in part.column(1).to_pylist():
                     h = shingles(text, words)
                     n.append(len(h))
                     a.append(int(h.sum(dtype=np.uint64).view(np.int64)))
                     b.append(int(np.bitwise_xor.reduce(mix64(h)).view(np.int64)) if len(h) else 0)
-                    keys.append(_band_keys(signature(h)) if len(h) else np.zeros(0, np.int64))
+                    keys.append(_band_keys(signature(h), *shape) if len(h) else np.zeros(0, np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
@@ -95,23 +105,27 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, n, hashes) of the documents that stand for a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, words).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
-
-    # most texts stay where they are: a map of hash buckets in use, of fixed size, drops them before the join
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS)).cast("int")
-    used = nodes.select(bucket("node").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)
-    bits = np.zeros(1 << MAP_BITS, bool)
-    bits[used] = True
-
-    @F.pandas_udf("boolean")
-    def may_be_wanted(b: pd.Series) -> pd.Series:
-        return pd.Series(bits[b.to_numpy(np.int64)])
+        for part in (x for batch in batches for x in slices(batch)):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, words).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
 
     texts = docs.select(F.col("doc_id").alias("node"), text_or_empty().alias("text")).where("node is not null")
-    if len(used) < MOST_OF_MAP * len(bits):
+    # most texts stay where they are: a map of hash buckets in use, sized by the nodes, drops them before the join
+    bits = max(15, math.ceil(math.log2(NODE_BITS * max(1, nodes.count()))))
+    if bits <= MOST_BITS:
+        bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+        # maps of 32,768 bits count from 1, as do the numbers that they take
+        place = bucket("node") + 1
+        used = fetch(nodes.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")))
+        marked = np.zeros((1 << bits) // 8, np.uint8)
+        for at, own in zip(used["at"], used["bits"], strict=True):
+            marked[(at - 1) * 4096 : at * 4096] = np.frombuffer(own, np.uint8)
+        shared = docs.sparkSession.sparkContext.broadcast(marked)
+
+        @F.pandas_udf("boolean")
+        def may_be_wanted(b: pd.Series) -> pd.Series:
+            p = b.to_numpy(np.int64)
+            return pd.Series((shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))
+
         texts = texts.where(may_be_wanted(bucket("node")))
     texts = texts.join(nodes, "node", "left_semi")
     return texts.mapInArrow(lambda b: tidy(run(b)), "node long, hashes binary")
@@ -161,57 +175,57 @@ def components(edges: DataFrame, tag: str = "near") -> DataFrame:
         rest = materialize(moved_edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-rest")
 
 
-def _blocks(nodes: DataFrame, sets: DataFrame, size: int, name: str) -> DataFrame:
-    """(group, name): the nodes of a group in blocks of about ``size``, each an array of (node, root, hashes)."""
-    count = nodes.groupBy("group").agg(F.count("*").alias("_m"))
-    dealt = nodes.join(count, "group").withColumn("_block", F.pmod(F.xxhash64("node"), F.ceil(F.col("_m") / size)))
-    full = dealt.join(sets, "node").select("group", "_block", F.struct("node", "root", "hashes").alias("one"))
-    return full.groupBy("group", "_block").agg(F.collect_list("one").alias(name)).drop("_block")
-
-
 def _linked_in_blocks(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that join all components between which there is a link, for buckets with many members outside their largest component.
 
     Such buckets of different bands hold much the same members, so those that overlap are one group. Every node outside the group's largest
-    component meets every node of the group, in blocks; a block's links that join nothing new aren't sent.
+    component meets every node of the group: both are dealt into blocks of about BLOCK_SHINGLES, and each pair of blocks is one small group of
+    a cogroup, dealt by all three numbers. A set is sent once for each block that it meets. A pair's links that join nothing new aren't sent.
     """
     group = components(many.select(F.col("centre").alias("a"), F.col("node").alias("b")), "near-group").select("node", F.col("root").alias("group"))
-    nodes = materialize(many.select("node", "root").distinct().join(group, "node").select("group", "node", "root"), "near-group-nodes")
+    nodes = materialize(many.select("node", "root", "n").distinct().join(group, "node").select("group", "node", "root", "n"), "near-group-nodes")
     top = nodes.groupBy("group", "root").agg(F.count("*").alias("m")).groupBy("group").agg(F.max(F.struct("m", "root")).alias("top")).select("group", F.col("top.root").alias("top"))
-    outside = nodes.join(top, "group").where("root <> top").select("group", "node", "root")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for some, rest in zip(batch.column(0), batch.column(1), strict=True):
-                rest, parent = rest.as_py(), {}
-
-                def top_of(x: int) -> int:
-                    while parent.setdefault(x, x) != x:
-                        parent[x] = x = parent[parent[x]]
-                    return x
-
-                own = [np.frombuffer(r["hashes"], np.uint64) for r in rest]
-                sizes = np.array([len(x) for x in own])
-                flat = np.concatenate(own)
-                order = np.argsort(flat, kind="stable")
-                flat, owner = flat[order], np.repeat(np.arange(len(own)), sizes)[order]
-                for x in some.as_py():
-                    mine = np.frombuffer(x["hashes"], np.uint64)
-                    lo, hi = np.searchsorted(flat, mine), np.searchsorted(flat, mine, side="right")
-                    n = hi - lo
-                    at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
-                    both = np.bincount(owner[at], minlength=len(own))
-                    for i in np.flatnonzero(both * 100 >= percent * (len(mine) + sizes - both)):
-                        p, q = top_of(x["root"]), top_of(rest[i]["root"])
-                        if p != q and x["node"] != rest[i]["node"]:
-                            parent[p] = q
-                            a.append(min(x["node"], rest[i]["node"]))
-                            b.append(max(x["node"], rest[i]["node"]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    met = _blocks(outside, sets, OUTSIDE_BLOCK, "some").join(_blocks(nodes, sets, MEMBER_BLOCK, "rest"), "group")
-    return met.select("some", "rest").repartition(F.xxhash64("some.node", "rest.node")).mapInArrow(lambda b: tidy(run(b)), "a long, b long").distinct()
+    blocks = lambda n: F.ceil(F.sum(n) / BLOCK_SHINGLES).cast("int")
+    sized = nodes.join(top, "group").withColumn("outside", F.col("root") != F.col("top"))
+    stats = sized.groupBy("group").agg(blocks(F.when(F.col("outside"), F.col("n")).otherwise(0)).alias("some"), blocks(F.col("n")).alias("rest"), F.count("*").alias("rows"))
+    stats = materialize(stats.where("some > 0"), "near-group-blocks")
+    dealt = materialize(join_hot(sized, stats, "group", "rows", nodes.count()).join(sets, "node"), "near-group-sets")
+    block = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = dealt.where("outside").select("group", block("some").alias("x"), every("rest").alias("y"), "node", "root", "hashes")
+    right = dealt.select(F.col("group").alias("group"), every("some").alias("x"), block("rest").alias("y"), *[F.col(c).alias(c) for c in ("node", "root", "hashes")])
+
+    def linked(some: pa.Table, rest: pa.Table) -> pa.Table:
+        a, b, parent = [], [], {}
+
+        def top_of(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        if some.num_rows and rest.num_rows:
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in rest["hashes"]]
+            ids, roots = rest["node"].to_pylist(), rest["root"].to_pylist()
+            sizes = np.array([len(x) for x in own])
+            flat = np.concatenate(own)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], np.repeat(np.arange(len(own)), sizes)[order]
+            for node, root, hashes in zip(some["node"].to_pylist(), some["root"].to_pylist(), some["hashes"], strict=True):
+                mine = np.frombuffer(hashes.as_buffer(), np.uint64)
+                lo, hi = np.searchsorted(flat, mine), np.searchsorted(flat, mine, side="right")
+                n = hi - lo
+                at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(own))
+                for i in np.flatnonzero(both * 100 >= percent * (len(mine) + sizes - both)):
+                    p, q = top_of(root), top_of(roots[i])
+                    if p != q and node != ids[i]:
+                        parent[p] = q
+                        a.append(min(node, ids[i]))
+                        b.append(max(node, ids[i]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    met = left.groupBy("group", "x", "y").cogroup(right.groupBy("group", "x", "y"))
+    return met.applyInArrow(linked, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -222,73 +236,83 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     are one document with several sets: they share a component. A row with a null doc_id stays, with a null component_id, no links and
     kept true. An empty table gives an empty result; other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
-    sigs = materialize(_signatures(docs.withColumn("doc_id", F.col("doc_id").cast("long")), words), "near-signatures")
+    sigs = materialize(_signatures(docs.withColumn("doc_id", F.col("doc_id").cast("long")), words, percent), "near-signatures")
     real = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"))
-    classes = materialize(classes.select("node", F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), F.col("n_shingles").alias("_n")), "near-classes")
-    of_class = (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")) & (F.col("n_shingles") == F.col("_n"))
+    classes = real.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+    class_of = F.concat_ws(":", "set_a", "set_b", "n_shingles")
+    classes = materialize(classes.select("node", class_of.alias("class"), "copies"), "near-classes")
+    rows = sigs.count()
+    keyed = sigs.withColumn("of", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), class_of))
 
     # a node for each distinct set, in buckets with others
-    nodes = real.join(classes, of_class & (F.col("doc_id") == F.col("node")), "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"])
-    placed = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    met = materialize(placed.join(shared, "bucket"), "near-met")
+    nodes = keyed.join(classes, (F.col("of") == F.col("class")) & (F.col("doc_id") == F.col("node")), "left_semi").dropDuplicates(["doc_id", "of"])
+    placed = materialize(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "near-placed")
+    in_buckets = placed.count()
+    shared = materialize(placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "near-shared")
+    met = materialize(join_hot(placed, shared, "bucket", "size", in_buckets), "near-met")
     # the centre is the member that meets most others over all its buckets: the original of a group of edited copies rather than one of them
     degree = met.groupBy("node").agg(F.sum("size").alias("degree"))
-    ranked = met.join(degree, "node")
-    centres = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("first"))).alias("top")).select("bucket", (-F.col("top.first")).alias("centre"))
-    members = materialize(ranked.join(centres, "bucket").select("bucket", "node", "n", "centre", "degree"), "near-members")
+    ranked = materialize(met.join(degree, "node"), "near-ranked")
+    top = F.max(F.struct("degree", (-F.col("node")).alias("first")))
+    centres = materialize(ranked.groupBy("bucket").agg(top.alias("top"), F.max("size").alias("of")).select("bucket", (-F.col("top.first")).alias("centre"), "of"), "near-centres")
+    members = materialize(join_hot(ranked, centres, "bucket", "of", in_buckets).select("bucket", "node", "n", "centre", "size"), "near-members")
 
     link = F.col("both") * 100 >= F.col("either") * percent
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    sizes = members.groupBy("node").agg(F.min("n").alias("n"))
+    sizes = materialize(members.groupBy("node").agg(F.min("n").alias("n")), "near-sizes")
     sets = materialize(_sets(docs.withColumn("doc_id", F.col("doc_id").cast("long")), sizes.select("node"), words), "near-sets")
     stars = members.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     of = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"))
     stars = stars.join(of("a"), "a").join(of("b"), "b").where(fits(F.col("na"), F.col("nb"))).select("a", "b")
-    with batches_of(docs.sparkSession, 256):
-        measured = materialize(_verified(stars, sets), "near-stars")
+    measured = materialize(_verified(stars, sets), "near-stars", rows=256)
     edges = measured.where(link).select("a", "b")
+    # texts that share a doc_id are one document: their classes are linked
+    several = real.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id")
+    twice = keyed.join(several, "doc_id").join(classes, F.col("of") == F.col("class")).groupBy("doc_id").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    edges = materialize(edges.unionByName(twice.select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", 2, 1 << 30)).alias("b"))), "near-edges")
 
     # nodes that their buckets' centres haven't joined
     root = components(edges)
     rooted = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    count = rooted.groupBy("bucket", "root").agg(F.count("*").alias("m"))
-    largest = count.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = rooted.join(largest, "bucket")
+    count = rooted.groupBy("bucket", "root").agg(F.count("*").alias("m"), F.max("size").alias("of"))
+    largest = materialize(count.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("parts"), F.max("of").alias("of")).where("parts > 1"), "near-largest")
+    open_ = join_hot(rooted, largest, "bucket", "of", in_buckets)
     known = measured.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
     open_ = open_.withColumn("a", F.least("centre", "node")).withColumn("b", F.greatest("centre", "node")).join(known, ["a", "b"], "left")
-    open_ = materialize(open_.select("bucket", "node", "n", "centre", "root", (F.col("root") == F.col("top.root")).alias("inside"), "far"), "near-open")
+    open_ = materialize(open_.select("bucket", "node", "n", "centre", "size", "root", (F.col("root") == F.col("top.root")).alias("inside"), "far"), "near-open")
     # few outsiders: their pairs with the bucket, as far as a link is possible; many: blocks of outsiders against blocks of members
-    count = open_.groupBy("bucket").agg(F.count_if(~F.col("inside")).alias("outsiders"))
-    few = open_.join(count.where(F.col("outsiders") <= FEW), "bucket", "left_semi")
-    left = few.where("not inside and node <> centre").select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("far").alias("fx"))
-    right = few.where("node <> centre").select("bucket", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("inside").alias("iy"), F.col("far").alias("fy"))
+    count = materialize(open_.groupBy("bucket").agg(F.count_if(~F.col("inside")).alias("outsiders"), F.max("size").alias("of")), "near-outsiders")
+    left = open_.where("not inside and node <> centre").join(count.where(F.col("outsiders") <= FEW), "bucket")
+    left = materialize(left.select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("far").alias("fx"), "of"), "near-few")
+    right = open_.where("node <> centre").select("bucket", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("inside").alias("iy"), F.col("far").alias("fy"))
     reach = 1 - percent / 100 + 1e-9
     possible: Column = (F.col("rx") != F.col("ry")) & fits(F.col("nx"), F.col("ny")) & (F.col("iy") | (F.col("x") < F.col("y")))
     possible = possible & (F.col("fx").isNull() | F.col("fy").isNull() | (F.abs(F.col("fx") - F.col("fy")) <= reach))
-    more = left.join(right, "bucket").where(possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = join_hot(right, left, "bucket", "of", in_buckets).where(possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = materialize(more.join(measured.select("a", "b"), ["a", "b"], "left_anti"), "near-more")
     found = _verified(more, sets).where(link).select("a", "b")
-    many = open_.join(count.where(F.col("outsiders") > FEW), "bucket", "left_semi")
+    many = join_hot(open_, count.where(F.col("outsiders") > FEW), "bucket", "of", in_buckets)
     if not many.isEmpty():
         found = found.unionByName(_linked_in_blocks(materialize(many, "near-many"), sets, percent))
-    with batches_of(docs.sparkSession, 16):  # a row may hold two blocks of sets
-        found = materialize(found, "near-found")
+    found = materialize(found, "near-found", rows=256)
     if not found.isEmpty():
         root = components(edges.unionByName(found), "near-all")
 
-    joined = sigs.join(classes, of_class & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left").join(root.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
+    joined = join_hot(keyed, classes, "of", "copies", rows, "left", to="class").join(root.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
     component = F.coalesce("root", "node", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest doc_id."""
+    """``docs`` with one document of each group, that of the smallest doc_id; all columns stay.
+
+    Rows of one doc_id are one document: they stay or go together. Rows without doc_id, and texts without words, stay. An empty table gives an empty
+    result.
+    """
     groups = near_groups(docs, words, percent)
-    gone = materialize(groups.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "near-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    (ident,) = fresh(docs, "near_id")
+    gone = materialize(groups.where("not kept").select(F.col("doc_id").alias(ident)).distinct(), "near-gone")
+    return docs.join(gone, F.col("doc_id") == F.col(ident), "left_anti")
 
 
 SQL = r"""

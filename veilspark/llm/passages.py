@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, bounded_batches, materialize, mix64, rows_of, text_or_empty, tidy
+from .common import WordIds, materialize, mix64, rows_of, text_or_empty, tidy
 
 WINDOW, ANCHOR = 20, 8
 #: Words that a task holds at once, and the share of all words from which a word counts as frequent (so fewer than 1 / share do).
@@ -267,7 +267,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A null text has no words. A null doc_id counts as the smallest. Equal rows (same doc_id and text) are one document, and each has its result;
     texts that share a doc_id otherwise come one after the other. An empty table gives an empty result; other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
     keyed = _with_keys(docs)
     spans = max(64, 4 * keyed.rdd.getNumPartitions())
     got = materialize(_repeated_anchors(keyed, spans), "passage-anchors")
@@ -304,7 +303,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     whole = stats.join(gone.select("d", "th"), ["d", "th"], "left_anti").select("d", F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     shortened = keyed.join(gone, ["d", "th"]).select("d", "text", "places").mapInArrow(lambda b: tidy(cut(b)), "d long, n_words long, n_removed long, kept_sha256 string")
-    out = whole.unionByName(shortened)
+    out = materialize(whole.unionByName(shortened), "passage-kept")
     return out.select(F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 

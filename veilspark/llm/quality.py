@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix64, rows_of, slices, text_or_empty, tidy
+from .common import Memo, fetch, materialize, mix64, rows_of, slices, text_or_empty, tidy
 
 #: Hash buckets of words and of shapes, dimensions and non-zero entries of an index vector. The tables have this size for any input.
 WORDS, SHAPES, DIMENSIONS, ENTRIES = 7168, 1024, 32, 2
@@ -39,11 +39,11 @@ def _shape(word: str) -> str:
     return _RUNS.sub(lambda m: m[0][0], kinds)
 
 
-class _Terms(dict):
+class _Terms(Memo):
     """word -> its word bucket and its shape bucket, packed."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > self.bound:
             self.clear()
         w = zlib.crc32(word.lower().strip(".,;:!?").encode()) % WORDS
         s = WORDS + zlib.crc32(_shape(word).encode()) % (SHAPES - 1)
@@ -96,7 +96,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(table[met, i]) for i in range(DIMENSIONS))], ["term", *(f"c{i}" for i in range(DIMENSIONS))])
 
     parts = docs.select(text_or_empty().alias("text")).mapInArrow(lambda b: tidy(add(b)), "term long, " + ", ".join(f"c{i} long" for i in range(DIMENSIONS)))
-    summed = parts.groupBy("term").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(DIMENSIONS)]).toPandas()
+    summed = fetch(parts.groupBy("term").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(DIMENSIONS)]))
     vectors = np.zeros((TERMS, DIMENSIONS), np.float32)
     found = summed.drop(columns="term").to_numpy(float)
     vectors[summed["term"].to_numpy(np.int64)] = found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
@@ -154,10 +154,51 @@ class Network:
 
 
 def learnable(labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> DataFrame:
-    """(doc_id, y) of at most ``rows`` labelled rows, none held out, in the order of a hash."""
+    """(doc_id, y) of at most ``rows`` labelled ids, none held out, in the order of a hash; of several labels of an id the least."""
     key = F.col("doc_id").cast("string")
-    fit = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(key.cast("binary")) % modulus != held_out))
-    return fit.orderBy(F.xxhash64("doc_id"), label).limit(rows).select("doc_id", F.col(label).cast("int").alias("y"))
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(key.cast("binary")) % modulus != held_out))
+    one = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
+    return one.orderBy(F.xxhash64("doc_id")).limit(rows).select("doc_id", "y")
+
+
+class Scorer:
+    """Pooled vectors and the network; without a network every score is ``share``. Its size is fixed by TERMS and DIMENSIONS."""
+
+    def __init__(self, vectors: np.ndarray, net: Network | None, share: float):
+        place, sign = _index_vectors()
+        self.vectors, self.net, self.share = vectors, net, share
+        self.index = np.zeros((TERMS, DIMENSIONS), np.float32)
+        for k in range(ENTRIES):
+            np.add.at(self.index, (np.arange(TERMS), place[:, k]), sign[:, k])
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        return np.stack([pooled(t, self.vectors, self.index) for t in texts]) if texts else np.zeros((0, 3 * DIMENSIONS), np.float32)
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        return self.net.score(self.features(texts).astype(float)) if self.net and texts else np.full(len(texts), self.share)
+
+
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, learn_rows: int = LEARN_ROWS) -> Scorer:
+    """Context vectors from all of ``docs``, the network from at most ``learn_rows`` labelled rows, none of them held out. An id with several
+    labels counts once, with the least."""
+    spark = docs.sparkSession
+    unfitted = spark.sparkContext.broadcast(Scorer(context_vectors(docs), None, 0.5))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch)):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in unfitted.value.features(part.column(1).to_pylist())], pa.binary())], ["y", "x"])
+
+    sample = learnable(labels, "quality", modulus, held_out, learn_rows)
+    learnt = fetch(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").select("y", "text").mapInArrow(lambda b: tidy(features(b)), "y int, x binary"))
+    if not len(learnt):
+        return unfitted.value
+    x, y = np.stack([np.frombuffer(b, np.float32) for b in learnt["x"]]).astype(float), learnt["y"].to_numpy(float)
+    if len(set(y)) < 2 or len(y) < 10:  # a network needs some rows
+        return Scorer(unfitted.value.vectors, None, float(y.mean()))
+    order = np.lexsort((*x.T[:4], y))  # rows come in any order
+    net = Network(x.shape[1])
+    net.fit(x[order], y[order])
+    return Scorer(unfitted.value.vectors, net, float(y.mean()))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, learn_rows: int = LEARN_ROWS) -> DataFrame:
@@ -167,37 +208,30 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out
     is the share of label 1 among them (0.5 if there are none). Repeated rows score alike; an empty table gives an empty result; a
     null doc_id is not held out; other columns, among them lang and source, are not read.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    vectors = context_vectors(docs)
-    place, sign = _index_vectors()
-    index = np.zeros((TERMS, DIMENSIONS), np.float32)
-    for k in range(ENTRIES):
-        np.add.at(index, (np.arange(TERMS), place[:, k]), sign[:, k])
-    tables = spark.sparkContext.broadcast((vectors, index))  # TERMS rows each
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [pooled(t, *tables.value).astype(np.float32).tobytes() for _, t in rows_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["y", "x"])
-
-    sample = learnable(labels, "quality", modulus, held_out, learn_rows)
-    learnt = docs.join(F.broadcast(sample), "doc_id").select("y", text_or_empty().alias("text")).mapInArrow(lambda b: tidy(features(b)), "y int, x binary").toPandas()
-    x = np.stack([np.frombuffer(b, np.float32) for b in learnt["x"]]).astype(float) if len(learnt) else np.zeros((0, 3 * DIMENSIONS))
-    y = learnt["y"].to_numpy(float)
-    order = np.lexsort((*x.T[:4], y)) if len(x) else np.zeros(0, int)  # rows come in any order
-    net = Network(3 * DIMENSIONS)
-    share = float(y.mean()) if len(y) else 0.5
-    both = len(set(y)) == 2 and len(y) >= 10  # a network needs some rows
-    if both:
-        net.fit(x[order], y[order])
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, modulus, held_out, learn_rows))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 1000)):
-            texts = batch.column(2).to_pylist()
-            got = net.score(np.stack([pooled(t, *tables.value) for t in texts]).astype(float)) if both and texts else np.full(len(texts), share)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        for part in (x for batch in batches for x in slices(batch)):
+            got = model.value.score(part.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held_out, F.lit(False))
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", out.alias("held_out"), text_or_empty().alias("text")).mapInArrow(lambda b: tidy(score(b)), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    scored = docs.select("doc_id", out.alias("held_out"), text_or_empty().alias("text")).mapInArrow(lambda b: tidy(score(b)), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return materialize(scored, "quality-scores")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, **how) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with all their columns: each row is judged by its own text, whatever its doc_id.
+
+    Nulls, empty texts and missing labels count as in ``score_quality``; repeated rows stay or go together; an empty table gives an empty result.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
+    at = docs.columns.index("text")
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch)):
+            stays = model.value.score([t or "" for t in part.column(at).to_pylist()]) >= least
+            yield part.filter(pa.array(stays))
+
+    return docs.mapInArrow(lambda b: tidy(good(b)), docs.schema)

@@ -1,12 +1,13 @@
 """SentencePiece models run by the tokenizers library.
 
 The model file is read as a protobuf message; its normaliser, meta-space marker, scores and byte fallback are rebuilt as a
-tokenizers pipeline (Unigram, or BPE with the merges that the scores imply). Ids are compared with those of the
-SentencePiece library itself for every chunk that a worker meets, so parity covers all data.
+tokenizers pipeline (Unigram, or BPE with the merges that the scores imply). The driver rebuilds it once, and workers load the result.
+Ids are compared with those of the SentencePiece library itself for every chunk, so parity is known for each text.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -21,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .common import bounded_batches, text_or_empty, tidy
+from .common import materialize, slices, text_or_empty, tidy
 
 SPACE_MARK = "▁"
 #: Kinds of pieces and of models in the message.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
+#: Chunks that a worker remembers; others are encoded again when they are met again.
+REMEMBERED = 60_000
 
 
 def _message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -132,42 +135,55 @@ class SentencePieceModel:
         return [bytes([int(p[3:5], 16)]) if kind == BYTE else odd.get(kind, p.replace(SPACE_MARK, " ").encode()) for p, _, kind in self.pieces]
 
 
+def rebuilt(data: bytes) -> str:
+    """The tokenizers library's JSON of a model file."""
+    return SentencePieceModel.read(data).tokenizer().to_str()
+
+
 class SentencePieceCodec:
-    """Encodes and decodes batches; ``odd_chunks`` are those whose ids differ from the SentencePiece library's."""
+    """Encodes and decodes batches with the tokenizers library in ``threads`` threads. ``odd``: chunks remembered whose ids differ from the
+    SentencePiece library's."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, json: str | None = None, threads: int = 2):
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))  # read when the library first encodes a batch
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
         import sentencepiece
+        from tokenizers import Tokenizer
 
         self.model = SentencePieceModel.read(data)
-        self.tok = self.model.tokenizer()
+        self.tok = Tokenizer.from_str(json) if json else self.model.tokenizer()
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.odd_chunks: set[str] = set()
+        self.odd: set[str] = set()
         never, space = re.compile(r"(?!)"), re.compile(r"(?<=[^ ])(?= )")
-        cut = self.model.cuts_at_spaces
-        self.chunks = ChunkEncoder(self._encode, len(self.model.pieces) > 65_536, "  |^ " if cut else "", space if cut else never, bound=300_000)
+        self.cuts = self.model.cuts_at_spaces
+        self.mark = self.tok.encode("a ").ids[-1:]
+        self.chunks = ChunkEncoder(self._encode, len(self.model.pieces) > 65_536, "  |^ " if self.cuts else "", space if self.cuts else never, bound=REMEMBERED)
 
     def _encode(self, chunks: list[str]) -> list[list[int]]:
         """Chunks behind a first one begin with a space, which stands for the mark that the normaliser prepends."""
-        texts = [c[1:] if c[:1] == " " and self.model.cuts_at_spaces else c for c in chunks]
-        mark = self.tok.encode("a ").ids[-1:]
-        ids = [e.ids if t else (mark if c else []) for c, t, e in zip(chunks, texts, self.tok.encode_batch(texts, add_special_tokens=False), strict=True)]
+        texts = [c[1:] if c[:1] == " " and self.cuts else c for c in chunks]
+        ids = [e.ids if t else (self.mark if c else []) for c, t, e in zip(chunks, texts, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
         want = self.judge.encode(texts, num_threads=1)
-        for chunk, text, got, wanted in zip(chunks, texts, ids, want, strict=True):
-            if text and got != wanted:
-                self.odd_chunks.add(chunk)
-        if len(self.odd_chunks) > 100_000:
-            raise ValueError("the rebuilt tokenizer differs from the SentencePiece library on more than 100,000 chunks")
-        return [w if t and g != w else g for g, w, t in zip(ids, want, texts, strict=True)]
-
-    def encode(self, texts: list[str]) -> list[array]:
-        """The ids of whole texts. A text that begins with a space has it as a chunk's own second space."""
-        given = [" " + t if t[:1] == " " and self.model.cuts_at_spaces else t for t in texts]
+        self.odd.update(c for c, t, got, wanted in zip(chunks, texts, ids, want, strict=True) if t and got != wanted)
+        return ids
+
+    def encode(self, texts: list[str]) -> tuple[list[array], list[bool]]:
+        """The ids of whole texts, and whether the SentencePiece library gives the same for each. A text that begins with a space has it as a
+        chunk's own second space."""
+        given = [" " + t if t[:1] == " " and self.cuts else t for t in texts]
         out = []
         for data in self.chunks(given):
             ids = array("I" if self.chunks.wide else "H")
             ids.frombytes(data)
             out.append(ids)
-        return out
+        parity = [self.judge.encode(t) == ids.tolist() for t, ids in zip(texts, out, strict=True)] if self.odd else [True] * len(texts)
+        return out, parity
+
+    def forget(self) -> None:
+        """What a task leaves in a worker that outlives it: the model and its short chunks."""
+        self.chunks.trim()
+        if self.odd:
+            self.chunks.known, self.odd = {}, set()
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.model.surface.__getitem__, ids)).decode(errors="replace")
@@ -178,36 +194,32 @@ _codecs: dict[int, SentencePieceCodec] = {}
 
 
 def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, ids, decoded_chars, round_trip, own_chunks) for every row of ``docs`` (doc_id, text).
+    """(doc_id, n_ids, ids_crc32, ids, decoded_chars, round_trip, parity) for every row of ``docs`` (doc_id, text).
 
     ``ids_crc32`` is that of the ids as little-endian unsigned 32-bit integers; ``round_trip``: the decoded ids are the text;
-    ``own_chunks``: distinct chunks so far for which the worker's two libraries disagreed, whose ids are SentencePiece's. A null text is
-    an empty one and has no ids. The mark itself (U+2581) in a text decodes as a space. Repeated rows stay; an empty
-    table gives an empty result; other columns are ignored.
+    ``parity``: the SentencePiece library gives the same ids. A null text is an empty one and has no ids. The mark itself (U+2581) in a text
+    decodes as a space. Repeated rows stay; an empty table gives an empty result; other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
     data = open(model_path, "rb").read()
     key = zlib.crc32(data)
-    shared = docs.sparkSession.sparkContext.broadcast(data)  # the model file: its size is that of the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast((data, rebuilt(data)))  # the model file: its size is that of the vocabulary
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _codecs:
-            _codecs[key] = SentencePieceCodec(shared.value)
+            _codecs[key] = SentencePieceCodec(*shared.value)
         codec = _codecs[key]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
-                texts = part.column(1).to_pylist()
-                ids = codec.encode(texts)
-                back = [codec.decode(x) for x in ids]
-                wide = [np.frombuffer(x, np.uint32 if codec.chunks.wide else np.uint16).astype("<i4") for x in ids]
-                ends = np.cumsum([0, *map(len, wide)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(wide) if wide else np.zeros(0, "<i4")))
-                columns = [part.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array([zlib.crc32(x.tobytes()) for x in wide], pa.int64()), lists]
-                columns += [pa.array(list(map(len, back)), pa.int64()), pa.array([a == b for a, b in zip(texts, back, strict=True)]), pa.array([len(codec.odd_chunks)] * len(texts), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids_crc32", "ids", "decoded_chars", "round_trip", "own_chunks"])
-        codec.chunks.trim()
-
-    schema = f"doc_id {kind}, n_ids long, ids_crc32 long, ids array<int>, decoded_chars long, round_trip boolean, own_chunks long"
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lambda b: tidy(run(b)), schema)
+        for part in (x for batch in batches for x in slices(batch)):
+            texts = part.column(1).to_pylist()
+            ids, parity = codec.encode(texts)
+            back = [codec.decode(x) for x in ids]
+            wide = [np.frombuffer(x, np.uint32 if codec.chunks.wide else np.uint16).astype("<i4") for x in ids]
+            ends = np.cumsum([0, *map(len, wide)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(wide) if wide else np.zeros(0, "<i4")))
+            columns = [part.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array([zlib.crc32(x.tobytes()) for x in wide], pa.int64()), lists]
+            columns += [pa.array(list(map(len, back)), pa.int64()), pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()), pa.array(parity, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids_crc32", "ids", "decoded_chars", "round_trip", "parity"])
+        codec.forget()
+
+    schema = f"doc_id {kind}, n_ids long, ids_crc32 long, ids array<int>, decoded_chars long, round_trip boolean, parity boolean"
+    return materialize(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lambda b: tidy(run(b)), schema), "pieces")

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty, tidy
+from .common import fetch, materialize, text_or_empty, tidy
 from .quality import learnable
 
 WINDOW_WORDS = 8
@@ -158,11 +158,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_ou
     classes every score is the share of label 1 among them (0 if there are none). Repeated rows score alike; an empty table gives an
     empty result; a null doc_id is not held out; other columns, among them lang and source, are not read.
     """
-    bounded_batches(docs.sparkSession)
     sample = learnable(labels, "toxic", modulus, held_out, learn_rows)
     # the bound on rows of each class holds before the texts travel
     few = sample.where("y = 1").orderBy(F.xxhash64("doc_id")).limit(TOXIC_ROWS).unionByName(sample.where("y = 0").orderBy(F.xxhash64("doc_id")).limit(ORDINARY_ROWS))
-    rows = docs.join(F.broadcast(few), "doc_id").select("doc_id", text_or_empty().alias("text"), "y").toPandas()
+    rows = docs.join(F.broadcast(few), "doc_id").select("doc_id", text_or_empty().alias("text"), "y")
+    rows = fetch(rows)
     rows = rows.sort_values(["doc_id", "y", "text"]).sample(frac=1, random_state=1) if len(rows) else rows
     model = docs.sparkSession.sparkContext.broadcast(learn(list(zip(rows["text"], rows["y"], strict=True))))
     kind = dict(docs.dtypes)["doc_id"]
@@ -176,4 +176,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_ou
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got), pa.array((got >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held_out, F.lit(False))
-    return docs.select("doc_id", out.alias("held_out"), text_or_empty().alias("text")).mapInArrow(lambda b: tidy(score(b)), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    scored = docs.select("doc_id", out.alias("held_out"), text_or_empty().alias("text")).mapInArrow(lambda b: tidy(score(b)), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return materialize(scored, "toxicity-scores")
