@@ -7,7 +7,6 @@ folder that the session's spark.checkpoint.dir names.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veilspark.llm import exact_dedup, mixing, near_dedup, quality, sentence_pieces
 from veilspark.llm.common import materialize, table
@@ -15,27 +14,30 @@ from veilspark.llm.queries import tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not predict to be of low quality, all columns as they were."""
-    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
-    rejected = materialize(scored.where("predicted = 0 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct(), "rejected")
-    return docs.join(rejected, F.col("doc_id") == F.col("_id"), "left_anti")
+    """Documents that the classifier doesn't predict to be of low quality. Each row is judged by its text; nulls, empty texts, repeated rows and
+    empty tables as in ``quality.good_documents``."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts, null and empty ones being equal; ties, repeated rows and empty tables as in ``drop_exact_copies``."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group stays: five-word shingles, similarity 0.8 or more. Rows without id and texts without words stay; repeated ids and
+    empty tables as in ``drop_near_copies``."""
     return near_dedup.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document that the mix takes twice is there twice; one that it doesn't take is gone."""
+    """A row that the mix takes twice is there twice; one that it doesn't take is gone, as is any without words. Null sources and ids, repeated
+    rows and empty tables as in ``mixed_documents``."""
     return mixing.mixed_documents(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every row's whole text; nulls, repeated rows and empty tables as in ``encode_and_decode``."""
     return sentence_pieces.encode_and_decode(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
