@@ -172,7 +172,7 @@ class Scorer:
             np.add.at(self.index, (np.arange(TERMS), place[:, k]), sign[:, k])
 
     def features(self, texts: list[str]) -> np.ndarray:
-        return np.stack([pooled(t, self.vectors, self.index) for t in texts]) if texts else np.zeros((0, 3 * DIMENSIONS), np.float32)
+        return np.stack([pooled(t, self.vectors, self.index) for t in texts]).astype(np.float32) if texts else np.zeros((0, 3 * DIMENSIONS), np.float32)
 
     def score(self, texts: list[str]) -> np.ndarray:
         return self.net.score(self.features(texts).astype(float)) if self.net and texts else np.full(len(texts), self.share)

@@ -77,7 +77,7 @@ def trained(texts: list[list[str]]) -> bytes:
     """A zstandard dictionary trained on the texts in pieces of 40 words; the text itself if there is too little of it."""
     samples = [" ".join(w[i : i + 40]).encode() for w in texts for i in range(0, len(w), 40)]
     try:
-        return zstandard.train_dictionary(SHARED_BYTES, samples[:60_000]).as_bytes()
+        return zstandard.train_dictionary(SHARED_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
         return b" ".join(samples)[:SHARED_BYTES]
 
@@ -161,7 +161,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_ou
     sample = learnable(labels, "toxic", modulus, held_out, learn_rows)
     # the bound on rows of each class holds before the texts travel
     few = sample.where("y = 1").orderBy(F.xxhash64("doc_id")).limit(TOXIC_ROWS).unionByName(sample.where("y = 0").orderBy(F.xxhash64("doc_id")).limit(ORDINARY_ROWS))
-    rows = docs.join(F.broadcast(few), "doc_id").select("doc_id", text_or_empty().alias("text"), "y")
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", "text", "y")
     rows = fetch(rows)
     rows = rows.sort_values(["doc_id", "y", "text"]).sample(frac=1, random_state=1) if len(rows) else rows
     model = docs.sparkSession.sparkContext.broadcast(learn(list(zip(rows["text"], rows["y"], strict=True))))
