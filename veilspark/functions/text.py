@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,55 +28,73 @@ class Pattern:
         return re.sub(r"\(\?=[^()]*\)$", "", self.regex)
 
 
-def _matches(text: str, regex: str, no: int) -> Column:
-    gaps = F.split(text, regex, -1)
-    one = lambda m, i: F.struct(F.lit(no).alias("no"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), m.alias("value"))
-    return F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), one)
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def find_spans(df: DataFrame, text: str, patterns: list[Pattern]) -> DataFrame:
-    """One row a match: the other columns of ``df`` and entity_type, start_pos, end_pos, value, score, recognizer, pattern_no.
+#: Matches of a text whose ends are summed in one go; longer lists are summed part by part.
+PART = 256
+SPAN = "array<struct<no:int,start_pos:bigint,end_pos:bigint,value:string,context:string>>"
 
-    Offsets are code points, the end exclusive: each match ends behind the gaps and matches before it. A row's matches are summed by a
-    window over that row's matches alone, so nothing but matches is shuffled.
+
+def located(text: Column, pattern: Pattern, no: int = 0, before: int = 0, behind: int = 0) -> Column:
+    """The spans of ``pattern`` in one text, as an array of SPAN: ``context`` is the text from ``before`` characters before a match to ``behind``
+    characters after it (null if neither is asked for).
+
+    A match ends behind the gaps and matches before it; all happens within the row, so no row is shuffled and no text copied.
     """
+    gaps = F.transform(F.split(text, pattern.regex, -1), F.length)
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0)), gaps, lambda m, g: F.struct(m.alias("value"), g.cast("long").alias("gap")))
+    width = lambda x: x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))
+
+    def span(end: Column, match: Column) -> Column:
+        value = F.regexp_extract(match, pattern.of_match, pattern.group) if pattern.group else match
+        context = around(text, end - F.length(match), end, before, behind) if before or behind else F.lit(None).cast("string")
+        # a captured value ends its match
+        return F.struct(F.lit(no).alias("no"), (end - F.length(value)).alias("start_pos"), end.alias("end_pos"), value.alias("value"), context.alias("context"))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["at"] + width(x)
+        grown = F.struct(end.alias("at"), F.array_append(acc["spans"], span(end, x["value"])).alias("spans"))
+        return F.when(x["value"].isNull(), acc).otherwise(grown)
+
+    def part(all_: Column, i: Column) -> Column:
+        first = F.aggregate(F.slice(all_, F.lit(1), i * PART), F.lit(0).cast("long"), lambda acc, x: acc + width(x))
+        start = F.struct(first.alias("at"), F.array().cast(SPAN).alias("spans"))
+        return F.aggregate(F.slice(all_, i * PART + 1, F.lit(PART)), start, step, lambda acc: acc["spans"])
+
+    parts = lambda all_: F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / PART).cast("int")), lambda i: part(all_, i)))
+    return F.when(text.rlike(pattern.regex), bound(pairs, parts)).otherwise(F.array().cast(SPAN))
+
+
+def find_spans(df: DataFrame, text: str, patterns: list[Pattern], before: int = 0, behind: int = 0) -> DataFrame:
+    """One row a match: the other columns of ``df`` and entity_type, start_pos, end_pos, value, score, recognizer, pattern_no, and where it
+    is asked for the context. Offsets are code points, the end exclusive."""
     rest = [c for c in df.columns if c != text]
-    empty = F.array().cast("array<struct<no:int,i:int,gap:int,value:string>>")
-    found = []
-    for no, p in enumerate(patterns):
-        found.append(F.when(F.col(text).rlike(p.regex), _matches(text, p.regex, no)).otherwise(empty))
-    rows = df.withColumn("_row", F.monotonically_increasing_id()).select("_row", *rest, F.explode(F.concat(*found)).alias("_m")).select("_row", *rest, "_m.*")
-    upto = Window.partitionBy("_row", "no").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    ended = rows.withColumn("end_pos", F.sum(F.col("gap") + F.length("value")).over(upto).cast("long"))
+    (m,) = [n for n in ("_m", "__m", "___m") if n not in rest][:1]
+    found = F.concat(*[located(F.col(text), p, no, before, behind) for no, p in enumerate(patterns)])
 
     def pick(of) -> Column:
         out = F.lit(of(patterns[0]))
         for no, p in enumerate(patterns[1:], 1):
-            out = F.when(F.col("no") == no, F.lit(of(p))).otherwise(out)
+            out = F.when(F.col(f"{m}.no") == no, F.lit(of(p))).otherwise(out)
         return out
 
-    value = F.col("value")
-    for no, p in enumerate(patterns):
-        if p.group:
-            value = F.when(F.col("no") == no, F.regexp_extract("value", p.of_match, p.group)).otherwise(value)
-    # a captured value ends its match
-    return ended.withColumn("value", value).select(
-        *rest, pick(lambda p: p.entity).alias("entity_type"), (F.col("end_pos") - F.length("value")).cast("long").alias("start_pos"), "end_pos", "value",
-        pick(lambda p: float(p.score)).alias("score"), pick(lambda p: p.recognizer).alias("recognizer"), F.col("no").alias("pattern_no"),
+    return df.select(*rest, F.explode(found).alias(m)).select(
+        *rest, pick(lambda p: p.entity).alias("entity_type"), f"{m}.start_pos", f"{m}.end_pos", f"{m}.value", pick(lambda p: float(p.score)).alias("score"),
+        pick(lambda p: p.recognizer).alias("recognizer"), F.col(f"{m}.no").alias("pattern_no"), *([f"{m}.context"] if before or behind else []),
     )
 
 
 def around(text: Column, start: Column, end: Column, before: int, behind: int) -> Column:
     """The text from ``before`` characters before a span to ``behind`` characters after it."""
     first = F.greatest(start - before, F.lit(0))
-    return F.substring(text, first.cast("int") + 1, (F.least(end + behind, F.length(text)) - first).cast("int"))
+    return F.substring(text, first.cast("int") + 1, (end + behind - first).cast("int"))
 
 
 def contains_any(text: Column, words) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | text.contains(w)
-    return out
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def digits(value: Column) -> Column:

@@ -59,12 +59,12 @@ def protect_values(df: DataFrame, columns: dict[str, str], key: bytes) -> tuple[
 
 def find_tokens(df: DataFrame, text: str = "text", context: int = 20) -> DataFrame:
     """Tokens in texts with the characters around them."""
-    spans = find_spans(df.withColumn("_t", F.col(text)), text, [Pattern("TOKEN", TOKEN, 1.0)])
-    before = F.substring("_t", F.greatest(F.col("start_pos") - context, F.lit(0)).cast("int") + 1, F.least(F.col("start_pos"), F.lit(context)).cast("int"))
+    spans = find_spans(df, text, [Pattern("TOKEN", TOKEN, 1.0)], context, context)
+    ahead = F.least("start_pos", F.lit(context)).cast("int")
     bare = F.regexp_replace("value", r"^\[\[|\]\]$", "")
     return spans.select(
         *[c for c in df.columns if c != text], "start_pos", "end_pos", F.col("value").alias("token"), F.regexp_extract(bare, r"^(.*)_([A-F0-9]+)$", 1).alias("entity_type"),
-        F.regexp_extract(bare, r"^(.*)_([A-F0-9]+)$", 2).alias("token_id"), before.alias("context_before"), F.substring("_t", F.col("end_pos").cast("int") + 1, F.lit(context)).alias("context_after"),
+        F.regexp_extract(bare, r"^(.*)_([A-F0-9]+)$", 2).alias("token_id"), F.left("context", ahead).alias("context_before"), F.substring("context", ahead + F.length("value") + 1, F.lit(context)).alias("context_after"),
     )
 
 

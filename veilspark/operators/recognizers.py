@@ -1,15 +1,18 @@
 """Recognizers: DataFrame of texts in, one row a detected span out.
 
-Scores that depend on the text around a span take it from the text column, which stays in the rows. All dates are judged against an
-explicit ``as_of``.
+Each recognizer is an array expression over one text (``..._found``): spans, scores and the rules among a text's own findings are worked out within the
+row, so detection shuffles nothing and many recognizers share one pass. All dates are judged against an explicit ``as_of``.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import Pattern, around, contains_any, digits, find_spans
+from ..functions.text import Pattern, bound, contains_any, digits, located
 
 #: Patterns, code lists, keywords and scores of the detected entities.
 EMAIL = Pattern("EMAIL_ADDRESS", r"(?iuU)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", 0.9)
@@ -74,18 +77,39 @@ PERSONS = [
 ]
 
 
-def _spans(df: DataFrame, text: str, patterns: list[Pattern]) -> DataFrame:
-    """Spans beside a copy of their text."""
-    return find_spans(df.withColumn("_text", F.col(text)), text, patterns)
+FOUND = ("entity_type", "start_pos", "end_pos", "value", "score", "recognizer")
+NONE = "array<struct<entity_type:string,start_pos:bigint,end_pos:bigint,value:string,score:double,recognizer:string>>"
+Score = Callable[[Column], Column]
+
+
+def scored(spans: Column, pattern: Pattern, score: Score | None = None) -> Column:
+    """Spans of one pattern as findings; those that score nothing go. ``score``: of a span (value, context), else the pattern's own."""
+    own = score or (lambda x: F.lit(float(pattern.score)))
+    fields = lambda x: (F.lit(pattern.entity), x["start_pos"], x["end_pos"], x["value"], F.round(own(x), 6).cast("double"), F.lit(pattern.recognizer))
+    return F.filter(F.transform(spans, lambda x: F.struct(*[f.alias(n) for n, f in zip(FOUND, fields(x), strict=True)])), lambda x: x["score"] > 0)
+
+
+def first_of_equal(found: Column) -> Column:
+    """Of findings with equal spans the first."""
+    spot = lambda x: F.struct(x["start_pos"], x["end_pos"])
+    numbered = F.array_sort(F.transform(found, lambda x, i: F.struct(x["start_pos"], x["end_pos"], i.alias("i"), x.alias("x"))))
+    differs = lambda all_: F.filter(all_, lambda y, i: (i == 0) | (spot(y["x"]) != spot(F.get(all_, F.greatest(i - 1, F.lit(0)))["x"])))
+    return F.transform(bound(numbered, differs), lambda y: y["x"])
+
+
+def rows_of(df: DataFrame, text: str, found: Column) -> DataFrame:
+    """One row a finding beside the other columns."""
+    rest = [c for c in df.columns if c != text]
+    return df.select(*rest, F.inline(found))
 
 
-def _done(df: DataFrame, score: Column) -> DataFrame:
-    return df.withColumn("score", F.round(score, 6)).where("score > 0").drop("_text", "pattern_no")
+def general_found(text: Column, patterns: list[Pattern] | None = None) -> Column:
+    return F.concat(*[scored(located(text, p), p) for p in patterns or GENERAL])
 
 
 def general(df: DataFrame, text: str = "text", patterns: list[Pattern] | None = None) -> DataFrame:
     """Mail, phone, card, IP, URL and IBAN spans; pass some of GENERAL to prune recognizers before they run."""
-    return find_spans(df, text, patterns or GENERAL).drop("pattern_no")
+    return rows_of(df, text, general_found(F.col(text), patterns))
 
 
 def _calendar(code: Column, shift_women: bool) -> tuple[Column, Column, Column, Column]:
@@ -104,9 +128,13 @@ def nik_score(number: Column) -> Column:
     return F.when(F.substring(number, 1, 2).isin(PROVINCES), F.least(F.lit(0.7) + born, F.lit(1.0))).otherwise(0.0)
 
 
+def nik_found(text: Column) -> Column:
+    p = Pattern("ID_NIK", SIXTEEN, 0.5, "nik")
+    return scored(located(text, p), p, lambda x: bound(digits(x["value"]), nik_score))
+
+
 def nik(df: DataFrame, text: str = "text") -> DataFrame:
-    found = _spans(df, text, [Pattern("ID_NIK", SIXTEEN, 0.5, "nik")])
-    return _done(found, nik_score(digits(F.col("value"))))
+    return rows_of(df, text, nik_found(F.col(text)))
 
 
 def nik_parts(number: Column) -> Column:
@@ -118,32 +146,47 @@ def nik_parts(number: Column) -> Column:
     )
 
 
+def kk_found(text: Column, as_of: str) -> Column:
+    p = Pattern("ID_KK", SIXTEEN, 0.4, "kk")
+
+    def score(x: Column) -> Column:
+        def of(number: Column) -> Column:
+            day, _, sane, date = _calendar(F.substring(number, 7, 6), False)
+            when = F.when(~sane, -0.1).when(date.isNull(), 0.06).when(date <= F.lit(as_of).cast("date"), 0.2).otherwise(0.1)
+            raw = F.lit(0.4) + F.when(contains_any(F.lower(x["context"]), KK_KEYWORDS), 0.3).otherwise(0.0) + when - F.when(day > 31, 0.2).otherwise(0.0)
+            return F.when(F.substring(number, 1, 2).isin(PROVINCES), F.greatest(F.lit(0.0), F.least(raw, F.lit(0.95)))).otherwise(0.0)
+
+        return bound(digits(x["value"]), of)
+
+    return scored(located(text, p, 0, 50, 30), p, score)
+
+
 def kk(df: DataFrame, as_of: str, text: str = "text") -> DataFrame:
-    found = _spans(df, text, [Pattern("ID_KK", SIXTEEN, 0.4, "kk")])
-    number = digits(F.col("value"))
-    day, _, sane, date = _calendar(F.substring(number, 7, 6), False)
-    when = F.when(~sane, -0.1).when(date.isNull(), 0.06).when(date <= F.lit(as_of).cast("date"), 0.2).otherwise(0.1)
-    near = contains_any(F.lower(around(F.col("_text"), F.col("start_pos"), F.col("end_pos"), 50, 30)), KK_KEYWORDS)
-    raw = F.lit(0.4) + F.when(near, 0.3).otherwise(0.0) + when - F.when(day > 31, 0.2).otherwise(0.0)
-    return _done(found, F.when(F.substring(number, 1, 2).isin(PROVINCES), F.greatest(F.lit(0.0), F.least(raw, F.lit(0.95)))).otherwise(0.0))
+    return rows_of(df, text, kk_found(F.col(text), as_of))
 
 
-def npwp(df: DataFrame, text: str = "text") -> DataFrame:
+def npwp_found(text: Column) -> Column:
     """Numbers of 15 digits, then those of 16 that no 15-digit one covers."""
-    keyed = df.withColumn("_key", F.monotonically_increasing_id())
-    old = _spans(keyed, text, [Pattern("ID_NPWP", NPWP_OLD, 0.75, "npwp")])
-    number = digits(F.col("value"))
-    left = sum((F.substring(number, i + 1, 1).cast("int") * w for i, w in enumerate(NPWP_WEIGHTS)), F.lit(0)) % 11
-    expected = F.when(left == 0, 0).otherwise(11 - left)
-    check = (F.substring(number, 9, 1).cast("int") == expected) | (expected >= 10)
-    old = _done(old, F.when(F.substring(number, 1, 2).isin(SUBJECTS), F.when(check, 0.9).otherwise(0.75)).otherwise(0.0))
-    new = _spans(keyed, text, [Pattern("ID_NPWP", NPWP_NEW, 0.5, "npwp")])
-    near = contains_any(F.lower(around(F.col("_text"), F.col("start_pos"), F.col("end_pos"), 50, 30)), NPWP_KEYWORDS)
-    moved = number.startswith("0") & F.substring(number, 2, 2).isin(SUBJECTS)
-    new = _done(new, F.when(moved, F.when(near, 0.9).otherwise(0.75)).when(near, 0.85).otherwise(0.5))
-    cover = old.select(F.col("_key").alias("_k"), F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e"))
-    new = new.join(cover, (F.col("_key") == F.col("_k")) & (F.col("_s") <= F.col("start_pos")) & (F.col("_e") >= F.col("end_pos")), "left_anti")
-    return old.unionByName(new).drop("_key")
+    old, new = Pattern("ID_NPWP", NPWP_OLD, 0.75, "npwp"), Pattern("ID_NPWP", NPWP_NEW, 0.5, "npwp")
+
+    def fifteen(number: Column) -> Column:
+        left = sum((F.substring(number, i + 1, 1).cast("int") * w for i, w in enumerate(NPWP_WEIGHTS)), F.lit(0)) % 11
+        expected = F.when(left == 0, 0).otherwise(11 - left)
+        check = (F.substring(number, 9, 1).cast("int") == expected) | (expected >= 10)
+        return F.when(F.substring(number, 1, 2).isin(SUBJECTS), F.when(check, 0.9).otherwise(0.75)).otherwise(0.0)
+
+    def sixteen(x: Column) -> Column:
+        near = contains_any(F.lower(x["context"]), NPWP_KEYWORDS)
+        moved = lambda n: F.when(n.startswith("0") & F.substring(n, 2, 2).isin(SUBJECTS), F.when(near, 0.9).otherwise(0.75)).when(near, 0.85).otherwise(0.5)
+        return bound(digits(x["value"]), moved)
+
+    longer = scored(located(text, new, 1, 50, 30), new, sixteen)
+    covered = lambda x, by: F.exists(by, lambda y: (y["start_pos"] <= x["start_pos"]) & (y["end_pos"] >= x["end_pos"]))
+    return bound(scored(located(text, old), old, lambda x: bound(digits(x["value"]), fifteen)), lambda kept: F.concat(kept, F.filter(longer, lambda x: ~covered(x, kept))))
+
+
+def npwp(df: DataFrame, text: str = "text") -> DataFrame:
+    return rows_of(df, text, npwp_found(F.col(text)))
 
 
 def local_phone(value: Column) -> Column:
@@ -151,89 +194,126 @@ def local_phone(value: Column) -> Column:
     return F.when(number.startswith("+62"), F.concat(F.lit("0"), F.substring(number, 4, 100))).when(number.startswith("62"), F.concat(F.lit("0"), F.substring(number, 3, 100))).otherwise(number)
 
 
-def id_phone(df: DataFrame, text: str = "text") -> DataFrame:
+def id_phone_found(text: Column) -> Column:
     """Mobile patterns, then landline ones, in order; a hit that overlaps an accepted one is dropped."""
-    keyed = df.withColumn("_key", F.monotonically_increasing_id())
-    found = find_spans(keyed, text, MOBILE + LANDLINE)
-    number = local_phone(F.col("value"))
-    mobile = F.col("pattern_no") < len(MOBILE)
-    carrier = F.when(F.substring(number, 1, 4).isin(CARRIERS), 0.05).otherwise(-0.2)
-    area = F.when(F.lit(False), 0.0)
-    for code in AREAS:
-        area = area.when(number.startswith(code), 0.1)
-    score = F.when(mobile, F.col("score") + carrier - F.when(F.length(number).between(10, 13), 0.0).otherwise(0.3)).otherwise(
-        F.col("score") + area.otherwise(0.0) - F.when(F.length(number).between(9, 12), 0.0).otherwise(0.2)
-    )
-    able = F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 6)
-    scored = found.withColumn("score", able).where((F.col("score") > 0.5) & (mobile | ~number.startswith("08")))
-    rest = [c for c in df.columns if c != text]
-    one = F.struct("pattern_no", "start_pos", "end_pos", "value", "score", "entity_type", "recognizer")
-    row = scored.groupBy("_key", *rest).agg(F.array_sort(F.collect_list(one)).alias("all"))
+
+    def score(p: Pattern, mobile: bool) -> Score:
+        def of(number: Column) -> Column:
+            if mobile:
+                raw = F.lit(p.score) + F.when(F.substring(number, 1, 4).isin(CARRIERS), 0.05).otherwise(-0.2) - F.when(F.length(number).between(10, 13), 0.0).otherwise(0.3)
+                able = F.lit(True)
+            else:
+                area = number.rlike(f"^(?:{'|'.join(AREAS)})")
+                raw = F.lit(p.score) + F.when(area, 0.1).otherwise(0.0) - F.when(F.length(number).between(9, 12), 0.0).otherwise(0.2)
+                able = ~number.startswith("08")
+            bounded = F.round(F.greatest(F.lit(0.0), F.least(raw, F.lit(1.0))), 6)
+            return F.when(able & (bounded > 0.5), bounded).otherwise(0.0)
+
+        return lambda x: bound(local_phone(x["value"]), of)
+
+    every = F.concat(*[scored(located(text, p), p, score(p, p in MOBILE)) for p in MOBILE + LANDLINE])
     hits = lambda acc, x: F.exists(acc, lambda y: (x["start_pos"] < y["end_pos"]) & (x["end_pos"] > y["start_pos"]))
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(hits(acc, x), acc).otherwise(F.array_append(acc, x)))
-    return row.select(*rest, F.explode(kept).alias("k")).select(*rest, "k.entity_type", "k.start_pos", "k.end_pos", "k.value", "k.score", "k.recognizer")
+    return F.aggregate(every, F.array().cast(NONE), lambda acc, x: F.when(hits(acc, x), acc).otherwise(F.array_append(acc, x)))
+
+
+def id_phone(df: DataFrame, text: str = "text") -> DataFrame:
+    return rows_of(df, text, id_phone_found(F.col(text)))
+
+
+def bpjs_found(text: Column) -> Column:
+    p = Pattern("ID_BPJS", r"(?U)\b\d{4}[\s.\-]?\d{4}[\s.\-]?\d{5}\b", 0.75, "bpjs")
+
+    def score(x: Column) -> Column:
+        bad = lambda n: n.rlike(r"^(\d)\1{12}$") | (n == "0123456789012")
+        near = contains_any(F.lower(x["context"]), BPJS_KEYWORDS)
+        return bound(digits(x["value"]), lambda n: F.when(~near | bad(n), 0.0).when(n.startswith("0"), 0.85).otherwise(0.75))
+
+    return scored(located(text, p, 0, 50, 30), p, score)
 
 
 def bpjs(df: DataFrame, text: str = "text") -> DataFrame:
-    found = _spans(df, text, [Pattern("ID_BPJS", r"(?U)\b\d{4}[\s.\-]?\d{4}[\s.\-]?\d{5}\b", 0.75, "bpjs")])
-    number = digits(F.col("value"))
-    near = contains_any(F.lower(around(F.col("_text"), F.col("start_pos"), F.col("end_pos"), 50, 30)), BPJS_KEYWORDS)
-    bad = number.rlike(r"^(\d)\1{12}$") | (number == "0123456789012")
-    return _done(found, F.when(~near | bad, 0.0).when(number.startswith("0"), 0.85).otherwise(0.75))
+    return rows_of(df, text, bpjs_found(F.col(text)))
 
 
-def birth_date(df: DataFrame, as_of: str, text: str = "text") -> DataFrame:
-    """Dates that a label or a person in the text makes birth dates; the first of equal spans counts."""
+def birth_date_found(text: Column, as_of: str) -> Column:
+    """Dates that a label or a person in the text makes birth dates."""
     shapes = [
         Pattern("DATE_OF_BIRTH", r"(?U)\b\d{1,2}[\s\-/]+[A-Za-z]{3,9}[\s\-/]+\d{4}\b", 0, "date_of_birth"),
         Pattern("DATE_OF_BIRTH", r"(?U)\b\d{1,2}[/\-]\d{1,2}[/\-]\d{4}\b", 0, "date_of_birth"),
         Pattern("DATE_OF_BIRTH", r"(?U)\b\d{4}[/\-]\d{1,2}[/\-]\d{1,2}\b", 0, "date_of_birth"),
     ]
-    lower = F.lower(F.col(text))
-    label, person = contains_any(lower, BIRTH_LABELS), F.col(text).rlike(r"(?U)\b[A-Z][a-z]{2,}\s+[A-Z][a-z]{2,}\b")
-    found = _spans(df.where(label | person), text, shapes)
-    part = lambda i: F.get(F.regexp_extract_all("value", F.lit(r"[0-9]+|[A-Za-z]+"), F.lit(0)), F.lit(i))
     month_names = F.create_map(*[x for k, v in MONTHS.items() for x in (F.lit(k), F.lit(v))])
-    month = F.when(F.col("pattern_no") == 0, F.try_element_at(month_names, F.lower(part(1)))).otherwise(part(1).try_cast("int"))
-    year, day = F.when(F.col("pattern_no") == 2, part(0)).otherwise(part(2)), F.when(F.col("pattern_no") == 2, part(2)).otherwise(part(0))
-    date = F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
     today = F.lit(as_of).cast("date")
-    lower = F.lower(F.col("_text"))
-    before = F.substring_index(F.substring(lower, F.greatest(F.col("start_pos") - 30, F.lit(0)).cast("int") + 1, F.least(F.col("start_pos"), F.lit(30)).cast("int")), "\n", -1)
-    labelled = contains_any(before, BIRTH_LABELS)
-    recent = (date >= F.add_months(today, -24)) | ((F.year(date) == F.year(today)) & (F.month(date) == F.month(today)))
-    good = month.isNotNull() & date.isNotNull() & (F.year(date) >= MIN_BIRTH_YEAR) & (date <= today) & (labelled | ~recent)
-    score = F.when(~F.coalesce(good, F.lit(False)), 0.0).when(labelled, 0.95).when(contains_any(lower, BIRTH_LABELS), 0.85).otherwise(0.65)
-    return _done(found, score)
 
+    def score(no: int, label: Column) -> Score:
+        def of(x: Column) -> Column:
+            # the context ends with the match; a label counts on the match's own line, 30 characters back at most
+            ahead = F.left(x["context"], F.length(x["context"]) - F.length(x["value"]))
+            labelled = contains_any(F.substring_index(F.lower(ahead), "\n", -1), BIRTH_LABELS)
 
-def person(df: DataFrame, text: str = "text") -> DataFrame:
+            def judged(parts: Column) -> Column:
+                part = lambda i: F.get(parts, F.lit(i))
+                month = F.try_element_at(month_names, F.lower(part(1))) if no == 0 else part(1).try_cast("int")
+                year, day = (part(0), part(2)) if no == 2 else (part(2), part(0))
+
+                def at(date: Column) -> Column:
+                    recent = (date >= F.add_months(today, -24)) | ((F.year(date) == F.year(today)) & (F.month(date) == F.month(today)))
+                    good = date.isNotNull() & (F.year(date) >= MIN_BIRTH_YEAR) & (date <= today) & (labelled | ~recent)
+                    return F.when(~F.coalesce(good, F.lit(False)), 0.0).when(labelled, 0.95).when(label, 0.85).otherwise(0.65)
+
+                whole = F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0"))
+                return bound(F.when(month.isNotNull(), whole.try_cast("date")), at)
+
+            return bound(F.regexp_extract_all(x["value"], F.lit(r"[0-9]+|[A-Za-z]+"), F.lit(0)), judged)
+
+        return of
+
+    person = text.rlike(r"(?U)\b[A-Z][a-z]{2,}\s+[A-Z][a-z]{2,}\b")
+    every = lambda label: F.concat(*[scored(located(text, p, no, 30, 0), p, score(no, label)) for no, p in enumerate(shapes)])
+    return bound(contains_any(F.lower(text), BIRTH_LABELS), lambda label: F.when(label | person, every(label)).otherwise(F.array().cast(NONE)))
+
+
+def birth_date(df: DataFrame, as_of: str, text: str = "text") -> DataFrame:
+    return rows_of(df, text, birth_date_found(F.col(text), as_of))
+
+
+def person_found(text: Column) -> Column:
     """Names behind labels, record ids, JSON keys and cues; the first pattern counts where spans agree."""
-    keyed = df.withColumn("_key", F.monotonically_increasing_id())
-    found = find_spans(keyed, text, PERSONS)
-    best = found.groupBy("_key", "start_pos", "end_pos").agg(F.min_by(F.struct(*[c for c in found.columns if c not in ("_key", "start_pos", "end_pos")]), "pattern_no").alias("b"))
-    return best.select("b.*", "start_pos", "end_pos").drop("pattern_no")
+    return first_of_equal(F.concat(*[scored(located(text, p), p) for p in PERSONS]))
 
 
-def custom(df: DataFrame, rules: list[tuple[str, str, str]], text: str = "text") -> DataFrame:
-    """User patterns: (label, kind, pattern), kind one of regex, word, contains, exact; case is ignored, score 0.95, equal spans count once
-    for the first rule. Labels become upper-case names."""
+def person(df: DataFrame, text: str = "text") -> DataFrame:
+    return rows_of(df, text, person_found(F.col(text)))
+
+
+def custom_patterns(rules: list[tuple[str, str, str]]) -> list[Pattern]:
     quote = lambda s: r"\Q" + s.replace(r"\E", r"\E\\E\Q") + r"\E"
     regex = {"regex": lambda p: p, "word": lambda p: rf"\b{quote(p)}\b", "contains": quote, "exact": lambda p: rf"\A{quote(p)}\z"}
-    import re
-
-    named = [Pattern(re.sub(r"[^A-Z0-9]+", "_", label.strip().upper()).strip("_") or "CUSTOM", f"(?iuU){regex[kind](p)}", 0.95, "custom") for label, kind, p in rules]
-    keyed = df.withColumn("_key", F.monotonically_increasing_id())
-    found = find_spans(keyed, text, named)
-    best = found.groupBy("_key", "start_pos", "end_pos").agg(F.min_by(F.struct(*[c for c in found.columns if c not in ("_key", "start_pos", "end_pos")]), "pattern_no").alias("b"))
-    return best.select("b.*", "start_pos", "end_pos").drop("pattern_no")
-
-
-def scan(df: DataFrame, as_of: str, text: str = "text", rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """All recognizers over one text column: raw spans, overlaps left in."""
-    parts = [general(df, text), nik(df, text), kk(df, as_of, text), npwp(df, text), id_phone(df, text), bpjs(df, text), birth_date(df, as_of, text), person(df, text)]
-    parts += [custom(df, rules, text)] if rules else []
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return [Pattern(re.sub(r"[^A-Z0-9]+", "_", label.strip().upper()).strip("_") or "CUSTOM", f"(?iuU){regex[kind](p)}", 0.95, "custom") for label, kind, p in rules]
+
+
+def custom_found(text: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """User patterns: (label, kind, pattern), kind one of regex, word, contains, exact; case is ignored, score 0.95, equal spans count once
+    for the first rule. Labels become upper-case names."""
+    return first_of_equal(F.concat(*[scored(located(text, p), p) for p in custom_patterns(rules)]))
+
+
+def custom(df: DataFrame, rules: list[tuple[str, str, str]], text: str = "text") -> DataFrame:
+    return rows_of(df, text, custom_found(F.col(text), rules))
+
+
+#: All recognizers of ``scan`` by name: the findings of a text, given the date to judge by.
+REGISTRY: dict[str, Callable[[Column, str], Column]] = {
+    "general": lambda t, as_of: general_found(t), "nik": lambda t, as_of: nik_found(t), "kk": kk_found, "npwp": lambda t, as_of: npwp_found(t), "id_phone": lambda t, as_of: id_phone_found(t),
+    "bpjs": lambda t, as_of: bpjs_found(t), "date_of_birth": birth_date_found, "id_person": lambda t, as_of: person_found(t),
+}
+
+
+def scan(df: DataFrame, as_of: str, text: str = "text", rules: list[tuple[str, str, str]] | None = None, only: list[str] | None = None, entities: list[str] | None = None) -> DataFrame:
+    """The recognizers of REGISTRY (or ``only`` those named) over one text column in one pass: raw spans, overlaps left in, of the entity types
+    asked for (all by default)."""
+    t = F.col(text)
+    parts = [REGISTRY[name](t, as_of) for name in only or REGISTRY]
+    parts += [custom_found(t, rules)] if rules else []
+    out = rows_of(df, text, F.concat(*parts))
+    return out.where(F.col("entity_type").isin(entities)) if entities else out

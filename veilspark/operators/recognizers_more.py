@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import Pattern, collapse, contains_any, digits, find_spans
+from ..functions.text import Pattern, bound, collapse, contains_any, digits, located
+from .recognizers import NONE, rows_of, scored
 
 #: Keywords, series letters and labels.
 LICENCE_WORDS = ["sim", "surat izin mengemudi", "driving license", "driver license", "driver's license"]
@@ -29,21 +30,38 @@ LABEL_PARTS = "mock emr nik npwp id no nomor".split()
 ADDRESS_LABELS = ["alamat", "address", "domisili", "jl.", "jalan", "kota", "kecamatan", "kelurahan"]
 
 
-def licence(df: DataFrame, text: str = "text") -> DataFrame:
+def licence_found(text: Column) -> Column:
     """Numbers of 12 to 14 digits in texts that speak of a licence; a named class adds to the score."""
-    found = find_spans(df.withColumn("_t", F.lower(text)), text, [Pattern("ID_SIM", r"(?U)\b\d{4}[\s.\-]?\d{4}[\s.\-]?\d{4}(?:[\s.\-]?\d{2})?\b|\b\d{12,14}\b", 0.7, "sim")])
-    kind = F.col("_t").rlike(r"(?U)\bsim\s*(b1|b2|a|b|c|d)\b")
-    score = F.when(digits(F.col("value")).rlike(r"^(\d)\1*$"), 0.0).otherwise(F.round(F.lit(0.7) + F.when(kind, 0.1).otherwise(0.0), 6))
-    return found.where(contains_any(F.col("_t"), LICENCE_WORDS)).withColumn("score", score).where("score > 0").drop("_t", "pattern_no")
+    p = Pattern("ID_SIM", r"(?U)\b\d{4}[\s.\-]?\d{4}[\s.\-]?\d{4}(?:[\s.\-]?\d{2})?\b|\b\d{12,14}\b", 0.7, "sim")
+    lower = F.lower(text)
+
+    def of(kind: Column) -> Column:
+        score = lambda x: F.when(digits(x["value"]).rlike(r"^(\d)\1*$"), 0.0).otherwise(F.lit(0.7) + F.when(kind, 0.1).otherwise(0.0))
+        return scored(located(text, p), p, score)
+
+    return F.when(contains_any(lower, LICENCE_WORDS), bound(lower.rlike(r"(?U)\bsim\s*(b1|b2|a|b|c|d)\b"), of)).otherwise(F.array().cast(NONE))
+
+
+def licence(df: DataFrame, text: str = "text") -> DataFrame:
+    return rows_of(df, text, licence_found(F.col(text)))
+
+
+def passport_found(text: Column) -> Column:
+    p = Pattern("ID_PASSPORT", r"(?iuU)\b[A-Z][\s.\-]?\d{7}\b", 0.4, "passport")
+
+    def of(near: Column) -> Column:
+        def score(x: Column) -> Column:
+            letter = F.upper(F.left(x["value"], F.lit(1)))
+            raw = F.lit(0.4) + F.when(letter.isin(PASSPORT_LETTERS), 0.2).otherwise(0.05) + F.when(near, 0.25).otherwise(-0.1)
+            return bound(digits(x["value"]), lambda n: F.when(n.rlike(r"^(\d)\1*$") | (n == "1234567"), 0.0).otherwise(raw))
+
+        return scored(located(text, p), p, score)
+
+    return bound(contains_any(F.lower(text), PASSPORT_WORDS), of)
 
 
 def passport(df: DataFrame, text: str = "text") -> DataFrame:
-    found = find_spans(df.withColumn("_t", F.lower(text)), text, [Pattern("ID_PASSPORT", r"(?iuU)\b[A-Z][\s.\-]?\d{7}\b", 0.4, "passport")])
-    number, letter = digits(F.col("value")), F.upper(F.left("value", F.lit(1)))
-    near = contains_any(F.col("_t"), PASSPORT_WORDS)
-    score = F.lit(0.4) + F.when(letter.isin(PASSPORT_LETTERS), 0.2).otherwise(0.05) + F.when(near, 0.25).otherwise(-0.1)
-    score = F.when(number.rlike(r"^(\d)\1*$") | (number == "1234567"), 0.0).otherwise(F.round(score, 6))
-    return found.withColumn("score", score).where("score > 0").drop("_t", "pattern_no")
+    return rows_of(df, text, passport_found(F.col(text)))
 
 
 def label_type(label: Column) -> Column:

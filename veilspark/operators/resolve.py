@@ -59,7 +59,12 @@ def by_margin(df: DataFrame, key: str = "segment_id", margin: float = 0.05) -> D
 def first_wins(df: DataFrame, key: str = "segment_id") -> DataFrame:
     """By start, best score and length; whatever overlaps an accepted finding is dropped."""
     order = [F.col("start_pos"), -F.col("score"), F.col("start_pos") - F.col("end_pos")]
-    return _folded(df, key, order, lambda acc, x: F.when(F.exists(acc, lambda y: overlap(x, y)), acc).otherwise(F.array_append(acc, x)))
+
+    def taken(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)  # accepted findings follow each other, so the last ends last; only empty spans need a look at all
+        return F.when(F.size(acc) == 0, False).when(last["start_pos"] < last["end_pos"], overlap(x, last)).otherwise(F.exists(acc, lambda y: overlap(x, y)))
+
+    return _folded(df, key, order, lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.array_append(acc, x)))
 
 
 def by_priority(df: DataFrame, key: str = "segment_id", strategy: str = "priority_first", least_ratio: float = 0.5) -> DataFrame:
