@@ -96,14 +96,19 @@ def admitted(df: DataFrame, types: list[str], least: float, allow_patterns: list
 
 
 def without_denied(df: DataFrame, terms: DataFrame, value: str = "value") -> DataFrame:
-    """Drops findings whose collapsed value is a term, or has several tokens of which each is a term. ``terms``: (term), collapsed."""
-    keyed = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_v", collapse(F.col(value)))
+    """Drops findings whose collapsed value is a term, or has several tokens of which each is a term. ``terms``: (term), collapsed.
+
+    The distinct values are judged, each once, and what is denied is joined back, so no row needs a number of its own.
+    """
+    values = df.select(collapse(F.col(value)).alias("_v")).where("_v is not null").distinct()
     t = terms.select(F.col("term").alias("_term")).distinct()
-    left = keyed.join(t, F.col("_v") == F.col("_term"), "left_anti")
+    whole = values.join(t, F.col("_v") == F.col("_term"), "left_semi")
     # only values of several tokens are taken apart
-    tokens = left.select("_row", F.array_distinct(F.filter(F.split("_v", r"(?U)[\s\-]+"), lambda x: x != "")).alias("t"), F.size(F.filter(F.split("_v", r"(?U)[\s\-]+"), lambda x: x != "")).alias("n")).where("n > 1")
-    all_denied = tokens.select("_row", F.size("t").alias("k"), F.explode("t").alias("_t")).join(t, F.col("_t") == F.col("_term")).groupBy("_row", "k").agg(F.count("*").alias("hit")).where("hit = k")
-    return left.join(all_denied.select("_row"), "_row", "left_anti").drop("_row", "_v")
+    tokens = F.filter(F.split("_v", r"(?U)[\s\-]+"), lambda x: x != "")
+    several = values.select("_v", F.array_distinct(tokens).alias("t"), F.size(tokens).alias("n")).where("n > 1")
+    each = several.select("_v", F.size("t").alias("k"), F.explode("t").alias("_t")).join(t, F.col("_t") == F.col("_term")).groupBy("_v", "k").agg(F.count("*").alias("hit")).where("hit = k")
+    denied = whole.unionByName(each.select("_v")).distinct().withColumnRenamed("_v", "_denied")
+    return df.join(denied, collapse(F.col(value)) == F.col("_denied"), "left_anti")
 
 
 def without_allowed(df: DataFrame, allowed: DataFrame, value: str = "value") -> DataFrame:

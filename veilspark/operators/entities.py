@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+from . import resolve
+
 #: Names of one kind under several labels.
 SAME_TYPE = {"PER": "PERSON", "GPE": "LOC", "ORGANIZATION": "ORG", "LOCATION": "LOC"}
 
@@ -36,3 +39,58 @@ def under_policy(findings: DataFrame, overrides: DataFrame, profile: DataFrame,
     least = F.coalesce("o_least_score", "p_least_score", F.lit(0.0))
     treatment = F.coalesce("o_treatment", "p_treatment", "category_treatment", F.lit("TOKEN"))
     return met.where(on & (F.col("score") >= least)).select(*findings.columns, treatment.alias("treatment"))
+
+
+def kept_predictions(predictions: DataFrame, key: str, least: float, types: list[str] | None = None) -> DataFrame:
+    """Predictions of enough score and of the types asked for, the first of overlapping ones (by start, then score)."""
+    good = predictions.where(F.col("score") >= least)
+    return resolve.first_wins(good.where(F.col("entity_type").isin(types)) if types else good, key)
+
+
+def chunk_starts(text: Column, most: int = 512, overlap: int = 50) -> Column:
+    """array<struct<start, end>>: pieces of at most ``most`` characters that overlap by ``overlap``; a piece ends behind its last space if that lies beyond its
+    middle."""
+    step = (most // 2 + 1) - overlap  # a piece moves on by more than this
+    n = F.length(text)
+
+    def cut(acc: Column, _: Column) -> Column:
+        last = F.element_at(acc, -1)
+        at = F.when(F.size(acc) == 0, 0).otherwise(last["end"] - overlap)
+        full = F.least(at + most, n)
+        piece = F.substring(text, at + 1, most)
+        space = F.length(piece) - F.locate(" ", F.reverse(piece)) + 1  # place of the last space, from 1; beyond the end if there is none
+        has = F.locate(" ", F.reverse(piece)) > 0
+        end = F.when((full < n) & has & (space - 1 > most // 2), at + space).otherwise(full)
+        done = (F.size(acc) > 0) & (last["end"] >= n)
+        return F.when(done, acc).otherwise(F.array_append(acc, F.struct(at.cast("int").alias("start"), end.cast("int").alias("end"))))
+
+    rounds = F.sequence(F.lit(0), F.floor(n / step).cast("int") + 1)
+    whole = F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))
+    return F.when(n <= most, whole).otherwise(F.aggregate(rounds, F.array().cast("array<struct<start:int,end:int>>"), cut))
+
+
+def chunks(texts: DataFrame, key: str, text: str = "text", most: int = 512, overlap: int = 50) -> DataFrame:
+    """(key, chunk, start_pos, text): the pieces of each text for a model that reads no more at once."""
+    pieces = texts.select(key, F.col(text).alias("_t"), F.posexplode(chunk_starts(F.col(text), most, overlap)).alias("chunk", "_c"))
+    return pieces.select(key, "chunk", F.col("_c.start").cast("long").alias("start_pos"), F.substring("_t", F.col("_c.start") + 1, F.col("_c.end") - F.col("_c.start")).alias("text"))
+
+
+def merged_predictions(pieces: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
+    """Predictions (key, chunk, entity_type, start_pos, end_pos, score) of pieces as those of the texts: offsets move, and in the overlaps one of a type that shares more than
+    0.8 of the shorter keeps the better score, other overlaps the better of the two where the earlier is not worse."""
+    moved = predictions.join(pieces.select(key, "chunk", F.col("start_pos").alias("_at")), [key, "chunk"])
+    moved = moved.withColumn("start_pos", F.col("start_pos") + F.col("_at")).withColumn("end_pos", F.col("end_pos") + F.col("_at")).select(key, "entity_type", "start_pos", "end_pos", "score")
+    shared = lambda x, y: F.least(x["end_pos"], y["end_pos"]) - F.greatest(x["start_pos"], y["start_pos"])
+    width = lambda x: x["end_pos"] - x["start_pos"]
+    same = lambda x, y: (x["entity_type"] == y["entity_type"]) & (shared(x, y) > 0.8 * F.least(width(x), width(y))) & (shared(x, y) > 0)
+
+    def fold(acc: Column, x: Column) -> Column:
+        stops = lambda y: same(x, y) | ((shared(x, y) > 0) & (x["score"] <= y["score"]))
+
+        def put(first: Column) -> Column:
+            better = same(x, first) & (x["score"] > first["score"])
+            return F.when(first.isNull(), F.array_append(acc, x)).when(better, F.array_append(F.filter(acc, lambda y: y != first), x)).otherwise(acc)
+
+        return bound(F.get(F.filter(acc, stops), F.lit(0)), put)
+
+    return resolve.folded(moved, key, [F.col("start_pos"), -F.col("score")], fold)

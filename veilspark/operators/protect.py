@@ -9,14 +9,17 @@ from ..functions.text import Pattern, find_spans, normalise_value, splice, value
 
 #: Fixed value: the form of a token.
 TOKEN = r"\[\[[A-Z][A-Z0-9_]{1,31}_[A-F0-9]{6,16}\]\]"
+#: How many digits a token may have.
+LENGTHS = [6, 8, 10, 12, 14, 16]
 
 
 def assign_tokens(values: DataFrame, key: bytes, vault: DataFrame | None = None) -> DataFrame:
     """(entity_type, normalised, hmac, token, is_new) for the distinct values of ``values`` (entity_type, value).
 
-    A value in ``vault`` (entity_type, hmac, token) keeps its token. Other tokens take six digits of the keyed hash; of values that share them
-    one has six (one already in the vault, else the smallest hash), the next eight, ten, up to sixteen. Where digits don't part two
-    values at all, raise_error stops the job.
+    A value in ``vault`` (entity_type, hmac, token) keeps its token. Other tokens take six digits of the keyed hash; of values that share these,
+    each takes a length of its own from 6, 8, up to 16 in the order of the hash, and none that a token of the vault with these six digits
+    has, so no two tokens can be equal below 16 digits. Where 16 digits don't part two values, raise_error stops the job: the form of a
+    token has no room for more.
     """
     e, v = F.col("entity_type"), F.col("value")
     distinct = values.select("entity_type", normalise_value(e, v).alias("normalised"), value_hmac(e, v, key).alias("hmac")).distinct()
@@ -25,12 +28,16 @@ def assign_tokens(values: DataFrame, key: bytes, vault: DataFrame | None = None)
     old = vault.select("entity_type", "hmac", F.col("token").alias("old"))
     known = distinct.join(old, ["entity_type", "hmac"], "left")
     token_of = lambda n: F.concat(F.lit("[["), e, F.lit("_"), F.upper(F.substring("hmac", F.lit(1), n)), F.lit("]]"))
-    taken = vault.select(F.col("token").alias("six")).distinct().withColumn("taken", F.lit(1))
-    fresh = known.where("old is null").withColumn("six", token_of(F.lit(6))).join(taken, "six", "left")
-    rank = F.row_number().over(Window.partitionBy("six").orderBy("hmac")) - 1 + F.coalesce("taken", F.lit(0))
-    made = fresh.withColumn("token", token_of(F.least(F.lit(16), F.lit(6) + 2 * rank)))
+    digits_of = F.regexp_extract("token", r"_([A-F0-9]+)\]\]$", 1)
+    taken = vault.select("entity_type", F.left(digits_of, F.lit(6)).alias("six"), F.length(digits_of).alias("n")).groupBy("entity_type", "six").agg(F.collect_set("n").alias("used"))
+    fresh = known.where("old is null").withColumn("six", F.upper(F.left("hmac", F.lit(6)))).join(taken, ["entity_type", "six"], "left")
+    free = F.array_except(F.array(*[F.lit(n) for n in LENGTHS[:-1]]), F.coalesce("used", F.array().cast("array<int>")))
+    rank = F.row_number().over(Window.partitionBy("entity_type", "six").orderBy("hmac")) - 1
+    made = fresh.withColumn("token", token_of(F.coalesce(F.get(free, rank), F.lit(LENGTHS[-1]))))
+    in_vault = vault.select(F.col("token").alias("_t")).where(F.length(digits_of) == LENGTHS[-1]).distinct()
     same = F.count("*").over(Window.partitionBy("token"))
-    made = made.withColumn("token", F.when(same > 1, F.raise_error(F.lit("tokens collide at full length"))).otherwise(F.col("token")))
+    made = made.join(in_vault, F.col("token") == F.col("_t"), "left")
+    made = made.withColumn("token", F.when((same > 1) | F.col("_t").isNotNull(), F.raise_error(F.lit("tokens collide at full length"))).otherwise(F.col("token")))
     kept = known.where("old is not null").select("entity_type", "normalised", "hmac", F.col("old").alias("token"), F.lit(False).alias("is_new"))
     return kept.unionByName(made.select("entity_type", "normalised", "hmac", "token", F.lit(True).alias("is_new")))
 
@@ -43,13 +50,14 @@ def protect_texts(texts: DataFrame, findings: DataFrame, tokens: DataFrame, key_
     return joined.withColumn(text, F.when(F.col("_edits").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("_edits")))).drop("_edits")
 
 
-def protect_values(df: DataFrame, columns: dict[str, str], key: bytes) -> tuple[DataFrame, DataFrame]:
-    """Whole cells of the columns (name -> entity type) replaced by tokens, and the vault rows to add. Blank cells stay."""
+def protect_values(df: DataFrame, columns: dict[str, str], key: bytes, vault: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Whole cells of the columns (name -> entity type) replaced by tokens, and the vault rows of all of them. Values in ``vault`` keep their tokens;
+    blank cells stay."""
     cells = None
     for c, entity in columns.items():
         one = df.select(F.lit(entity).alias("entity_type"), F.trim(F.col(c).cast("string")).alias("value")).where("value <> ''")
         cells = one if cells is None else cells.unionByName(one)
-    tokens = assign_tokens(cells, key)
+    tokens = assign_tokens(cells, key, vault)
     for c, entity in columns.items():
         own = tokens.where(F.col("entity_type") == entity).select(F.col("normalised").alias("_n"), F.col("token").alias("_t"))
         df = df.join(own, normalise_value(F.lit(entity), F.trim(F.col(c).cast("string"))) == F.col("_n"), "left")
@@ -103,13 +111,18 @@ def looks_like_token(value: Column) -> Column:
 
 def leaks(protected: DataFrame, original: DataFrame, key_column: str, partial: bool = True) -> DataFrame:
     """Findings in protected texts by kind of leak: RESIDUAL (an original value), INCOMPLETE (part of one, or around one), INTRODUCED (made by
-    the protection) or MISSED. Both inputs: (key_column, entity_type, value)."""
-    p = protected.withColumn("_row", F.monotonically_increasing_id()).withColumn("_v", F.lower("value"))
-    o = original.select(F.col(key_column), F.lower("value").alias("_o")).distinct()
-    same = p.join(o, (p[key_column] == o[key_column]) & (p["_v"] == o["_o"]), "left_semi").select("_row", F.lit(True).alias("residual"))
-    part = p.join(o, (p[key_column] == o[key_column]) & (p["_v"] != o["_o"]) & (p["_v"].contains(o["_o"]) | o["_o"].contains(p["_v"])), "left_semi").select("_row", F.lit(partial).alias("part"))
-    kind = F.when(F.col("residual"), "RESIDUAL").when(F.col("part"), "INCOMPLETE").when(looks_like_token(F.col("value")), "INTRODUCED").otherwise("MISSED")
-    return p.join(same, "_row", "left").join(part, "_row", "left").select(key_column, "entity_type", "value", kind.alias("leak"))
+    the protection) or MISSED. Both inputs: (key_column, entity_type, value); a document's originals meet as one array beside its findings."""
+    own = original.groupBy(F.col(key_column).alias("_k")).agg(F.collect_set(F.lower("value")).alias("_o"))
+    v = F.lower("value")
+    residual = F.array_contains("_o", v)
+    part = F.exists("_o", lambda o: (o != v) & (v.contains(o) | o.contains(v))) & F.lit(partial)
+    kind = F.when(residual, "RESIDUAL").when(part, "INCOMPLETE").when(looks_like_token(F.col("value")), "INTRODUCED").otherwise("MISSED")
+    return protected.join(own, F.col(key_column) == F.col("_k"), "left").select(key_column, "entity_type", "value", kind.alias("leak"))
+
+
+def leak_severity(leak: Column, score: Column) -> Column:
+    """RESIDUAL is critical, INCOMPLETE and MISSED by score, INTRODUCED for information."""
+    return F.when(leak == "RESIDUAL", "CRITICAL").when(leak == "INTRODUCED", "INFO").otherwise(rescan_severity(score))
 
 
 def rescan_severity(score: Column, strict: bool = False) -> Column:

@@ -33,7 +33,7 @@ def _length(x: Column) -> Column:
     return x["end_pos"] - x["start_pos"]
 
 
-def _folded(df: DataFrame, key: str, order: list[Column], fold: Fold) -> DataFrame:
+def folded(df: DataFrame, key: str, order: list[Column], fold: Fold) -> DataFrame:
     """Findings of a segment as an array in ``order`` (and then by type and end), folded, and out again."""
     names = [c for c in df.columns if c != key]
     ranks = [o.alias(f"_{i}") for i, o in enumerate([*order, F.col("entity_type"), F.col("end_pos")])]
@@ -53,7 +53,7 @@ def _replace_first(acc: Column, hit: Fold, x: Column, wins: Fold) -> Column:
 def by_margin(df: DataFrame, key: str = "segment_id", margin: float = 0.05) -> DataFrame:
     """By start and longest first; against the first overlap a score better by more than ``margin`` wins, else the longer span."""
     wins = lambda old, new: (new["score"] > old["score"] + margin) | (~(old["score"] > new["score"] + margin) & (_length(new) > _length(old)))
-    return _folded(df, key, [F.col("start_pos"), -F.col("end_pos")], lambda acc, x: _replace_first(acc, overlap, x, wins))
+    return folded(df, key, [F.col("start_pos"), -F.col("end_pos")], lambda acc, x: _replace_first(acc, overlap, x, wins))
 
 
 def first_wins(df: DataFrame, key: str = "segment_id") -> DataFrame:
@@ -64,7 +64,7 @@ def first_wins(df: DataFrame, key: str = "segment_id") -> DataFrame:
         last = F.get(acc, F.size(acc) - 1)  # accepted findings follow each other, so the last ends last; only empty spans need a look at all
         return F.when(F.size(acc) == 0, False).when(last["start_pos"] < last["end_pos"], overlap(x, last)).otherwise(F.exists(acc, lambda y: overlap(x, y)))
 
-    return _folded(df, key, order, lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.array_append(acc, x)))
+    return folded(df, key, order, lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.array_append(acc, x)))
 
 
 def by_priority(df: DataFrame, key: str = "segment_id", strategy: str = "priority_first", least_ratio: float = 0.5) -> DataFrame:
@@ -81,7 +81,7 @@ def by_priority(df: DataFrame, key: str = "segment_id", strategy: str = "priorit
     fold = lambda acc, x: F.when(
         F.exists(acc, lambda y: close(x, y) & ~beats(x, y)), F.filter(acc, lambda y: F.lit(True))
     ).otherwise(F.array_append(F.filter(acc, lambda y: ~close(x, y)), x))
-    return _folded(ranked, key, [F.col("start_pos"), -F.col("score")], fold).drop("_custom", "_p")
+    return folded(ranked, key, [F.col("start_pos"), -F.col("score")], fold).drop("_custom", "_p")
 
 
 def against_last(df: DataFrame, key: str = "segment_id") -> DataFrame:
@@ -94,12 +94,12 @@ def against_last(df: DataFrame, key: str = "segment_id") -> DataFrame:
         clash = (F.size(acc) > 0) & (x["start_pos"] < last["end_pos"])
         return F.when(~clash, F.array_append(acc, x)).when(better, F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), x)).otherwise(acc)
 
-    return _folded(ranked, key, [F.col("start_pos")], fold).drop("_p")
+    return folded(ranked, key, [F.col("start_pos")], fold).drop("_p")
 
 
 def greedy_by_score(df: DataFrame, key: str = "segment_id") -> DataFrame:
     order = [-F.col("score"), F.col("start_pos")]
-    return _folded(df, key, order, lambda acc, x: F.when(F.exists(acc, lambda y: overlap(x, y)), acc).otherwise(F.array_append(acc, x)))
+    return folded(df, key, order, lambda acc, x: F.when(F.exists(acc, lambda y: overlap(x, y)), acc).otherwise(F.array_append(acc, x)))
 
 
 def by_severity(df: DataFrame, key: str = "segment_id") -> DataFrame:
@@ -116,7 +116,7 @@ def by_severity(df: DataFrame, key: str = "segment_id") -> DataFrame:
         put = lambda y, i: F.when((i + 1 == at) & (rank(y) < rank(x)), x).otherwise(y)
         return F.when(at == 0, F.array_append(acc, x)).otherwise(F.transform(acc, put))
 
-    return _folded(ranked, key, [F.col("start_pos"), F.col("start_pos") - F.col("end_pos")], fold).drop("_s")
+    return folded(ranked, key, [F.col("start_pos"), F.col("start_pos") - F.col("end_pos")], fold).drop("_s")
 
 
 def overlapping_pairs(df: DataFrame, key: str = "segment_id") -> DataFrame:

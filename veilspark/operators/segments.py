@@ -27,6 +27,115 @@ def paragraphs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return kept.select(key, idx.cast("long").alias("idx"), F.col("value").alias("text"), "start_pos")
 
 
+#: Styles of headings, distances on slides in EMU, words of labels.
+HEADING_STYLES = ["Heading 1", "Heading 2", "Heading 3", "Heading 4", "Heading 5", "Heading 6", "Title", "Subtitle", "Heading1", "Heading2", "Heading3", "Heading4", "TOC Heading", "TOCHeading"]
+LEFT_GAP, ABOVE_GAP, BASELINE = 2_743_200, 457_200, 228_600
+LABEL_WORDS = ["nama", "nik", "npwp", "telepon", "alamat", "email", "name", "phone", "address", "id", "no.", "nomor"]
+
+
+def key_label(text: Column, most: int = 25) -> Column:
+    """The key of a paragraph such as ``key: value`` or ``key = value``, or null."""
+    shape = r"^(.{1,30}?)\s*[:=]\s*(.+)$"
+    key = F.trim(F.regexp_extract(text, shape, 1))
+    return F.when(text.rlike(shape) & (F.length(key) <= most), key)
+
+
+def with_headings(paragraphs_: DataFrame, document: str, order: str = "idx") -> DataFrame:
+    """Paragraphs (document, order, text, style) with is_heading and the text of the last heading before them; a heading has none of its own."""
+    is_heading = F.col("style").isin(HEADING_STYLES)
+    before = Window.partitionBy(document).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    flagged = paragraphs_.withColumn("is_heading", F.coalesce(is_heading, F.lit(False)))
+    return flagged.withColumn("heading", F.when(~F.col("is_heading"), F.last_value(F.when(F.col("is_heading"), F.trim("text")), True).over(before)))
+
+
+def with_table_headers(cells: DataFrame, *table: str) -> DataFrame:
+    """Cells (table..., row, col, text) with table_header (row 0 of the column) and row_header (column 0 of the row), trimmed; cells that are headers
+    themselves have none."""
+    top = Window.partitionBy(*table, "col").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = Window.partitionBy(*table, "row").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = lambda axis, w: F.first_value(F.when(F.col(axis) == 0, F.trim("text")), True).over(w)
+    full = lambda c: F.when(c != "", c)
+    out = cells.withColumn("table_header", F.when(F.col("row") > 0, full(first("row", top)))).withColumn("row_header", F.when(F.col("col") > 0, full(first("col", left))))
+    return out.withColumn("is_header", (F.col("row") == 0) | (F.col("col") == 0))
+
+
+#: What a segment has besides its text, by name: the type of the column and the value where a format has none.
+SEGMENT_COLUMNS = {
+    "file_type": "string", "heading": "string", "table_headers": "array<string>", "row_headers": "array<string>", "column_index": "int", "slide_title": "string", "nearby_labels": "array<string>",
+    "key_label": "string", "is_value_of_key": "boolean", "is_header": "boolean", "previous_text": "string", "next_text": "string", "sheet": "string", "cell": "string",
+}
+
+
+def as_segments(df: DataFrame, file_type: str) -> DataFrame:
+    """Rows of any format as segments (id, file_id, text and SEGMENT_COLUMNS): columns that are there keep their values, the others are null; headers of a
+    column or row become lists of one."""
+    def made(name: str, kind: str) -> Column:
+        one = {"table_headers": "table_header", "row_headers": "row_header"}.get(name)
+        if name == "file_type":
+            return F.lit(file_type)
+        if name == "is_value_of_key":
+            return F.col("key_label").isNotNull() if "key_label" in df.columns else F.lit(False)
+        if name in df.columns:
+            return F.col(name).cast(kind)
+        if one in df.columns:
+            return F.when(F.col(one).isNotNull(), F.array(one)).otherwise(F.array().cast(kind))
+        return F.lit(None).cast(kind)
+
+    return df.select("id", "file_id", "text", *[made(name, kind).alias(name) for name, kind in SEGMENT_COLUMNS.items()])
+
+
+def is_potential_label(text: Column) -> Column:
+    """Whether a text is short enough for a label: 30 characters and 4 words, and either one word of 20 or 25 characters in all."""
+    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    clean = F.regexp_replace(F.regexp_replace(bare, r":+$", ""), r"(?U)\s+$", "")
+    words = F.size(F.filter(F.split(clean, r"(?U)\s+"), lambda w: w != ""))
+    return F.coalesce((bare != "") & (F.length(clean) <= 30) & (words <= 4) & (F.length(clean) <= 25), F.lit(False))
+
+
+def is_label_like(text: Column) -> Column:
+    """Whether a text reads like a label: it ends with a colon, is short with a label's word in it, or is all in capitals."""
+    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    word = (F.length(bare) <= 20) & F.lower(bare).rlike("|".join(w.replace(".", r"\.") for w in LABEL_WORDS))
+    capitals = bare.rlike(r"\p{Lu}") & ~bare.rlike(r"\p{Ll}") & (F.length(bare) <= 30)
+    return F.coalesce((text != "") & (F.length(text) <= 50) & (bare.rlike("[:：]$") | word | capitals), F.lit(False))
+
+
+def nearby_labels(shapes: DataFrame, slide: str, most: int = 3) -> DataFrame:
+    """(slide, shape, labels) for shapes (slide, shape, text, x, y, width, height) with labels near: the best ``most`` by score, those to the left before those
+    above and on the same line; equal texts count once."""
+    box = lambda p: shapes.select(slide, *[F.col(c).alias(f"{c}_{p}") for c in ("shape", "text", "x", "y", "width", "height")])
+    pairs = box("a").where(is_potential_label(F.col("text_a"))).join(box("b"), slide).where("shape_a <> shape_b")
+    middle = lambda p, c, size: F.col(f"{c}_{p}") + F.col(f"{size}_{p}") / 2
+    ax, ay, bx, by = middle("a", "x", "width"), middle("a", "y", "height"), middle("b", "x", "width"), middle("b", "y", "height")
+    line = F.abs(ay - by) <= BASELINE
+    aside, over = F.col("x_b") - F.col("x_a") - F.col("width_a"), F.col("y_b") - F.col("y_a") - F.col("height_a")
+    meets = (F.col("x_a") < F.col("x_b") + F.col("width_b")) & (F.col("x_a") + F.col("width_a") > F.col("x_b"))
+    far = F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
+    score = (
+        F.when((ax < bx) & line & aside.between(0, LEFT_GAP), 100.0 - aside / LEFT_GAP * 50)
+        .when((ay < by) & (meets | (F.abs(ax - bx) <= F.col("width_a"))) & over.between(0, ABOVE_GAP), 80.0 - over / ABOVE_GAP * 30)
+        .when(line & (far <= 2 * LEFT_GAP), 50.0 - far / LEFT_GAP * 25)
+    )
+    best = Window.partitionBy(slide, "shape_b").orderBy(F.desc("score"), "shape_a")
+    few = pairs.withColumn("score", score).where("score is not null").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most)
+    clean = F.trim(F.regexp_replace(F.trim("text_a"), r":+$", ""))
+    return few.groupBy(slide, F.col("shape_b").alias("shape")).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_n", clean.alias("t")))), lambda x: x["t"])).alias("labels"))
+
+
+def slide_title(shapes: DataFrame, slide: str) -> DataFrame:
+    """(slide, title): the first potential label among the five topmost shapes."""
+    order = Window.partitionBy(slide).orderBy("y", "shape")
+    top = shapes.withColumn("_n", F.row_number().over(order)).where((F.col("_n") <= 5) & is_potential_label(F.col("text")))
+    return top.groupBy(slide).agg(F.trim(F.min_by("text", "_n")).alias("title"))
+
+
+def flattened(parts: DataFrame, document: str, order: str = "idx") -> DataFrame:
+    """(document, text): parts in order, a line each; a part with a header stands behind it as ``header: value``."""
+    line = F.when(F.coalesce(F.col("header") != "", F.lit(False)), F.concat("header", F.lit(": "), "text")).otherwise(F.col("text"))
+    one = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t"))))
+    return parts.where("text <> ''").groupBy(document).agg(F.array_join(F.transform(one, lambda x: x["t"]), "\n").alias("text"))
+
+
 def key_value(text: Column, most: int = 25) -> Column:
     """struct(key, value) of a line such as ``key: value``, or null."""
     shape = r"^(.{1,30}?)\s*[:=|]\s*(.+)$"

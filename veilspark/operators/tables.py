@@ -145,3 +145,56 @@ def latched_breaker(failures: DataFrame, source: str, limit: int = 3, seconds: i
     inside = Window.partitionBy(source).orderBy(t).rangeBetween(-seconds, 0)
     run = Window.partitionBy(source).orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
     return failures.withColumn("recent", F.count("*").over(inside)).withColumn("open", F.max((F.col("recent") >= limit).cast("int")).over(run) == 1)
+
+
+#: Keywords of the headers of delimited files, in order, and types that a column's header decides by itself.
+CSV_TYPES = {
+    "nama": "PERSON", "name": "PERSON", "email": "EMAIL", "e-mail": "EMAIL", "phone": "PHONE_NUMBER", "telepon": "PHONE_NUMBER", "telp": "PHONE_NUMBER", "hp": "PHONE_NUMBER", "handphone": "PHONE_NUMBER",
+    "nik": "ID_NIK", "ktp": "ID_NIK", "npwp": "ID_NPWP", "kk": "ID_KK", "alamat": "ADDRESS", "address": "ADDRESS", "rekam medis": "MEDICAL_RECORD", "medical record": "MEDICAL_RECORD", "mrn": "MEDICAL_RECORD",
+    "no rm": "MEDICAL_RECORD", "norm": "MEDICAL_RECORD", "tanggal lahir": "DATE_OF_BIRTH", "tgl lahir": "DATE_OF_BIRTH", "dob": "DATE_OF_BIRTH", "birth": "DATE_OF_BIRTH",
+}
+DIRECT_TYPES = ["PERSON", "ADDRESS", "MEDICAL_RECORD", "MEDICAL_INFO", "DATE_OF_BIRTH"]
+
+
+def csv_type(header: Column, given: dict[str, str] | None = None) -> Column:
+    """The entity type of a column of a delimited file: what is given for the name, else the first keyword in it, else PII."""
+    low = F.lower(header)
+    out = F.when(F.lit(False), "")
+    for name, kind in (given or {}).items():
+        out = out.when(header == name, kind) if kind != "PII" else out
+    for word, kind in CSV_TYPES.items():
+        out = out.when(low.contains(word), kind)
+    return out.otherwise("PII")
+
+
+def scan_columns(cells_: DataFrame, as_of: str, value: str = "value") -> DataFrame:
+    """Findings of cells (..., suggested_type, mode, value): a type that decides by itself takes the whole cell (0.95); else the cell is searched, and where nothing is found
+    the suggested type takes it (0.8). In the mode pii_only no type is suggested."""
+    from .recognizers import NONE, REGISTRY, rows_of
+
+    text = F.col(value)
+    suggested = F.when(F.col("mode") != "pii_only", F.col("suggested_type"))
+    whole = lambda score: F.array(F.struct(suggested.alias("entity_type"), F.lit(0).cast("long").alias("start_pos"), F.length(text).cast("long").alias("end_pos"), text.alias("value"), F.lit(score).alias("score"), F.lit("column").alias("recognizer")))
+    from ..functions.text import bound
+
+    searched = bound(F.concat(*[f(text, as_of) for f in REGISTRY.values()]), lambda found: F.when(F.size(found) > 0, found).when(suggested.isNotNull(), whole(0.8)).otherwise(F.array().cast(NONE)))
+    return rows_of(cells_.where(text.isNotNull()), value, F.when(suggested.isin(DIRECT_TYPES), whole(0.95)).otherwise(searched))
+
+
+def corpus(keys: DataFrame, key: str = "id") -> DataFrame:
+    """A labelled text for every key, made from the key alone: (id, doc_type, text, entity_type, start_pos, end_pos), one annotated number or address each."""
+    from .recognizers import CARRIERS, PROVINCES
+
+    h = lambda salt, n: F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(n))
+    digits = lambda salt, n: F.lpad(h(salt, 10**n).cast("string"), n, "0")
+    pick = lambda salt, words: F.element_at(F.array(*map(F.lit, words)), (h(salt, len(words)) + 1).cast("int"))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    born = F.concat(two(h("day", 28) + 1 + 40 * h("sex", 2)), two(h("month", 12) + 1), two(h("year", 60) + 40))
+    person = F.concat(pick("province", PROVINCES), digits("city", 2), digits("district", 2))
+    kinds = [("hr", "ID_NIK", "NIK: ", F.concat(person, born, digits("seq", 4))), ("payroll", "ID_NPWP", "NPWP ", F.concat(pick("tax", ["01", "02", "09", "21"]), F.lit("."), digits("a", 3), F.lit("."), digits("b", 3), F.lit("."), digits("c", 1), F.lit("-"), digits("d", 3), F.lit(".000"))),
+             ("customer", "ID_PHONE", "hp ", F.concat(pick("carrier", CARRIERS), digits("p", 7))), ("medical", "ID_BPJS", "No. BPJS ", F.concat(F.lit("000"), digits("e", 10))), ("banking", "EMAIL_ADDRESS", "surel ", F.concat(F.lit("u"), digits("u", 6), F.lit("@contoh.id")))]
+    no = h("kind", len(kinds))
+    of = lambda i: F.element_at(F.array(*[k[i] if i == 3 else F.lit(k[i]) for k in kinds]), (no + 1).cast("int"))
+    made = keys.select(F.col(key).alias("id"), of(0).alias("doc_type"), of(1).alias("entity_type"), of(2).alias("_before"), of(3).alias("value"))
+    text = F.concat("_before", "value", F.lit(" tercatat"))
+    return made.select("id", "doc_type", text.alias("text"), "entity_type", F.length("_before").cast("long").alias("start_pos"), (F.length("_before") + F.length("value")).cast("long").alias("end_pos"), "value")

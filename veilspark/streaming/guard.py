@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.text import length_bucket, splice
 from ..operators import classify, recognizers, resolve
 
-#: What stands for detected values, quiet time of a burst, and the size from which a text is refused.
+#: What stands for detected values, quiet time of a burst, the size from which a text is refused, and scans a second.
 LABELS = {
     "ID_NIK": "NIK", "ID_NPWP": "NPWP", "ID_KK": "KK", "ID_PHONE": "PHONE", "ID_BPJS": "BPJS", "PHONE_NUMBER": "PHONE", "EMAIL_ADDRESS": "EMAIL", "CREDIT_CARD": "CARD", "IBAN_CODE": "IBAN", "IP_ADDRESS": "IP",
     "URL": "URL", "PERSON": "NAME", "DATE_OF_BIRTH": "DOB", "DATE": "DATE", "MEDICAL_RECORD": "MEDICAL_ID", "MEDICAL_INFO": "MEDICAL_INFO", "ADDRESS": "ADDRESS",
 }
-QUIET, HARD_LIMIT = "250 milliseconds", 512 * 1024
+QUIET, HARD_LIMIT, SCANS_A_SECOND = "250 milliseconds", 512 * 1024, 4
 
 
 def replacement(entity: Column) -> Column:
@@ -32,11 +32,14 @@ def debounce(texts: DataFrame, source: str = "source", quiet: str = QUIET, late:
 def without_own_writes(texts: DataFrame, writes: DataFrame, source: str = "source", seconds: int = 2) -> DataFrame:
     """Texts but for the first echo of each own write (source, ts, text) within ``seconds``."""
     own = writes.select(F.col(source).alias("_s"), F.col("ts").alias("_w"), F.sha2(F.col("text").cast("binary"), 256).alias("_f"))
-    keyed = texts.withColumn("_row", F.monotonically_increasing_id()).withColumn("_fp", F.sha2(F.col("text").cast("binary"), 256))
+    keyed = texts.withColumn("_fp", F.sha2(F.col("text").cast("binary"), 256))
     near = (F.col("ts") >= F.col("_w")) & (F.col("ts") <= F.col("_w") + F.expr(f"INTERVAL {seconds} SECONDS"))
-    echo = keyed.join(own, (F.col(source) == F.col("_s")) & (F.col("_fp") == F.col("_f")) & near).select("_s", "_w", "_f", "ts", "_row")
-    first = echo.withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_w", "_f").orderBy("ts", "_row"))).where("_n = 1").select("_row").distinct()
-    return keyed.join(first, "_row", "left_anti").drop("_row", "_fp")
+    echo = keyed.join(own, (F.col(source) == F.col("_s")) & (F.col("_fp") == F.col("_f")) & near)
+    first = echo.groupBy("_s", "_w", "_f").agg(F.min("ts").alias("_t")).select("_s", "_f", "_t").distinct()
+    met = keyed.join(first, (F.col(source) == F.col("_s")) & (F.col("_fp") == F.col("_f")) & (F.col("ts") == F.col("_t")), "left")
+    # of rows with one text and time the first by their other columns is the echo
+    turn = F.row_number().over(Window.partitionBy(source, "_fp", "ts").orderBy(*texts.columns))
+    return met.withColumn("_n", turn).where(F.col("_t").isNull() | (F.col("_n") > 1)).select(*texts.columns)
 
 
 def judge(texts: DataFrame, as_of: str, key: str = "id", text: str = "text") -> DataFrame:
@@ -58,11 +61,13 @@ def judge(texts: DataFrame, as_of: str, key: str = "id", text: str = "text") ->
     )
 
 
-def guard(stream: DataFrame, as_of: str, sink, checkpoint: str, source: str = "source"):
-    """Start the guard on a stream (source, ts, text): each micro-batch of finished bursts is judged and handed to ``sink(df, batch_id)``."""
+def guard(stream: DataFrame, as_of: str, sink, checkpoint: str, source: str = "source", live: bool = False):
+    """Start the guard on a stream (source, ts, text): each micro-batch of finished bursts is judged and handed to ``sink(df, batch_id)``. A live guard
+    goes on until it is stopped, at most SCANS_A_SECOND batches a second; else it works through what is there and ends."""
 
     def judged(batch: DataFrame, number: int) -> None:
         ids = batch.withColumn("id", F.concat_ws("|", source, F.col("ts").cast("string")))
         sink(judge(ids, as_of).join(ids.select("id", source, "ts"), "id"), number)
 
-    return debounce(stream, source).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(judged).start()
+    how = {"processingTime": f"{1000 // SCANS_A_SECOND} milliseconds"} if live else {"availableNow": True}
+    return debounce(stream, source).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(**how).foreachBatch(judged).start()
