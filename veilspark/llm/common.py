@@ -5,14 +5,17 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import math
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import ClassVar
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +107,43 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     return met.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else met
 
 
+#: Bits of a map of keys for each key, and the most that a map may have (64 MB).
+KEY_BITS, MOST_BITS = 16, 29
+
+
+def key_map(keys: DataFrame, *columns: str) -> Callable[[Column], Column] | None:
+    """A condition on ``xxhash64`` of the key's columns that holds for every key of ``keys`` and for few others, so that rows without a key needn't
+    go to a join. None where the map would be larger than MOST_BITS: all rows go to the join then.
+
+    Tasks mark bits; what reaches the driver and is broadcast has 16 to 32 bits a key and 64 MB at most.
+    """
+    bits = max(15, math.ceil(math.log2(KEY_BITS * max(1, keys.count()))))
+    if bits > MOST_BITS:
+        return None
+    # maps of 32,768 bits count from 1, as do the numbers that they take
+    place = F.pmod(F.xxhash64(*columns), F.lit(1 << bits)) + 1
+    used = fetch(keys.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")))
+    marked = np.zeros((1 << bits) // 8, np.uint8)
+    for at, own in zip(used["at"], used["bits"], strict=True):
+        marked[(at - 1) * 4096 : at * 4096] = np.frombuffer(own, np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(marked)
+
+    @F.pandas_udf("boolean")
+    def is_marked(b: pd.Series) -> pd.Series:
+        p = b.to_numpy(np.int64)
+        return pd.Series((shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda hashed: is_marked(F.pmod(hashed, F.lit(1 << bits)))
+
+
+def row_numbers(docs: DataFrame, name: str, tag: str) -> DataFrame:
+    """``docs`` with a column that tells its rows apart, however often they are read: file and place of tables in files, else numbers written down once."""
+    try:
+        return docs.select("*", F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias(name))
+    except AnalysisException:
+        return materialize(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), tag)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, join_hot, materialize, text_or_empty
+from .common import SPACE, fresh, join_hot, key_map, materialize, text_or_empty
 
 #: Fingerprints that a task holds before it writes its filters out, and those aimed at in a merged range.
 TASK_FINGERPRINTS = 1_000_000
@@ -160,7 +160,14 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     keys = materialize(keys.where("stay = 0 or rows > 1").select(ident, sha, F.when(F.col("stay") > 0, F.col("rows")).otherwise(0).alias(times)), "exact-keys")
     digest = F.sha2(normalised(text_or_empty()).cast("binary"), 256)
     of_key = F.col("doc_id").eqNullSafe(F.col(ident)) & (digest == F.col(sha))
-    stay = docs.join(keys, of_key, "left_anti")
+    named = key_map(keys, ident)
+    if named is None:
+        stay = docs.join(keys, of_key, "left_anti")
+    else:  # rows whose id is in no key stay where they are
+        may_go = named(F.xxhash64("doc_id"))
+        (flag,) = fresh(docs, "exact_flag")
+        flagged = docs.withColumn(flag, may_go)
+        stay = flagged.where(~F.col(flag)).select(*docs.columns).unionByName(docs.where(may_go).join(keys, of_key, "left_anti"))
     twice = keys.where(F.col(times) > 1)
     if twice.isEmpty():
         return stay

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, word_count
+from .common import fresh, materialize, row_numbers, word_count
 
 #: Rows aimed at in a hash range, and slices of virtual time in which the cut is searched.
 RANGE_ROWS = 256
@@ -61,7 +61,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: flo
             F.col("source"),
             word_count(F.col("text")).alias("size"),
             F.md5(F.concat(shuffled, F.lit(f"|{seed}")).cast("binary")).alias("key"),
-            (F.col(row) if row else F.lit(None).cast("long")).alias("row"),
+            (F.col(row) if row else F.lit(None).cast("string")).alias("row"),
         ),
         "mix-base",
     )
@@ -139,7 +139,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     them. A null or empty text has no words and is never taken. An empty table gives an empty result.
     """
     (row,) = fresh(docs, "mix_row")
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    numbered = row_numbers(docs, row, "mix-documents")
     plan = mix_sources(numbered, row=row, **how)
     copies, size = fresh(numbered, "mix_copies", "mix_size")
     times = plan.where("taken > 0").select(F.col("row").alias(row), (F.col("taken") / F.col("size")).cast("int").alias(copies))

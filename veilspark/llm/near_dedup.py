@@ -15,20 +15,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordIds, fetch, fresh, join_hot, materialize, mix64, slices, text_or_empty, tidy
+from .common import WordIds, fresh, join_hot, key_map, materialize, mix64, slices, text_or_empty, tidy
 
 #: The circle of the second permutation, most coordinates of a signature, and the share of pairs at the threshold that the bands may miss.
 CIRCLE_BITS, COORDINATES, MISSED = 20, 160, 5e-6
-#: Outsiders of a bucket up to which pairs are listed, and the shingles of a block in which others meet.
-FEW, BLOCK_SHINGLES = 8, 1_000_000
-#: Bits of the map of wanted nodes for each of them, and the most that it may have (64 MB); beyond, all texts go to the join.
-NODE_BITS, MOST_BITS = 16, 29
+#: Outsiders of a bucket up to which pairs are listed; the shingles of a block in which others meet, and of the small blocks that small groups have up to so many of.
+FEW, BLOCK_SHINGLES, SMALL_BLOCK, SMALL_BLOCKS = 8, 1_000_000, 16_000, 8
 _words = WordIds()
 _tables: dict[int, np.ndarray] = {}
 
@@ -109,24 +106,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, words).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
 
     texts = docs.select(F.col("doc_id").alias("node"), text_or_empty().alias("text")).where("node is not null")
-    # most texts stay where they are: a map of hash buckets in use, sized by the nodes, drops them before the join
-    bits = max(15, math.ceil(math.log2(NODE_BITS * max(1, nodes.count()))))
-    if bits <= MOST_BITS:
-        bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-        # maps of 32,768 bits count from 1, as do the numbers that they take
-        place = bucket("node") + 1
-        used = fetch(nodes.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")))
-        marked = np.zeros((1 << bits) // 8, np.uint8)
-        for at, own in zip(used["at"], used["bits"], strict=True):
-            marked[(at - 1) * 4096 : at * 4096] = np.frombuffer(own, np.uint8)
-        shared = docs.sparkSession.sparkContext.broadcast(marked)
-
-        @F.pandas_udf("boolean")
-        def may_be_wanted(b: pd.Series) -> pd.Series:
-            p = b.to_numpy(np.int64)
-            return pd.Series((shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))
-
-        texts = texts.where(may_be_wanted(bucket("node")))
+    wanted = key_map(nodes, "node")  # most texts stay where they are
+    if wanted is not None:
+        texts = texts.where(wanted(F.xxhash64("node")))
     texts = texts.join(nodes, "node", "left_semi")
     return texts.mapInArrow(lambda b: tidy(run(b)), "node long, hashes binary")
 
@@ -185,7 +167,7 @@ def _linked_in_blocks(many: DataFrame, sets: DataFrame, percent: int) -> DataFra
     group = components(many.select(F.col("centre").alias("a"), F.col("node").alias("b")), "near-group").select("node", F.col("root").alias("group"))
     nodes = materialize(many.select("node", "root", "n").distinct().join(group, "node").select("group", "node", "root", "n"), "near-group-nodes")
     top = nodes.groupBy("group", "root").agg(F.count("*").alias("m")).groupBy("group").agg(F.max(F.struct("m", "root")).alias("top")).select("group", F.col("top.root").alias("top"))
-    blocks = lambda n: F.ceil(F.sum(n) / BLOCK_SHINGLES).cast("int")
+    blocks = lambda n: F.greatest(F.ceil(F.sum(n) / BLOCK_SHINGLES), F.least(F.lit(SMALL_BLOCKS), F.ceil(F.sum(n) / SMALL_BLOCK))).cast("int")
     sized = nodes.join(top, "group").withColumn("outside", F.col("root") != F.col("top"))
     stats = sized.groupBy("group").agg(blocks(F.when(F.col("outside"), F.col("n")).otherwise(0)).alias("some"), blocks(F.col("n")).alias("rest"), F.count("*").alias("rows"))
     stats = materialize(stats.where("some > 0"), "near-group-blocks")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .common import materialize, slices, text_or_empty, tidy
+from .common import slices, text_or_empty, tidy
 
 SPACE_MARK = "▁"
 #: Kinds of pieces and of models in the message.
@@ -222,4 +222,4 @@ def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
         codec.forget()
 
     schema = f"doc_id {kind}, n_ids long, ids_crc32 long, ids array<int>, decoded_chars long, round_trip boolean, parity boolean"
-    return materialize(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lambda b: tidy(run(b)), schema), "pieces")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lambda b: tidy(run(b)), schema)
