@@ -16,6 +16,7 @@ from veilspark.llm.queries import tokenizer_path
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't predict to be of low quality. Each row is judged by its text; nulls, empty texts, repeated rows and
     empty tables as in ``quality.good_documents``."""
+    small_batches(spark)
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -38,9 +39,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every row's whole text; nulls, repeated rows and empty tables as in ``encode_and_decode``."""
+    small_batches(spark)
     return sentence_pieces.encode_and_decode(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 documents in this application's session: both sides hold a batch of whole texts several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 STAGES = [("quality classifier", keep_quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("SentencePiece", pieces)]
 
 
