@@ -111,29 +111,41 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
 KEY_BITS, MOST_BITS = 16, 29
 
 
-def key_map(keys: DataFrame, *columns: str) -> Callable[[Column], Column] | None:
-    """A condition on ``xxhash64`` of the key's columns that holds for every key of ``keys`` and for few others, so that rows without a key needn't
-    go to a join. None where the map would be larger than MOST_BITS: all rows go to the join then.
+def marked_bits(keys: DataFrame, hashed: Column) -> tuple[int, np.ndarray] | None:
+    """(bits, bytes): a map of ``hashed`` (long) of all rows of ``keys``, by its remainder modulo 2 ** bits. None where it would have more than MOST_BITS.
 
-    Tasks mark bits; what reaches the driver and is broadcast has 16 to 32 bits a key and 64 MB at most.
+    Tasks mark bits; what reaches the driver has 16 to 32 bits a key and 64 MB at most.
     """
     bits = max(15, math.ceil(math.log2(KEY_BITS * max(1, keys.count()))))
     if bits > MOST_BITS:
         return None
     # maps of 32,768 bits count from 1, as do the numbers that they take
-    place = F.pmod(F.xxhash64(*columns), F.lit(1 << bits)) + 1
+    place = F.pmod(hashed, F.lit(1 << bits)) + 1
     used = fetch(keys.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")))
     marked = np.zeros((1 << bits) // 8, np.uint8)
     for at, own in zip(used["at"], used["bits"], strict=True):
         marked[(at - 1) * 4096 : at * 4096] = np.frombuffer(own, np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(marked)
+    return bits, marked
+
+
+def is_marked(marked: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (marked[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def key_map(keys: DataFrame, *columns: str) -> Callable[[Column], Column] | None:
+    """A condition on ``xxhash64`` of the key's columns that holds for every key of ``keys`` and for few others, so that rows without a key needn't
+    go to a join. None where there are too many keys for a map: all rows go to the join then."""
+    found = marked_bits(keys, F.xxhash64(*columns))
+    if found is None:
+        return None
+    bits = found[0]
+    shared = keys.sparkSession.sparkContext.broadcast(found[1])
 
     @F.pandas_udf("boolean")
-    def is_marked(b: pd.Series) -> pd.Series:
-        p = b.to_numpy(np.int64)
-        return pd.Series((shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))
+    def may_be_key(b: pd.Series) -> pd.Series:
+        return pd.Series(is_marked(shared.value, b.to_numpy(np.int64)))
 
-    return lambda hashed: is_marked(F.pmod(hashed, F.lit(1 << bits)))
+    return lambda hashed: may_be_key(F.pmod(hashed, F.lit(1 << bits)))
 
 
 def row_numbers(docs: DataFrame, name: str, tag: str) -> DataFrame:

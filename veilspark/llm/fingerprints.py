@@ -8,6 +8,7 @@ length have a level at which a subset holds about one of their terms; likeness i
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, materialize, mix64, rows_of, text_or_empty, tidy
+from .common import WordIds, fetch, materialize, mix64, rows_of, text_or_empty, tidy
 
 #: A subset of level i holds one term in 4 ** (i + 1); each level has so many subsets, each hash so many hexadecimal digits.
 LEVELS, SUBSETS, DIGITS = 5, 32, 3
@@ -25,6 +26,8 @@ RAREST, COMMONEST, MOST_TERMS = 1e-4, 0.2, 1_000_000
 #: Filled subsets from which a level is used, and words counted together before the shuffle.
 FILLED, CHUNK_WORDS = 12, 3_000_000
 NONE = "0" * DIGITS
+#: Bytes of text aimed at in a range of ids, and the most ranges; a task reads its range batch by batch.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 20_000
 
 
 class TermIds(WordIds):
@@ -71,32 +74,52 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select(text_or_empty().alias("text")).mapInArrow(lambda b: tidy(count(b)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+_power_table: list[np.ndarray] = [np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> np.ndarray:
+    """At least ``n`` powers of the base of the sequence hash, modulo 2 ** 64."""
+    if len(_power_table[0]) < n:
+        _power_table[0] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 4096), np.uint64(0x9E3779B97F4A7C15))].astype(np.uint64))
+    return _power_table[0]
+
+
 class Lexicon:
-    """Sorted term hashes, and for each term the subsets that it is in, as bits."""
+    """Sorted term hashes, and for each term the subsets that it is in."""
 
     def __init__(self, terms: np.ndarray):
         self.terms = np.sort(terms)
-        self.value = (mix64(self.terms ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(24)).astype(np.float64)  # 40 bits: sums stay exact
-        masks = []
+        self.value = mix64(self.terms ^ np.uint64(0xD6E8FEB86659FD93))
+        term, subset = [], []
         for k in range(LEVELS * SUBSETS):
-            h = mix64(self.terms + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1))
-            masks.append(h >> np.uint64(64 - 2 * (k // SUBSETS + 1)) == 0)
-        self.masks = np.packbits(np.stack(masks, 1), axis=1) if len(self.terms) else np.zeros((0, LEVELS * SUBSETS // 8), np.uint8)
+            salt = np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))
+            term.append(np.flatnonzero(mix64(self.terms + salt) >> np.uint64(64 - 2 * (k // SUBSETS + 1)) == 0))
+            subset.append(np.full(len(term[-1]), k, np.uint8))
+        term, subset = np.concatenate(term), np.concatenate(subset)
+        self.subset = subset[np.argsort(term, kind="stable")]
+        self.end = np.cumsum(np.bincount(term, minlength=len(self.terms)))
 
     def fingerprint(self, text: str) -> str:
-        """Fixed-width hexadecimal hashes, zeros for subsets without a term of the text. A text without lexicon terms has the digest
+        """Fixed-width hexadecimal hashes of the subsets' sorted terms, zeros for subsets without a term of the text. A text without lexicon terms has the digest
         of its characters instead, so that equal texts, and no others, agree."""
         found = terms_of(text)
         at = np.searchsorted(self.terms, found)
         at = at[self.terms[np.minimum(at, len(self.terms) - 1)] == found] if len(self.terms) else at[:0]
         if not len(at):
             return "=" + hashlib.sha256(text.encode()).hexdigest()
-        member = np.unpackbits(self.masks[at], axis=1)
-        sums = self.value[at] @ member
-        filled = member.any(0)
-        top = np.uint64(16**DIGITS - 1)
-        codes = np.where(filled, mix64(sums.astype(np.uint64)) % top + np.uint64(1), np.uint64(0))
-        return "".join([f"{c:0{DIGITS}x}" for c in codes.tolist()])
+        n = self.end[at] - np.where(at > 0, self.end[at - 1], 0)
+        total = np.cumsum(n)
+        subset = self.subset[np.arange(total[-1]) + np.repeat(self.end[at] - total, n)]
+        # for each subset the polynomial hash of its terms in their order
+        order = np.argsort(subset, kind="stable")
+        count = np.bincount(subset, minlength=LEVELS * SUBSETS)
+        filled, begin = np.flatnonzero(count), np.cumsum(count) - count
+        codes = np.zeros(LEVELS * SUBSETS, np.uint16)
+        if len(filled):
+            power = _powers(int(count.max()))[np.arange(len(subset)) - np.repeat(begin, count)]
+            hashes = np.add.reduceat(np.repeat(self.value[at], n)[order] * power, begin[filled])
+            codes[filled] = mix64(hashes) % np.uint64(16**DIGITS - 1) + np.uint64(1)
+        return np.frombuffer(codes.astype(">u2").tobytes().hex().encode(), np.uint8).reshape(-1, 4)[:, 4 - DIGITS :].tobytes().decode()
 
 
 def likeness(a: str, b: str) -> float:
@@ -137,11 +160,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     df = materialize(df, "document-frequencies")
     total = df.agg(F.sum("n")).first()[0] or 0
     least = max(RAREST * n, total / MOST_TERMS)  # terms this frequent are MOST_TERMS at most
-    terms = df.where(F.col("n") >= least).select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64)
+    terms = fetch(df.where(F.col("n") >= least).select("term"))["term"].to_numpy(np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(terms)
 
     # ranges of ids, and for each the largest id, which is also wanted at the end of the range before it
-    ranges = max(64, 2 * keyed.rdd.getNumPartitions())
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(MOST_RANGES, max(64, math.ceil(size / RANGE_BYTES)))
     bounds = np.unique(np.array(keyed.stat.approxQuantile("d", [i / ranges for i in range(1, ranges)], 0.25 / ranges), float).astype(np.int64)) if n else np.zeros(0, np.int64)
 
     @F.pandas_udf("int")

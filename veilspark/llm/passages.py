@@ -1,19 +1,22 @@
 """Removal of passages that repeat across documents, by prefix-partitioned suffix trees.
 
-A suffix starts at every word. Only its first 20 words matter, since nodes of that depth are the repeated windows. Three steps keep the
-suffixes few and the groups small:
-
-1. Anchors. Every window has an anchor, its 8-word run of smallest hash. A window can repeat only if its anchor does; anchors are a seventh
-   of all words, and those that occur once drop out.
-2. Prefixes. The other suffixes are dealt into groups by a prefix that goes up to the first word which is not frequent, so frequent beginnings
-   split further. Within a task only the first suffix of each deep node travels; the rest are known to repeat.
-3. Subtrees. A group, sorted by prefix and by its 20 words, is a subtree whose deep internal nodes are runs of equal keys: the first leaf
-   stays, and the windows of the others go.
+A word goes if a window of 20 words covers it whose words also start earlier. The suffixes that can begin such windows are few, and their trees small:
+
+1. Anchors. Every window has an anchor, its 8-word run of smallest hash. A window can repeat only if its anchor does, so the suffixes at anchors stand for
+   all: anchors are a seventh of all words, and those that occur once drop out.
+2. Prefixes. Suffixes are dealt by a prefix of variable length: the 8 words of the anchor, or all 20 words of each window where the suffixes counted for an
+   anchor are more than a group may hold. The number of groups follows from the counted bytes.
+3. Subtrees. A group's suffixes, with the 12 words ahead of them, are sorted by their words, forwards and backwards; the lengths of common prefixes of
+   neighbours give the nodes of both trees. Leaves that share a node of depth 20 - k forwards and one of depth k backwards share the window that starts k words
+   ahead of the anchor: a node 20 words deep. Its first leaf stays, the windows of the others go; windows side by side make up a leaf's maximal repeat.
+
+A task first builds the trees of its own suffixes, so that of each deep node only the first leaf travels.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, materialize, mix64, rows_of, text_or_empty, tidy
+from .common import WordIds, is_marked, marked_bits, materialize, mix64, rows_of, text_or_empty, tidy
 
 WINDOW, ANCHOR = 20, 8
-#: Words that a task holds at once, and the share of all words from which a word counts as frequent (so fewer than 1 / share do).
-CHUNK_WORDS, FREQUENT = 1_500_000, 0.001
+AHEAD = WINDOW - ANCHOR
+#: Words, and leaves, that a task holds at once; bytes of a leaf, and those aimed at in a group; leaves of an anchor from which its prefix is lengthened.
+CHUNK_WORDS, CHUNK_LEAVES = 1_500_000, 60_000
+LEAF_BYTES, GROUP_BYTES, LONG_LEAVES = 8 * (AHEAD + WINDOW) + 20, 8 << 20, 8_000
+#: Bytes of anchors that a byte of text makes, about.
+ANCHOR_SHARE = 0.4
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
-_INVERSE2 = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 _word_ids = WordIds()
 _powers: dict[int, np.ndarray] = {}
 
@@ -83,7 +88,8 @@ def _by_document(chunk: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pd.Da
     return pd.DataFrame({"chunk": chunk[first], "doc": doc[first], "places": [x.tobytes() for x in np.split(place, first[1:])]})
 
 
-#: One schema for what a task sends: blocks for a span, and rows that pass through (kind 0: a document, 1: places known in the task, 2: a word count).
+#: One schema for what a task sends: blocks for a span (kind 3), and rows that pass through (kind 0: a document, 1: places of it). Replies add kind 4: an
+#: anchor whose prefix is lengthened.
 SENT = "span long, kind int, chunk long, doc long, d long, th long, n long, sha string, data binary"
 GOT = "kind int, chunk long, doc long, d long, th long, n long, sha string, data binary"
 _NAMES = ["span", "kind", "chunk", "doc", "d", "th", "n", "sha", "data"]
@@ -110,22 +116,17 @@ def _with_keys(docs: DataFrame) -> DataFrame:
 
 
 def _repeated_anchors(keyed: DataFrame, spans: int) -> DataFrame:
-    """Rows of GOT: every document with its number of words and the digest of all of them, the places of its repeated anchors, and
-    words that are frequent in some task."""
+    """Rows of GOT: every document with its number of words and the digest of all of them, the places of its repeated anchors, and the anchors with more than
+    LONG_LEAVES of them."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, turn = TaskContext.get().partitionId(), 0
         docs: list[tuple] = []
         parts: list[tuple] = []
-        every: list[np.ndarray] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             chunk = task << 20 | turn
-            ids, times = np.unique(np.concatenate(every), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = times >= max(2, FREQUENT / 4 * held)
-            yield _passing(chunk, 2, int(often.sum()), th=ids[often].view(np.int64), n=times[often])
-            yield _passing(chunk, 2, 1, th=[0], n=[held], sha=["all"])
             d, th, n, sha = zip(*docs, strict=True)
             yield _passing(chunk, 0, len(docs), doc=range(len(docs)), d=d, th=th, n=n, sha=sha)
             if not parts:
@@ -135,9 +136,11 @@ def _repeated_anchors(keyed: DataFrame, spans: int) -> DataFrame:
             multi = times[back] > 1
             local = _by_document(np.full(int(multi.sum()), chunk), doc[multi], place[multi])
             yield _passing(chunk, 1, len(local), doc=local["doc"], data=local["places"])
-            # what occurs once here asks whether it does elsewhere; of the others one word is sent
+            # what occurs once here asks whether it does elsewhere; of the others their number is sent
             ask = np.flatnonzero(~multi)
-            key, who, where = np.r_[h[ask], value[times > 1]], np.r_[doc[ask], np.zeros(int((times > 1).sum()), np.int64)], np.r_[place[ask], np.full(int((times > 1).sum()), -1)]
+            several = times > 1
+            key = np.r_[h[ask], value[several]]
+            who, where = np.r_[doc[ask], np.zeros(int(several.sum()), np.int64)], np.r_[place[ask], -times[several]]
             _, found, rows = _split((key % np.uint64(spans)).astype(np.int64))
             blocks = [b"".join([np.int64(len(r)).tobytes(), np.ascontiguousarray(key[r].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), who[r].astype(np.int32).tobytes(), where[r].astype(np.int32).tobytes()]) for r in rows]
             yield _batch(len(found), span=found, kind=[3] * len(found), chunk=[chunk] * len(found), data=blocks)
@@ -149,14 +152,12 @@ def _repeated_anchors(keyed: DataFrame, spans: int) -> DataFrame:
                 if len(ids) >= WINDOW:
                     at, h = anchors(Runs(ids), len(ids))
                     at = np.unique(at)
-                    # equal words on and on make equal anchors at every place; two tell as much as all, but places are wanted
                     parts.append((h[at], np.full(len(at), len(docs)), at))
                 docs.append((d, th, len(ids), hashlib.sha256(b" ".join(words)).hexdigest()))
-                every.append(ids)
                 held += len(ids)
                 if held >= CHUNK_WORDS or len(docs) >= 60_000:
                     yield from flush()
-                    docs, parts, every, held, turn = [], [], [], 0, turn + 1
+                    docs, parts, held, turn = [], [], 0, turn + 1
         if docs:
             yield from flush()
 
@@ -164,22 +165,82 @@ def _repeated_anchors(keyed: DataFrame, spans: int) -> DataFrame:
         if group["kind"][0].as_py() != 3:
             return group.select(_NAMES[1:])
         key, chunk, doc, place = [], [], [], []
-        for c, data in zip(group["chunk"].to_pylist(), group["data"].to_pylist(), strict=True):
+        for c, data in zip(group["chunk"].to_pylist(), group["data"], strict=True):
+            data = data.as_buffer()
             n = int(np.frombuffer(data, np.int64, 1)[0])
             key.append(np.pad(np.frombuffer(data, np.uint8, 6 * n, 8).reshape(n, 6), ((0, 0), (0, 2))).view(np.uint64)[:, 0])
             doc.append(np.frombuffer(data, np.int32, n, 8 + 6 * n).astype(np.int64))
             place.append(np.frombuffer(data, np.int32, n, 8 + 10 * n))
             chunk.append(np.full(n, c))
         key, chunk, doc, place = (np.concatenate(x) for x in (key, chunk, doc, place))
-        _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+        value, back, times = np.unique(key, return_inverse=True, return_counts=True)
         hit = (times[back] > 1) & (place >= 0)
-        return _replies(_by_document(chunk[hit], doc[hit], place[hit]))
+        leaves = np.bincount(back, np.where(place < 0, -place, 1), len(value))
+        many = value[leaves > LONG_LEAVES].view(np.int64)
+        long = _batch(len(many), kind=[4] * len(many), th=many).select(_NAMES[1:])
+        return pa.concat_tables([_replies(_by_document(chunk[hit], doc[hit], place[hit])), pa.Table.from_batches([long])])
 
     return keyed.mapInArrow(lambda b: tidy(send(b)), SENT).groupBy("span").applyInArrow(answer, GOT)
 
 
-def _repeated_windows(candidates: DataFrame, frequent: np.ndarray, spans: int) -> DataFrame:
-    """Rows of GOT for (d, th, text, places): documents, and the starts of their windows that also start earlier."""
+def _lengths(a: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many words each row of ``a`` shares with the one before it in ``order``; 0 for the first."""
+    if not len(order):
+        return np.zeros(0, np.int64)
+    same = a[order[1:]] == a[order[:-1]]
+    return np.r_[0, np.where(same.all(1), a.shape[1], same.argmin(1))]
+
+
+def repeated_windows(words: np.ndarray, anchor: np.ndarray, rank: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The windows of each leaf that an earlier leaf has too, as bits: bit k is the window that starts k words ahead of the anchor.
+
+    ``words``: leaves by AHEAD + WINDOW word ids, the anchor from column AHEAD on; ``anchor``: its hash, which puts equal anchors together; ``rank``: the order
+    of leaves; ``mask``: the windows of each leaf that count.
+    """
+    on, back = words[:, AHEAD:], words[:, :AHEAD][:, ::-1]
+    forwards = np.lexsort((*on[:, :ANCHOR - 1:-1].T, anchor))
+    backwards = np.lexsort(back[:, ::-1].T)
+    shared_on, shared_back = _lengths(on, forwards), _lengths(back, backwards)
+    later = np.zeros(len(words), np.int64)
+    node, other = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+    for k in range(AHEAD + 1):
+        have = np.flatnonzero(mask >> k & 1)
+        if not len(have):
+            continue
+        node[forwards] = np.cumsum(shared_on < WINDOW - k)
+        other[backwards] = np.cumsum(shared_back < k)
+        deep = node[have] * (len(words) + 1) + other[have]
+        order = have[np.lexsort((rank[have], deep))]
+        deep = node[order] * (len(words) + 1) + other[order]
+        later[order[1:][deep[1:] == deep[:-1]]] |= 1 << k
+    return later
+
+
+def _starts(chunk: np.ndarray, doc: np.ndarray, place: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
+    """The starts of windows, by document."""
+    parts = [(at, np.full(len(at), k)) for k in range(AHEAD + 1) if len(at := np.flatnonzero(bits >> k & 1))]
+    if not parts:
+        return _by_document(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    at, k = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return _by_document(chunk[at], doc[at], place[at] - k)
+
+
+def leaves_of(ids: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, anchor, place, mask) of the suffixes of a document at its repeated anchors."""
+    n = len(ids)
+    at, h = anchors(Runs(ids), n)
+    start = np.flatnonzero(repeated[at])
+    place, first = np.unique(at[start], return_index=True)  # anchors move on with their windows
+    mask = np.bitwise_or.reduceat(1 << (at[start] - start), first) if len(start) else np.zeros(0, np.int64)
+    around = place[:, None] + np.arange(-AHEAD, WINDOW)
+    inside = (around >= 0) & (around < n)
+    return np.where(inside, ids[np.where(inside, around, 0)], np.uint64(0)), h[place], place, mask
+
+
+def _repeated_windows(candidates: DataFrame, long: tuple[int, np.ndarray] | None, spans: int) -> DataFrame:
+    """Rows of GOT for (d, th, text, places): documents, and the starts of their windows that also start earlier. ``long``: a map of the anchors whose prefix
+    goes on; without one all do."""
+    shared = candidates.sparkSession.sparkContext.broadcast(long)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, turn = TaskContext.get().partitionId(), 0
@@ -192,42 +253,50 @@ def _repeated_windows(candidates: DataFrame, frequent: np.ndarray, spans: int) -
             yield _passing(chunk, 0, len(docs), doc=range(len(docs)), d=[x[0] for x in docs], th=[x[1] for x in docs])
             if not held:
                 return
-            span, a, b, d, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((start, doc, d, b, a))
-            span, a, b, d, doc, start = (x[order] for x in (span, a, b, d, doc, start))
-            first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            local = _by_document(np.full(int((~first).sum()), chunk), doc[~first], start[~first])
+            words, anchor, place, mask, d, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((place, doc, d))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            later = repeated_windows(words, anchor, rank, mask)
+            local = _starts(np.full(len(doc), chunk), doc, place, later)
             yield _passing(chunk, 1, len(local), doc=local["doc"], data=local["places"])
-            span, a, b, d, doc, start = (x[first] for x in (span, a, b, d, doc, start))
-            by_doc = np.lexsort((start, doc))
-            span, a, b, d, doc, start = (x[by_doc] for x in (span, a, b, d, doc, start))
-            _, found, rows = _split(span)
-            blocks = [b"".join([np.int64(len(r)).tobytes(), a[r].tobytes(), np.diff(d[r], prepend=0).tobytes(), b[r].astype(np.uint32).tobytes(), np.diff(doc[r], prepend=0).astype(np.int32).tobytes(), start[r].astype(np.int32).tobytes()]) for r in rows]
+            mask = mask & ~later
+            lengthen = np.ones(len(anchor), bool) if shared.value is None else is_marked(shared.value[1], (anchor & np.uint64((1 << 48) - 1) & np.uint64((1 << shared.value[0]) - 1)).astype(np.int64))
+            # each window of a lengthened prefix goes its own way, by all its words
+            rows, spread, own = [np.flatnonzero((mask != 0) & ~lengthen)], [], [mask[(mask != 0) & ~lengthen]]
+            spread.append(anchor[rows[0]])
+            for k in range(AHEAD + 1):
+                at = np.flatnonzero(lengthen & (mask >> k & 1 > 0))
+                h = np.full(len(at), np.uint64(k))
+                for j in range(WINDOW):
+                    h = mix64(h * _BASE + words[at, AHEAD - k + j])
+                rows, spread, own = [*rows, at], [*spread, h], [*own, np.full(len(at), 1 << k)]
+            rows, spread, own = np.concatenate(rows), np.concatenate(spread), np.concatenate(own)
+            by_doc = np.lexsort((place[rows], doc[rows]))
+            rows, spread, own = rows[by_doc], spread[by_doc], own[by_doc]
+            _, found, groups = _split((mix64(spread) % np.uint64(spans)).astype(np.int64))
+            blocks = []
+            for g in groups:
+                r = rows[g]
+                columns = (words[r], anchor[r], np.diff(d[r], prepend=0), np.diff(doc[r], prepend=0).astype(np.int32), place[r].astype(np.int32), own[g].astype(np.uint16))
+                blocks.append(b"".join([np.int64(len(r)).tobytes(), *[np.ascontiguousarray(c).tobytes() for c in columns]]))
             yield _batch(len(found), span=found, kind=[3] * len(found), chunk=[chunk] * len(found), data=blocks)
 
         for batch in batches:
             for d, th, text, places in rows_of(batch):
                 ids = _word_ids.of(words_of(text))
-                n = len(ids)
-                if n < WINDOW:
+                if len(ids) < WINDOW:
                     continue
-                runs = Runs(ids)
-                repeated = np.zeros(n, bool)
+                repeated = np.zeros(len(ids), bool)
                 for data in places:
                     at = np.frombuffer(data, np.int32)
-                    repeated[at[at < n]] = True
-                start = np.flatnonzero(repeated[anchors(runs, n)[0]])
-                if len(start):
-                    # the prefix ends with the first word that isn't frequent
-                    rare = np.where(np.isin(ids, frequent), n, np.arange(n))
-                    ends = np.minimum.accumulate(rare[::-1])[::-1]
-                    length = np.minimum(ends[start] - start + 1, WINDOW)
-                    span = (runs.of(start, length) % np.uint64(spans)).astype(np.int64)
-                    b = Runs(ids, _BASE2, _INVERSE2).of(start, WINDOW) & np.uint64(0xFFFFFFFF)
-                    parts.append((span, runs.of(start, WINDOW), b, np.full(len(start), d), np.full(len(start), len(docs)), start))
+                    repeated[at[at < len(ids)]] = True
+                words, anchor, place, mask = leaves_of(ids, repeated)
+                if len(place):
+                    parts.append((words, anchor, place, mask, np.full(len(place), d), np.full(len(place), len(docs))))
                     docs.append((d, th))
-                    held += len(start)
-                if held >= CHUNK_WORDS or len(docs) >= 60_000:
+                    held += len(place)
+                if held >= CHUNK_LEAVES or len(docs) >= 60_000:
                     yield from flush()
                     docs, parts, held, turn = [], [], 0, turn + 1
         if docs:
@@ -236,20 +305,20 @@ def _repeated_windows(candidates: DataFrame, frequent: np.ndarray, spans: int) -
     def subtree(group: pa.Table) -> pa.Table:
         if group["kind"][0].as_py() != 3:
             return group.select(_NAMES[1:])
-        leaves: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for c, data in zip(group["chunk"].to_pylist(), group["data"].to_pylist(), strict=True):
-            n = int(np.frombuffer(data, np.int64, 1)[0])
-            at = 8
-            for i, kind in enumerate((np.uint64, np.int64, np.uint32, np.int32, np.int32)):
-                x = np.frombuffer(data, kind, n, at)
-                leaves[i].append(np.cumsum(x, dtype=np.int64) if i in (1, 3) else x)
+        columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+        for c, data in zip(group["chunk"].to_pylist(), group["data"], strict=True):
+            data = data.as_buffer()
+            n, at = int(np.frombuffer(data, np.int64, 1)[0]), 8
+            for i, (kind, width) in enumerate(((np.uint64, AHEAD + WINDOW), (np.uint64, 1), (np.int64, 1), (np.int32, 1), (np.int32, 1), (np.uint16, 1))):
+                x = np.frombuffer(data, kind, n * width, at)
                 at += x.nbytes
-            leaves[5].append(np.full(n, c))
-        a, d, b, doc, start, chunk = (np.concatenate(x) for x in leaves)
-        order = np.lexsort((start, doc, chunk, d, b, a))
-        a, b = a[order], b[order]
-        later = order[~np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]]
-        return _replies(_by_document(chunk[later], doc[later], start[later]))
+                columns[i].append(x.reshape(n, width) if width > 1 else np.cumsum(x, dtype=np.int64) if i in (2, 3) else x)
+            columns[6].append(np.full(n, c))
+        words, anchor, d, doc, place, mask, chunk = (np.concatenate(x) for x in columns)
+        order = np.lexsort((place, doc, chunk, d))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return _replies(_starts(chunk, doc, place.astype(np.int64), repeated_windows(words, anchor, rank, mask.astype(np.int64))))
 
     return candidates.mapInArrow(lambda b: tidy(send(b)), SENT).groupBy("span").applyInArrow(subtree, GOT)
 
@@ -260,6 +329,11 @@ def _places(got: DataFrame) -> DataFrame:
     return got.where("kind = 1").select("chunk", "doc", "data").join(own, ["chunk", "doc"]).groupBy("d", "th").agg(F.collect_list("data").alias("places"))
 
 
+def _spans(size: float) -> int:
+    """How many groups hold ``size`` bytes."""
+    return max(64, math.ceil(size / GROUP_BYTES))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of ``docs`` (doc_id, text): each word goes that a window of 20 words covers whose
     words also start earlier (smaller doc_id, or same document and earlier start).
@@ -268,12 +342,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts that share a doc_id otherwise come one after the other. An empty table gives an empty result; other columns are ignored.
     """
     keyed = _with_keys(docs)
-    spans = max(64, 4 * keyed.rdd.getNumPartitions())
-    got = materialize(_repeated_anchors(keyed, spans), "passage-anchors")
-    counts = got.where("kind = 2").groupBy("th", "sha").agg(F.sum("n").alias("n"))
-    total = counts.where("sha = 'all'").agg(F.sum("n")).first()[0] or 0
-    often = counts.where(F.col("sha").isNull() & (F.col("n") >= F.lit(FREQUENT * total))).select("th").toPandas()["th"]  # fewer than 1 / FREQUENT rows
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    got = materialize(_repeated_anchors(keyed, _spans(size * ANCHOR_SHARE)), "passage-anchors")
     places = materialize(_places(got), "passage-places")
+    leaves = places.agg(F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda n, x: n + F.floor(F.octet_length(x) / 4)))).first()[0] or 0
 
     stats = got.where("kind = 0").select("d", "th", "n", "sha")
     copies = stats.groupBy("d", "th").agg(F.count("*").alias("rows")).where("rows > 1")
@@ -281,8 +353,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     if not copies.isEmpty():
         twice = copies.select("d", "th")
         texts = texts.join(twice, ["d", "th"], "left_anti").unionByName(texts.join(twice, ["d", "th"], "left_semi").dropDuplicates(["d", "th"]))
-    frequent = np.sort(often.to_numpy(np.int64).view(np.uint64))
-    found = materialize(_repeated_windows(texts, frequent, spans), "passage-windows")
+    long = marked_bits(got.where("kind = 4").select("th").distinct(), F.col("th"))
+    found = materialize(_repeated_windows(texts, long, _spans(leaves * LEAF_BYTES)), "passage-windows")
     gone = materialize(_places(found), "passage-gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
