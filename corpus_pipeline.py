@@ -58,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The classifier and the shuffles' digests can't be written in SQL; tests hold each stage against brute force.
+#: The classifier and the tokenizer can't be written in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
