@@ -4,6 +4,7 @@ import io
 import json
 import os
 import re
+import sys
 import zipfile
 
 import duckdb
@@ -213,3 +214,59 @@ def test_every_order_is_a_slide(spark, name):
 
     assert derived(spark, SF, SHAPES).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert len({r.slide % 10 for r in entry.queries()[name](spark, SF).select("slide").distinct().collect()}) == 10
+
+
+def test_without_the_training_data_operators(tmp_path):
+    """With the llm folders, or with the pipeline too, gone the entry still imports and offers all other queries."""
+    import shutil
+    import subprocess
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "spark-warehouse"))
+    said = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 100 and not [n for n in q if n.startswith('op') or n == 'pipeline'] and set(o) <= set(q)"
+    for gone in (copy / "veilspark" / "llm", copy / "tests" / "llm"):
+        shutil.rmtree(gone)
+    for _ in range(2):
+        subprocess.run([sys.executable, "-c", said], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, check=True, timeout=120)
+        listed = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider"], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=200)
+        assert listed.returncode == 0, listed.stdout[-2000:]
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_registry_choice(spark):
+    df = spark.createDataFrame([(1, "mail a@b.id, NIK 3171234567890123 nama: Budi Santoso")], "id long, text string")
+    kinds = lambda **how: {x.entity_type for x in recognizers.scan(df, "2024-06-15", **how).collect()}
+    assert kinds() >= {"EMAIL_ADDRESS", "PERSON"} and kinds(only=["id_person"]) == {"PERSON"} and kinds(entities=["EMAIL_ADDRESS"]) == {"EMAIL_ADDRESS"}
+
+
+def test_many_matches_in_one_text(spark):
+    """Ends of matches are summed part by part beyond 256 of them."""
+    from veilspark.functions.text import Pattern, find_spans
+
+    text = "é12 " * 1000
+    got = sorted((x.start_pos, x.end_pos) for x in find_spans(spark.createDataFrame([(text,)], "text string"), "text", [Pattern("N", r"\d+", 1.0)]).collect())
+    assert got == [(4 * k + 1, 4 * k + 3) for k in range(1000)]
+
+
+def test_tokens_beside_a_forged_vault(spark):
+    """A vault that holds a value's six and eight digits for others: it gets ten."""
+    from pyspark.sql import functions as F
+
+    from veilspark.functions.text import value_hmac
+    from veilspark.operators import protect
+
+    values = spark.createDataFrame([("PERSON", "Budi"), ("PERSON", "Siti")], "entity_type string, value string")
+    h = values.where("value = 'Budi'").select(value_hmac(F.col("entity_type"), F.col("value"), b"k" * 32)).first()[0]
+    vault = spark.createDataFrame([("PERSON", "other1", f"[[PERSON_{h[:6].upper()}]]"), ("PERSON", "other2", f"[[PERSON_{h[:8].upper()}]]")], "entity_type string, hmac string, token string")
+    got = {x.normalised: x.token for x in protect.assign_tokens(values, b"k" * 32, vault).collect()}
+    assert got["budi"] == f"[[PERSON_{h[:10].upper()}]]" and len(set(got.values())) == 2
+
+
+def test_derived_key_equals_the_library():
+    import hashlib
+
+    from veilspark.operators.repositories import derived_key
+
+    key, salt = derived_key("rahasia", b"0" * 16, 1000)
+    assert key == hashlib.pbkdf2_hmac("sha256", b"rahasia", b"0" * 16, 1000, 32) and salt == b"0" * 16 and len(derived_key("x", rounds=1)[1]) == 16
