@@ -173,3 +173,23 @@ def length_bucket(n: Column) -> Column:
     for limit, name in ((100, "<100"), (1000, "<1k"), (10_000, "<10k"), (100_000, "<100k"), (512_000, "<512k")):
         out = out.when(n < limit, name)
     return out.otherwise(">=512k")
+
+
+#: Patterns and labels for log lines, in order.
+LOG_PATTERNS = [
+    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[EMAIL_REDACTED]"), (r"\b(?:\+62|62|0)[\s.-]?\d{2,4}[\s.-]?\d{3,4}[\s.-]?\d{3,4}\b", "[PHONE_REDACTED]"),
+    (r"\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b", "[PHONE_REDACTED]"), (r"\b\d{16}\b", "[NIK_REDACTED]"), (r"\b\d{2}\.\d{3}\.\d{3}\.\d[-]?\d{3}\.\d{3}\b", "[NPWP_REDACTED]"),
+    (r"\b\d{4}[\s.-]?\d{4}[\s.-]?\d{4}[\s.-]?\d{4}\b", "[CC_REDACTED]"), (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "[IP_REDACTED]"),
+]
+
+
+def redacted_line(line: Column) -> Column:
+    """A log line without the values that its patterns know."""
+    for pattern, label in LOG_PATTERNS:
+        line = F.regexp_replace(line, f"(?U){pattern}", label)
+    return line
+
+
+def content_hash(value: Column) -> Column:
+    """SHA-256 of a text's bytes, in hexadecimal digits."""
+    return F.sha2(value.cast("binary"), 256)

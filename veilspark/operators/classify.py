@@ -77,6 +77,28 @@ def statistics(df: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def running_statistics(df: DataFrame, segment: str) -> DataFrame:
+    """Findings, characters and segments met so far by type and raw band."""
+    f = df.withColumn("band", simple_band(F.col("score"), 0.9, 0.7))
+    return f.groupBy("entity_type", "band").agg(F.count("*").alias("findings"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("characters"), F.countDistinct(segment).alias("segments"))
+
+
+def plan_counters(planned: DataFrame, *by: str) -> DataFrame:
+    """What a plan (treatment) does: findings, those to treat, tokens and those kept."""
+    t = F.col("treatment")
+    return planned.groupBy(*by).agg(F.count("*").alias("findings"), F.count_if(t != "KEEP").alias("to_treat"), F.count_if(t == "TOKEN").alias("tokens"), F.count_if(t == "KEEP").alias("kept"))
+
+
+def value_groups(df: DataFrame, file: str) -> DataFrame:
+    """Findings of one value and type as a group: how many, in how many files, and whether in one only."""
+    g = df.groupBy(F.sha2(F.col("value").cast("binary"), 256).alias("value_hash"), "entity_type").agg(F.count("*").alias("findings"), F.countDistinct(file).alias("files"))
+    return g.withColumn("same_file", F.col("files") == 1)
+
+
+def entity_counts(df: DataFrame, *by: str) -> DataFrame:
+    return df.groupBy(*by, "entity_type").agg(F.count("*").alias("findings"))
+
+
 def matching(df: DataFrame, bands=None, types=None, not_types=None, least=None, most=None, recognizers=None, where: Column | None = None) -> DataFrame:
     """Findings that meet every criterion given; ``where`` is a condition of the caller's own."""
     for column, allowed in (("band", bands), ("entity_type", types), ("recognizer", recognizers)):

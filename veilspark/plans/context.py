@@ -58,9 +58,22 @@ def cx08_cells(spark, d):
 PEOPLE = "SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN 'Budi Santoso' WHEN 1 THEN 'Demam Tinggi' WHEN 2 THEN 'Jalan Merdeka' WHEN 3 THEN 'Nama Pasien' WHEN 4 THEN 'Al' WHEN 5 THEN 'Siti Nur Aini Dewi Lestari' WHEN 6 THEN c_name ELSE 'NIK Mock' END AS value FROM customer"
 
 
-@query("fl05_person_filter", f"SELECT id, id % 8 <> 0 AS dropped FROM ({PEOPLE}) AS x")
+COMMON = ["nama", "pasien", "nik", "nama pasien"]
+
+
+def words_sql(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+NOT_A_PERSON = f"""SELECT id, v = '' OR list_contains({words_sql(COMMON)}, v) OR regexp_matches(value, '[0-9|:=/@#(){{}}<>\\[\\]\\n\\r\\\\]') OR len(list_intersect(t, {words_sql(m.PLACE_WORDS)})) > 0 OR len(t) > 4 OR (len(t) = 1 AND length(t[1]) <= 2)
+ OR len(list_filter(t, lambda x: NOT list_contains({words_sql(COMMON)}, x))) = 0 OR len(list_intersect(t, {words_sql(m.CLINICAL_WORDS)})) > 0
+ OR (len(list_intersect(t, {words_sql(m.LABEL_PARTS)})) > 0 AND len(list_filter(t, lambda x: NOT list_contains({words_sql([*COMMON, *m.LABEL_PARTS])}, x))) = 0) AS dropped
+ FROM (SELECT *, list_filter(regexp_split_to_array(v, '[\\s\\-]+'), lambda x: x <> '') AS t FROM (SELECT *, regexp_replace(lower(trim(value)), '\\s+', ' ', 'g') AS v FROM ({PEOPLE}) AS p))"""
+
+
+@query("fl05_person_filter", NOT_A_PERSON)
 def fl05(spark, d):
-    return derived(spark, d, PEOPLE).select("id", m.not_a_person(F.col("value"), ["nama", "pasien", "nik", "nama pasien"]).alias("dropped"))
+    return derived(spark, d, PEOPLE).select("id", m.not_a_person(F.col("value"), COMMON).alias("dropped"))
 
 
 LINES = "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'Nama: ' || o_orderpriority WHEN 1 THEN 'kunci = ' || o_orderstatus || ' x' WHEN 2 THEN 'sebuah kalimat yang terlalu panjang : nilai' WHEN 3 THEN 'tanpa pemisah' ELSE 'a | b | c' END AS text FROM orders"
@@ -89,7 +102,18 @@ def sg05(spark, d):
     return s.with_context(s.paragraphs(docs, "doc_id"), "doc_id").select("doc_id", "idx", h(F.col("previous_text")).alias("before"), h(F.col("next_text")).alias("behind"))
 
 
-@query("src15_html_text")
+def html_sql() -> str:
+    out = "html"
+    for p, to in ((r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>", " "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|li|tr|h[1-6])>", "\n"), (r"<[^>]+>", "")):
+        out = f"regexp_replace({out}, '{p}', '{to}', 'g')"
+    for name, to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&apos;", "''"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&amp;", "&")):
+        out = f"replace({out}, '{name}', '{to}')"
+    for p, to in ((r"[ \t\r\f\x0b]+", " "), (r"\n{3,}", "\n\n"), (r"^[\s\x{85}\x{a0}]+|[\s\x{85}\x{a0}]+$", "")):
+        out = f"regexp_replace({out}, '{p}', '{to}', 'g')"
+    return out
+
+
+@query("src15_html_text", f"SELECT page_id, length(t)::BIGINT AS n, md5(t) AS hash FROM (SELECT page_id, {html_sql()} AS t FROM pages)")
 def src15(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", s.html_to_text(F.col("html")).alias("text"))
     return pages.select("page_id", F.length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("hash"))
@@ -146,6 +170,31 @@ def cp02(spark, d):
     return tb.content_types(tb.cells(orders)).select("column_name", "cells", "content_type")
 
 
+KINDS = f"SELECT 'nik' AS column_name, text AS value FROM ({i.NIK}) AS a UNION ALL SELECT 'npwp', text FROM ({i.NPWP}) AS b UNION ALL SELECT 'phone', text FROM ({i.PHONE}) AS p UNION ALL SELECT 'mail', CASE WHEN s_suppkey % 3 = 0 THEN ' ' ELSE 'surel u' || CAST(s_suppkey AS STRING) || '@x.id' END FROM supplier"
+
+
+def kinds_sql() -> str:
+    from .detection import PROV, SIXTEEN_SQL, SUBJ
+
+    only = lambda p: f"regexp_replace(regexp_extract(v, '{p}'), '\\D', '', 'g')"
+    old, new = r"\b\d{2}[.\s]?\d{3}[.\s]?\d{3}[.\s]?\d[-.\s]?\d{3}[.\s]?\d{3}\b", r"\b\d{2}[.\s]?\d{3}[.\s]?\d{3}[.\s]?\d[-.\s]?\d{3}[.\s]?\d{3}[.\s]?\d\b|\b\d{16}\b"
+    phones = []
+    for p in tb.r.MOBILE:
+        q = p.regex.removeprefix("(?U)")
+        n = f"regexp_replace(regexp_extract(v, '{q}'), '[^0-9+]', '', 'g')"
+        local = f"(CASE WHEN starts_with({n}, '+62') THEN '0' || substr({n}, 4) WHEN starts_with({n}, '62') THEN '0' || substr({n}, 3) ELSE {n} END)"
+        good = f"(substr({local}, 1, 4) IN ({', '.join(map(repr, tb.r.CARRIERS))}) OR {p.score - 0.2 > 0.5})"
+        phones.append(f"(regexp_matches(v, '{q}') AND {good} AND length({local}) BETWEEN 10 AND 13)")
+    return f"""CASE WHEN regexp_matches(v, '{SIXTEEN_SQL}') AND substr({only(SIXTEEN_SQL)}, 1, 2) IN {PROV} THEN 'ID_NIK' WHEN (regexp_matches(v, '{old}') AND substr({only(old)}, 1, 2) IN {SUBJ}) OR regexp_matches(v, '{new}') THEN 'ID_NPWP'
+ WHEN {' OR '.join(phones)} THEN 'ID_PHONE' WHEN regexp_matches(v, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b') THEN 'EMAIL_ADDRESS' WHEN regexp_matches(v, '\\b\\d{{1,2}}[-/][A-Za-z0-9]{{1,9}}[-/]\\d{{2,4}}\\b|\\b\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}\\b') THEN 'DATE' END"""
+
+
+@query("cp02_content_kinds", f"""WITH k AS (SELECT column_name, {kinds_sql()} AS kind FROM (SELECT column_name, trim(value) AS v FROM ({KINDS}) AS x WHERE trim(value) <> '')), c AS (SELECT column_name, kind, count(*) AS n FROM k GROUP BY 1, 2)
+SELECT column_name, sum(n)::BIGINT AS cells, CASE WHEN max(n) FILTER (kind IS NOT NULL) / sum(n)::DOUBLE >= 0.6 THEN arg_max(kind, n) FILTER (kind IS NOT NULL) END AS content_type FROM c GROUP BY 1""")
+def cp02b(spark, d):
+    return tb.content_types(derived(spark, d, KINDS)).select("column_name", "cells", "content_type")
+
+
 @query("cp03_narrative", """WITH u AS (SELECT 'text' AS column_name, text AS v FROM documents UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'source', source FROM documents), w AS (SELECT column_name, trim(v) AS v FROM u WHERE trim(v) <> '')
 SELECT column_name, count(*)::BIGINT AS cells, round(avg(length(v)), 6) AS avg_length, round(avg(len(regexp_split_to_array(v, '\\s+'))), 6) AS avg_tokens, avg(length(v)) >= 50 AND avg(len(regexp_split_to_array(v, '\\s+'))) >= 8 AS is_narrative FROM w GROUP BY 1""")
 def cp03(spark, d):
@@ -238,17 +287,23 @@ def nr02(spark, d):
 ANY = "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'Nama: ' || o_orderpriority WHEN 1 THEN '123=  x y' WHEN 2 THEN 'a' || chr(9) || 'b' WHEN 3 THEN 'kiri | kanan' ELSE 'tanpa' END AS text FROM orders"
 
 
-@query("sg04_key_value_any", f"SELECT id, CASE id % 5 WHEN 0 THEN 'Nama' WHEN 2 THEN 'a' ELSE 'kiri' END AS key, CASE id % 5 WHEN 0 THEN substr(text, 7) WHEN 2 THEN 'b' ELSE 'kanan' END AS value FROM ({ANY}) AS x WHERE id % 5 IN (0, 2, 3)")
+KEY_SHAPES = [r"^([^:]+):\s*(.+)$", r"^([^=]+)=\s*(.+)$", r"^([^\t]+)\t+(.+)$", r"^([^|]+)\|\s*(.+)$"]
+_part = lambda p, n: f"trim(regexp_extract(trim(text), '{p}', {n}))"
+_first = lambda n: "CASE " + " ".join(f"WHEN regexp_matches(trim(text), '{p}') AND length({_part(p, 1)}) <= 50 AND NOT regexp_matches({_part(p, 1)}, '^\\d+$') THEN {_part(p, n)}" for p in KEY_SHAPES) + " END"
+
+
+@query("sg04_key_value_any", f"SELECT * FROM (SELECT id, {_first(1)} AS key, {_first(2)} AS value FROM ({ANY}) AS x) WHERE key IS NOT NULL")
 def sg04(spark, d):
     return derived(spark, d, ANY).select("id", s.key_value_any(F.col("text")).alias("kv")).where("kv is not null").select("id", "kv.key", "kv.value")
 
 
-@query("sg09_table_delimiter", "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN ',' WHEN 1 THEN '|' WHEN 2 THEN NULL ELSE NULL END AS delimiter FROM customer")
+BLOCKS = "SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'a,' || c_name || chr(10) || 'c,d' WHEN 1 THEN 'a|' || c_mktsegment || ',c' || chr(10) || 'd|e' WHEN 2 THEN 'a;b' WHEN 3 THEN 'x' || chr(10) || 'y,z' WHEN 4 THEN 'p;q;' || c_name || chr(10) || '1;2;3' ELSE 'a' || chr(9) || c_name || chr(10) || 'b' || chr(9) || 'c' END AS text FROM customer"
+_even = lambda d: f"len(list_distinct(list_transform(lines, lambda x: len(string_split(x, {d}))))) = 1 AND len(string_split(lines[1], {d})) > 1"
+
+
+@query("sg09_table_delimiter", f"SELECT id, CASE WHEN len(lines) < 2 THEN NULL WHEN {_even(repr(','))} THEN ',' WHEN {_even('chr(9)')} THEN chr(9) WHEN {_even(repr('|'))} THEN '|' WHEN {_even(repr(';'))} THEN ';' END AS delimiter FROM (SELECT id, string_split(text, chr(10)) AS lines FROM ({BLOCKS}) AS b)")
 def sg09(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet")
-    k = F.col("c_custkey") % 4
-    lines = F.when(k == 0, F.array(F.lit("a,b"), F.lit("c,d"))).when(k == 1, F.array(F.lit("a|b,c"), F.lit("d|e"))).when(k == 2, F.array(F.lit("a;b"))).otherwise(F.array(F.lit("x"), F.lit("y,z")))
-    return c.select(F.col("c_custkey").alias("id"), s.table_delimiter(lines).alias("delimiter"))
+    return derived(spark, d, BLOCKS).select("id", s.table_delimiter(F.split("text", "\n")).alias("delimiter"))
 
 
 SETTINGS = {"o": [("PERSON", False, None, None), ("CUSTOM", None, "MASK", None)], "p": [("ID_NIK", True, "TOKEN", 0.7), ("EMAIL_ADDRESS", None, "MASK", 0.5), ("PERSON", True, "REDACT", 0.1)], "c": [("PHONE_NUMBER", False, "REDACT"), ("CREDIT_CARD", True, "CATEGORY")]}

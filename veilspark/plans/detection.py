@@ -188,7 +188,26 @@ def dt12(spark, d):
     return r.birth_date(derived(spark, d, i.BIRTH), AS_OF).select(*OUT)
 
 
-@query("dt13_person")
+_NAME_SQL = r"[A-Z][a-z]+(?:[\t ]+[A-Z][a-z]+){0,3}"
+_TITLES = r"(?:(?:dr|drg|dra|ir|prof|h|hj|tn|ny|sdr|sdri|bpk|bapak|ibu)\.?\s*)?"
+_alternatives = lambda words: "|".join(sorted(words, key=len, reverse=True))
+
+
+def person_sql() -> str:
+    """The four patterns without look-ahead: what has to follow is part of the match, and the name is cut out of it."""
+    shapes = [
+        (0, rf"(?i)(?:{_alternatives(r.NAME_LABELS)})\s*[:=]\s*({_NAME_SQL})", 0.9), (1, rf"\]\s*({_NAME_SQL})\s*[|\n]", 0.85),
+        (2, rf"[\"'](?i:{_alternatives(r.NAME_KEYS)})[\"']\s*:\s*[\"']({_TITLES}{_NAME_SQL})[\"']", 0.9), (3, rf"\b(?i:{_alternatives(r.NAME_CUES)})\s+({_NAME_SQL})", 0.8),
+    ]
+    parts = []
+    for no, p, score in shapes:
+        q = p.replace("'", "''")
+        parts.append("SELECT * FROM (" + spans_sql(i.PERSON, p, f"id, {no} AS no, start_pos + strpos(value, regexp_extract(value, '{q}', 1)) - 1 AS start_pos, regexp_extract(value, '{q}', 1) AS value, {score}::DOUBLE AS score") + ") AS y")
+    every = " UNION ALL ".join(parts)
+    return f"SELECT id, 'PERSON' AS entity_type, start_pos, start_pos + length(value) AS end_pos, value, score, 'id_person' AS recognizer FROM (SELECT *, row_number() OVER (PARTITION BY id, start_pos, length(value) ORDER BY no) AS n FROM ({every})) WHERE n = 1"
+
+
+@query("dt13_person", person_sql())
 def dt13(spark, d):
     return r.person(derived(spark, d, i.PERSON)).select(*OUT, "recognizer")
 
@@ -204,7 +223,7 @@ def dt14(spark, d):
 RULES = [("kartu anggota", "regex", r"\bkartu\s+\d"), ("habis", "word", "habis"), ("Tiga", "contains", "3333")]
 
 
-@query("dt15_custom_patterns")
+@query("dt15_custom_patterns", " UNION ALL ".join(spans_sql(i.CARD, p, SPAN.format(e=e, s=0.95)) for e, p in (("KARTU_ANGGOTA", r"(?i)\bkartu\s+\d"), ("HABIS", r"(?i)\bhabis\b"), ("TIGA", "3333"))))
 def dt15(spark, d):
     return r.custom(derived(spark, d, i.CARD), RULES).select(*OUT)
 

@@ -131,8 +131,7 @@ def ag03(spark, d):
 
 @query("ag04_running_stats", f"{BASE} SELECT entity_type, CASE WHEN score >= 0.9 THEN 'HIGH' WHEN score >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS band, count(*)::BIGINT AS findings, sum(end_pos - start_pos)::BIGINT AS characters, count(DISTINCT segment_id)::BIGINT AS segments FROM f GROUP BY 1, 2")
 def ag04(spark, d):
-    f = findings(spark, d).withColumn("band", classify.simple_band(F.col("score"), 0.9, 0.7))
-    return f.groupBy("entity_type", "band").agg(F.count("*").alias("findings"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("characters"), F.countDistinct("segment_id").alias("segments"))
+    return classify.running_statistics(findings(spark, d), "segment_id")
 
 
 TREAT = "CASE finding_id % 4 WHEN 0 THEN 'TOKEN' WHEN 1 THEN 'REDACT' WHEN 2 THEN 'KEEP' ELSE 'MASK' END"
@@ -140,19 +139,17 @@ TREAT = "CASE finding_id % 4 WHEN 0 THEN 'TOKEN' WHEN 1 THEN 'REDACT' WHEN 2 THE
 
 @query("ag05_plan_counters", f"{BASE} SELECT count(*)::BIGINT AS findings, count(*) FILTER ({TREAT} <> 'KEEP')::BIGINT AS to_treat, count(*) FILTER ({TREAT} = 'TOKEN')::BIGINT AS tokens, count(*) FILTER ({TREAT} = 'KEEP')::BIGINT AS kept FROM f")
 def ag05(spark, d):
-    f = findings(spark, d).withColumn("t", F.expr(TREAT))
-    return f.agg(F.count("*").alias("findings"), F.count_if(F.col("t") != "KEEP").alias("to_treat"), F.count_if(F.col("t") == "TOKEN").alias("tokens"), F.count_if(F.col("t") == "KEEP").alias("kept"))
+    return classify.plan_counters(findings(spark, d).withColumn("treatment", F.expr(TREAT)))
 
 
 @query("ag06_groups", f"{BASE} SELECT sha256(value) AS value_hash, entity_type, count(*)::BIGINT AS findings, count(DISTINCT segment_id)::BIGINT AS files, count(DISTINCT segment_id) = 1 AS same_file FROM f GROUP BY 1, 2")
 def ag06(spark, d):
-    g = findings(spark, d).groupBy(F.sha2(F.col("value").cast("binary"), 256).alias("value_hash"), "entity_type").agg(F.count("*").alias("findings"), F.countDistinct("segment_id").alias("files"))
-    return g.withColumn("same_file", F.col("files") == 1)
+    return classify.value_groups(findings(spark, d), "segment_id")
 
 
 @query("ag07_entity_counts", f"{BASE} SELECT segment_id, entity_type, count(*)::BIGINT AS findings FROM f GROUP BY 1, 2")
 def ag07(spark, d):
-    return findings(spark, d).groupBy("segment_id", "entity_type").agg(F.count("*").alias("findings"))
+    return classify.entity_counts(findings(spark, d), "segment_id")
 
 
 SEV_CASE = "CASE entity_type" + "".join(f" WHEN '{k}' THEN {('low', 'medium', 'high', 'critical').index(v)}" for k, v in classify.SEVERITY.items()) + " ELSE 1 END"
@@ -187,14 +184,14 @@ def fl01(spark, d):
 NAMES = "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '  ' || upper(p_name) ELSE p_name END AS value FROM part"
 
 
-@query("fl02_deny_list", f"""WITH f AS ({NAMES}), t AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS term FROM part WHERE p_partkey % 40 = 0 UNION SELECT DISTINCT lower(p_name) FROM part WHERE p_partkey % 7 = 0),
+@query("fl02_deny_list", f"""WITH f AS ({NAMES}), t AS (SELECT DISTINCT term FROM (SELECT lower(unnest(string_split(p_name, ' '))) AS term FROM part) AS w WHERE md5(term) < '9' UNION SELECT DISTINCT lower(p_name) FROM part WHERE p_partkey % 7 = 0),
  v AS (SELECT id, regexp_replace(trim(lower(value)), '\\s+', ' ', 'g') AS v FROM f),
  k AS (SELECT id, v, unnest(list_filter(regexp_split_to_array(v, '[\\s\\-]+'), lambda x: x <> '')) AS tok FROM v),
  m AS (SELECT k.id, count(*) AS n, count(t.term) AS hit FROM k LEFT JOIN t ON t.term = k.tok GROUP BY 1)
 SELECT v.id FROM v LEFT JOIN m USING (id) WHERE v.v NOT IN (SELECT term FROM t) AND NOT coalesce(m.n > 1 AND m.n = m.hit, false)""")
 def fl02(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
-    words = part.where("p_partkey % 40 = 0").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term"))
+    words = part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("term")).where(F.md5(F.col("term").cast("binary")) < "9")
     terms = words.unionByName(part.where("p_partkey % 7 = 0").select(F.lower("p_name").alias("term")))
     return classify.without_denied(derived(spark, d, NAMES), terms).select("id")
 

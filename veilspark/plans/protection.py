@@ -98,16 +98,8 @@ def tr04(spark, d):
     return derived(spark, d, VALUES).select("id", t.pseudonym(F.col("entity_type"), F.col("value"), KEY).alias("pseudonym"))
 
 
-#: Patterns and labels for log lines, in order.
-LOG = [
-    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[EMAIL_REDACTED]"), (r"\b(?:\+62|62|0)[\s.-]?\d{2,4}[\s.-]?\d{3,4}[\s.-]?\d{3,4}\b", "[PHONE_REDACTED]"),
-    (r"\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b", "[PHONE_REDACTED]"), (r"\b\d{16}\b", "[NIK_REDACTED]"), (r"\b\d{2}\.\d{3}\.\d{3}\.\d[-]?\d{3}\.\d{3}\b", "[NPWP_REDACTED]"),
-    (r"\b\d{4}[\s.-]?\d{4}[\s.-]?\d{4}[\s.-]?\d{4}\b", "[CC_REDACTED]"), (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "[IP_REDACTED]"),
-]
-
-
 def nested(expression: str) -> str:
-    for p, to in LOG:
+    for p, to in t.LOG_PATTERNS:
         expression = f"regexp_replace({expression}, '{p}', '{to}', 'g')"
     return expression
 
@@ -115,17 +107,7 @@ def nested(expression: str) -> str:
 @query("tr06_log_redaction", " UNION ALL ".join(f"SELECT id, {nested('text')} AS line FROM ({s}) AS x" for s in (i.PHONE, i.NPWP)))
 def tr06(spark, d):
     lines = derived(spark, d, i.PHONE).unionByName(derived(spark, d, i.NPWP))
-    out = F.col("text")
-    for p, to in LOG:
-        out = F.regexp_replace(out, f"(?U){p}", to)
-    return lines.select("id", out.alias("line"))
-
-
-#: Labels that stand for detected values in texts shown at once.
-LABELS = {
-    "ID_NIK": "NIK", "ID_NPWP": "NPWP", "ID_KK": "KK", "ID_PHONE": "PHONE", "ID_BPJS": "BPJS", "PHONE_NUMBER": "PHONE", "EMAIL_ADDRESS": "EMAIL", "CREDIT_CARD": "CARD", "IBAN_CODE": "IBAN", "IP_ADDRESS": "IP",
-    "URL": "URL", "PERSON": "NAME", "DATE_OF_BIRTH": "DOB", "DATE": "DATE", "MEDICAL_RECORD": "MEDICAL_ID", "MEDICAL_INFO": "MEDICAL_INFO", "ADDRESS": "ADDRESS",
-}
+    return lines.select("id", t.redacted_line(F.col("text")).alias("line"))
 
 
 def documents(spark, d):
@@ -165,7 +147,9 @@ def rs03(spark, d):
 TOKENISED = "SELECT c_custkey AS id, 'a [[EMAIL_' || upper(left({h}, 6)) || ']] b [[PERSON_' || upper(left({h}, 8)) || ']] c' AS text FROM customer"
 
 
-@query("rs05_restore_check", "WITH x AS (SELECT c_custkey AS id, upper(left(md5(c_custkey::VARCHAR), 6)) AS e, upper(left(md5(c_custkey::VARCHAR), 8)) AS p FROM customer) SELECT id, 2::BIGINT AS total, (1 + (id % 3 = 0)::INT)::BIGINT AS resolved, CASE WHEN id % 3 = 0 THEN 100.0 ELSE 50.0 END::DOUBLE AS rate, id % 3 = 0 AS is_valid, id % 3 = 0 AS can_proceed FROM x")
+@query("rs05_restore_check", r"""WITH c AS (SELECT c_custkey AS id, upper(md5(c_custkey::VARCHAR)) AS h FROM customer), x AS (SELECT id, 'a [[EMAIL_' || left(h, 6) || ']] b [[PERSON_' || left(h, 8) || ']] c' AS text FROM c),
+ known AS (SELECT '[[EMAIL_' || left(h, 6) || ']]' AS token FROM c UNION SELECT '[[PERSON_' || left(h, 8) || ']]' FROM c WHERE id % 3 = 0), t AS (SELECT DISTINCT id, unnest(regexp_extract_all(text, '\[\[[A-Z][A-Z0-9_]{1,31}_[A-F0-9]{6,16}\]\]')) AS token FROM x),
+ g AS (SELECT id, count(*)::BIGINT AS total, count(known.token)::BIGINT AS resolved FROM t LEFT JOIN known USING (token) GROUP BY 1) SELECT *, round(resolved / total::DOUBLE * 100, 6) AS rate, resolved = total AS is_valid, resolved = total AS can_proceed FROM g""")
 def rs05(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet").withColumn("h", F.upper(F.md5(F.col("c_custkey").cast("string").cast("binary"))))
     token = lambda e, n: F.concat(F.lit(f"[[{e}_"), F.left("h", F.lit(n)), F.lit("]]"))
@@ -197,4 +181,4 @@ def sc01(spark, d):
 
 @query("sc03_hashes", "SELECT page_id, sha256(html) AS hash FROM pages")
 def sc03(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("hash"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", t.content_hash(F.col("html")).alias("hash"))
