@@ -106,12 +106,17 @@ def collapse(value: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""))), r"(?U)\s+", " ")
 
 
+def folded(value: Column) -> Column:
+    """Text in which case doesn't count: by way of the capitals, so that a sharp s and a double one agree."""
+    return F.lower(F.upper(value))
+
+
 def normalise_value(entity: Column, value: Column) -> Column:
-    """The form in which two values count as the same. Case folding is that of lower(), so it is exact for text without special casings."""
+    """The form in which two values count as the same, whatever the case. Composed and decomposed characters differ: Spark has no normal forms."""
     bare = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
     number = F.regexp_replace(bare, r"[^0-9+]", "")
     phone = F.when(number.startswith("0"), F.concat(F.lit("+62"), F.substring(number, 2, 1000))).when(number.startswith("62"), F.concat(F.lit("+"), number)).otherwise(number)
-    return F.when(entity == "EMAIL", F.lower(bare)).when(entity.isin("PHONE_NUMBER", "ID_PHONE"), phone).otherwise(F.regexp_replace(F.lower(bare), r"(?U)\s+", " "))
+    return F.when(entity == "EMAIL", folded(bare)).when(entity.isin("PHONE_NUMBER", "ID_PHONE"), phone).otherwise(F.regexp_replace(folded(bare), r"(?U)\s+", " "))
 
 
 def hmac_sha256(message: Column, key: bytes) -> Column:

@@ -88,6 +88,20 @@ def restore_texts(texts: DataFrame, mappings: DataFrame, key_column: str, text:
     return joined.withColumn(text, out).withColumn("restored", F.coalesce("restored", F.lit(0)).cast("long")).withColumn("unresolved", F.coalesce("unresolved", F.lit(0)).cast("long")).drop("_edits")
 
 
+def resolved_tokens(tokens: DataFrame, vault: DataFrame, key: bytes, project: Column, table: str = "token_mappings", field: str = "original_value") -> DataFrame:
+    """(token, original, status) for the distinct tokens: found, expired where the cipher of ``vault`` (id, token, cipher) doesn't open, or unknown."""
+    met = tokens.select("token").distinct().join(vault.select("token", "id", "cipher"), "token", "left")
+    opened = met.withColumn("original", decrypt(F.col("cipher"), project, table, F.col("id").cast("string"), field, key))
+    return opened.select("token", "original", F.when(F.col("id").isNull(), "unknown").when(F.col("original").isNull(), "expired").otherwise("found").alias("status"))
+
+
+def restore_metrics(restored: DataFrame, *by: str) -> DataFrame:
+    """Documents, those with tokens, tokens restored and unresolved, and the share restored in per cent (100 where there are none)."""
+    g = restored.groupBy(*by).agg(F.count("*").alias("documents"), F.count_if(F.col("restored") + F.col("unresolved") > 0).alias("with_tokens"), F.sum("restored").alias("restored"), F.sum("unresolved").alias("unresolved"))
+    total = F.col("restored") + F.col("unresolved")
+    return g.withColumn("rate", F.round(F.when(total > 0, F.col("restored") / total * 100).otherwise(100.0), 6))
+
+
 def missing_mappings(texts: DataFrame, mappings: DataFrame, key_column: str, text: str = "text") -> DataFrame:
     """(key_column, token): tokens of texts that no mapping resolves."""
     return find_tokens(texts.select(key_column, text), text).select(key_column, "token").distinct().join(mappings.select("token").distinct(), "token", "left_anti").select(key_column, "token")

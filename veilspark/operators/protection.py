@@ -42,6 +42,19 @@ def plan(texts: DataFrame, key: str, as_of: str, text: str = "text", least: floa
     return resolve.first_wins(found, key)
 
 
+def document_findings(segments: DataFrame, document: str, segment: str, as_of: str, each: int = 1000, text: str = "text", **how) -> DataFrame:
+    """Findings of a document's segments (document, segment, parent_offset, text) at their places in the document, overlaps decided within a segment; a document keeps at
+    most ``each`` a segment, in order."""
+    found = recognizers.scan(segments.select(document, segment, "parent_offset", text), as_of, text, **how)
+    place = F.struct(document, segment, "parent_offset")
+    one = resolve.by_margin(found.select(place.alias("_s"), *[c for c in found.columns if c not in (document, segment, "parent_offset")]), "_s").select("_s.*", *[c for c in found.columns if c not in (document, segment, "parent_offset")])
+    moved = one.withColumn("start_pos", F.col("start_pos") + F.col("parent_offset")).withColumn("end_pos", F.col("end_pos") + F.col("parent_offset"))
+    count = segments.groupBy(F.col(document).alias("_d")).agg((F.count("*") * each).alias("_most"))
+    order = Window.partitionBy(document).orderBy("start_pos", "end_pos", "entity_type")
+    ranked = moved.withColumn("_n", F.row_number().over(order)).join(count, F.col(document) == F.col("_d"))
+    return ranked.where(F.col("_n") <= F.col("_most")).drop("_n", "_d", "_most", "parent_offset")
+
+
 def treatments(planned: DataFrame, hmac_key: bytes, default: str = "TOKEN", vault: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The plan with treatment and replacement, and the vault rows: what a review allows is kept, all else has the default treatment or that of its own
     column treatment."""

@@ -131,6 +131,54 @@ def tk04(spark, d):
     return protect.assign_tokens(values, KEY, vault).select("normalised", "hmac", "token")
 
 
+SEALED = "SELECT o_orderkey AS id, '[[P_' || CAST(o_orderkey AS STRING) || ']]' AS token, o_orderpriority AS value FROM orders"
+
+
+@query("rs02_resolved_tokens", f"SELECT token, CASE WHEN id % 3 > 0 THEN value END AS original, CASE WHEN id % 3 = 0 THEN 'expired' ELSE 'found' END AS status FROM ({SEALED}) AS v WHERE id % 2 = 0 UNION ALL SELECT token, NULL, 'unknown' FROM ({SEALED}) AS v WHERE id % 2 = 1")
+def rs02(spark, d):
+    """A third of the vault was sealed for another row, so it doesn't open."""
+    from ..operators import protect
+
+    v = derived(spark, d, SEALED)
+    sealed = v.where("id % 2 = 0").withColumn("cipher", protect.encrypt(F.col("value"), F.lit("p1"), "token_mappings", F.when(F.col("id") % 3 == 0, "x").otherwise(F.col("id").cast("string")), "original_value", KEY))
+    return protect.resolved_tokens(v, sealed, KEY, F.lit("p1"))
+
+
+@query("rs04_restore_metrics", "SELECT c_mktsegment, count(*)::BIGINT AS documents, count(*) FILTER (c_custkey % 3 < 2)::BIGINT AS with_tokens, sum(CASE c_custkey % 3 WHEN 0 THEN 1 ELSE 0 END)::BIGINT AS restored, sum(CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 0 END)::BIGINT AS unresolved, round(sum(CASE c_custkey % 3 WHEN 0 THEN 1 ELSE 0 END) / sum(CASE c_custkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END)::DOUBLE * 100, 6) AS rate FROM customer GROUP BY 1")
+def rs04(spark, d):
+    from ..operators import protect
+
+    texts = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, "a [[X_AB12CD]] [[Y_AB12CD]]").when(F.col("c_custkey") % 3 == 1, "[[Y_AB12CD]]").otherwise("tanpa").alias("text"))
+    known = spark.createDataFrame([("[[XX_AB12CD]]", "z"), ("[[X_AB12CD]]", "Budi")], "token string, original string")
+    texts = texts.withColumn("text", F.replace(F.replace(F.col("text"), F.lit("[[X_"), F.lit("[[XX_")), F.lit("[[Y_"), F.lit("[[YY_")))
+    return protect.restore_metrics(protect.restore_texts(texts, known, "c_custkey"), "c_mktsegment")
+
+
+PARTS_OF = "SELECT c_custkey AS doc, CAST(0 AS BIGINT) AS seg, CAST(0 AS BIGINT) AS parent_offset, 'surel u' || CAST(c_custkey AS STRING) || '@x.id' AS text FROM customer UNION ALL SELECT c_custkey, CAST(1 AS BIGINT), CAST(100 AS BIGINT), 'ip 10.0.0.' || CAST(c_custkey % 200 AS STRING) || ' dan 10.1.1.1' FROM customer"
+
+
+@query("dt00b_document_findings", f"WITH p AS ({PARTS_OF}), f AS (SELECT doc, seg, 'EMAIL_ADDRESS' AS entity_type, 6::BIGINT AS start_pos, length(text)::BIGINT AS end_pos FROM p WHERE seg = 0 UNION ALL SELECT doc, seg, 'IP_ADDRESS', 103, 103 + length(regexp_extract(text, '10\\.0\\.0\\.\\d+'))::BIGINT FROM p WHERE seg = 1) SELECT * FROM f")
+def dt00b(spark, d):
+    return pt.document_findings(derived(spark, d, PARTS_OF), "doc", "seg", AS_OF, each=1, only=["general"]).select("doc", "seg", "entity_type", "start_pos", "end_pos")
+
+
+FILES = "SELECT c_custkey AS id, c_name || ' caf' || CASE c_custkey % 2 WHEN 0 THEN chr(233) ELSE 'e' END AS text FROM customer"
+
+
+@query("src13_decoded", f"SELECT id, text FROM ({FILES}) AS f")
+def src13(spark, d):
+    """Texts as bytes in one of five encodings, read back."""
+    from ..sources import files
+
+    t = derived(spark, d, FILES)
+    kinds = ["UTF-8", "ISO-8859-1", "UTF-16LE", "UTF-16BE"]
+    made = F.when(F.col("id") % 5 == 4, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode("text", "UTF-8")))
+    for no, name in enumerate(kinds):
+        mark = {"UTF-16LE": b"\xff\xfe", "UTF-16BE": b"\xfe\xff"}.get(name, b"")
+        made = made.when(F.col("id") % 5 == no, F.concat(F.lit(mark), F.encode("text", name)))
+    return t.select("id", files.decoded(made).alias("text"))
+
+
 PARAGRAPHS = "SELECT l_orderkey AS doc, l_linenumber * 1000000 + l_partkey * 10 + l_suppkey % 10 AS idx, CASE l_partkey % 4 WHEN 0 THEN 'Bab ' || CAST(l_partkey AS STRING) || ' ' WHEN 1 THEN 'Nama : ' || l_returnflag WHEN 2 THEN 'kunci yang sangat panjang sekali = x' ELSE 'isi biasa' END AS text, CASE l_partkey % 4 WHEN 0 THEN 'Heading 2' ELSE 'Normal' END AS style FROM lineitem"
 LABEL = "'^(.{1,30}?)\\s*[:=]\\s*(.+)$'"
 

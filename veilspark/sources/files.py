@@ -67,21 +67,54 @@ def _squared_from(mean: Column):
     return lambda x: (x - mean) * (x - mean)
 
 
+def _head(spark: SparkSession, path: str, lines: int = 200, most: int = 65_536) -> bytes:
+    """The first lines of a file as they stand, ``most`` bytes of them; no more of it is read than Spark needs for these lines."""
+    rows = spark.read.text(path).limit(lines).select(F.col("value").cast("binary").alias("b")).collect()
+    return b"\n".join(bytes(r.b) for r in rows)[:most]
+
+
+def _quotes_span_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some line holds an odd number of quotes, so that a quoted cell goes on behind its end."""
+    v = F.col("value")
+    return not spark.read.text(path).where((F.length(v) - F.length(F.replace(v, F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+
+
+#: Where cp1252 differs from ISO 8859-1: the latter's control characters and what stands there in the former.
+_ODD = {chr(i): bytes([i]).decode("cp1252", errors="ignore") for i in range(0x80, 0xA0)}
+_ODD_FROM, _ODD_TO = "".join(k for k, v in _ODD.items() if v), "".join(_ODD.values())
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header: bool = True) -> DataFrame:
-    """A delimited file with every cell as text; encoding and delimiter are found from the first 64 KiB where they aren't given."""
+    """Delimited files of one form with every cell as text; encoding and delimiter are found from the first lines where they aren't given. A file is cut
+    into tasks unless quoted cells span lines or its characters have two bytes or four."""
     if encoding is None or delimiter is None:
-        head = spark.read.format("binaryFile").load(path).limit(1).select(F.substring("content", 1, 65_536)).first()[0]
-        encoding = encoding or encoding_of(bytes(head))
+        head = _head(spark, path)
+        encoding = encoding or encoding_of(head)
         if delimiter is None:
-            sample = bytes(head).decode(encoding, errors="ignore")
+            sample = head.decode(encoding, errors="ignore")
             delimiter = spark.range(1).select(delimiter_of(F.lit(sample))).first()[0]
     plain = {"utf-8-sig": "UTF-8", "cp1252": "ISO-8859-1"}.get(encoding, encoding.replace("-le", "LE").replace("-be", "BE"))
-    df = spark.read.csv(path, sep=delimiter, encoding=plain, header=header, inferSchema=False, multiLine=True, quote='"', escape='"')
+    whole = encoding.startswith(("utf-16", "utf-32")) or _quotes_span_lines(spark, path)
+    df = spark.read.csv(path, sep=delimiter, encoding=plain, header=header, inferSchema=False, multiLine=whole, quote='"', escape='"')
     if encoding != "cp1252":
         return df
-    known = {chr(i): bytes([i]).decode("cp1252", errors="ignore") for i in range(0x80, 0xA0)}  # where it differs from ISO 8859-1
-    odd, even = "".join(k for k, v in known.items() if v), "".join(known.values())
-    return df.select(*[F.translate(f"`{c}`", odd, even).alias(c.translate(str.maketrans(odd, even))) for c in df.columns])
+    return df.select(*[F.translate(f"`{c}`", _ODD_FROM, _ODD_TO).alias(c.translate(str.maketrans(_ODD_FROM, _ODD_TO))) for c in df.columns])
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as text: by their mark, else as UTF-8 if they are, else as cp1252."""
+    rest = lambda n: F.substring(content, F.lit(n + 1), F.length(content))
+    starts = lambda mark: F.substring(content, F.lit(1), F.lit(len(mark))) == F.lit(mark)
+    out = F.when(starts(codecs.BOM_UTF8), rest(3).cast("string"))
+    for mark, name in ((codecs.BOM_UTF16_LE, "UTF-16LE"), (codecs.BOM_UTF16_BE, "UTF-16BE")):
+        out = out.when(starts(mark), F.decode(rest(len(mark)), name))
+    plain = content.cast("string")
+    return out.when(F.is_valid_utf8(plain), plain).otherwise(F.translate(F.decode(content, "ISO-8859-1"), _ODD_FROM, _ODD_TO))
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of whole text files, in any of the encodings tried."""
+    return spark.read.format("binaryFile").load(path).select("path", decoded(F.col("content")).alias("text"))
 
 
 def cells(df: DataFrame, columns: list[str] | None = None, row: str = "row") -> DataFrame:
@@ -167,6 +200,15 @@ def _sheet_pieces(archive: zipfile.ZipFile) -> Iterator[dict]:
                 col = col * 26 + ord(c) - 64
             if text.strip():
                 yield {"part": part, "kind": "formula" if cell.find(f"{_S}f") is not None else "cell", "row": int(row) - 1, "col": col - 1, "address": cell.get("r"), "text": text}
+    yield from _comments(archive, r"xl/comments\d*\.xml", f"{_S}comment", f"{_S}t", "ref")
+
+
+def _comments(archive: zipfile.ZipFile, pattern: str, tag: str, text: str, place: str) -> Iterator[dict]:
+    """Comments of sheets and documents, with the cell or number that they belong to."""
+    for part in (n for n in archive.namelist() if re.fullmatch(pattern, n)):
+        for i, comment in enumerate(parse_xml(archive.read(part)).iter(tag)):
+            if found := "".join(t.text or "" for t in comment.iter(text)):
+                yield {"part": part, "kind": "comment", "block": i, "address": comment.get(place), "text": found}
 
 
 def _word_pieces(archive: zipfile.ZipFile) -> Iterator[dict]:
@@ -193,6 +235,7 @@ def _word_pieces(archive: zipfile.ZipFile) -> Iterator[dict]:
         for p in parse_xml(archive.read(part)).iter(f"{_W}p"):
             yield from runs(part, "margin", block, p)
             block += 1
+    yield from _comments(archive, r"word/comments\.xml", f"{_W}comment", f"{_W}t", f"{_W}id")
 
 
 def _slide_pieces(archive: zipfile.ZipFile) -> Iterator[dict]:
@@ -237,6 +280,15 @@ def office_pieces(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(read, PIECES)
 
 
+def inventory(pieces: DataFrame) -> DataFrame:
+    """Per document and part: how many cells, formulas, paragraphs, headings, comments and other pieces, the last row and column, and characters."""
+    n = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    return pieces.groupBy("path", "part").agg(
+        n("cell").alias("cells"), n("formula").alias("formulas"), n("paragraph").alias("paragraphs"), n("heading", "title").alias("headings"), n("comment").alias("comments"), n("shape", "note").alias("shapes"), n("error").alias("errors"),
+        F.max("row").alias("last_row"), F.max("col").alias("last_col"), F.sum(F.length("text")).alias("characters"),
+    )
+
+
 def replaced_in_archive(content: bytes, replacements: dict[str, str], clear_metadata: bool = False) -> bytes:
     """An office document with every value replaced wherever the runs of a paragraph or a cell's text hold it, the longest value first. The
     first run that a value touches takes the replacement, so the style there stays."""
