@@ -201,7 +201,13 @@ def cp03(spark, d):
     return tb.narrative(tb.cells(spark.read.parquet(f"{d}/documents.parquet").select("text", "lang", "source")))
 
 
-@query("cp04_profile")
+PROFILED = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c}::VARCHAR AS value FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+
+
+@query("cp04_profile", f"""WITH v AS (SELECT column_name, trim(value) AS v FROM ({PROFILED}) AS u WHERE trim(value) <> ''), k AS (SELECT column_name, v, {kinds_sql()} AS kind FROM v), c AS (SELECT column_name, kind, count(*) AS n FROM k GROUP BY 1, 2),
+ t AS (SELECT column_name, sum(n)::BIGINT AS cells, CASE WHEN max(n) FILTER (kind IS NOT NULL) / sum(n)::DOUBLE >= 0.6 THEN arg_max(kind, n) FILTER (kind IS NOT NULL) END AS content_type FROM c GROUP BY 1),
+ n AS (SELECT column_name, avg(length(v)) >= 50 AND avg(len(regexp_split_to_array(v, '\\s+'))) >= 8 AS is_narrative FROM v GROUP BY 1)
+SELECT *, coalesce(header_type, content_type, CASE WHEN is_narrative THEN 'TEKS_NARASI' END) AS suggested_type, CASE WHEN is_narrative THEN 'pii_only' ELSE 'full_cell' END AS mode FROM (SELECT t.column_name, cells, {header_sql("t.column_name")} AS header_type, content_type, is_narrative FROM t JOIN n USING (column_name))""")
 def cp04(spark, d):
     return tb.profile(spark.read.parquet(f"{d}/customer.parquet"))
 
