@@ -29,7 +29,7 @@ SPACE_MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Chunks that a worker remembers; others are encoded again when they are met again.
-REMEMBERED = 60_000
+REMEMBERED = 200_000
 
 
 def _message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -209,7 +209,7 @@ def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
         if key not in _codecs:
             _codecs[key] = SentencePieceCodec(*shared.value)
         codec = _codecs[key]
-        for part in (x for batch in batches for x in slices(batch)):
+        for part in (x for batch in batches for x in slices(batch, 500)):
             texts = part.column(1).to_pylist()
             ids, parity = codec.encode(texts)
             back = [codec.decode(x) for x in ids]
