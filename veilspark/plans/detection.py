@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import engine
 from ..operators import recognizers as r
+from ..operators import recognizers_more as m
 from . import inputs as i
 from .inputs import AS_OF, derived
 
@@ -231,3 +233,18 @@ def dt15(spark, d):
 @query("dt16_scan_counts")
 def dt16(spark, d):
     return r.scan(docs(spark, d), AS_OF, rules=[("token", "word", "token")]).groupBy("entity_type", "recognizer").agg(F.count("*").alias("findings"), F.max("score").alias("best"))
+
+
+ENGINE_COMMON = ["tidak", "ada"]
+
+
+@query(
+    "dt00_engine",
+    f"""WITH f AS ({person_sql()}), t AS (SELECT *, list_filter(string_split(lower(value), ' '), lambda x: x <> '') AS tokens FROM f)
+SELECT id, entity_type, start_pos, end_pos, value, score FROM t WHERE len(list_intersect(tokens, {[*m.PLACE_WORDS]})) = 0 AND len(list_intersect(tokens, {[*m.CLINICAL_WORDS]})) = 0 AND NOT (len(tokens) = 1 AND length(tokens[1]) <= 2)
+ AND lower(value) NOT IN ('budi santoso', 'siti', 'lestari') AND NOT (len(tokens) > 1 AND len(list_filter(tokens, lambda x: x NOT IN ('siti', 'lestari'))) = 0)""",
+)
+def dt00(spark, d):
+    """Persons of the made texts but for those that can't be any and those on a deny-list."""
+    denied = spark.createDataFrame([("budi santoso",), ("siti",), ("lestari",)], "term string")
+    return engine.analyze(derived(spark, d, i.PERSON), AS_OF, common=ENGINE_COMMON, denied=denied, only=["id_person"]).select(*OUT)

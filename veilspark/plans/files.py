@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..sources import files as f
@@ -71,3 +75,80 @@ def snk06(spark, d):
 @query("snk07_valid_text", "SELECT doc_id, length(text) <= 3000 AND NOT regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') AS valid FROM documents")
 def snk07(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", f.valid_text(F.col("text"), 3000).alias("valid"))
+
+
+_W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+_S = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_A, _P = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/presentationml/2006/main"
+
+
+def _archive(kind: str, name: str, note: str) -> bytes:
+    """A small office document with a name, cut into two runs where the format has runs, and a note as its comment."""
+    run = lambda t: f"<w:r><w:t>{t}</w:t></w:r>"
+    cut = name[:9], name[9:]
+    parts = {
+        "docx": {
+            "word/document.xml": f'<w:document xmlns:w="{_W}"><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr>{run("Data")}</w:p><w:p>{run("Nama ")}{run(cut[0])}{run(cut[1])}{run(" ada")}</w:p><w:tbl><w:tr><w:tc><w:p>{run("Kolom")}</w:p></w:tc></w:tr></w:tbl></w:body></w:document>',
+            "word/comments.xml": f'<w:comments xmlns:w="{_W}"><w:comment w:id="7"><w:p>{run(note)}</w:p></w:comment></w:comments>',
+        },
+        "xlsx": {
+            "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{_S}"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>Nama</t></is></c></row><row r="2"><c r="A2" t="inlineStr"><is><t>{name}</t></is></c><c r="B2"><f>1+1</f><v>2</v></c></row></sheetData></worksheet>',
+            "xl/comments1.xml": f'<comments xmlns="{_S}"><commentList><comment ref="A2"><text><t>{note}</t></text></comment></commentList></comments>',
+        },
+        "pptx": {
+            "ppt/slides/slide1.xml": f'<p:sld xmlns:p="{_P}" xmlns:a="{_A}"><p:sp><p:spPr><a:xfrm><a:off x="10" y="20"/><a:ext cx="30" cy="40"/></a:xfrm></p:spPr><p:txBody><a:p><a:r><a:t>{cut[0]}</a:t></a:r><a:r><a:t>{cut[1]}</a:t></a:r></a:p></p:txBody></p:sp></p:sld>',
+        },
+    }[kind]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for part, data in parts.items():
+            z.writestr(part, data)
+    return out.getvalue()
+
+
+def office_files(spark, d):
+    """A document for every customer, of three kinds in turn: (path, content)."""
+
+    @F.pandas_udf("binary")
+    def made(kind: pd.Series, name: pd.Series, note: pd.Series) -> pd.Series:
+        return pd.Series([_archive(*x) for x in zip(kind, name, note, strict=True)])
+
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    kind = F.element_at(F.array(F.lit("docx"), F.lit("xlsx"), F.lit("pptx")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return c.select(F.concat(F.lit("f"), F.col("c_custkey").cast("string"), F.lit("."), kind).alias("path"), made(kind, F.col("c_name"), F.col("c_mktsegment")).alias("content"))
+
+
+_FILE = "'f' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN '.docx' WHEN 1 THEN '.xlsx' ELSE '.pptx' END"
+
+
+def pieces_sql(name: str) -> str:
+    """The pieces of the made documents, where the name reads ``name``."""
+    return f"""SELECT {_FILE} AS path, unnest(CASE c_custkey % 3
+ WHEN 0 THEN [{{'kind': 'heading', 'text': 'Data'}}, {{'kind': 'paragraph', 'text': 'Nama ' || {name} || ' ada'}}, {{'kind': 'cell', 'text': 'Kolom'}}, {{'kind': 'comment', 'text': c_mktsegment}}]
+ WHEN 1 THEN [{{'kind': 'cell', 'text': 'Nama'}}, {{'kind': 'cell', 'text': {name}}}, {{'kind': 'formula', 'text': '2'}}, {{'kind': 'comment', 'text': c_mktsegment}}] ELSE [{{'kind': 'shape', 'text': {name}}}] END, recursive := true) FROM customer"""
+
+
+def whole_pieces(pieces):
+    """Paragraphs of one piece, their runs joined."""
+    runs = F.array_sort(F.collect_list(F.struct("run", "text")))
+    return pieces.groupBy("path", "part", "kind", "block", "row", "col").agg(F.array_join(F.transform(runs, lambda x: x["text"]), "").alias("text")).select("path", "kind", "text")
+
+
+@query("src09_office_pieces", pieces_sql("c_name"))
+def src09(spark, d):
+    return whole_pieces(f.office_pieces(office_files(spark, d)))
+
+
+@query("src08_inventory", f"SELECT path, count(*) FILTER (kind = 'cell')::BIGINT AS cells, count(*) FILTER (kind = 'formula')::BIGINT AS formulas, count(*) FILTER (kind = 'comment')::BIGINT AS comments, count(*) FILTER (kind = 'heading')::BIGINT AS headings, count(*) FILTER (kind = 'shape')::BIGINT AS shapes, sum(length(text))::BIGINT AS characters FROM ({pieces_sql('c_name')}) AS p GROUP BY 1")
+def src08(spark, d):
+    counted = f.inventory(f.office_pieces(office_files(spark, d)))
+    return counted.groupBy("path").agg(*[F.sum(c).alias(c) for c in ("cells", "formulas", "comments", "headings", "shapes", "characters")])
+
+
+@query("snk03_protected_office", pieces_sql("'[[PERSON_' || c_custkey || ']]'"))
+def snk03(spark, d):
+    made = office_files(spark, d)
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name")
+    named = made.select("path", F.regexp_extract("path", r"\d+", 0).cast("long").alias("k")).join(c, F.col("k") == F.col("c_custkey"))
+    wanted = named.select("path", F.col("c_name").alias("value"), F.concat(F.lit("[[PERSON_"), F.col("k").cast("string"), F.lit("]]")).alias("replacement"))
+    return whole_pieces(f.office_pieces(f.protect_office(made, wanted)))
