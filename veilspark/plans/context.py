@@ -257,7 +257,12 @@ def ac03(spark, d):
     return tb.gates(tb.scores(outcomes(spark, d)).where("doc_type is null"), LEAST_F1)
 
 
-@query("ac01_overlap_match")
+@query("ac01_overlap_match", f"""WITH RECURSIVE p AS MATERIALIZED (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY id, doc_type, entity_type) AS n FROM (SELECT DISTINCT * FROM ({PRED}) AS x) WINDOW w AS (PARTITION BY id, doc_type, entity_type ORDER BY start_pos, end_pos)),
+ g AS (SELECT id, doc_type, entity_type, list({{'s': start_pos, 'e': end_pos}} ORDER BY start_pos, end_pos) AS spans FROM (SELECT DISTINCT * FROM ({GOLD}) AS x) GROUP BY ALL),
+ k AS (SELECT id, doc_type, entity_type, coalesce(n, 0) AS n, coalesce(spans, []) AS spans FROM (SELECT DISTINCT id, doc_type, entity_type, n FROM p) FULL JOIN g USING (id, doc_type, entity_type)),
+ f AS (SELECT id, doc_type, entity_type, n, len(spans) AS total, 0::BIGINT AS rn, spans AS free FROM k UNION ALL
+  SELECT id, doc_type, entity_type, n, total, prn, CASE WHEN len(hit) = 0 THEN free ELSE list_filter(free, lambda y: y <> hit[1]) END FROM (SELECT f.*, p.rn AS prn, list_filter(f.free, lambda y: least(y.e, p.end_pos) > greatest(y.s, p.start_pos)) AS hit FROM f JOIN p ON p.id = f.id AND p.doc_type = f.doc_type AND p.entity_type = f.entity_type AND p.rn = f.rn + 1))
+SELECT entity_type, sum(total - len(free))::BIGINT AS tp, sum(n - total + len(free))::BIGINT AS fp, sum(len(free))::BIGINT AS fn FROM f WHERE rn = n GROUP BY 1""")
 def ac01(spark, d):
     found = tb.matched(derived(spark, d, PRED), derived(spark, d, GOLD), "id", "overlap")
     return found.groupBy("entity_type").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
