@@ -106,7 +106,8 @@ def _replies(found: pd.DataFrame) -> pa.Table:
 
 
 def _passing(chunk: int, kind: int, rows: int, **columns) -> pa.RecordBatch:
-    return _batch(rows, span=[-1 - chunk] * rows, kind=[kind] * rows, chunk=[chunk] * rows, **columns)
+    # they need no group, so a task's rows are spread over several
+    return _batch(rows, span=-1 - (chunk << 8 | np.minimum(np.arange(rows) >> 7, 255)), kind=[kind] * rows, chunk=[chunk] * rows, **columns)
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
