@@ -181,7 +181,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         return pd.Series([[int(r), int(edge[x])] if x in edge else [int(r)] for r, x in zip(own, d.tolist(), strict=True)])
 
     dealt = keyed.select("d", "text", F.xxhash64("text").alias("th"), F.posexplode(targets("d")).alias("extra", "range"))
-    ordered = dealt.repartition(ranges, "range").sortWithinPartitions("range", "extra", F.desc("d"), "th")
+    ordered = dealt.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "extra", F.desc("d"), "th")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(shared.value)
@@ -202,4 +202,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     out = ordered.select("range", "extra", "d", "text").mapInArrow(lambda b: tidy(run(b)), "d long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return materialize(out, "fingerprints").select(F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), *out.columns[1:])
+    return out.select(F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), *out.columns[1:])
