@@ -8,11 +8,49 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse
 
 #: Fixed values: (high, medium, low) thresholds of each mode by group of entity types, and the names that lead to a group.
-GROUPS = ("nik", "npwp", "kk", "email", "phone", "person", "organization", "location", "credit_card", "iban", "medical_record", "default")
 THRESHOLDS = {
-    "strict": ((0.8, 0.5, 0.3),) * 3 + ((0.85, 0.6, 0.4), (0.7, 0.4, 0.25), (0.65, 0.4, 0.25), (0.65, 0.4, 0.25), (0.6, 0.35, 0.2), (0.85, 0.6, 0.4), (0.85, 0.6, 0.4), (0.7, 0.4, 0.25), (0.7, 0.4, 0.25)),
-    "balanced": ((0.85, 0.6, 0.4),) * 3 + ((0.9, 0.7, 0.5), (0.8, 0.5, 0.3), (0.75, 0.5, 0.35), (0.75, 0.5, 0.35), (0.7, 0.45, 0.3), (0.9, 0.7, 0.5), (0.9, 0.7, 0.5), (0.8, 0.5, 0.3), (0.8, 0.5, 0.3)),
-    "minimal": ((0.9, 0.7, 0.5),) * 3 + ((0.95, 0.8, 0.6), (0.9, 0.7, 0.5), (0.85, 0.65, 0.5), (0.85, 0.65, 0.5), (0.8, 0.6, 0.45), (0.95, 0.8, 0.6), (0.95, 0.8, 0.6), (0.9, 0.7, 0.5), (0.9, 0.7, 0.5)),
+    "strict": {
+        "nik": (0.8, 0.5, 0.3),
+        "npwp": (0.8, 0.5, 0.3),
+        "kk": (0.8, 0.5, 0.3),
+        "email": (0.85, 0.6, 0.4),
+        "phone": (0.7, 0.4, 0.25),
+        "person": (0.65, 0.4, 0.25),
+        "organization": (0.65, 0.4, 0.25),
+        "location": (0.6, 0.35, 0.2),
+        "credit_card": (0.85, 0.6, 0.4),
+        "iban": (0.85, 0.6, 0.4),
+        "medical_record": (0.7, 0.4, 0.25),
+        "default": (0.7, 0.4, 0.25),
+    },
+    "balanced": {
+        "nik": (0.85, 0.6, 0.4),
+        "npwp": (0.85, 0.6, 0.4),
+        "kk": (0.85, 0.6, 0.4),
+        "email": (0.9, 0.7, 0.5),
+        "phone": (0.8, 0.5, 0.3),
+        "person": (0.75, 0.5, 0.35),
+        "organization": (0.75, 0.5, 0.35),
+        "location": (0.7, 0.45, 0.3),
+        "credit_card": (0.9, 0.7, 0.5),
+        "iban": (0.9, 0.7, 0.5),
+        "medical_record": (0.8, 0.5, 0.3),
+        "default": (0.8, 0.5, 0.3),
+    },
+    "minimal": {
+        "nik": (0.9, 0.7, 0.5),
+        "npwp": (0.9, 0.7, 0.5),
+        "kk": (0.9, 0.7, 0.5),
+        "email": (0.95, 0.8, 0.6),
+        "phone": (0.9, 0.7, 0.5),
+        "person": (0.85, 0.65, 0.5),
+        "organization": (0.85, 0.65, 0.5),
+        "location": (0.8, 0.6, 0.45),
+        "credit_card": (0.95, 0.8, 0.6),
+        "iban": (0.95, 0.8, 0.6),
+        "medical_record": (0.9, 0.7, 0.5),
+        "default": (0.9, 0.7, 0.5),
+    },
 }
 GROUP_OF = {
     "idnik": "nik", "nik": "nik", "idnpwp": "npwp", "npwp": "npwp", "idkk": "kk", "kk": "kk", "emailaddress": "email", "email": "email", "phonenumber": "phone", "phone": "phone",
@@ -44,7 +82,7 @@ def simple_band(score: Column, high: float, medium: float) -> Column:
 def band(entity: Column, score: Column, mode: str = "balanced") -> Column:
     """HIGH, MEDIUM, LOW, or null below the lowest threshold of the entity's group."""
     group = F.coalesce(F.try_element_at(_map(GROUP_OF), F.regexp_replace(F.lower(entity), "[_-]", "")), F.lit("default"))
-    of = lambda i: F.element_at(_map({g: t[i] for g, t in zip(GROUPS, THRESHOLDS[mode], strict=True)}), group)
+    of = lambda i: F.element_at(_map({g: t[i] for g, t in THRESHOLDS[mode].items()}), group)
     return F.when(score < of(2), None).when(score >= of(0), "HIGH").when(score >= of(1), "MEDIUM").otherwise("LOW")
 
 

@@ -33,11 +33,14 @@ IBAN = Pattern("IBAN_CODE", r"(?iuU)\b[A-Z]{2}\d{2}[A-Z0-9]{4,30}\b", 0.8)
 GENERAL = [EMAIL, *PHONES, *CARDS, *IPS, *URLS, IBAN]
 
 SIXTEEN = r"(?U)\b\d{2}[\s.-]?\d{2}[\s.-]?\d{2}[\s.-]?\d{6}[\s.-]?\d{4}\b|\b\d{16}\b"
-PROVINCES = "11 12 13 14 15 16 17 18 19 21 31 32 33 34 35 36 51 52 53 61 62 63 64 65 71 72 73 74 75 76 81 82 91 92 93 94 95 96".split()
+PROVINCES = [
+    "11", "12", "13", "14", "15", "16", "17", "18", "19", "21", "31", "32", "33", "34", "35", "36", "51", "52", "53", "61", "62", "63", "64", "65", "71", "72", "73", "74", "75", "76", "81",
+    "82", "91", "92", "93", "94", "95", "96",
+]
 KK_KEYWORDS = ["kartu keluarga", "no. kk", "no kk", "nomor kk", "kk:", "family card", "kepala keluarga"]
 NPWP_OLD = r"(?U)\b\d{2}[.\s]?\d{3}[.\s]?\d{3}[.\s]?\d[-.\s]?\d{3}[.\s]?\d{3}\b"
 NPWP_NEW = r"(?U)\b\d{2}[.\s]?\d{3}[.\s]?\d{3}[.\s]?\d[-.\s]?\d{3}[.\s]?\d{3}[.\s]?\d\b|\b\d{16}\b"
-SUBJECTS = "00 01 02 03 04 05 06 07 08 09 21 22 31 32".split()
+SUBJECTS = ["00", "01", "02", "03", "04", "05", "06", "07", "08", "09", "21", "22", "31", "32"]
 NPWP_KEYWORDS = ["npwp", "pajak", "tax", "wajib pajak", "nomor pokok", "dirjen pajak", "ditjen pajak", "efin", "spt"]
 NPWP_WEIGHTS = [4, 3, 2, 7, 6, 5, 4, 3, 2]
 MOBILE = [
@@ -50,11 +53,11 @@ LANDLINE = [
     Pattern("ID_PHONE", r"(?U)\(0\d{2,3}\)[-.\s]?\d{3,4}[-.\s]?\d{3,4}", 0.9, "id_phone"),
     Pattern("ID_PHONE", r"(?U)\b0\d{1,3}[-.\s]\d{3,4}[-.\s]?\d{3,4}\b", 0.75, "id_phone"),
 ]
-CARRIERS = (
-    "0811 0812 0813 0821 0822 0823 0851 0852 0853 0814 0815 0816 0855 0856 0857 0858 0817 0818 0819 0859 0877 0878 0879 0831 0832 0833 0838 "
-    "0895 0896 0897 0898 0899 0881 0882 0883 0884 0885 0886 0887 0888 0889"
-).split()
-AREAS = "021 022 024 031 061 0411 0361 0274 0271 0341".split()
+CARRIERS = [
+    "0811", "0812", "0813", "0821", "0822", "0823", "0851", "0852", "0853", "0814", "0815", "0816", "0855", "0856", "0857", "0858", "0817", "0818", "0819", "0859", "0877", "0878", "0879",
+    "0831", "0832", "0833", "0838", "0895", "0896", "0897", "0898", "0899", "0881", "0882", "0883", "0884", "0885", "0886", "0887", "0888", "0889",
+]
+AREAS = ["021", "022", "024", "031", "061", "0411", "0361", "0274", "0271", "0341"]
 BPJS_KEYWORDS = ["bpjs", "bpjs kesehatan", "bpjs ketenagakerjaan", "no bpjs", "no. bpjs", "nomor bpjs", "kartu bpjs", "peserta bpjs", "jkn", "jaminan kesehatan", "jaminan sosial"]
 BIRTH_LABELS = ["tanggal lahir", "tgl lahir", "tgl. lahir", "tanggal. lahir", "tempat/tanggal lahir", "ttl", "lahir", "date of birth", "d.o.b", "dob", "born", "birth date", "birthdate"]
 MONTHS = {

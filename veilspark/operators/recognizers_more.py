@@ -21,12 +21,17 @@ LABEL_TYPES = [
     (["email", "e-mail", "surel"], "EMAIL_ADDRESS"), (["telepon", "telp", "no telp", "no hp", "nomor hp", "handphone", "phone", "kontak"], "PHONE_NUMBER"), (["alamat", "address", "domisili"], "LOCATION"),
 ]
 PLAIN_LABELS = ["jenis kelamin", "gender", "penjamin", "emr id", "encounter", "diagnosis", "diagnosa", "icd-10", "icd", "keluhan", "terapi", "tanda vital", "spo2", "td", "suhu", "penanggung"]
-PLACE_WORDS = "no no. jl jl. jalan gang gg blok rt rw kecamatan kelurahan desa kota kabupaten kab baru lama timur barat utara selatan tengah raya dalam atas bawah".split()
-CLINICAL_WORDS = (
-    "demam berdarah batuk pilek nyeri sesak mual muntah hipertensi diabetes dispepsia asma dermatitis ispa alergi penisilin amoxicillin amoksisilin paracetamol metformin amlodipine obat resep dosis diagnosis "
-    "diagnosa gula darah ruam gatal endoskopi terapi penicillin antibiotik infeksi radang tumor kanker jangan berikan menunjukkan mengeluh kontrol isolasi rujukan rawat periksa cek penjamin asuransi mandiri inhealth"
-).split()
-LABEL_PARTS = "mock emr nik npwp id no nomor".split()
+PLACE_WORDS = [
+    "no", "no.", "jl", "jl.", "jalan", "gang", "gg", "blok", "rt", "rw", "kecamatan", "kelurahan", "desa", "kota", "kabupaten", "kab", "baru", "lama", "timur", "barat", "utara", "selatan",
+    "tengah", "raya", "dalam", "atas", "bawah",
+]
+CLINICAL_WORDS = [
+    "demam", "berdarah", "batuk", "pilek", "nyeri", "sesak", "mual", "muntah", "hipertensi", "diabetes", "dispepsia", "asma", "dermatitis", "ispa", "alergi", "penisilin", "amoxicillin",
+    "amoksisilin", "paracetamol", "metformin", "amlodipine", "obat", "resep", "dosis", "diagnosis", "diagnosa", "gula", "darah", "ruam", "gatal", "endoskopi", "terapi", "penicillin",
+    "antibiotik", "infeksi", "radang", "tumor", "kanker", "jangan", "berikan", "menunjukkan", "mengeluh", "kontrol", "isolasi", "rujukan", "rawat", "periksa", "cek", "penjamin", "asuransi",
+    "mandiri", "inhealth",
+]
+LABEL_PARTS = ["mock", "emr", "nik", "npwp", "id", "no", "nomor"]
 ADDRESS_LABELS = ["alamat", "address", "domisili", "jl.", "jalan", "kota", "kecamatan", "kelurahan"]
 
 

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.text import Pattern, find_spans
 
 #: Fixed value: keys that make a line a value whatever their length.
-KEYS = (
-    "nama|nama lengkap|nama pasien|nama karyawan|nama pelanggan|nik|no ktp|nomor ktp|no. ktp|npwp|no npwp|nomor npwp|kk|no kk|nomor kk|kartu keluarga|alamat|address|domisili|telepon|telp|no telp|no hp|nomor hp|phone|"
-    "handphone|email|e-mail|surel|tanggal lahir|tgl lahir|ttl|tempat lahir|jenis kelamin|gender|pekerjaan|occupation|agama|religion|no rekening|nomor rekening|bank account|bpjs|no bpjs|sim|no sim|paspor|passport|no paspor"
-).split("|")
+KEYS = [
+    "nama", "nama lengkap", "nama pasien", "nama karyawan", "nama pelanggan", "nik", "no ktp", "nomor ktp", "no. ktp", "npwp", "no npwp", "nomor npwp", "kk", "no kk", "nomor kk",
+    "kartu keluarga", "alamat", "address", "domisili", "telepon", "telp", "no telp", "no hp", "nomor hp", "phone", "handphone", "email", "e-mail", "surel", "tanggal lahir", "tgl lahir",
+    "ttl", "tempat lahir", "jenis kelamin", "gender", "pekerjaan", "occupation", "agama", "religion", "no rekening", "nomor rekening", "bank account", "bpjs", "no bpjs", "sim", "no sim",
+    "paspor", "passport", "no paspor",
+]
 
 
 def paragraphs(df: DataFrame, key: str, text: str = "text") -> DataFrame:

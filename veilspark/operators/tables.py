@@ -16,7 +16,9 @@ HEADER_TYPES = {
     "tanggal lahir": "DATE_OF_BIRTH", "tgl lahir": "DATE_OF_BIRTH", "birth": "DATE_OF_BIRTH", "dob": "DATE_OF_BIRTH", "medical": "MEDICAL_RECORD", "medis": "MEDICAL_RECORD", "emr": "MEDICAL_RECORD", "rm": "MEDICAL_RECORD",
     "rekam medis": "MEDICAL_RECORD", "diagnosis": "MEDICAL_INFO", "diagnosa": "MEDICAL_INFO", "obat": "MEDICAL_INFO", "resep": "MEDICAL_INFO",
 }
-PLAIN_HEADERS = "status jenis tipe type kategori category golongan kode code klasifikasi persetujuan consent kota kabupaten provinsi fasilitas penjamin".split()
+PLAIN_HEADERS = [
+    "status", "jenis", "tipe", "type", "kategori", "category", "golongan", "kode", "code", "klasifikasi", "persetujuan", "consent", "kota", "kabupaten", "provinsi", "fasilitas", "penjamin",
+]
 ID_WORDS = ["id", "no.", "no ", "nomor", "number"]
 NARRATIVE_LENGTH, NARRATIVE_TOKENS, MAJORITY = 50, 8, 0.6
 

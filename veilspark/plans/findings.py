@@ -103,7 +103,7 @@ def ov06(spark, d):
 
 
 def band_sql(mode: str, score: str = "score") -> str:
-    table = dict(zip(classify.GROUPS, classify.THRESHOLDS[mode], strict=True))
+    table = classify.THRESHOLDS[mode]
     arms = ""
     for e in ("ID_NIK", "EMAIL_ADDRESS", "PERSON", "CREDIT_CARD", "PHONE_NUMBER", "CUSTOM"):
         h, m, low = table[classify.GROUP_OF.get(e.lower().replace("_", ""), "default")]

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-PROVINCE_TEXT = "1112131415161718192131323334353651525361626364657172737475768182919293949596"
+from ..operators.recognizers import PROVINCES
+
+#: The province codes in a row, two digits each.
+PROVINCE_TEXT = "".join(PROVINCES)
 AS_OF = "2024-06-15"
 KEY = bytes(range(32))
 
