@@ -33,7 +33,7 @@ class ChunkEncoder:
         return np.uint32 if self.wide else np.uint16
 
     def as_bytes(self, ids: Sequence[int]) -> bytes:
-        return array("I" if self.wide else "H", ids).tobytes()
+        return ids.tobytes() if isinstance(ids, np.ndarray) else array("I" if self.wide else "H", ids).tobytes()
 
     def learn(self, chunks: list[str]) -> list[bytes]:
         """The ids of new chunks, in full."""

@@ -12,7 +12,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -30,6 +30,8 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Chunks that a worker remembers; others are encoded again when they are met again.
 REMEMBERED = 200_000
+#: New chunks that go to the libraries as one line.
+LINE_WORDS = 250
 
 
 def _message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -157,11 +159,31 @@ class SentencePieceCodec:
         never, space = re.compile(r"(?!)"), re.compile(r"(?<=[^ ])(?= )")
         self.cuts = self.model.cuts_at_spaces
         self.mark = self.tok.encode("a ").ids[-1:]
+        self.begins = np.array([p.startswith(SPACE_MARK) for p, _, _ in self.model.pieces])
         self.chunks = ChunkEncoder(self._encode, len(self.model.pieces) > 65_536, "  |^ " if self.cuts else "", space if self.cuts else never, bound=REMEMBERED)
 
-    def _encode(self, chunks: list[str]) -> list[list[int]]:
+    def _encode(self, chunks: list[str]) -> list[Sequence[int]]:
         """Chunks behind a first one begin with a space, which stands for the mark that the normaliser prepends."""
         texts = [c[1:] if c[:1] == " " and self.cuts else c for c in chunks]
+        if not self.cuts:
+            return self._one_by_one(chunks, texts)
+        # chunks without spaces of their own go to both libraries as lines of many words: each begins where a piece begins with the mark
+        plain = [i for i, t in enumerate(texts) if t and " " not in t and SPACE_MARK not in t]
+        lines = [plain[at : at + LINE_WORDS] for at in range(0, len(plain), LINE_WORDS)]
+        joined = [" ".join(map(texts.__getitem__, line)) for line in lines]
+        out: list = [None] * len(chunks)
+        for line, got, want in zip(lines, self.tok.encode_batch_fast(joined, add_special_tokens=False), self.judge.encode(joined, num_threads=1), strict=True):
+            ids = np.array(got.ids, np.uint32)
+            first = np.flatnonzero(self.begins[ids])
+            if len(first) == len(line) and got.ids == want:
+                for i, part in zip(line, np.split(ids.astype(self.chunks.dtype), first[1:]), strict=True):
+                    out[i] = part
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._one_by_one([chunks[i] for i in rest], [texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _one_by_one(self, chunks: list[str], texts: list[str]) -> list[list[int]]:
         ids = [e.ids if t else (self.mark if c else []) for c, t, e in zip(chunks, texts, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
         want = self.judge.encode(texts, num_threads=1)
         self.odd.update(c for c, t, got, wanted in zip(chunks, texts, ids, want, strict=True) if t and got != wanted)
