@@ -161,7 +161,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     total = df.agg(F.sum("n")).first()[0] or 0
     least = max(RAREST * n, total / MOST_TERMS)  # terms this frequent are MOST_TERMS at most
     terms = fetch(df.where(F.col("n") >= least).select("term"))["term"].to_numpy(np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(terms)
+    shared = spark.sparkContext.broadcast(Lexicon(terms))  # made once, some 40 bytes for each of MOST_TERMS terms at most
 
     # ranges of ids, and for each the largest id, which is also wanted at the end of the range before it
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -184,7 +184,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ordered = dealt.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "extra", F.desc("d"), "th")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(shared.value)
+        lexicon = shared.value
         names = ["d", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         last: tuple | None = None
         for batch in batches:
