@@ -84,6 +84,17 @@ def test_mixed_rows(spark):
     assert words == sum(r.taken for r in plan) <= 1.5 * (505 + 62)
 
 
+def test_mixed_rows_of_one_place(spark, tmp_path):
+    """Rows of a file that a generator or a join has repeated share a place in it; each is still mixed as a row of its own."""
+    frame(spark, [(i, "a b c d", f"s{i % 2}") for i in range(50)]).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    twice = read.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    joined = read.join(spark.createDataFrame([(i % 50, i) for i in range(100)], "doc_id long, turn int"), "doc_id")
+    for docs in (twice, joined):
+        words = sum(size(r.text) for r in mixing.mixed_documents(docs).collect())
+        assert words == sum(r.taken for r in mixing.mix_sources(docs).collect()) <= 600
+
+
 def test_cut_in_thin_slices(spark, odd, monkeypatch):
     """Slices within slices find the cut that one slice finds."""
     want = sorted(map(str, mixing.mix_sources(frame(spark, odd)).collect()))

@@ -149,11 +149,15 @@ def key_map(keys: DataFrame, *columns: str) -> Callable[[Column], Column] | None
 
 
 def row_numbers(docs: DataFrame, name: str, tag: str) -> DataFrame:
-    """``docs`` with a column that tells its rows apart, however often they are read: file and place of tables in files, else numbers written down once."""
+    """``docs`` with a column that tells its rows apart, however often they are read: file and place, where each is one row's own (a table as it lies in
+    files), else numbers written down once. Joins and ``explode`` keep the place of the row that they repeat, so places are counted first."""
     try:
-        return docs.select("*", F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias(name))
+        placed = docs.select("*", F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias(name))
+        if placed.groupBy(name).agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+            return placed
     except AnalysisException:
-        return materialize(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), tag)
+        pass
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), tag)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, mixing, near_dedup, passages, quality, secrets, sentence_pieces, token_files, toxicity
+from . import conversations, exact_dedup, fill_in_middle, fingerprints, mixing, near_dedup, passages, quality, secrets, sentence_pieces, sharding, token_files, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,5 +59,32 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.document_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_fingerprints, op4_exact_dedup, op5_token_files, op6_quality, op7_repeated_passages, op8_toxicity, op9_sentence_pieces, op10_secret_scan)}
-ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op2_near_dedup": near_dedup.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_repeated_passages": passages.SQL, "op10_secret_scan": secrets.SQL}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(table(spark, sf_dir, "conversations"), damage=True)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_near_dedup, op3_fingerprints, op4_exact_dedup, op5_token_files, op6_quality, op7_repeated_passages, op8_toxicity, op9_sentence_pieces, op10_secret_scan, op11_sharding,
+        op12_fill_in_middle, op13_conversation_repair,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": mixing.SQL,
+    "op2_near_dedup": near_dedup.SQL,
+    "op4_exact_dedup": exact_dedup.SQL,
+    "op7_repeated_passages": passages.SQL,
+    "op10_secret_scan": secrets.SQL,
+    "op11_sharding": sharding.SQL,
+    "op12_fill_in_middle": fill_in_middle.SQL,
+    "op13_conversation_repair": conversations.SQL,
+}
