@@ -227,9 +227,11 @@ def test_without_the_training_data_operators(tmp_path):
     said = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 100 and not [n for n in q if n.startswith('op') or n == 'pipeline'] and set(o) <= set(q)"
     for gone in (copy / "veilspark" / "llm", copy / "tests" / "llm"):
         shutil.rmtree(gone)
+    # the copy comes first; what this process could import from elsewhere stays importable
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(copy), *[p for p in sys.path if p and os.path.abspath(p) != root]])}
     for _ in range(2):
-        subprocess.run([sys.executable, "-c", said], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, check=True, timeout=120)
-        listed = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider"], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=200)
+        subprocess.run([sys.executable, "-c", said], cwd=copy, env=env, check=True, timeout=120)
+        listed = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider"], cwd=copy, env=env, capture_output=True, text=True, timeout=200)
         assert listed.returncode == 0, listed.stdout[-2000:]
         (copy / "corpus_pipeline.py").unlink(missing_ok=True)
 
