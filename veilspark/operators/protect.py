@@ -134,9 +134,9 @@ def leaks(protected: DataFrame, original: DataFrame, key_column: str, partial: b
     return protected.join(own, F.col(key_column) == F.col("_k"), "left").select(key_column, "entity_type", "value", kind.alias("leak"))
 
 
-def leak_severity(leak: Column, score: Column) -> Column:
-    """RESIDUAL is critical, INCOMPLETE and MISSED by score, INTRODUCED for information."""
-    return F.when(leak == "RESIDUAL", "CRITICAL").when(leak == "INTRODUCED", "INFO").otherwise(rescan_severity(score))
+def leak_severity(leak: Column) -> Column:
+    """A value that is still there is critical, one that was missed or is there in part high, one that the protection made medium."""
+    return F.when(leak == "RESIDUAL", "CRITICAL").when(leak.isin("MISSED", "INCOMPLETE"), "HIGH").when(leak == "INTRODUCED", "MEDIUM")
 
 
 def rescan_severity(score: Column, strict: bool = False) -> Column:

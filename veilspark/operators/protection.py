@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import Pattern, bound, find_spans, normalise_value, splice, treated
-from . import protect, recognizers, resolve
+from ..functions.text import Pattern, find_spans, normalise_value, splice, treated
+from . import matching, protect, recognizers, resolve
 
 #: Entity types looked for inside cells, the least score there, the token forms of cells and of leftovers.
 CELL_TYPES = ["EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "IP_ADDRESS", "URL", "IBAN_CODE", "ID_NIK", "ID_NPWP", "ID_KK", "ID_PHONE", "ID_BPJS", "PERSON", "DATE_OF_BIRTH"]
@@ -121,9 +121,12 @@ def restore_cells(df: DataFrame, mappings: DataFrame, key: str, columns: list[st
     return out.select(*[F.coalesce(F.try_element_at("_new", F.lit(c)), F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns], count(F.col("_hit")).alias("restored"), count(F.col("_miss")).alias("not_found"))
 
 
-def rescan(texts: DataFrame, key: str, as_of: str, values: DataFrame | None = None, strict: bool = True, text: str = "text", **how) -> DataFrame:
-    """(key, leakage_type, severity, value, entity_type, confidence, message) of what protected texts still give away: findings that are no valid tokens, original
-    values (key, value) of the same document wherever they stand, case apart, and leftovers of tokens."""
+def rescan(texts: DataFrame, key: str, as_of: str, values: DataFrame | None = None, strict: bool = True, text: str = "text", scope: str | None = None, **how) -> DataFrame:
+    """(key, leakage_type, severity, value, entity_type, confidence, message) of what protected texts still give away: findings that are no valid tokens, protected
+    values that stand in any text, case apart, and leftovers of tokens.
+
+    Every value of ``values`` (value) is looked for in every text; with ``scope``, a column of both tables such as the project, in the texts of its own scope only.
+    """
     found = recognizers.scan(texts.select(key, text), as_of, text, **how).where(~F.col("value").rlike(WHOLE_TOKEN))
     residual = found.select(
         key, F.lit("residual_pii").alias("leakage_type"), protect.rescan_severity(F.col("score"), strict).alias("severity"), "value", "entity_type", F.col("score").alias("confidence"),
@@ -136,9 +139,13 @@ def rescan(texts: DataFrame, key: str, as_of: str, values: DataFrame | None = No
     out = residual.unionByName(partial)
     if values is None:
         return out
-    own = values.where("value <> ''").groupBy(key).agg(F.collect_set("value").alias("_v"))
-    inside = bound(F.lower(text), lambda t: F.filter("_v", lambda v: t.contains(F.lower(v))))
-    left = texts.join(own, key).select(key, F.explode(inside).alias("value"))
+    if scope is None:
+        left = matching.literal_matches(texts, key, values, text, places=False)
+    else:
+        spot = F.struct(F.col(scope).alias("scope"), F.col(key).alias("key"))
+        met = matching.literal_matches(texts.select(spot.alias("_spot"), text), "_spot", values, text, places=False)
+        own = values.select(F.col(scope).alias("_scope"), F.col("value").alias("_value")).distinct()
+        left = met.join(own, (F.col("_spot.scope") == F.col("_scope")) & (F.col("value") == F.col("_value")), "left_semi").select(F.col("_spot.key").alias(key), "value")
     return out.unionByName(left.select(
         key, F.lit("untokenized_value").alias("leakage_type"), F.lit("CRITICAL").alias("severity"), "value", F.lit(None).cast("string").alias("entity_type"), F.lit(1.0).alias("confidence"),
         F.lit("Original value found in output - should have been tokenized").alias("message"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import context, detection, files, findings, more, protection, scoring, streams
+from . import context, detection, files, findings, matching, more, protection, scoring, streams
 
-_PARTS = (detection, findings, protection, context, scoring, more, streams, files)
+_PARTS = (detection, findings, protection, context, scoring, more, streams, files, matching)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
 flagship = streams.flagship
