@@ -29,7 +29,7 @@ SPACE_MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Chunks that a worker remembers; others are encoded again when they are met again.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 #: New chunks that go to the libraries as one line.
 LINE_WORDS = 250
 
