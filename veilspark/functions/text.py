@@ -33,39 +33,57 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-#: Matches of a text whose ends are summed in one go; longer lists are summed part by part.
-PART = 256
+#: Matches of a text whose ends are summed in one go; longer lists are summed part by part. Characters of a block of a text that is read at many places.
+PART, BLOCK = 512, 4096
 SPAN = "array<struct<no:int,start_pos:bigint,end_pos:bigint,value:string,context:string>>"
 
 
+def blocks(text: Column) -> Column:
+    """``text`` as an array of blocks, cut in one pass: a place in it is then found by arithmetic, while ``substring`` walks there from the text's beginning."""
+    return F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+
+def piece(cut: Column, start: Column, length: Column) -> Column:
+    """``length`` characters from place ``start`` (from 0) of a text in blocks; what lies beyond its end is left out, and no length gives an empty text."""
+    shift = BLOCK.bit_length() - 1
+    first, last = F.shiftright(start, shift), F.shiftright(start + F.greatest(length, F.lit(1)) - 1, shift)
+    near = F.array_join(F.slice(cut, first.cast("int") + 1, (last - first).cast("int") + 1), "")
+    return F.substring(near, start.bitwiseAND(F.lit(BLOCK - 1)).cast("int") + 1, length.cast("int"))
+
+
 def located(text: Column, pattern: Pattern, no: int = 0, before: int = 0, behind: int = 0) -> Column:
     """The spans of ``pattern`` in one text, as an array of SPAN: ``context`` is the text from ``before`` characters before a match to ``behind``
     characters after it (null if neither is asked for).
 
-    A match ends behind the gaps and matches before it; all happens within the row, so no row is shuffled and no text copied.
+    A match ends behind the gaps and matches before it; all happens within the row, so no row is shuffled and no text copied. The cost grows with the text and its
+    matches, not with their product: sums are taken part by part, and contexts are read from blocks.
     """
     gaps = F.transform(F.split(text, pattern.regex, -1), F.length)
     pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0)), gaps, lambda m, g: F.struct(m.alias("value"), g.cast("long").alias("gap")))
     width = lambda x: x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))
 
-    def span(end: Column, match: Column) -> Column:
+    def span(end: Column, match: Column, cut: Column) -> Column:
         value = F.regexp_extract(match, pattern.of_match, pattern.group) if pattern.group else match
-        context = around(text, end - F.length(match), end, before, behind) if before or behind else F.lit(None).cast("string")
+        context = around(cut, end - F.length(match), end, before, behind) if before or behind else F.lit(None).cast("string")
         # a captured value ends its match
         return F.struct(F.lit(no).alias("no"), (end - F.length(value)).alias("start_pos"), end.alias("end_pos"), value.alias("value"), context.alias("context"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column, cut: Column) -> Column:
         end = acc["at"] + width(x)
-        grown = F.struct(end.alias("at"), F.array_append(acc["spans"], span(end, x["value"])).alias("spans"))
+        grown = F.struct(end.alias("at"), F.array_append(acc["spans"], span(end, x["value"], cut)).alias("spans"))
         return F.when(x["value"].isNull(), acc).otherwise(grown)
 
-    def part(all_: Column, i: Column) -> Column:
-        first = F.aggregate(F.slice(all_, F.lit(1), i * PART), F.lit(0).cast("long"), lambda acc, x: acc + width(x))
-        start = F.struct(first.alias("at"), F.array().cast(SPAN).alias("spans"))
-        return F.aggregate(F.slice(all_, i * PART + 1, F.lit(PART)), start, step, lambda acc: acc["spans"])
+    def every(all_: Column, cut: Column) -> Column:
+        part = lambda i: F.slice(all_, i * PART + 1, F.lit(PART))
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / PART).cast("int")), lambda i: F.aggregate(part(i), F.lit(0).cast("long"), lambda acc, x: acc + width(x)))
+        # where each part begins: sums of a few parts, not of all matches before
+        first = lambda of: F.transform(of, lambda _, i: F.aggregate(F.slice(of, F.lit(1), i), F.lit(0).cast("long"), lambda acc, x: acc + x))
+        start = lambda at: F.struct(at.alias("at"), F.array().cast(SPAN).alias("spans"))
+        firsts = F.when(F.size(all_) <= PART, F.array(F.lit(0).cast("long"))).otherwise(bound(sums, first))
+        return F.flatten(F.transform(firsts, lambda at, i: F.aggregate(part(i), start(at), lambda acc, x: step(acc, x, cut), lambda acc: acc["spans"])))
 
-    parts = lambda all_: F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / PART).cast("int")), lambda i: part(all_, i)))
-    return F.when(text.rlike(pattern.regex), bound(pairs, parts)).otherwise(F.array().cast(SPAN))
+    found = bound(pairs, lambda all_: bound(blocks(text), lambda cut: every(all_, cut))) if before or behind else bound(pairs, lambda all_: every(all_, F.array(F.lit(""))))
+    return F.when(text.rlike(pattern.regex), found).otherwise(F.array().cast(SPAN))
 
 
 def find_spans(df: DataFrame, text: str, patterns: list[Pattern], before: int = 0, behind: int = 0) -> DataFrame:
@@ -87,10 +105,10 @@ def find_spans(df: DataFrame, text: str, patterns: list[Pattern], before: int =
     )
 
 
-def around(text: Column, start: Column, end: Column, before: int, behind: int) -> Column:
-    """The text from ``before`` characters before a span to ``behind`` characters after it."""
+def around(cut: Column, start: Column, end: Column, before: int, behind: int) -> Column:
+    """The text from ``before`` characters before a span to ``behind`` characters after it, of a text in blocks."""
     first = F.greatest(start - before, F.lit(0))
-    return F.substring(text, first.cast("int") + 1, (end + behind - first).cast("int"))
+    return piece(cut, first, end + behind - first)
 
 
 def contains_any(text: Column, words) -> Column:
@@ -164,13 +182,22 @@ def treated(treatment: Column, entity: Column, value: Column, token: Column, key
 
 
 def splice(text: Column, edits: Column) -> Column:
-    """``text`` with non-overlapping ``edits`` (array of struct start_pos, end_pos, replacement) put in, right to left. Invalid spans are skipped."""
-    by_end = F.reverse(F.array_sort(edits))
-    put = lambda acc, e: F.when(
-        (e["start_pos"] >= 0) & (e["start_pos"] < e["end_pos"]) & (e["end_pos"] <= F.length(acc)),
-        F.concat(F.substring(acc, F.lit(1), e["start_pos"].cast("int")), e["replacement"], F.substring(acc, e["end_pos"].cast("int") + 1, F.length(acc))),
-    ).otherwise(acc)
-    return F.aggregate(by_end, text, put)
+    """``text`` with non-overlapping ``edits`` (array of struct start_pos, end_pos, replacement) put in, in one pass: what lies between them is read from blocks. Invalid spans are
+    skipped; a replacement that is null makes the text null."""
+
+    def joined(cut: Column, good: Column, n: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(good, i)["end_pos"], F.lit(0)).cast("long")
+        parts = F.transform(good, lambda e, i: bound(end(i - 1), lambda last: F.concat(piece(cut, last, e["start_pos"] - last), e["replacement"])))
+        rest = bound(end(F.size(good) - 1), lambda last: piece(cut, last, n - last))
+        whole = F.concat(F.array_join(parts, ""), rest)
+        return F.when(F.exists(good, lambda e: e["replacement"].isNull()), F.lit(None).cast("string")).otherwise(whole)
+
+    # the length is bound: it is counted anew wherever it is named
+    def put(n: Column) -> Column:
+        valid = F.filter(F.array_sort(edits), lambda e: (e["start_pos"] >= 0) & (e["start_pos"] < e["end_pos"]) & (e["end_pos"] <= n))
+        return bound(valid, lambda good: F.when(F.size(good) == 0, text).otherwise(bound(blocks(text), lambda cut: joined(cut, good, n))))
+
+    return bound(F.length(text), put)
 
 
 def length_bucket(n: Column) -> Column:

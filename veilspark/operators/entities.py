@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bound
+from ..functions.text import PART, blocks, bound, piece
 from . import resolve
 
 #: Names of one kind under several labels.
@@ -47,32 +47,51 @@ def kept_predictions(predictions: DataFrame, key: str, least: float, types: list
     return resolve.first_wins(good.where(F.col("entity_type").isin(types)) if types else good, key)
 
 
+CHUNK = "array<struct<start:int,end:int>>"
+
+
 def chunk_starts(text: Column, most: int = 512, overlap: int = 50) -> Column:
     """array<struct<start, end>>: pieces of at most ``most`` characters that overlap by ``overlap``; a piece ends behind its last space if that lies beyond its
-    middle."""
+    middle. Each piece is read from the text's blocks, and pieces are listed part by part, so that the cost grows with the text's length."""
+    return bound(blocks(text), lambda cut: bound(F.length(text), lambda n: _chunked(n, cut, most, overlap)))
+
+
+def _chunked(n: Column, cut: Column, most: int, overlap: int) -> Column:
     step = (most // 2 + 1) - overlap  # a piece moves on by more than this
-    n = F.length(text)
 
-    def cut(acc: Column, _: Column) -> Column:
-        last = F.element_at(acc, -1)
-        at = F.when(F.size(acc) == 0, 0).otherwise(last["end"] - overlap)
+    def next_of(last: Column) -> Column:
+        at = F.when(last < 0, 0).otherwise(last - overlap)
         full = F.least(at + most, n)
-        piece = F.substring(text, at + 1, most)
-        space = F.length(piece) - F.locate(" ", F.reverse(piece)) + 1  # place of the last space, from 1; beyond the end if there is none
-        has = F.locate(" ", F.reverse(piece)) > 0
-        end = F.when((full < n) & has & (space - 1 > most // 2), at + space).otherwise(full)
-        done = (F.size(acc) > 0) & (last["end"] >= n)
-        return F.when(done, acc).otherwise(F.array_append(acc, F.struct(at.cast("int").alias("start"), end.cast("int").alias("end"))))
 
-    rounds = F.sequence(F.lit(0), F.floor(n / step).cast("int") + 1)
-    whole = F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))
-    return F.when(n <= most, whole).otherwise(F.aggregate(rounds, F.array().cast("array<struct<start:int,end:int>>"), cut))
+        def ended(part: Column) -> Column:
+            back = F.locate(" ", F.reverse(part))
+            space = F.length(part) - back  # place of the last space
+            end = F.when((full < n) & (back > 0) & (space > most // 2), at + space + 1).otherwise(full)
+            return F.struct(at.cast("int").alias("start"), end.cast("int").alias("end"))
+
+        return bound(piece(cut, at, F.lit(most)), ended)
+
+    def some(last: Column) -> Column:
+        """The next PART pieces behind the one that ends at ``last``."""
+
+        def put(acc: Column, _: Column) -> Column:
+            grown = bound(next_of(acc["last"]), lambda p: F.struct(p["end"].alias("last"), F.array_append(acc["out"], p).alias("out")))
+            return F.when(acc["last"] >= n, acc).otherwise(grown)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(PART)), F.struct(last.alias("last"), F.array().cast(CHUNK).alias("out")), put)
+
+    rounds = F.sequence(F.lit(0), F.floor(n / (step * PART)).cast("int") + 1)
+    start = F.struct(F.lit(-1).alias("last"), F.array().cast(f"array<{CHUNK}>").alias("parts"))
+    more = lambda acc: bound(some(acc["last"]), lambda s: F.struct(s["last"].alias("last"), F.array_append(acc["parts"], s["out"]).alias("parts")))
+    listed = F.aggregate(rounds, start, lambda acc, _: F.when(acc["last"] >= n, acc).otherwise(more(acc)), lambda acc: F.flatten(acc["parts"]))
+    return F.when(n <= most, F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))).otherwise(listed)
 
 
 def chunks(texts: DataFrame, key: str, text: str = "text", most: int = 512, overlap: int = 50) -> DataFrame:
     """(key, chunk, start_pos, text): the pieces of each text for a model that reads no more at once."""
-    pieces = texts.select(key, F.col(text).alias("_t"), F.posexplode(chunk_starts(F.col(text), most, overlap)).alias("chunk", "_c"))
-    return pieces.select(key, "chunk", F.col("_c.start").cast("long").alias("start_pos"), F.substring("_t", F.col("_c.start") + 1, F.col("_c.end") - F.col("_c.start")).alias("text"))
+    t = F.col(text)
+    cut = lambda b, n: F.transform(_chunked(n, b, most, overlap), lambda c: F.struct(c["start"].cast("long").alias("start_pos"), piece(b, c["start"], c["end"] - c["start"]).alias("text")))
+    return texts.select(key, F.posexplode(bound(blocks(t), lambda b: bound(F.length(t), lambda n: cut(b, n)))).alias("chunk", "_c")).select(key, "chunk", "_c.start_pos", "_c.text")
 
 
 def merged_predictions(pieces: DataFrame, predictions: DataFrame, key: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Overlap resolution. Each rule is a fold over the ordered findings of one segment; the folds differ on purpose.
 
-Findings are rows (segment_id, entity_type, start_pos, end_pos, score, ...). A segment's findings meet in one array, whose size a segment's text
-bounds; every order ends in entity_type and end_pos, so ties always fall the same way.
+Findings are rows (segment_id, entity_type, start_pos, end_pos, score, ...). Findings that a chain of overlaps links meet in one array; every order ends in
+entity_type and end_pos, so ties always fall the same way.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import islands, overlap_join
+
 #: Priorities of entity types when spans collide.
 PRIORITY = {
     "ID_NIK": 90, "ID_KK": 90, "ID_NPWP": 85, "ID_PHONE": 80, "CREDIT_CARD": 85, "IBAN_CODE": 85, "BANK_ACCOUNT": 80, "US_SSN": 85, "US_PASSPORT": 80, "UK_NHS": 80,
@@ -34,13 +36,16 @@ def _length(x: Column) -> Column:
 
 
 def folded(df: DataFrame, key: str, order: list[Column], fold: Fold) -> DataFrame:
-    """Findings of a segment as an array in ``order`` (and then by type and end), folded, and out again."""
+    """Findings as arrays in ``order`` (and then by type and end), folded, and out again. Each array is an island of a segment, the findings that a chain of overlaps links: a
+    finding is only ever weighed against ones that it overlaps, so islands don't know of each other, and no array grows with its segment."""
     names = [c for c in df.columns if c != key]
     ranks = [o.alias(f"_{i}") for i, o in enumerate([*order, F.col("entity_type"), F.col("end_pos")])]
     one = F.struct(*ranks, *[F.col(c) for c in names])
-    every = df.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    # an island lies in its segment's partition, so this groups without another shuffle
+    every = islands(df, [key], "_island").groupBy(key, "_island").agg(F.array_sort(F.collect_list(one)).alias("all"))
     kept = F.aggregate("all", F.slice("all", 1, 0), fold)
-    return every.select(key, F.explode(kept).alias("k")).select(key, *[F.col(f"k.{c}") for c in names])
+    # most islands are one finding, which no rule drops
+    return every.select(key, F.explode(F.when(F.size("all") == 1, F.col("all")).otherwise(kept)).alias("k")).select(key, *[F.col(f"k.{c}") for c in names])
 
 
 def _replace_first(acc: Column, hit: Fold, x: Column, wins: Fold) -> Column:
@@ -120,10 +125,10 @@ def by_severity(df: DataFrame, key: str = "segment_id") -> DataFrame:
 
 
 def overlapping_pairs(df: DataFrame, key: str = "segment_id") -> DataFrame:
-    """All overlapping pairs of a segment, each once, with the shared length, its share of the shorter span, and containment."""
-    a = df.select(F.col(key), *[F.col(c).alias(f"{c}_a") for c in ("finding_id", "start_pos", "end_pos")])
-    b = df.select(F.col(key), *[F.col(c).alias(f"{c}_b") for c in ("finding_id", "start_pos", "end_pos")])
-    met = a.join(b, key).where("finding_id_a < finding_id_b and start_pos_a < end_pos_b and start_pos_b < end_pos_a")
+    """All overlapping pairs of a segment, each once, with the shared length, its share of the shorter span, and containment. Spans meet in bins as wide as they are, so
+    that others of their segment never do."""
+    box = lambda p: df.select(key, *[F.col(c).alias(f"{c}_{p}") for c in ("finding_id", "start_pos", "end_pos")])
+    met = overlap_join(box("a"), box("b"), [key], [("start_pos_a", "end_pos_a")], [("start_pos_b", "end_pos_b")]).where("finding_id_a < finding_id_b")
     shared = F.least("end_pos_a", "end_pos_b") - F.greatest("start_pos_a", "start_pos_b")
     inside = lambda x, y: (F.col(f"start_pos_{x}") <= F.col(f"start_pos_{y}")) & (F.col(f"end_pos_{x}") >= F.col(f"end_pos_{y}"))
     shorter = F.least(F.col("end_pos_a") - F.col("start_pos_a"), F.col("end_pos_b") - F.col("start_pos_b"))

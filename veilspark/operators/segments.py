@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Pattern, find_spans
+from .intervals import overlap_join
 
 #: Fixed value: keys that make a line a value whatever their length.
 KEYS = [
@@ -102,11 +103,25 @@ def is_label_like(text: Column) -> Column:
     return F.coalesce((text != "") & (F.length(text) <= 50) & (bare.rlike("[:：]$") | word | capitals), F.lit(False))
 
 
+#: Width of the narrowest grid cells, in the units of slides.
+CELL = 1 << 20
+
+
+def _near(a: DataFrame, b: DataFrame, slide: str, aside: Column, over: Column) -> DataFrame:
+    """Boxes of ``a`` and ``b`` (x_, y_, width_, height_ with the suffix a or b) of a slide that lie within ``aside`` and ``over`` of each other, found in the cells of a grid."""
+    reach = {"_x0": F.col("x_a") - aside, "_x1": F.col("x_a") + F.col("width_a") + aside, "_y0": F.col("y_a") - over, "_y1": F.col("y_a") + F.col("height_a") + over}
+    own = {"_u0": F.col("x_b"), "_u1": F.col("x_b") + F.col("width_b"), "_v0": F.col("y_b"), "_v1": F.col("y_b") + F.col("height_b")}
+    met = overlap_join(a.withColumns(reach), b.withColumns(own), [slide], [("_x0", "_x1"), ("_y0", "_y1")], [("_u0", "_u1"), ("_v0", "_v1")], CELL)
+    return met.drop(*reach, *own)
+
+
 def nearby_labels(shapes: DataFrame, slide: str, most: int = 3) -> DataFrame:
     """(slide, shape, labels) for shapes (slide, shape, text, x, y, width, height) with labels near: the best ``most`` by score, those to the left before those
     above and on the same line; equal texts count once."""
     box = lambda p: shapes.select(slide, *[F.col(c).alias(f"{c}_{p}") for c in ("shape", "text", "x", "y", "width", "height")])
-    pairs = box("a").where(is_potential_label(F.col("text_a"))).join(box("b"), slide).where("shape_a <> shape_b")
+    # what can score: a label to the left or near on a line, or above, or centred within its own width
+    aside_of, over_of = F.greatest(F.lit(2 * LEFT_GAP), F.col("width_a")) + 1, F.lit(max(ABOVE_GAP, 2 * LEFT_GAP, BASELINE) + 1)
+    pairs = _near(box("a").where(is_potential_label(F.col("text_a"))), box("b"), slide, aside_of, over_of).where("shape_a <> shape_b")
     middle = lambda p, c, size: F.col(f"{c}_{p}") + F.col(f"{size}_{p}") / 2
     ax, ay, bx, by = middle("a", "x", "width"), middle("a", "y", "height"), middle("b", "x", "width"), middle("b", "y", "height")
     line = F.abs(ay - by) <= BASELINE
@@ -177,8 +192,8 @@ def runs_map(runs: DataFrame, paragraph: str) -> DataFrame:
 
 
 def source_ranges(mapped: DataFrame, spans: DataFrame, paragraph: str) -> DataFrame:
-    """The part of each run that a span (paragraph, start_pos, end_pos) covers."""
-    met = mapped.join(spans, paragraph).where("logical_start < end_pos and start_pos < logical_end")
+    """The part of each run that a span (paragraph, start_pos, end_pos) covers. Spans meet the runs near them only, however many a paragraph has."""
+    met = overlap_join(mapped.select(paragraph, "run", "logical_start", "logical_end"), spans.select(paragraph, "start_pos", "end_pos"), [paragraph], [("logical_start", "logical_end")], [("start_pos", "end_pos")])
     first, last = F.greatest("logical_start", "start_pos"), F.least("logical_end", "end_pos")
     return met.select(paragraph, "start_pos", "end_pos", "run", (first - F.col("logical_start")).alias("source_start"), (last - F.col("logical_start")).alias("source_end"))
 
@@ -186,7 +201,7 @@ def source_ranges(mapped: DataFrame, spans: DataFrame, paragraph: str) -> DataFr
 def label_relations(shapes: DataFrame, slide: str, near: int = 914_400, level: int = 50_000) -> DataFrame:
     """Pairs of shapes (slide, shape, x, y, width, height) of a slide that are near: relation, distance and confidence."""
     box = lambda p: shapes.select(slide, *[F.col(c).alias(f"{c}_{p}") for c in ("shape", "x", "y", "width", "height")])
-    pairs = box("a").join(box("b"), slide).where("shape_a <> shape_b")
+    pairs = _near(box("a"), box("b"), slide, F.lit(near + 1), F.lit(near + 1)).where("shape_a <> shape_b")
     right, bottom = (lambda p: F.col(f"x_{p}") + F.col(f"width_{p}")), (lambda p: F.col(f"y_{p}") + F.col(f"height_{p}"))
     dx = F.greatest(F.col("x_b") - right("a"), F.col("x_a") - right("b"), F.lit(0))
     dy = F.greatest(F.col("y_b") - bottom("a"), F.col("y_a") - bottom("b"), F.lit(0))
@@ -204,10 +219,25 @@ def label_relations(shapes: DataFrame, slide: str, near: int = 914_400, level: i
 
 
 def value_below(shapes: DataFrame, labels: Column, slide: str, aside: int = 500_000) -> DataFrame:
-    """For each label shape the nearest shape below it: at most ``aside`` to the side, least sum of distances."""
+    """For each label shape the nearest shape below it: at most ``aside`` to the side, least sum of distances.
+
+    The next value below in a label's own strip, ``aside`` wide, is at most ``aside`` farther than the nearest, so only what lies that deep is looked at; a label whose strip
+    has none below looks down to the slide's last shape.
+    """
+    strip = lambda x: F.floor(x / F.lit(float(max(aside, 1)))).alias("_strip")
     lab = shapes.where(labels).select(slide, F.col("shape").alias("label_shape"), F.col("x").alias("lx"), F.col("y").alias("ly"))
     val = shapes.where(~labels).select(slide, F.col("shape").alias("value_shape"), F.col("x").alias("vx"), F.col("y").alias("vy"))
-    met = lab.join(val, slide).where((F.col("vy") > F.col("ly")) & (F.abs(F.col("vx") - F.col("lx")) <= aside)).withColumn("d", F.abs(F.col("vx") - F.col("lx")) + F.col("vy") - F.col("ly"))
+    down = Window.partitionBy(slide, "_strip").orderBy("_y")
+    both = lab.select(slide, strip(F.col("lx")), F.col("ly").alias("_y"), "label_shape", "lx", "ly").unionByName(val.select(slide, strip(F.col("vx")), F.col("vy").alias("_y"), F.col("vy").alias("_vy")), allowMissingColumns=True)
+    # a range frame that begins behind the label's own height
+    below = F.min("_vy").over(down.rangeBetween(1, Window.unboundedFollowing))
+    deepest = val.groupBy(F.col(slide).alias("_slide")).agg(F.max("vy").alias("_deepest"))
+    reach = both.withColumn("_next", below).where(F.col("label_shape").isNotNull()).join(deepest, F.col(slide) == F.col("_slide"))
+    depth = F.least(F.coalesce(F.col("_next") + aside, F.col("_deepest")), F.col("_deepest")) + 1
+    looked = reach.select(slide, "label_shape", "lx", "ly", (F.col("lx") - aside - 1).alias("_x0"), (F.col("lx") + aside + 1).alias("_x1"), F.col("ly").alias("_y0"), depth.alias("_y1")).where("_y1 > _y0")
+    points = val.withColumns({"_u0": F.col("vx"), "_u1": F.col("vx"), "_v0": F.col("vy"), "_v1": F.col("vy")})
+    met = overlap_join(looked, points, [slide], [("_x0", "_x1"), ("_y0", "_y1")], [("_u0", "_u1"), ("_v0", "_v1")], CELL)
+    met = met.where((F.col("vy") > F.col("ly")) & (F.abs(F.col("vx") - F.col("lx")) <= aside)).withColumn("d", F.abs(F.col("vx") - F.col("lx")) + F.col("vy") - F.col("ly"))
     return met.groupBy(slide, "label_shape").agg(F.min(F.struct("d", "value_shape")).alias("m")).select(slide, "label_shape", "m.value_shape", F.col("m.d").alias("distance"))
 
 

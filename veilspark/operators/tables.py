@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from . import recognizers as r
+from .intervals import islands
 
 #: Header keywords in order, and words that make a header a plain one.
 HEADER_TYPES = {
@@ -99,19 +101,35 @@ def kept_after(history: DataFrame, now: str, days: int) -> DataFrame:
     return history.where(F.col("ts") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
 
 
+#: Names of one type in predictions and annotations.
+SAME_TYPE = {
+    "PERSON_NAME": "PERSON", "PER": "PERSON", "PHONE_NUMBER": "ID_PHONE", "PHONE": "ID_PHONE", "EMAIL": "EMAIL_ADDRESS", "NIK": "ID_NIK", "NPWP": "ID_NPWP", "KK": "ID_KK", "BPJS": "ID_BPJS",
+}
+
+
+def compared_type(entity: Column) -> Column:
+    """The name under which an entity type is compared, whatever its case."""
+    known = F.create_map(*[F.lit(x) for kv in SAME_TYPE.items() for x in kv])
+    return bound(F.upper(entity), lambda e: F.coalesce(F.try_element_at(known, e), e))
+
+
 def matched(predictions: DataFrame, gold: DataFrame, key: str, mode: str = "exact", share: float = 0.5) -> DataFrame:
-    """(outcome, entity_type, doc_type) rows: TP, FP, FN. Spans of one text and type match if equal (exact), overlapping (overlap), overlapping by
-    ``share`` of the shorter (partial) or contained (contained); predictions take gold spans in order, each gold span once."""
-    p = predictions.select(key, "doc_type", "entity_type", "start_pos", "end_pos").distinct()
-    g = gold.select(key, "doc_type", "entity_type", "start_pos", "end_pos").distinct()
-    spans = lambda df, name: df.groupBy(key, "doc_type", "entity_type").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos"))).alias(name))
-    both = spans(p, "p").join(spans(g, "g"), [key, "doc_type", "entity_type"], "full")
-    empty = F.array().cast("array<struct<start_pos:bigint,end_pos:bigint>>")
+    """(doc_type, entity_type, tp, fp, fn) for each run of spans that lie together. Spans of one text and type match if equal (exact), overlapping (overlap), overlapping by
+    ``share`` of the shorter (partial) or if the prediction lies within the annotation (contained); predictions take gold spans in order, each gold span once.
+
+    Only spans of one island, linked by touching or overlapping spans of either table, can match, so each island is matched by itself.
+    """
+    group = [key, "doc_type", "entity_type"]
+    side = lambda df, is_gold: df.select(*group, "start_pos", "end_pos").distinct().withColumn("_gold", F.lit(is_gold))
+    all_ = islands(side(predictions, False).unionByName(side(gold, True)), group, "_island", touching=True)
+    spans = lambda is_gold: F.array_sort(F.collect_list(F.when(F.col("_gold") == is_gold, F.struct("start_pos", "end_pos"))))
+    both = all_.groupBy(*group, "_island").agg(spans(False).alias("p"), spans(True).alias("g"))
     shared = lambda a, b: F.least(a["end_pos"], b["end_pos"]) - F.greatest(a["start_pos"], b["start_pos"])
     short = lambda a, b: F.least(a["end_pos"] - a["start_pos"], b["end_pos"] - b["start_pos"])
     fits = {
         "exact": lambda a, b: (a["start_pos"] == b["start_pos"]) & (a["end_pos"] == b["end_pos"]), "overlap": lambda a, b: shared(a, b) > 0,
-        "partial": lambda a, b: (shared(a, b) > 0) & (shared(a, b) >= share * short(a, b)), "contained": lambda a, b: shared(a, b) == short(a, b),
+        "partial": lambda a, b: (short(a, b) > 0) & (F.greatest(shared(a, b), F.lit(0)) >= share * short(a, b)),
+        "contained": lambda a, b: (a["start_pos"] >= b["start_pos"]) & (a["end_pos"] <= b["end_pos"]),
     }[mode]
 
     def take(free: Column, x: Column) -> Column:
@@ -119,8 +137,7 @@ def matched(predictions: DataFrame, gold: DataFrame, key: str, mode: str = "exac
         hit = F.get(F.filter(free, lambda y: fits(x, y)), F.lit(0))
         return F.when(hit.isNull(), free).otherwise(F.filter(free, lambda y: y != hit))
 
-    free = F.aggregate(F.coalesce("p", empty), F.coalesce("g", empty), take)
-    counted = both.select("doc_type", "entity_type", F.size(F.coalesce("p", empty)).alias("_p"), F.size(F.coalesce("g", empty)).alias("_g"), F.size(free).alias("fn"))
+    counted = both.select("doc_type", "entity_type", F.size("p").alias("_p"), F.size("g").alias("_g"), F.size(F.aggregate("p", F.col("g"), take)).alias("fn"))
     return counted.select("doc_type", "entity_type", (F.col("_g") - F.col("fn")).cast("long").alias("tp"), (F.col("_p") - F.col("_g") + F.col("fn")).cast("long").alias("fp"), F.col("fn").cast("long").alias("fn"))
 
 

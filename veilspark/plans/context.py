@@ -257,17 +257,50 @@ def ac03(spark, d):
     return tb.gates(tb.scores(outcomes(spark, d)).where("doc_type is null"), LEAST_F1)
 
 
-@query("ac01_overlap_match", f"""WITH RECURSIVE p AS MATERIALIZED (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY id, doc_type, entity_type) AS n FROM (SELECT DISTINCT * FROM ({PRED}) AS x) WINDOW w AS (PARTITION BY id, doc_type, entity_type ORDER BY start_pos, end_pos)),
- g AS (SELECT id, doc_type, entity_type, list({{'s': start_pos, 'e': end_pos}} ORDER BY start_pos, end_pos) AS spans FROM (SELECT DISTINCT * FROM ({GOLD}) AS x) GROUP BY ALL),
- k AS (SELECT id, doc_type, entity_type, coalesce(n, 0) AS n, coalesce(spans, []) AS spans FROM (SELECT DISTINCT id, doc_type, entity_type, n FROM p) FULL JOIN g USING (id, doc_type, entity_type)),
- f AS (SELECT id, doc_type, entity_type, n, len(spans) AS total, 0::BIGINT AS rn, spans AS free FROM k UNION ALL
-  SELECT id, doc_type, entity_type, n, total, prn, CASE WHEN len(hit) = 0 THEN free ELSE list_filter(free, lambda y: y <> hit[1]) END FROM (SELECT f.*, p.rn AS prn, list_filter(f.free, lambda y: least(y.e, p.end_pos) > greatest(y.s, p.start_pos)) AS hit FROM f JOIN p ON p.id = f.id AND p.doc_type = f.doc_type AND p.entity_type = f.entity_type AND p.rn = f.rn + 1))
-SELECT entity_type, sum(total - len(free))::BIGINT AS tp, sum(n - total + len(free))::BIGINT AS fp, sum(len(free))::BIGINT AS fn FROM f WHERE rn = n GROUP BY 1""")
-def ac01(spark, d):
-    found = tb.matched(derived(spark, d, PRED), derived(spark, d, GOLD), "id", "overlap")
+def match_sql(fits: str, pred: str = PRED, gold: str = GOLD) -> str:
+    """Predictions p take gold spans y of their text and type in order; ``fits`` says which they match."""
+    return f"""WITH RECURSIVE p AS MATERIALIZED (
+  SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY id, doc_type, entity_type) AS n FROM (SELECT DISTINCT * FROM ({pred}) AS x)
+  WINDOW w AS (PARTITION BY id, doc_type, entity_type ORDER BY start_pos, end_pos)),
+g AS (SELECT id, doc_type, entity_type, list({{'s': start_pos, 'e': end_pos}} ORDER BY start_pos, end_pos) AS spans FROM (SELECT DISTINCT * FROM ({gold}) AS x) GROUP BY ALL),
+k AS (
+  SELECT id, doc_type, entity_type, coalesce(n, 0) AS n, coalesce(spans, []) AS spans FROM (SELECT DISTINCT id, doc_type, entity_type, n FROM p)
+  FULL JOIN g USING (id, doc_type, entity_type)),
+f AS (
+  SELECT id, doc_type, entity_type, n, len(spans) AS total, 0::BIGINT AS rn, spans AS free FROM k
+  UNION ALL
+  SELECT id, doc_type, entity_type, n, total, prn, CASE WHEN len(hit) = 0 THEN free ELSE list_filter(free, lambda y: y <> hit[1]) END
+  FROM (
+    SELECT f.*, p.rn AS prn, list_filter(f.free, lambda y: {fits}) AS hit
+    FROM f JOIN p ON p.id = f.id AND p.doc_type = f.doc_type AND p.entity_type = f.entity_type AND p.rn = f.rn + 1))
+SELECT entity_type, sum(total - len(free))::BIGINT AS tp, sum(n - total + len(free))::BIGINT AS fp, sum(len(free))::BIGINT AS fn FROM f WHERE rn = n GROUP BY 1"""
+
+
+def match_counts(spark, d, mode: str, pred: str = PRED, gold: str = GOLD):
+    found = tb.matched(derived(spark, d, pred), derived(spark, d, gold), "id", mode)
     return found.groupBy("entity_type").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
 
 
+@query("ac01_overlap_match", match_sql("least(y.e, p.end_pos) > greatest(y.s, p.start_pos)"))
+def ac01(spark, d):
+    return match_counts(spark, d, "overlap")
+
+
+#: Spans of several lengths, from lines of orders, and annotations around, inside and beside them.
+WIDE_PRED = "SELECT l_orderkey AS id, 'T' || CAST(l_orderkey % 3 AS STRING) AS doc_type, CASE l_partkey % 2 WHEN 0 THEN 'PERSON' ELSE 'ID_NIK' END AS entity_type, CAST(l_linenumber * 6 AS BIGINT) AS start_pos, CAST(l_linenumber * 6 + 2 + l_suppkey % 9 AS BIGINT) AS end_pos FROM lineitem"
+WIDE_GOLD = "SELECT l_orderkey AS id, 'T' || CAST(l_orderkey % 3 AS STRING) AS doc_type, CASE l_suppkey % 2 WHEN 0 THEN 'PERSON' ELSE 'ID_NIK' END AS entity_type, CAST(l_linenumber * 6 - l_partkey % 4 AS BIGINT) AS start_pos, CAST(l_linenumber * 6 + 3 + l_partkey % 7 AS BIGINT) AS end_pos FROM lineitem"
+
+
+@query("ac01_partial_match", match_sql("least(y.e, p.end_pos) - greatest(y.s, p.start_pos) >= 0.5 * least(y.e - y.s, p.end_pos - p.start_pos)", WIDE_PRED, WIDE_GOLD))
+def ac01_partial(spark, d):
+    return match_counts(spark, d, "partial", WIDE_PRED, WIDE_GOLD)
+
+
+@query("ac01_contained_match", match_sql("p.start_pos >= y.s AND p.end_pos <= y.e", WIDE_PRED, WIDE_GOLD))
+def ac01_contained(spark, d):
+    return match_counts(spark, d, "contained", WIDE_PRED, WIDE_GOLD)
+
+
 @query("str06_breaker", """WITH e AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'error'), c AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS recent FROM e)
 SELECT event_id, recent::BIGINT AS recent, max((recent >= 3)::INT) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) = 1 AS open FROM c""")
 def str06(spark, d):
