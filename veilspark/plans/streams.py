@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import recognizers as r
 from ..operators import resolve
-from ..streaming import guard
+from ..streaming import guard, live
 from . import inputs as i
 from .detection import query as _query
 from .inputs import AS_OF, derived
@@ -52,3 +52,39 @@ def flagship(spark, d):
     found = find_spans(docs, "text", [r.EMAIL, r.IPS[0], Pattern("ID_NIK", r"(?U)\b\d{16}\b", 0.5)]).drop("pattern_no")
     kept = resolve.first_wins(found, "doc_id")
     return kept.groupBy("lang", "entity_type").agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("documents"), F.max("score").alias("best"))
+
+
+#: Half an hour of quiet and an hour between scans, so that texts wait for their turn.
+TEXTS = "SELECT user_id, ts, event_id, event_type AS text FROM events"
+
+
+@query(
+    "str01_coalesced",
+    f"""WITH RECURSIVE e AS (
+  SELECT user_id, event_id, epoch_us(ts) AS at, row_number() OVER w AS rn, lead(epoch_us(ts)) OVER w AS later FROM ({TEXTS}) AS t WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS rn, NULL::BIGINT AS last, NULL::BIGINT AS event_id FROM e
+  UNION ALL
+  SELECT user_id, rn, CASE WHEN goes THEN due ELSE last END, CASE WHEN goes THEN event_id END FROM (
+    SELECT *, later IS NULL OR due < later AS goes FROM (
+      SELECT r.user_id, e.rn, r.last, e.later, e.event_id, greatest(e.at + 1800000000, coalesce(r.last + 3600000000, e.at)) AS due FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)))
+SELECT user_id, event_id, last AS scanned_us FROM r WHERE event_id IS NOT NULL""",
+)
+def str01_coalesced(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("text"))
+    return live.coalesced(e, "user_id", 1800, 3600).select("user_id", "event_id", F.unix_micros("scanned").alias("scanned_us"))
+
+
+RESULTS = "SELECT user_id, event_id, ts, event_id % 4 = 0 AS names, CAST(event_id % 2 AS INT) AS generation, CASE WHEN event_id % 7 = 0 THEN 'g' ELSE 'f' END AS fingerprint FROM events"
+
+
+@query(
+    "str04_shown_results",
+    f"""SELECT user_id, event_id FROM (
+  SELECT *, last_value(CASE WHEN names THEN generation END IGNORE NULLS) OVER w AS g, last_value(CASE WHEN names THEN fingerprint END IGNORE NULLS) OVER w AS f FROM ({RESULTS}) AS r
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+WHERE NOT names AND g = generation AND f = fingerprint AND event_id % 9 <= 5""",
+)
+def str04_shown(spark, d):
+    e = derived(spark, d, RESULTS).withColumn("seen", F.col("ts").cast("timestamp")).withColumn("created", F.timestamp_micros(F.unix_micros("seen") - F.col("event_id") % 9 * 1_000_000)).drop("ts")
+    return live.shown_results(e.where("not names"), e.where("names"), "user_id").select("user_id", "event_id")
