@@ -110,3 +110,19 @@ def test_severity_of_leaks(spark):
     assert {x.value: (x.leak, x.severity) for x in leaks} == cases
     of_texts = {x.value: x.leak for x in protect.leaks(found, original, "file", partial=False).collect()}
     assert of_texts["Santoso"] == of_texts["Siti Rahayu"] == "MISSED" and of_texts["BUDI santoso"] == "RESIDUAL"
+
+
+def test_composed(spark):
+    """Letters and marks in any order that counts as the same, characters that stand for others, and marks that nothing takes."""
+    import unicodedata
+
+    from veilspark.functions.text import composed, value_hmac
+
+    r = random.Random(5)
+    every = [c for c in map(chr, range(0xC0, 0x2000)) if unicodedata.normalize("NFC", c) == c and len(d := unicodedata.normalize("NFD", c)) > 1 and unicodedata.category(d[0])[0] != "M"]
+    texts = ["", "plain", "José", "Việt Việt Việt", "Å Ω K 豈", "q́ x̣́", "́ alone", "日本", *["".join(unicodedata.normalize(r.choice(["NFC", "NFD"]), c) for c in r.sample(every, 20)) for _ in range(60)]]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    for x in df.select("t", composed(F.col("t")).alias("got")).collect():
+        assert x.got == (None if x.t is None else unicodedata.normalize("NFC", x.t))
+    two = spark.createDataFrame([("José Núñez",), ("José NÚÑEZ",)], "v string").select(value_hmac(F.lit("PERSON"), F.col("v"), b"k" * 32).alias("h"))
+    assert two.distinct().count() == 1

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,12 +133,58 @@ def folded(value: Column) -> Column:
     return F.lower(F.upper(value))
 
 
+@cache
+def _compositions() -> tuple[str, str, str]:
+    """From the character database: a JSON map from letters with marks, in each order of marks that counts as the same, to the composed letter; and the characters that have another
+    one in their place, with those."""
+    pairs, before, behind = {}, "", ""
+    for point in range(0xA0, 0x2FA1E):
+        c = chr(point)
+        apart, together = unicodedata.normalize("NFD", c), unicodedata.normalize("NFC", c)
+        if len(apart) > 1 and together == c and not 0xAC00 <= point <= 0xD7A3:
+            for marks in permutations(apart[1:]):
+                if unicodedata.normalize("NFC", spelt := apart[0] + "".join(marks)) == c:
+                    pairs[spelt] = c
+        elif len(together) == 1 and together != c:
+            before, behind = before + c, behind + together
+    # a composed letter may still take a mark: é and a dot below
+    for spelt, c in list(pairs.items()):
+        for mark in {x for k in pairs for x in k[1:]} if len(spelt) == 2 else ():
+            more = unicodedata.normalize("NFC", c + mark)
+            if len(more) == 1:
+                pairs[c + mark] = more
+    return json.dumps(pairs), before, behind
+
+
+def composed(value: Column) -> Column:
+    """``value`` with letters and the marks behind them as composed characters (NFC), so that both ways of writing a name agree. Only texts with a mark, or with a character that stands for
+    another one, are looked into. Hangul that is spelt in single letters stays so, as do a vowel sign that is made
+    of several signs and a letter with marks that no one character has."""
+    pairs, before, behind = _compositions()
+    known = F.from_json(F.lit(pairs), "map<string,string>")
+    marked = r"(?s)\P{M}\p{M}*|\p{M}+"
+
+    def one(x: Column) -> Column:
+        """A letter with its marks: composed at once, else with the first mark."""
+        first = F.try_element_at(known, F.left(x, F.lit(2)))
+        part = F.when(first.isNotNull(), F.concat(first, F.substring(x, F.lit(3), F.length(x)))).otherwise(x)
+        return F.when(F.length(x) == 1, x).otherwise(F.coalesce(F.try_element_at(known, x), part))
+
+    joined = lambda v: F.array_join(F.transform(F.regexp_extract_all(v, F.lit(marked), F.lit(0)), one), "")
+    into = bound(F.translate(value, before, behind), lambda v: F.when(v.rlike(r"\p{M}"), joined(v)).otherwise(v))
+    # marks and characters that stand for others begin at U+0300
+    return F.when(value.rlike(r"[^\x00-\u02ff]"), into).otherwise(value)
+
+
 def normalise_value(entity: Column, value: Column) -> Column:
-    """The form in which two values count as the same, whatever the case. Composed and decomposed characters differ: Spark has no normal forms."""
-    bare = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
-    number = F.regexp_replace(bare, r"[^0-9+]", "")
-    phone = F.when(number.startswith("0"), F.concat(F.lit("+62"), F.substring(number, 2, 1000))).when(number.startswith("62"), F.concat(F.lit("+"), number)).otherwise(number)
-    return F.when(entity == "EMAIL", folded(bare)).when(entity.isin("PHONE_NUMBER", "ID_PHONE"), phone).otherwise(F.regexp_replace(folded(bare), r"(?U)\s+", " "))
+    """The form in which two values count as the same, whatever the case and whether their characters are composed."""
+
+    def form(bare: Column) -> Column:
+        number = F.regexp_replace(bare, r"[^0-9+]", "")
+        phone = F.when(number.startswith("0"), F.concat(F.lit("+62"), F.substring(number, 2, 1000))).when(number.startswith("62"), F.concat(F.lit("+"), number)).otherwise(number)
+        return F.when(entity == "EMAIL", folded(bare)).when(entity.isin("PHONE_NUMBER", "ID_PHONE"), phone).otherwise(F.regexp_replace(folded(bare), r"(?U)\s+", " "))
+
+    return bound(F.regexp_replace(composed(value), r"(?U)^\s+|\s+$", ""), form)
 
 
 def hmac_sha256(message: Column, key: bytes) -> Column:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..sources import delimited as dl
 from ..sources import files as f
 from .detection import query as _query
 from .inputs import derived
@@ -52,6 +55,60 @@ def snk01(spark, d):
     return f.with_replaced_cells(rows, names.unionByName(rows.where("row % 6 = 0").select("row", F.lit(2).alias("col"), F.lit("M").alias("replacement"))))
 
 
+#: Customers as lines of one file for each nation, delimiters and encodings going by turns: (nation, place, line).
+NATION_LINES = """
+SELECT c_nationkey AS nation, c_custkey AS place, concat_ws(CASE c_nationkey % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END, CAST(c_custkey AS STRING), c_name,
+  CASE c_custkey % 5 WHEN 0 THEN '"' || c_mktsegment || ', ""é""' || chr(10) || 'dua"' WHEN 1 THEN '' ELSE c_mktsegment || ' é' END) AS line FROM customer
+UNION ALL SELECT n_nationkey AS nation, -1 AS place, concat_ws(CASE n_nationkey % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END, 'id', 'nama', 'segmen') AS line FROM nation"""
+
+
+def nation_files(spark, d) -> str:
+    """The folder of those files, below the shared one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-files-')}"
+    path = f"{shared.rstrip('/')}/nations-{uuid.uuid4().hex}"
+    lines = derived(spark, d, NATION_LINES)
+    raw = F.when(F.col("nation") % 3 == 1, F.encode("line", "ISO-8859-1").cast("string")).otherwise(F.col("line"))
+    # each nation's lines meet in one task, which writes one file
+    lines.select("nation", "place", raw.alias("line")).repartition("nation").sortWithinPartitions("nation", "place").select("nation", "line").write.partitionBy("nation").text(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def nation_of():
+    return F.regexp_extract("path", r"nation=(\d+)", 1).cast("int").alias("nation")
+
+
+NATION_CELLS = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row FROM customer),
+c AS (
+  SELECT c_nationkey, row, 0 AS col, 'id' AS key_label, c_custkey::VARCHAR AS text FROM r
+  UNION ALL SELECT c_nationkey, row, 1, 'nama', c_name FROM r
+  UNION ALL SELECT c_nationkey, row, 2, 'segmen', CASE c_custkey % 5 WHEN 0 THEN c_mktsegment || ', "é"' || chr(10) || 'dua' WHEN 1 THEN '' ELSE c_mktsegment || ' é' END FROM r)"""
+
+
+@query("src06_cells_of_files", f"{NATION_CELLS} SELECT c_nationkey::INT AS nation, row, col::INT AS col, key_label, true AS is_value_of_key, 'R' || (row + 1) || 'C' || (col + 1) AS address, text FROM c WHERE text <> ''")
+def src06_files(spark, d):
+    cells = dl.cells_of_rows(dl.read_rows(spark, nation_files(spark, d)))
+    return cells.select(nation_of(), "row", "col", "key_label", "is_value_of_key", "address", "text")
+
+
+@query(
+    "src02_forms_of_files",
+    """SELECT n_nationkey::INT AS nation, CASE WHEN n_nationkey % 3 = 1 AND n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 5 <> 1) THEN 'cp1252' ELSE 'utf-8' END AS encoding,
+CASE n_nationkey % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END AS delimiter, true AS feed FROM nation""",
+)
+def src02_files(spark, d):
+    return dl.file_blocks(spark, nation_files(spark, d))[1].select(nation_of(), "encoding", "delimiter", "feed")
+
+
+@query("snk01_rows_given_back", f"{NATION_CELLS} SELECT c_nationkey::INT AS nation, row, col::INT AS col, CASE WHEN col = 1 AND row % 4 = 1 THEN '[[PERSON_' || row || '; \"x\"]]' ELSE text END AS text FROM c WHERE text <> ''")
+def snk01_files(spark, d):
+    rows = dl.read_rows(spark, nation_files(spark, d))
+    new = dl.cells_of_rows(rows).where("col = 1 and row % 4 = 1").select("path", "row", "col", F.concat(F.lit("[[PERSON_"), F.col("row").cast("string"), F.lit('; "x"]]')).alias("replacement"))
+    return dl.cells_of_rows(dl.replaced_rows(rows, new)).select(nation_of(), "row", "col", "text")
+
+
 PATHS = "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'a/' || p_name || '.CSV' WHEN 1 THEN 'b/../x.xlsx' WHEN 2 THEN 'c/y.txt' WHEN 3 THEN 'd/z.docx' WHEN 4 THEN 'ohne' ELSE 'e.v2/k.pptx' END AS path, CASE p_partkey % 7 WHEN 0 THEN 0 WHEN 1 THEN 200000000 ELSE p_size END AS length FROM part"
 KIND = "lower(regexp_extract(path, '\\.([^./]+)$', 1))"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import composed
 from ..operators import matching as m
 from ..operators import protect as pr
 from ..operators import protection as pt
@@ -107,3 +108,14 @@ def lk03(spark, d):
 @query("lk03_leaks_of_texts", LEAKS.replace("{partial}", "false AND"))
 def lk03_text(spark, d):
     return leaks(spark, d, False)
+
+
+#: Names as some systems write them: letters and marks apart, in both orders of two marks.
+SPELT = """
+SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'Jose\u0301 ' || c_name WHEN 1 THEN 'A\u030asa' WHEN 2 THEN 'Vie\u0323\u0302t' WHEN 3 THEN 'Vie\u0302\u0323t'
+  WHEN 4 THEN '\u212bngstro\u0308m q\u0301' ELSE c_name END AS value FROM customer"""
+
+
+@query("tk01_composed", f"SELECT id, nfc_normalize(value) AS value FROM ({SPELT}) AS s")
+def tk01(spark, d):
+    return derived(spark, d, SPELT).select("id", composed(F.col("value")).alias("value"))
