@@ -126,3 +126,16 @@ def test_composed(spark):
         assert x.got == (None if x.t is None else unicodedata.normalize("NFC", x.t))
     two = spark.createDataFrame([("José Núñez",), ("José NÚÑEZ",)], "v string").select(value_hmac(F.lit("PERSON"), F.col("v"), b"k" * 32).alias("h"))
     assert two.distinct().count() == 1
+
+
+def test_person_filter(spark):
+    """Default terms and the address rule: only where the label lies within the window, never for names known by their context."""
+    from veilspark.operators import engine
+
+    texts = [(1, "Alamat: Kebon Jeruk"), (2, "alamat" + " x" * 30 + " Kebon Jeruk"), (3, "Alamat: Budi Santoso"), (4, "Kebon Jeruk"), (5, "Laki Laki dan Rawat Inap"), (6, None), (7, "JL. Agus " + "é" * 9000 + " kota Dewi")]
+    found = [(1, "ner", 8, "Kebon Jeruk"), (2, "ner", 67, "Kebon Jeruk"), (3, "id_person", 8, "Budi Santoso"), (4, "ner", 0, "Kebon Jeruk"), (5, "ner", 0, "Laki Laki"), (5, "ner", 14, "Rawat Inap"), (6, "ner", 3, "Joko Wibowo"), (7, "ner", 4, "Agus"), (7, "ner", 9015, "Dewi")]
+    df = spark.createDataFrame([(i, "PERSON", r, s, v) for i, r, s, v in found] + [(5, "EMAIL_ADDRESS", "general", 3, "a@b.id")], "id int, entity_type string, recognizer string, start_pos long, value string")
+    kept = engine.person_filter(df, spark.createDataFrame(texts, "id int, text string"), "id").collect()
+    assert {(x.id, x.value) for x in kept} == {(2, "Kebon Jeruk"), (3, "Budi Santoso"), (4, "Kebon Jeruk"), (6, "Joko Wibowo"), (5, "a@b.id")}
+    mine = engine.person_filter(df, spark.createDataFrame(texts, "id int, text string"), "id", common=["kebon jeruk"]).collect()
+    assert {(x.id, x.value) for x in mine} == {(3, "Budi Santoso"), (6, "Joko Wibowo"), (5, "a@b.id"), (5, "Laki Laki")}

@@ -31,6 +31,22 @@ CLINICAL_WORDS = [
     "antibiotik", "infeksi", "radang", "tumor", "kanker", "jangan", "berikan", "menunjukkan", "mengeluh", "kontrol", "isolasi", "rujukan", "rawat", "periksa", "cek", "penjamin", "asuransi",
     "mandiri", "inhealth",
 ]
+#: Words and phrases of Indonesian documents that are taken for names, by theme.
+COMMON_TERMS = [
+    "perempuan", "laki-laki", "laki laki", "pria", "wanita", "jenis kelamin", "gender", "usia", "umur",
+    "penjamin", "kunjungan", "keluhan", "terapi", "diagnosis", "diagnosa", "tanda", "tanda vital", "emr", "nik", "nik mock", "npwp", "kk", "no ktp", "nomor", "alamat", "alamat mock", "kontak", "email",
+    "telepon", "telp", "hp", "penanggung", "pasien", "karyawan", "nama", "nama mock", "nama pasien", "nama lengkap", "tempat lahir", "tanggal lahir", "tgl lahir", "lahir",
+    "encounter", "provinsi", "kota", "kabupaten", "kecamatan", "kelurahan", "pekerjaan", "jabatan", "departemen", "divisi", "unit",
+    "demam", "batuk", "pilek", "nyeri", "sesak", "mual", "muntah", "hipertensi", "diabetes", "dispepsia", "asma", "dermatitis", "ispa", "kontrol", "gula darah", "tekanan darah", "suhu", "ruam",
+    "rawat inap", "rawat jalan", "poli", "poliklinik", "igd", "ugd", "resep", "obat", "dosis", "rujukan", "anamnesis", "vital",
+    "kulit", "gatal", "napas", "darah", "ulu", "hati", "punggung", "kepala", "perut", "dada", "kaki", "tangan", "mata", "telinga",
+    "bpjs", "bpjs kesehatan", "asuransi", "asuransi swasta", "asuransi perusahaan", "corporate guarantee", "pribadi", "mandiri",
+    "sangat rahasia", "rahasia", "mockup", "klasifikasi", "peringatan", "confidential", "internal", "public",
+    "januari", "februari", "maret", "april", "mei", "juni", "juli", "agustus", "september", "oktober", "november", "desember", "senin", "selasa", "rabu", "kamis", "jumat", "sabtu", "minggu",
+    "aktif", "nonaktif", "tidak", "spesifik", "esensial", "fungsional", "ringan", "sedang", "berat", "normal", "abnormal",
+    "dan", "atau", "dengan", "yang", "untuk", "dari", "pada", "di", "ke",
+    "catatan", "bukan", "data", "identitas", "medis", "file", "ini", "sintetis", "nyata", "semua", "contoh", "dokumen", "simulasi", "informasi", "keperluan", "demo", "pengujian",
+]
 LABEL_PARTS = ["mock", "emr", "nik", "npwp", "id", "no", "nomor"]
 ADDRESS_LABELS = ["alamat", "address", "domisili", "jl.", "jalan", "kota", "kecamatan", "kelurahan"]
 

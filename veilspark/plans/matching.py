@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import composed
+from ..operators import engine
 from ..operators import matching as m
 from ..operators import protect as pr
 from ..operators import protection as pt
@@ -119,3 +120,21 @@ SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'Jose\u0301 ' || c_name W
 @query("tk01_composed", f"SELECT id, nfc_normalize(value) AS value FROM ({SPELT}) AS s")
 def tk01(spark, d):
     return derived(spark, d, SPELT).select("id", composed(F.col("value")).alias("value"))
+
+
+#: Names found by a model or by their context, behind address labels and elsewhere: (id, text, name, recognizer).
+NAMED = """
+SELECT o_orderkey AS id, lead || name || '.' AS text, name, CAST(length(lead) AS BIGINT) AS start_pos, CASE WHEN o_custkey % 4 = 0 THEN 'id_person' ELSE 'ner' END AS recognizer
+FROM (SELECT o_orderkey, o_custkey, CASE o_orderkey % 5 WHEN 0 THEN 'ALAMAT: ' WHEN 1 THEN 'domisili di sebelah pasar lama yang besar sekali, milik ' WHEN 2 THEN 'Pasien ' WHEN 3 THEN '' ELSE 'kota asal ' END AS lead,
+  CASE o_custkey % 6 WHEN 0 THEN 'Budi Santoso' WHEN 1 THEN 'Gula Darah' WHEN 2 THEN 'Kebon Jeruk' WHEN 3 THEN 'Tekanan Darah' WHEN 4 THEN 'Minggu' ELSE 'Siti Rahayu' END AS name FROM orders) AS o"""
+
+
+@query(
+    "fl05_default_terms_and_places",
+    f"""SELECT id, name AS value, start_pos, recognizer FROM ({NAMED}) AS n WHERE name IN ('Budi Santoso', 'Kebon Jeruk', 'Siti Rahayu')
+AND NOT (recognizer <> 'id_person' AND start_pos > 0 AND regexp_matches(right(lower(left(text, start_pos)), 40), 'alamat|address|domisili|jl\\.|jalan|kota|kecamatan|kelurahan'))""",
+)
+def fl05(spark, d):
+    texts = derived(spark, d, NAMED)
+    found = texts.select("id", F.lit("PERSON").alias("entity_type"), "start_pos", F.col("name").alias("value"), "recognizer")
+    return engine.person_filter(found, texts, "id").select("id", "value", "start_pos", "recognizer")
