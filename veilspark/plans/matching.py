@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import composed
@@ -9,8 +12,10 @@ from ..operators import engine
 from ..operators import matching as m
 from ..operators import protect as pr
 from ..operators import protection as pt
+from ..operators.vault import Vault
 from .detection import query as _query
-from .inputs import AS_OF, derived
+from .inputs import AS_OF, KEY, derived
+from .protection import hmac_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -138,3 +143,25 @@ def fl05(spark, d):
     texts = derived(spark, d, NAMED)
     found = texts.select("id", F.lit("PERSON").alias("entity_type"), "start_pos", F.col("name").alias("value"), "recognizer")
     return engine.person_filter(found, texts, "id").select("id", "value", "start_pos", "recognizer")
+
+
+NAME_HMAC = hmac_sql("('PERSON|' || lower(c_name))")
+
+
+@query(
+    "tk04_lasting_vault",
+    f"""SELECT 'PERSON' AS entity_type, h AS hmac, '[[PERSON_' || upper(left(h, 4 + 2 * row_number() OVER (PARTITION BY left(h, 6) ORDER BY later, h))) || ']]' AS token
+FROM (SELECT c_custkey % 3 = 0 AS later, {NAME_HMAC} AS h FROM customer)""",
+)
+def tk04(spark, d):
+    """Two days' names through a vault in a folder; the second day brings all names again."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-vault-')}"
+    path = f"{shared.rstrip('/')}/vault-{uuid.uuid4().hex}"
+    vault = Vault(spark, path, digits=1)  # few names, few buckets
+    names = spark.read.parquet(f"{d}/customer.parquet").select(F.lit("PERSON").alias("entity_type"), F.col("c_name").alias("value"), "c_custkey")
+    vault.tokens(names.where("c_custkey % 3 <> 0"), KEY)
+    vault.tokens(names, KEY)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return vault.read()
