@@ -21,10 +21,10 @@ TAX_WORDS, IDENTITY_WORDS = ["npwp", "pajak", "tax", "wajib pajak"], ["nik", "kt
 PHONE_WORDS = ["telepon", "telp", "telpon", "hp", "handphone", "no. hp", "no hp", "nomor hp", "phone", "mobile", "cell", "whatsapp", "wa", "contact", "kontak", "hubungi"]
 BPJS_WORDS = ["bpjs", "bpjs kesehatan", "bpjs ketenagakerjaan", "no. bpjs", "no bpjs", "nomor bpjs", "kartu bpjs", "peserta bpjs", "jkn", "jaminan kesehatan", "jaminan sosial"]
 TAX_CATEGORIES = ["01", "02", "03", "04", "05", "06", "07", "08", "09", "21", "31", "41", "51", "61", "71", "81"]
-MOBILE_PREFIXES = (
-    ["811", "812", "813", "821", "822", "823", "851", "852", "853", "814", "815", "816", "855", "856", "857", "858", "817", "818", "819", "859", "877", "878", "879"]
-    + ["831", "832", "833", "838", "895", "896", "897", "898", "899", "881", "882", "883", "884", "885", "886", "887", "888", "889"]
-)
+MOBILE_PREFIXES = [
+    "811", "812", "813", "821", "822", "823", "851", "852", "853", "814", "815", "816", "855", "856", "857", "858", "817", "818", "819", "859", "877", "878", "879",
+    "831", "832", "833", "838", "895", "896", "897", "898", "899", "881", "882", "883", "884", "885", "886", "887", "888", "889",
+]
 #: Patterns of text files, and those in which office files differ.
 TXT = [
     Pattern("EMAIL", EMAIL.regex, 1.0, "txt"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
+from . import classify
 
 #: Entity types that a label asks for, and what agreement and contradiction are worth.
 LABEL_ENTITIES = {
@@ -158,14 +159,18 @@ def weight_of(words: Column, table: dict[str, float]) -> Column:
 
 def label_boost(findings: DataFrame, balanced: bool = True) -> DataFrame:
     """Findings with a column labels (array, null for none): the score goes up where a label asks for the type, and in the balanced mode down where one
-    asks for another. Labels count as they stand but for case."""
+    asks for another. Labels count as they stand but for case. A column ``band`` is set anew by the new score where a label spoke."""
     known = _map(LABEL_ENTITIES)
     asked = F.transform(F.coalesce("labels", F.array().cast(EMPTY)), lambda x: F.try_element_at(known, F.lower(x)))
     match = F.exists(asked, lambda e: F.coalesce(F.array_contains(e, F.col("entity_type")), F.lit(False)))
     other = F.exists(asked, lambda e: F.coalesce(~F.array_contains(e, F.col("entity_type")), F.lit(False)))
     down = F.greatest(F.lit(0.0), F.col("score") - MISMATCH_PENALTY) if balanced else F.col("score")
     score = F.when(match, F.least(F.lit(1.0), F.col("score") + MATCH_BOOST)).when(other, down).otherwise(F.col("score"))
-    return findings.withColumn("context", F.when(match, "match").when(other & F.lit(balanced), "mismatch")).withColumn("score", F.round(score, 6))
+    told = findings.withColumn("context", F.when(match, "match").when(other & F.lit(balanced), "mismatch"))
+    scored = told.withColumn("score", F.round(score, 6))
+    if "band" not in findings.columns:
+        return scored
+    return scored.withColumn("band", F.when(F.col("context").isNull(), F.col("band")).otherwise(classify.simple_band(F.col("score"), 0.85, 0.6)))
 
 
 def lexical_text() -> Column:
