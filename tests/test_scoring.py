@@ -13,3 +13,23 @@ def test_label_boost_sets_the_band_anew(spark):
     lenient = {x.id: (x.context, x.score, x.band) for x in scoring.label_boost(df, balanced=False).collect()}
     assert lenient[2] == (None, 0.65, "MEDIUM")
     assert "band" not in scoring.label_boost(df.drop("band")).columns
+
+
+def test_judged_texts(spark):
+    """Risk, labels, size limit and buckets of single texts."""
+    from veilspark.streaming import guard
+
+    big = "é" * (guard.HARD_LIMIT // 2)
+    cases = {
+        1: ("surel a@b.co.id saja", ("scanned", "MEDIUM", 1, "surel [EMAIL_REDACTED] saja", "<100")),
+        2: ("a@b.co.id dan c@d.org", ("scanned", "HIGH", 2, "[EMAIL_REDACTED] dan [EMAIL_REDACTED]", "<100")),
+        3: ("", ("scanned", "LOW", 0, "", "0")),
+        4: ("halo dunia", ("scanned", "LOW", 0, "halo dunia", "<100")),
+        5: (big + "x", ("refused", None, 0, None, "<512k")),
+        6: (big, ("scanned", "LOW", 0, big, "<512k")),
+        7: ("lihat 10.1.2.3 ya", ("scanned", "LOW", 1, "lihat [IP_REDACTED] ya", "<100")),
+        8: ("x" * 200 + " a@b.id", ("scanned", "MEDIUM", 1, "x" * 200 + " [EMAIL_REDACTED]", "<1k")),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "id int, text string")
+    got = {x.id: (x.status, x.risk, x.findings, x.redacted, x.bucket) for x in guard.judge(df, "2024-06-15").collect()}
+    assert got == {k: want for k, (_, want) in cases.items()}
