@@ -32,7 +32,7 @@ def without_places(findings: DataFrame, texts: DataFrame, key: str, text: str =
     """``findings`` (key, entity_type, start_pos, recognizer, ...) without persons that an address label precedes within ``window`` characters, case apart: those are places. Names that the
     context recognizer found stay, as do findings at a text's beginning and those of no text.
 
-    A text's findings meet in one row beside it, so that it is read once, from blocks; texts without such persons go nowhere.
+    The places asked about in a text meet in one row beside it, so that it is read once, from blocks, and not once for each finding.
     """
     doubtful = F.col("entity_type").isin(NAMES) & (F.col("recognizer") != BY_CONTEXT) & (F.col("start_pos") > 0)
     asked = findings.where(doubtful).groupBy(F.col(key).alias("_k")).agg(F.collect_set(F.col("start_pos").cast("long")).alias("_starts"))
