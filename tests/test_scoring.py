@@ -33,3 +33,26 @@ def test_judged_texts(spark):
     df = spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "id int, text string")
     got = {x.id: (x.status, x.risk, x.findings, x.redacted, x.bucket) for x in guard.judge(df, "2024-06-15").collect()}
     assert got == {k: want for k, (_, want) in cases.items()}
+
+
+def test_keywords_of_runs_are_those_of_the_text(spark):
+    """Keywords looked for in the runs of a text, by branching patterns, are those that a plain alternation finds in all of it."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    tables = [scoring.POSITIVE, scoring.NEGATIVE, *scoring.ENTITY_WORDS.values(), *scoring.DOCUMENT_WORDS.values()]
+    words = sorted({w for t in tables for w in t})
+    assert all(re.fullmatch(r"\w(.*\w)?", w) and not re.sub(r"[\w .-]", "", w) for w in words)
+    dice = random.Random(7)
+    others = ["budi", "xnama", "nama_lengkap", "namá", "KTP9", "é", "😀", "Karyawan\nbaru", "e", "mail", "no.", "po", "\t", ""]
+    mixed = lambda w: "".join(x.upper() if dice.random() < 0.3 else x for x in w)
+    texts = [dice.choice(["", " ", "-"]).join(mixed(dice.choice(words if dice.random() < 0.7 else others)) + dice.choice([" ", "  ", ", ", "-", ". ", ""]) for _ in range(dice.randrange(12))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate([*texts, "", None])), "id int, text string")
+    plain = lambda t: F.transform(F.regexp_extract_all("text", F.lit(r"(?iU)\b(" + "|".join(re.escape(w) for w in sorted(t, key=len, reverse=True)) + r")\b"), F.lit(1)), F.lower)
+    runs = scoring.keyword_runs(F.col("text"), tables)
+    got = df.select(*[scoring.words_met(runs, t).alias(f"a{n}") for n, t in enumerate(tables)], *[plain(t).alias(f"b{n}") for n, t in enumerate(tables)]).collect()
+    assert sum(len(row[0] or []) for row in got) > 300
+    for row in got:
+        assert row[: len(tables)] == row[len(tables) :]

@@ -143,8 +143,39 @@ def context_labels() -> Column:
     return F.concat(_given("heading", "key_label", "slide_title"), _list("table_headers"), _list("row_headers"), _list("nearby_labels"))
 
 
+def _branches(node: dict) -> str:
+    ways = [re.escape(letter) + _branches(below) for letter, below in node.items() if letter]
+    if not ways:
+        return ""
+    body = ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+    return f"(?:{body})?" if "" in node else body
+
+
+def any_of(words) -> str:
+    """An expression for any of ``words`` with common beginnings written once: where several match, the longest is tried first."""
+    root: dict = {}
+    for word in sorted(words):
+        node = root
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+    return _branches(root)
+
+
 def word_pattern(words) -> str:
-    return r"(?iU)\b(" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + r")\b"
+    return rf"(?iU)\b({any_of(words)})\b"
+
+
+def run_pattern(tables) -> str:
+    """Runs of words that occur in some keyword, with what may stand between them: every keyword of a text lies within one run, between the same neighbours."""
+    words = [w for table in tables for w in table]
+    single = any_of({x for w in words for x in re.split(r"[ .\-]+", w) if x})
+    return rf"(?iU)\b(?:{single})\b(?:[ .\-]+(?:{single})\b)*"
+
+
+def keyword_runs(text: Column, tables) -> Column:
+    """The parts of a text in which keywords of ``tables`` can lie, line by line: one pass over the text, so that each table is looked for in little."""
+    return F.array_join(F.regexp_extract_all(text, F.lit(run_pattern(tables)), F.lit(0)), "\n")
 
 
 def words_met(text: Column, table: dict[str, float]) -> Column:
@@ -180,7 +211,7 @@ def lexical_text() -> Column:
 
 def lexical(segments: DataFrame) -> DataFrame:
     """Segments with positive, negative (keywords met), net_score and hints (entity type -> best weight of its keywords)."""
-    joined = segments.withColumn("_text", lexical_text())
+    joined = segments.withColumn("_text", keyword_runs(lexical_text(), [POSITIVE, NEGATIVE, *ENTITY_WORDS.values()]))
     best = lambda table: F.array_max(F.transform(words_met(F.col("_text"), table), lambda w: F.coalesce(F.try_element_at(_map(table), w), F.lit(0.0))))
     hints = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(e).alias("k"), best(table).alias("v")) for e, table in ENTITY_WORDS.items()]), lambda x: x["v"].isNotNull()))
     out = joined.withColumn("positive", words_met(F.col("_text"), POSITIVE)).withColumn("negative", words_met(F.col("_text"), NEGATIVE)).withColumn("hints", hints)
@@ -208,7 +239,9 @@ def primary(items: Column) -> Column:
 
 def document_type(texts: Column) -> Column:
     """struct<type, confidence> of the joined texts: the type whose keywords weigh most, the earlier one of equals; below 0.3 it is general."""
-    scored = F.array(*[F.struct(F.lit(kind).alias("type"), F.round(F.least(F.lit(1.0), weight_of(words_met(texts, table), table)), 6).alias("confidence"), F.lit(-no).alias("no")) for no, (kind, table) in enumerate(DOCUMENT_WORDS.items())])
+    weight = lambda runs, table: F.round(F.least(F.lit(1.0), weight_of(words_met(runs, table), table)), 6)
+    typed = lambda runs: F.array(*[F.struct(F.lit(kind).alias("type"), weight(runs, table).alias("confidence")) for kind, table in DOCUMENT_WORDS.items()])
+    scored = bound(keyword_runs(texts, DOCUMENT_WORDS.values()), typed)
     best = lambda all_: F.aggregate(all_, F.get(all_, F.lit(0)), lambda acc, x: F.when(x["confidence"] > acc["confidence"], x).otherwise(acc))
     clear = lambda b: F.when(b["confidence"] >= CLEAR_TYPE, F.struct(b["type"].alias("type"), b["confidence"].alias("confidence"))).otherwise(F.struct(F.lit("general").alias("type"), F.lit(0.0).alias("confidence")))
     return bound(bound(scored, best), clear)
@@ -220,7 +253,7 @@ def document_text() -> Column:
 
 def in_context(segments: DataFrame) -> DataFrame:
     """Segments with all that ``rescored`` needs: the columns of ``lexical``, primary, doc_type, doc_confidence, sensitivity and expected."""
-    out = lexical(segments).withColumn("primary", primary(structure())).withColumn("_d", document_type(document_text()))
+    out = lexical(segments).withColumn("primary", bound(structure(), primary)).withColumn("_d", document_type(document_text()))
     kind = F.col("_d.type")
     known = F.coalesce(F.try_element_at(_map(EXPECTED), kind), F.array().cast(EMPTY))
     return out.select("*", kind.alias("doc_type"), F.col("_d.confidence").alias("doc_confidence"), F.try_element_at(_map(SENSITIVITY), kind).alias("sensitivity"), known.alias("expected")).drop("_d")
