@@ -95,11 +95,20 @@ def resolved_tokens(tokens: DataFrame, vault: DataFrame, key: bytes, project: Co
     return opened.select("token", "original", F.when(F.col("id").isNull(), "unknown").when(F.col("original").isNull(), "expired").otherwise("found").alias("status"))
 
 
-def restore_metrics(restored: DataFrame, *by: str) -> DataFrame:
-    """Documents, those with tokens, tokens restored and unresolved, and the share restored in per cent (100 where there are none)."""
-    g = restored.groupBy(*by).agg(F.count("*").alias("documents"), F.count_if(F.col("restored") + F.col("unresolved") > 0).alias("with_tokens"), F.sum("restored").alias("restored"), F.sum("unresolved").alias("unresolved"))
+def restore_metrics(restored: DataFrame, *by: str, started: str | None = None, completed: str | None = None) -> DataFrame:
+    """Documents, those with tokens, tokens restored and unresolved, and the share restored in per cent (100 where there are none). With the columns of when a document's
+    restore ``started`` and ``completed``: total_ms, slowest_ms, elapsed_ms from the first start to the last end, and unfinished, those without an end; these take no time."""
     total = F.col("restored") + F.col("unresolved")
-    return g.withColumn("rate", F.round(F.when(total > 0, F.col("restored") / total * 100).otherwise(100.0), 6))
+    sums = [F.count("*").alias("documents"), F.count_if(total > 0).alias("with_tokens"), F.sum("restored").alias("restored"), F.sum("unresolved").alias("unresolved")]
+    if started is not None and completed is not None:
+        micros = lambda c: F.unix_micros(c.cast("timestamp"))
+        apart = lambda a, b: F.round(F.greatest(micros(b) - micros(a), F.lit(0)) / 1000, 3)
+        took = apart(F.col(started), F.col(completed))
+        sums += [
+            F.round(F.coalesce(F.sum(took), F.lit(0.0)), 3).alias("total_ms"), F.coalesce(F.max(took), F.lit(0.0)).alias("slowest_ms"),
+            F.coalesce(apart(F.min(started), F.max(completed)), F.lit(0.0)).alias("elapsed_ms"), F.count_if(F.col(started).isNotNull() & F.col(completed).isNull()).alias("unfinished"),
+        ]
+    return restored.groupBy(*by).agg(*sums).withColumn("rate", F.round(F.when(total > 0, F.col("restored") / total * 100).otherwise(100.0), 6))
 
 
 def missing_mappings(texts: DataFrame, mappings: DataFrame, key_column: str, text: str = "text") -> DataFrame:

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import Pattern, bound, located
+from .protect import decrypt, encrypt
 from .recognizers import rows_of, scored
 from .recognizers_more import LABEL_PARTS, PLACE_WORDS, not_a_person
 
 #: How many terms a list may hold, and words around a name that aren't part of it.
 MOST_TERMS = 1000
+#: The name under which a store of terms is sealed.
+TERM_STORE = "custom_terms"
 LEADING_NOISE = (
     ["pasien", "dokter", "dr", "nama", "cek", "lab", "kontrol", "penjamin", "pengirim", "penerima", "kepada", "dari", "pic", "an", "atas", "perawat", "bapak", "bpk", "ibu", "sdr", "sdri", "tn", "ny"]
 )
@@ -78,6 +81,20 @@ def import_terms(lines: DataFrame) -> DataFrame:
     return out.select("t.term", F.coalesce("t.kind", F.lit("word")).alias("kind"), F.coalesce("t.entity_type", F.lit("CUSTOM_TERM")).alias("entity_type"), F.coalesce("t.case_sensitive", F.lit(False)).alias("case_sensitive"))
 
 
+def sealed_terms(terms_table: DataFrame, project: str, key: bytes) -> DataFrame:
+    """(id, cipher): the terms of a project (id, term, kind, entity_type, case_sensitive) as a store keeps them, each a JSON text under AES-GCM that opens only in its place."""
+    body = F.to_json(F.struct("term", "kind", "entity_type", "case_sensitive"))
+    return terms_table.select("id", encrypt(body, F.lit(project), TERM_STORE, F.col("id").cast("string"), "term", key).alias("cipher"))
+
+
+def opened_terms(store: DataFrame, project: str, key: bytes, strict: bool = True) -> DataFrame:
+    """The terms (id, term, kind, entity_type, case_sensitive) of a store. What doesn't open with this project and key fails the query, or is left out if not ``strict``;
+    nulls and cut-off ciphers don't open."""
+    body = F.coalesce(decrypt(F.col("cipher"), F.lit(project), TERM_STORE, F.col("id").cast("string"), "term", key), F.raise_error(F.concat(F.lit("a term does not open: "), F.col("id").cast("string"))) if strict else F.lit(None))
+    read = store.select("id", F.from_json(body, "term string, kind string, entity_type string, case_sensitive boolean").alias("t"))
+    return read.where(F.col("t.term").isNotNull()).select("id", "t.*")
+
+
 def trimmed_person(value: Column, common: list[str]) -> Column:
     """struct<value, lead>: a name without noise words at its ends and how many characters went from its beginning; null where no name is left.
     ``common``: lower-case words and phrases that are no names."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import history as h
 from ..operators import recognizers_more as m
 from ..operators import segments as s
 from ..operators import tables as tb
@@ -233,6 +234,50 @@ def st08(spark, d):
     return tb.kept_after(e, str(e.agg(F.max("ts")).first()[0]), 5).agg(F.count("*").alias("kept"))
 
 
+#: The history of operations made from events: (project_id, ts, event_id, event_type, operation_id, counts, duration_ms, types), types with bars between, empty for none.
+HISTORY = """
+SELECT user_id AS project_id, ts, event_id, CASE event_type WHEN 'click' THEN 'scan_completed' WHEN 'view' THEN 'scan_failed' WHEN 'error' THEN 'restore_failed' WHEN 'purchase' THEN 'protection_completed' ELSE 'restore_completed' END AS event_type,
+  'op' || CAST(event_id % 100 AS STRING) AS operation_id, event_id % 4 AS file_count, event_id % 9 AS findings_count, CASE WHEN event_id % 5 > 0 THEN event_id % 6 END AS tokens_generated, event_id % 3 AS tokens_restored,
+  value AS duration_ms, CASE event_id % 3 WHEN 0 THEN 'ID_NIK|PERSON' WHEN 1 THEN 'PERSON' ELSE '' END AS types FROM events"""
+
+
+def history(spark, d):
+    return derived(spark, d, HISTORY).withColumn("entity_types", F.when(F.col("types") != "", F.split("types", r"\|"))).drop("types")
+
+
+@query(
+    "st08_report",
+    f"""WITH h AS ({HISTORY}), t AS (SELECT project_id, x, count(*) AS n FROM (SELECT project_id, unnest(string_split(types, '|')) AS x FROM h WHERE types <> '') AS u GROUP BY 1, 2),
+ d AS (SELECT project_id, string_agg(x || ':' || n, ',' ORDER BY x) AS types FROM t GROUP BY 1),
+ e AS (SELECT project_id, string_agg(event_id::VARCHAR || event_type || operation_id, ',' ORDER BY ts DESC, event_id DESC) AS newest
+  FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts DESC, event_id DESC) AS place FROM h) AS r WHERE place <= 20 GROUP BY 1)
+SELECT project_id, count(*)::BIGINT AS total_operations, sum(file_count)::BIGINT AS total_files, sum(findings_count)::BIGINT AS total_findings, coalesce(sum(tokens_generated), 0)::BIGINT AS tokens_generated,
+ sum(tokens_restored)::BIGINT AS tokens_restored, round(sum(duration_ms) / 1000, 6)::DOUBLE AS seconds,
+ count(*) FILTER (event_type = 'scan_completed')::BIGINT AS scans_completed, count(*) FILTER (event_type = 'scan_failed')::BIGINT AS scans_failed,
+ count(*) FILTER (event_type = 'protection_completed')::BIGINT AS protections_completed, count(*) FILTER (event_type = 'protection_failed')::BIGINT AS protections_failed,
+ count(*) FILTER (event_type = 'restore_completed')::BIGINT AS restores_completed, count(*) FILTER (event_type = 'restore_failed')::BIGINT AS restores_failed,
+ min(ts) AS first_at, max(ts) AS last_at, coalesce(any_value(types_), '') AS entity_types, any_value(newest) AS newest
+FROM (SELECT h.*, d.types AS types_, e.newest FROM h LEFT JOIN d USING (project_id) JOIN e USING (project_id)) AS a GROUP BY 1""",
+)
+def st08_report(spark, d):
+    r = h.report(history(spark, d), most_events=20)
+    types = F.array_join(F.transform(F.map_entries("entity_types"), lambda x: F.concat(x["key"], F.lit(":"), x["value"])), ",")
+    newest = F.array_join(F.transform("events", lambda e: F.concat(e["event_id"].cast("string"), e["event_type"], e["operation_id"])), ",")
+    return r.withColumn("entity_types", types).withColumn("newest", newest).drop("events")
+
+
+@query(
+    "st08_cleaned_up",
+    f"""WITH h AS ({HISTORY}), m AS (SELECT project_id, count(*) AS n, count(*) FILTER (ts < TIMESTAMP '2024-01-15 00:00:00') AS old FROM h GROUP BY 1)
+SELECT project_id, CASE WHEN old > 0 THEN old END::BIGINT AS removed, CASE WHEN n > old THEN n - old END::BIGINT AS kept FROM m WHERE project_id <> 7""",
+)
+def st08_cleaned_up(spark, d):
+    """Project 7 is deleted, then old events are cleaned up."""
+    left = h.without(history(spark, d), who=7)
+    kept = h.without(left, before="2024-01-15 00:00:00").groupBy("project_id").agg(F.count("*").alias("kept"))
+    return h.removed(left, before="2024-01-15 00:00:00").join(kept, "project_id", "full")
+
+
 GOLD = f"SELECT segment_id AS id, CASE segment_id % 3 WHEN 0 THEN 'hr' WHEN 1 THEN 'medical' ELSE 'banking' END AS doc_type, entity_type, start_pos, end_pos FROM ({i.FINDINGS}) AS g WHERE finding_id % 5 <> 0"
 PRED = f"SELECT segment_id AS id, CASE segment_id % 3 WHEN 0 THEN 'hr' WHEN 1 THEN 'medical' ELSE 'banking' END AS doc_type, entity_type, start_pos, CASE WHEN finding_id % 7 = 0 THEN end_pos + 1 ELSE end_pos END AS end_pos FROM ({i.FINDINGS}) AS p WHERE finding_id % 4 <> 0"
 SCORES = f"""WITH g AS (SELECT DISTINCT * FROM ({GOLD})), p AS (SELECT DISTINCT * FROM ({PRED})), o AS (SELECT coalesce(g.doc_type, p.doc_type) AS doc_type, coalesce(g.entity_type, p.entity_type) AS entity_type, g.id IS NOT NULL AS ig, p.id IS NOT NULL AS ip FROM g FULL JOIN p ON g.id = p.id AND g.doc_type = p.doc_type AND g.entity_type = p.entity_type AND g.start_pos = p.start_pos AND g.end_pos = p.end_pos),

@@ -287,6 +287,26 @@ def nr05(spark, d):
     return en.merged_predictions(derived(spark, d, PIECES), derived(spark, d, MODEL), "id")
 
 
+RESTORED = """
+SELECT o_orderkey AS id, o_orderstatus AS kind, CASE o_orderkey % 3 WHEN 0 THEN 'a [[XX_AB12CD]] [[YY_AB12CD]]' WHEN 1 THEN '[[YY_AB12CD]]' ELSE 'tanpa' END AS text, CAST(o_orderdate AS TIMESTAMP) AS started,
+  CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderdate AS TIMESTAMP) + CAST(o_custkey % 50 AS INT) * INTERVAL '1' SECOND END AS completed FROM orders"""
+
+
+@query(
+    "rs04_restore_durations",
+    f"""WITH r AS ({RESTORED}), t AS (SELECT *, greatest(date_diff('millisecond', started, completed), 0) AS ms FROM r)
+SELECT kind, count(*)::BIGINT AS documents, count(*) FILTER (id % 3 < 2)::BIGINT AS with_tokens, count(*) FILTER (id % 3 = 0)::BIGINT AS restored, count(*) FILTER (id % 3 < 2)::BIGINT AS unresolved,
+ coalesce(sum(ms), 0)::DOUBLE AS total_ms, coalesce(max(ms), 0)::DOUBLE AS slowest_ms, coalesce(greatest(date_diff('millisecond', min(started), max(completed)), 0), 0)::DOUBLE AS elapsed_ms,
+ count(*) FILTER (completed IS NULL)::BIGINT AS unfinished, round(count(*) FILTER (id % 3 = 0) / (count(*) FILTER (id % 3 = 0) + count(*) FILTER (id % 3 < 2))::DOUBLE * 100, 6) AS rate FROM t GROUP BY 1""",
+)
+def rs04_durations(spark, d):
+    from ..operators import protect
+
+    known = spark.createDataFrame([("[[XX_AB12CD]]", "Budi")], "token string, original string")
+    restored = protect.restore_texts(derived(spark, d, RESTORED), known, "id")
+    return protect.restore_metrics(restored, "kind", started="started", completed="completed")
+
+
 PROJECTS = "SELECT c_custkey AS id, c_name AS name, CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS updated_at, CASE WHEN c_custkey % 3 = 0 THEN CAST('2024-02-01 00:00:00' AS TIMESTAMP) END AS last_opened_at FROM customer"
 OPS = "SELECT o_orderkey AS id, CAST(o_custkey % 20 AS STRING) AS project_id, o_orderdate AS started_at, o_orderstatus AS status, CAST(NULL AS TIMESTAMP) AS completed_at, CAST(NULL AS STRING) AS error, o_totalprice > 100000 AS enabled FROM orders"
 

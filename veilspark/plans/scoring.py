@@ -13,7 +13,7 @@ from ..operators import terms as tm
 from . import inputs as i
 from .detection import N, PROV, SIXTEEN_SQL, spans_sql
 from .detection import query as _query
-from .inputs import AS_OF, derived
+from .inputs import AS_OF, KEY, derived
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -287,6 +287,21 @@ def ct04(spark, d):
     return tm.import_terms(tm.export_terms(table))
 
 
+@query(
+    "ct04_sealed_terms",
+    """SELECT p_partkey AS id, p_brand || ' "' || p_type || '"' AS term, CASE WHEN p_size % 2 = 0 THEN 'word' ELSE 'contains' END AS kind, upper(p_brand) AS entity_type, p_size % 3 = 0 AS case_sensitive, false AS legible
+FROM part WHERE p_partkey % 4 > 0""",
+)
+def ct04_sealed(spark, d):
+    """Terms out of a sealed store of which a quarter was sealed for another project."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    term, kind = F.concat("p_brand", F.lit(' "'), "p_type", F.lit('"')), F.when(F.col("p_size") % 2 == 0, "word").otherwise("contains")
+    table = part.select(F.col("p_partkey").alias("id"), term.alias("term"), kind.alias("kind"), F.upper("p_brand").alias("entity_type"), (F.col("p_size") % 3 == 0).alias("case_sensitive"))
+    store = tm.sealed_terms(table.where("id % 4 > 0"), "p1", KEY).unionByName(tm.sealed_terms(table.where("id % 4 = 0"), "p2", KEY))
+    legible = store.select("id", F.contains("cipher", F.encode(F.lit("entity_type"), "UTF-8")).alias("legible"))
+    return tm.opened_terms(store, "p1", KEY, strict=False).join(legible, "id")
+
+
 VALUES = "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority WHEN 1 THEN lower(o_orderpriority) WHEN 2 THEN o_orderpriority || ' x' ELSE o_orderstatus END AS value FROM orders"
 
 
