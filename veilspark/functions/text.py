@@ -8,7 +8,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Pattern:
     """A regular expression of one entity type. ``group``: the capture whose span counts (its text must end the match if it isn't 0); what has
-    to follow it is a look-ahead at the end."""
+    to follow it is a look-ahead at the end. ``needs``: texts of which every match holds one, so that other texts aren't searched."""
 
     entity: str
     regex: str
     score: float
     recognizer: str = "regex"
     group: int = 0
+    needs: tuple[str, ...] = ()
 
     @property
     def of_match(self) -> str:
@@ -87,7 +88,10 @@ def located(text: Column, pattern: Pattern, no: int = 0, before: int = 0, behind
         return F.flatten(F.transform(firsts, lambda at, i: F.aggregate(part(i), start(at), lambda acc, x: step(acc, x, cut), lambda acc: acc["spans"])))
 
     found = bound(pairs, lambda all_: bound(blocks(text), lambda cut: every(all_, cut))) if before or behind else bound(pairs, lambda all_: every(all_, F.array(F.lit(""))))
-    return F.when(text.rlike(pattern.regex), found).otherwise(F.array().cast(SPAN))
+    hit = text.rlike(pattern.regex)
+    if pattern.needs:
+        hit = reduce(Column.__or__, [text.contains(n) for n in pattern.needs]) & hit
+    return F.when(hit, found).otherwise(F.array().cast(SPAN))
 
 
 def find_spans(df: DataFrame, text: str, patterns: list[Pattern], before: int = 0, behind: int = 0) -> DataFrame:

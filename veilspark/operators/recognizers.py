@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import Pattern, bound, contains_any, digits, located
 
 #: Patterns, code lists, keywords and scores of the detected entities.
-EMAIL = Pattern("EMAIL_ADDRESS", r"(?iuU)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", 0.9)
+EMAIL = Pattern("EMAIL_ADDRESS", r"(?iuU)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", 0.9, needs=("@",))
 PHONES = [
     Pattern("PHONE_NUMBER", r"(?U)\+\d{1,3}[-.\s]?\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,9}", 0.8),
     Pattern("PHONE_NUMBER", r"(?U)\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b", 0.7),
@@ -26,12 +27,17 @@ CARDS = [
 ]
 IPS = [
     Pattern("IP_ADDRESS", r"(?U)\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", 0.95),
-    Pattern("IP_ADDRESS", r"(?U)\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", 0.9),
+    Pattern("IP_ADDRESS", r"(?U)\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", 0.9, needs=(":",)),
 ]
-URLS = [Pattern("URL", r"(?iuU)https?://[^\s<>\"']+", 0.9), Pattern("URL", r"(?iuU)www\.[^\s<>\"']+", 0.8)]
+URLS = [Pattern("URL", r"(?iuU)https?://[^\s<>\"']+", 0.9, needs=("://",)), Pattern("URL", r"(?iuU)www\.[^\s<>\"']+", 0.8)]
 IBAN = Pattern("IBAN_CODE", r"(?iuU)\b[A-Z]{2}\d{2}[A-Z0-9]{4,30}\b", 0.8)
 GENERAL = [EMAIL, *PHONES, *CARDS, *IPS, *URLS, IBAN]
 
+#: Eight digits with at most two characters between them, none a letter; what isn't ASCII counts as a digit. Every number of the patterns in LONG_NUMBERS and of the recognizers in
+#: BY_NUMBER holds so many, so that a text without them is searched for none of these.
+EIGHT_DIGITS = r"[0-9\P{ASCII}](?:[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{0,2}[0-9\P{ASCII}]){7}"
+LONG_NUMBERS, BY_NUMBER = [PHONES[1], *CARDS], ["nik", "kk", "npwp", "id_phone", "bpjs"]
+
 SIXTEEN = r"(?U)\b\d{2}[\s.-]?\d{2}[\s.-]?\d{2}[\s.-]?\d{6}[\s.-]?\d{4}\b|\b\d{16}\b"
 PROVINCES = [
     "11", "12", "13", "14", "15", "16", "17", "18", "19", "21", "31", "32", "33", "34", "35", "36", "51", "52", "53", "61", "62", "63", "64", "65", "71", "72", "73", "74", "75", "76", "81",
@@ -73,9 +79,9 @@ NAME_CUES = ["pasien", "dokter", "perawat", "cek lab", "atas nama", "kontak daru
 _longest_first = lambda words: "|".join(sorted(words, key=len, reverse=True))
 _NAME = r"[A-Z][a-z]+(?:[^\S\n]+[A-Z][a-z]+){0,3}"
 PERSONS = [
-    Pattern("PERSON", rf"(?iuU)(?:{_longest_first(NAME_LABELS)})\s*[:=]\s*({_NAME})", 0.9, "id_person", 1),
-    Pattern("PERSON", rf"(?U)\]\s*({_NAME})(?=\s*[|\n])", 0.85, "id_person", 1),
-    Pattern("PERSON", rf"(?U)[\"'](?iu:{_longest_first(NAME_KEYS)})[\"']\s*:\s*[\"']((?:(?:dr|drg|dra|ir|prof|h|hj|tn|ny|sdr|sdri|bpk|bapak|ibu)\.?\s*)?{_NAME})(?=[\"'])", 0.9, "id_person", 1),
+    Pattern("PERSON", rf"(?iuU)(?:{_longest_first(NAME_LABELS)})\s*[:=]\s*({_NAME})", 0.9, "id_person", 1, (":", "=")),
+    Pattern("PERSON", rf"(?U)\]\s*({_NAME})(?=\s*[|\n])", 0.85, "id_person", 1, ("]",)),
+    Pattern("PERSON", rf"(?U)[\"'](?iu:{_longest_first(NAME_KEYS)})[\"']\s*:\s*[\"']((?:(?:dr|drg|dra|ir|prof|h|hj|tn|ny|sdr|sdri|bpk|bapak|ibu)\.?\s*)?{_NAME})(?=[\"'])", 0.9, "id_person", 1, (":",)),
     Pattern("PERSON", rf"(?U)\b(?iu:{_longest_first(NAME_CUES)})\s+({_NAME})", 0.8, "id_person", 1),
 ]
 
@@ -106,8 +112,14 @@ def rows_of(df: DataFrame, text: str, found: Column) -> DataFrame:
     return df.select(*rest, F.inline(found))
 
 
+def where_digits(text: Column, parts: list[tuple[bool, Column]]) -> Column:
+    """All findings of ``parts`` (whether they need EIGHT_DIGITS, findings), in order; neighbours that need them are asked for once."""
+    some = lambda needed, found: F.when(text.rlike(EIGHT_DIGITS), found).otherwise(F.array().cast(NONE)) if needed else found
+    return F.concat(*[some(needed, F.concat(*[found for _, found in run])) for needed, run in groupby(parts, key=lambda part: part[0])])
+
+
 def general_found(text: Column, patterns: list[Pattern] | None = None) -> Column:
-    return F.concat(*[scored(located(text, p), p) for p in patterns or GENERAL])
+    return where_digits(text, [(p in LONG_NUMBERS, scored(located(text, p), p)) for p in patterns or GENERAL])
 
 
 def general(df: DataFrame, text: str = "text", patterns: list[Pattern] | None = None) -> DataFrame:
@@ -312,11 +324,14 @@ REGISTRY: dict[str, Callable[[Column, str], Column]] = {
 }
 
 
+def found_by(text: Column, as_of: str, only: list[str] | None = None) -> Column:
+    """The findings of a text by all recognizers of REGISTRY, or ``only`` those named."""
+    return where_digits(text, [(name in BY_NUMBER, REGISTRY[name](text, as_of)) for name in only or REGISTRY])
+
+
 def scan(df: DataFrame, as_of: str, text: str = "text", rules: list[tuple[str, str, str]] | None = None, only: list[str] | None = None, entities: list[str] | None = None) -> DataFrame:
     """The recognizers of REGISTRY (or ``only`` those named) over one text column in one pass: raw spans, overlaps left in, of the entity types
     asked for (all by default)."""
     t = F.col(text)
-    parts = [REGISTRY[name](t, as_of) for name in only or REGISTRY]
-    parts += [custom_found(t, rules)] if rules else []
-    out = rows_of(df, text, F.concat(*parts))
+    out = rows_of(df, text, F.concat(found_by(t, as_of, only), custom_found(t, rules)) if rules else found_by(t, as_of, only))
     return out.where(F.col("entity_type").isin(entities)) if entities else out

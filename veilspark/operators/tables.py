@@ -189,14 +189,14 @@ def csv_type(header: Column, given: dict[str, str] | None = None) -> Column:
 def scan_columns(cells_: DataFrame, as_of: str, value: str = "value") -> DataFrame:
     """Findings of cells (..., suggested_type, mode, value): a type that decides by itself takes the whole cell (0.95); else the cell is searched, and where nothing is found
     the suggested type takes it (0.8). In the mode pii_only no type is suggested."""
-    from .recognizers import NONE, REGISTRY, rows_of
+    from .recognizers import NONE, found_by, rows_of
 
     text = F.col(value)
     suggested = F.when(F.col("mode") != "pii_only", F.col("suggested_type"))
     whole = lambda score: F.array(F.struct(suggested.alias("entity_type"), F.lit(0).cast("long").alias("start_pos"), F.length(text).cast("long").alias("end_pos"), text.alias("value"), F.lit(score).alias("score"), F.lit("column").alias("recognizer")))
     from ..functions.text import bound
 
-    searched = bound(F.concat(*[f(text, as_of) for f in REGISTRY.values()]), lambda found: F.when(F.size(found) > 0, found).when(suggested.isNotNull(), whole(0.8)).otherwise(F.array().cast(NONE)))
+    searched = bound(found_by(text, as_of), lambda found: F.when(F.size(found) > 0, found).when(suggested.isNotNull(), whole(0.8)).otherwise(F.array().cast(NONE)))
     return rows_of(cells_.where(text.isNotNull()), value, F.when(suggested.isin(DIRECT_TYPES), whole(0.95)).otherwise(searched))
 
 
