@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -99,6 +101,67 @@ def test_context_vectors_by_hand(spark):
     assert np.allclose(got, total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9), atol=1e-6)
 
 
+def test_context_vectors_in_pieces(spark, monkeypatch):
+    """Neighbours on either side of a piece's end are counted, and none twice."""
+    monkeypatch.setattr(quality, "PIECE", 7)
+    test_context_vectors_by_hand(spark)
+
+
+def plain_terms(words):
+    """Packed buckets word by word and letter by letter."""
+    out = []
+    for word in words:
+        kinds = ["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word]
+        shape = "".join(c for k, c in enumerate(kinds) if not k or c != kinds[k - 1] or not (c in "Xx9" or re.match(r"\W", c)))
+        w = zlib.crc32(word.lower().strip(".,;:!?").encode()) % quality.WORDS
+        out.append(w << 16 | quality.WORDS + zlib.crc32(shape.encode()) % (quality.SHAPES - 1))
+    return np.array(out, np.int64)
+
+
+def test_terms_of_words_never_met():
+    """Words of all kinds of letters, in texts longer than a piece and with more words than are remembered, as by hand."""
+    r = random.Random(5)
+    letters = "AaBbΣσςİıßǅé__½²٣.,!?#--\u0301漢😀Xx99"
+    words = ["".join(r.choice(letters) * r.choice([1, 1, 2, 5]) for _ in range(r.randint(1, 9))) for _ in range(3_000)]
+    words += [f"w{i}" for i in range(1_000)] * 3
+    words = [x for w in words for x in w.split()]
+    r.shuffle(words)
+    want = plain_terms(words)
+    memo = quality._Terms(500)
+    for at in range(0, len(words), 400):
+        part = words[at : at + 400]
+        assert np.array_equal(memo.of(part), want[at : at + 400]) and len(memo) <= 500
+    long = words * (quality.PIECE // len(words) + 2)
+    assert np.array_equal(memo.of(long)[-len(words) :], want)
+
+
+def test_new_words_cost_no_call_a_letter():
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += 1
+
+    new = " ".join(f"Neuwörtlich{'abcdefghij'[i % 10]}{i}" for i in range(2_000))
+    quality.terms_of(new.replace("N", "M"))
+    sys.setprofile(count)
+    try:
+        quality.terms_of(new)
+    finally:
+        sys.setprofile(None)
+    assert calls < 3 * 2_000  # letter by letter there were over a hundred calls and returns a word
+
+
+def test_pooled_by_hand():
+    vectors = np.random.default_rng(2).normal(size=(quality.TERMS, quality.DIMENSIONS)).astype(np.float32)
+    scorer = quality.Scorer(vectors, None, 0.5)
+    texts = ["Kata kata, kata x1 x1 x1 A!", "", "eins"]
+    for text, got in zip(texts, scorer.features(texts), strict=True):
+        w, s = quality.terms_of(text)
+        want = [np.mean([t[i] for i in at], 0) if len(at) else np.zeros(quality.DIMENSIONS) for t, at in ((vectors, w), (vectors, s), (scorer.index, s))]
+        assert np.allclose(got, np.concatenate(want), atol=1e-6)
+
+
 def repeats(texts):
     seen, out = set(), {}
     for i, t in sorted(texts, key=lambda x: -(1 << 63) if x[0] is None else x[0]):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ TERMS = WORDS + SHAPES
 REPEATED = TERMS - 1
 #: At most so many labelled rows are learnt from.
 LEARN_ROWS = 20_000
-_RUNS = re.compile(r"([A-Z])\1+|([a-z])\2+|([0-9])\3+|(\W)\4+")
+#: So many words are looked up, and neighbours of so many terms counted, at a time: memory is bounded whatever the length of a text.
+PIECE = 100_000
+_RUNS = re.compile(r"([Xx9\W])\1+")
 
 
 def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -34,21 +37,44 @@ def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(DIMENSIONS)).astype(np.int64), np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
 
 
-def _shape(word: str) -> str:
-    kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
-    return _RUNS.sub(lambda m: m[0][0], kinds)
+class _Kinds(Memo):
+    """Code point -> X for an upper-case letter, x for any other letter, 9 for a digit, else itself; for ``str.translate``."""
+
+    def __missing__(self, code: int) -> str:
+        if len(self) >= self.bound:
+            self.clear()
+        c = chr(code)
+        self[code] = kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
+        return kind
+
+
+_kinds = _Kinds()
 
 
 class _Terms(Memo):
     """word -> its word bucket and its shape bucket, packed."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > self.bound:
-            self.clear()
-        w = zlib.crc32(word.lower().strip(".,;:!?").encode()) % WORDS
-        s = WORDS + zlib.crc32(_shape(word).encode()) % (SHAPES - 1)
-        self[word] = out = w << 16 | s
-        return out
+    def of(self, words: list[str]) -> np.ndarray:
+        """The packed buckets of words without white space. Those not remembered are lower-cased and brought to shape together, a line each: no
+        step then costs a call a letter."""
+        packed = np.empty(len(words), np.int64)
+        for at in range(0, len(words), PIECE):
+            part = words[at : at + PIECE]
+            new = [w for w in set(part) if w not in self]
+            if new and len(self) + len(new) > self.bound:
+                self.clear()
+                new = list(set(part))
+            if new:
+                lines = "\n".join(new)
+                shapes = lines.translate(_kinds)
+                while "xx" in shapes:  # most runs, and the fast way
+                    shapes = shapes.replace("xx", "x")
+                shapes = _RUNS.sub(r"\1", shapes).encode().split(b"\n")
+                low = map(bytes.strip, lines.lower().encode().split(b"\n"), repeat(b".,;:!?"))
+                w, s = (np.fromiter(map(zlib.crc32, x), np.int64, len(new)) for x in (low, shapes))
+                self.update(zip(new, (w % WORDS << 16 | WORDS + s % (SHAPES - 1)).tolist(), strict=True))
+            packed[at : at + PIECE] = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+        return packed
 
 
 _terms = _Terms()
@@ -56,8 +82,7 @@ _terms = _Terms()
 
 def terms_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The word buckets and the shape buckets of a text, in order."""
-    words = text.split()
-    both = np.fromiter(map(_terms.__getitem__, words), np.int64, len(words))
+    both = _terms.of(text.split())
     w, s = both >> 16, both & 0xFFFF
     s[1:][both[1:] == both[:-1]] = REPEATED
     return w, s
@@ -68,30 +93,36 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     task; what reaches the driver has a fixed size."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a term's row counts the positive entries met by place, then the negative ones, then gaps; the last row is that of gaps
         place, sign = _index_vectors()
-        total = np.zeros((TERMS + 1) * DIMENSIONS)
+        width = 2 * DIMENSIONS + 1
+        entries = np.vstack([place + DIMENSIONS * (sign < 0), np.full((1, ENTRIES), 2 * DIMENSIONS)]).T.copy()
+        total = np.zeros((TERMS + 1) * width, np.int64)
+        gap = np.full(2, TERMS)
         held: list[np.ndarray] = []
+        size = 0
 
         def flush() -> None:
             t = np.concatenate(held)
-            for apart in (1, 2):
-                for a, b in ((t[:-apart], t[apart:]), (t[apart:], t[:-apart])):
-                    real = b < TERMS
-                    a, b = a[real], b[real]
-                    for k in range(ENTRIES):
-                        total[:] += np.bincount(a * DIMENSIONS + place[b, k], sign[b, k], len(total))
+            row, met = t * width, [e[t] for e in entries]
+            last = len(t) - len(gap)
+            for at in range(0, last, PIECE):
+                end = min(at + PIECE, last)
+                cells = [x for apart in (1, 2) for m in met for x in (row[at:end] + m[at + apart : end + apart], row[at + apart : end + apart] + m[at:end])]
+                total[:] += np.bincount(np.concatenate(cells), minlength=len(total))
 
         for batch in batches:
             for (text,) in rows_of(batch):
-                gap = np.full(2, TERMS)
                 w, s = terms_of(text)
                 held += [w, gap, s, gap]
-                if sum(map(len, held[-4:])) > 100_000 or len(held) > 2_000:
+                size += 2 * len(w) + 4
+                if size >= PIECE:
                     flush()
-                    held = []
+                    held, size = [], 0
         if held:
             flush()
-        table = total.reshape(-1, DIMENSIONS)[:TERMS].astype(np.int64)
+        counts = total.reshape(-1, width)[:TERMS]
+        table = counts[:, :DIMENSIONS] - counts[:, DIMENSIONS : 2 * DIMENSIONS]
         met = np.flatnonzero(table.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(table[met, i]) for i in range(DIMENSIONS))], ["term", *(f"c{i}" for i in range(DIMENSIONS))])
 
@@ -108,9 +139,9 @@ def pooled(text: str, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
     w, s = terms_of(text)
     if not len(w):
         return np.zeros(3 * DIMENSIONS, np.float32)
-    w, nw = np.unique(w, return_counts=True)
-    s, ns = np.unique(s, return_counts=True)
-    n = nw.sum()
+    n, nw, ns = len(w), np.bincount(w), np.bincount(s)
+    w, s = np.flatnonzero(nw > 0), np.flatnonzero(ns > 0)
+    nw, ns = nw[w], ns[s]
     return np.concatenate([nw @ vectors[w] / n, ns @ vectors[s] / n, ns @ index[s] / n])
 
 
