@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Pattern, find_spans, normalise_value, splice, value_hmac
+from . import matching
 
 #: Fixed value: the form of a token.
 TOKEN = r"\[\[[A-Z][A-Z0-9_]{1,31}_[A-F0-9]{6,16}\]\]"
 #: How many digits a token may have.
 LENGTHS = [6, 8, 10, 12, 14, 16]
+#: So many originals of one document are compared with each of its findings; more are looked for by matching.
+FEW_ORIGINALS = 64
 
 
 def assign_tokens(values: DataFrame, key: bytes, vault: DataFrame | None = None) -> DataFrame:
@@ -132,15 +135,43 @@ def looks_like_token(value: Column) -> Column:
     return wrapped("[", "]") | wrapped("<", ">") | wrapped("{{", "}}") | up.contains("_REDACTED") | up.contains("_MASKED") | up.contains("TOKEN_")
 
 
-def leaks(protected: DataFrame, original: DataFrame, key_column: str, partial: bool = True) -> DataFrame:
+def leaks(protected: DataFrame, original: DataFrame, key_column: str, partial: bool = True, few: int = FEW_ORIGINALS) -> DataFrame:
     """Findings in protected texts by kind of leak: RESIDUAL (an original value), INCOMPLETE (part of one, or around one), INTRODUCED (made by
-    the protection) or MISSED. Both inputs: (key_column, entity_type, value); a document's originals meet as one array beside its findings."""
-    own = original.groupBy(F.col(key_column).alias("_k")).agg(F.collect_set(F.lower("value")).alias("_o"))
-    v = F.lower("value")
-    residual = F.array_contains("_o", v)
-    part = F.exists("_o", lambda o: (o != v) & (v.contains(o) | o.contains(v))) & F.lit(partial)
+    the protection) or MISSED. Both inputs: (key_column, entity_type, value); a document's originals meet as one array beside its findings. Those of a document with more
+    than ``few`` are looked for in its distinct findings, and these in them, so that no finding is held against all of them."""
+    own = original.select(F.col(key_column).alias("_k"), F.lower("value").alias("_o")).where("_k is not null and _o is not null").distinct()
+    counts = own.groupBy("_k").agg(F.count("*").alias("_n"))
+    crowded = counts.where(F.col("_n") > few).select("_k")
+    v, crowds = F.lower("value"), not crowded.isEmpty()
+    arrays = (own.join(crowded, "_k", "left_anti") if crowds else own).groupBy("_k").agg(F.collect_list("_o").alias("_o"))
+    met = protected.join(arrays, F.col(key_column) == F.col("_k"), "left").drop("_k")
+    residual = F.coalesce(F.array_contains("_o", v), F.lit(False))
+    part = F.coalesce(F.exists("_o", lambda o: (o != v) & (v.contains(o) | o.contains(v))), F.lit(False)) & F.lit(partial)
+    if crowds:
+        flags = _crowded_leaks(protected.select(F.col(key_column).alias("_k"), v.alias("_v")).where("_v is not null").join(crowded, "_k", "left_semi").distinct(), own.join(crowded, "_k", "left_semi"), partial)
+        met = met.join(flags, (F.col(key_column) == F.col("_k")) & (v == F.col("_v")), "left")
+        residual, part = residual | F.coalesce("_residual", F.lit(False)), part | F.coalesce("_part", F.lit(False))
     kind = F.when(residual, "RESIDUAL").when(part, "INCOMPLETE").when(looks_like_token(F.col("value")), "INTRODUCED").otherwise("MISSED")
-    return protected.join(own, F.col(key_column) == F.col("_k"), "left").select(key_column, "entity_type", "value", kind.alias("leak"))
+    return met.select(key_column, "entity_type", "value", kind.alias("leak"))
+
+
+def _crowded_leaks(found: DataFrame, own: DataFrame, partial: bool) -> DataFrame:
+    """(_k, _v, _residual, _part) of the distinct findings (_k, _v) that are among, within or around the many originals (_k, _o) of their documents."""
+    flags = own.select("_k", F.col("_o").alias("_v"), F.lit(True).alias("_residual"), F.lit(False).alias("_part"))
+    if partial:
+
+        def within(texts: DataFrame, values: DataFrame) -> DataFrame:
+            """(_k, _text, value) of values that stand in other texts of their document."""
+            spot = F.struct("_k", "_text")
+            met = matching.literal_matches(texts.select("_k", "_text", spot.alias("_spot")), "_spot", values.select("_k", "value"), "_text", case_sensitive=True, places=False, scope="_k")
+            return met.select("_spot.*", "value").where("_text <> value")
+
+        around = within(found.withColumnRenamed("_v", "_text"), own.withColumnRenamed("_o", "value")).select("_k", F.col("_text").alias("_v"))
+        inside = within(own.withColumnRenamed("_o", "_text"), found.withColumnRenamed("_v", "value")).select("_k", F.col("value").alias("_v"))
+        # an empty value is part of any other
+        blank = found.where("_v = ''").unionByName(found.where("_v <> ''").join(own.where("_o = ''").select("_k"), "_k", "left_semi"))
+        flags = flags.unionByName(around.unionByName(inside).unionByName(blank).select("_k", "_v", F.lit(False).alias("_residual"), F.lit(True).alias("_part")))
+    return flags.groupBy("_k", "_v").agg(F.max("_residual").alias("_residual"), F.max("_part").alias("_part"))
 
 
 def leak_severity(leak: Column) -> Column:
