@@ -139,13 +139,7 @@ def rescan(texts: DataFrame, key: str, as_of: str, values: DataFrame | None = No
     out = residual.unionByName(partial)
     if values is None:
         return out
-    if scope is None:
-        left = matching.literal_matches(texts, key, values, text, places=False)
-    else:
-        spot = F.struct(F.col(scope).alias("scope"), F.col(key).alias("key"))
-        met = matching.literal_matches(texts.select(spot.alias("_spot"), text), "_spot", values, text, places=False)
-        own = values.select(F.col(scope).alias("_scope"), F.col("value").alias("_value")).distinct()
-        left = met.join(own, (F.col("_spot.scope") == F.col("_scope")) & (F.col("value") == F.col("_value")), "left_semi").select(F.col("_spot.key").alias(key), "value")
+    left = matching.literal_matches(texts, key, values, text, places=False, scope=scope)
     return out.unionByName(left.select(
         key, F.lit("untokenized_value").alias("leakage_type"), F.lit("CRITICAL").alias("severity"), "value", F.lit(None).cast("string").alias("entity_type"), F.lit(1.0).alias("confidence"),
         F.lit("Original value found in output - should have been tokenized").alias("message"),
