@@ -79,9 +79,22 @@ def find_tokens(df: DataFrame, text: str = "text", context: int = 20) -> DataFra
     )
 
 
-def restore_texts(texts: DataFrame, mappings: DataFrame, key_column: str, text: str = "text") -> DataFrame:
-    """Every token of ``mappings`` (token, original) in a text replaced; columns restored and unresolved count its tokens."""
+def spellings(findings: DataFrame, tokens: DataFrame, mappings: DataFrame, key_column: str) -> DataFrame:
+    """(key_column, start_pos, original): places of protected texts whose value was written otherwise than the original of its token in ``mappings`` (token, original), such as in another case.
+    ``findings`` and ``tokens`` as in ``protect_texts``; a place moves by what the tokens before it are longer than their values."""
+    f = findings.withColumn("normalised", normalise_value(F.col("entity_type"), F.col("value"))).join(tokens.select("entity_type", "normalised", "token"), ["entity_type", "normalised"])
+    before = Window.partitionBy(key_column).orderBy("start_pos").rowsBetween(Window.unboundedPreceding, -1)
+    moved = F.col("start_pos") + F.coalesce(F.sum(F.length("token") - (F.col("end_pos") - F.col("start_pos"))).over(before), F.lit(0))
+    met = f.withColumn("_at", moved).join(mappings.select("token", "original"), "token").where("value <> original")
+    return met.select(key_column, F.col("_at").alias("start_pos"), F.col("value").alias("original"))
+
+
+def restore_texts(texts: DataFrame, mappings: DataFrame, key_column: str, text: str = "text", spelt: DataFrame | None = None) -> DataFrame:
+    """Every token of ``mappings`` (token, original) in a text replaced; columns restored and unresolved count its tokens. Values that differ in case share a token, so the original
+    stands for all of them, but where ``spelt`` (of ``spellings``) has a place's own."""
     met = find_tokens(texts.select(key_column, text), text).select(key_column, "start_pos", "end_pos", "token").join(mappings.select("token", "original"), "token", "left")
+    if spelt is not None:
+        met = met.join(spelt.select(key_column, "start_pos", F.col("original").alias("_own")), [key_column, "start_pos"], "left").withColumn("original", F.coalesce("_own", "original"))
     edits = met.groupBy(key_column).agg(
         F.collect_list(F.when(F.col("original").isNotNull(), F.struct("start_pos", "end_pos", F.col("original").alias("replacement")))).alias("_edits"),
         F.count("original").alias("restored"), F.count_if(F.col("original").isNull()).alias("unresolved"),

@@ -130,7 +130,8 @@ def round_trip(spark, d):
     tokens = protect.assign_tokens(found.select("entity_type", "value"), KEY)
     protected = protect.protect_texts(documents(spark, d), found, tokens, "id")
     originals = found.withColumn("normalised", t.normalise_value(F.col("entity_type"), F.col("value"))).groupBy("entity_type", "normalised").agg(F.min("value").alias("original"))
-    return protected, tokens.join(originals, ["entity_type", "normalised"]).select("token", "original")
+    mappings = tokens.join(originals, ["entity_type", "normalised"]).select("token", "original")
+    return protected, mappings, protect.spellings(found, tokens, mappings, "id")
 
 
 @query("rs01_token_spans", spans_sql(DOCS, EMAIL_SQL, f"id, '[[EMAIL_' || upper(left({hmac_sql('(' + chr(39) + 'EMAIL|' + chr(39) + ' || lower(value))')}, 6)) || ']]' AS token"))
@@ -140,8 +141,8 @@ def rs01(spark, d):
 
 @query("rs03_round_trip", f"SELECT id, text, len(regexp_extract_all(text, '{EMAIL_SQL}'))::BIGINT AS restored, 0::BIGINT AS unresolved FROM ({DOCS}) AS x")
 def rs03(spark, d):
-    protected, mappings = round_trip(spark, d)
-    return protect.restore_texts(protected, mappings, "id").select("id", "text", "restored", "unresolved")
+    protected, mappings, spelt = round_trip(spark, d)
+    return protect.restore_texts(protected, mappings, "id", spelt=spelt).select("id", "text", "restored", "unresolved")
 
 
 TOKENISED = "SELECT c_custkey AS id, 'a [[EMAIL_' || upper(left({h}, 6)) || ']] b [[PERSON_' || upper(left({h}, 8)) || ']] c' AS text FROM customer"
